@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embeddings import op10_embedding_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .urls import OP8_SQL, op8_url_reputation
 
@@ -10,6 +11,7 @@ def queries() -> dict:
     return {
         "op4_mixing": op4_mixing,
         "op8_url_reputation": op8_url_reputation,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
