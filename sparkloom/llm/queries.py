@@ -6,12 +6,14 @@ from .decontam import op6_decontamination
 from .embeddings import op10_embedding_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op9_pii_pseudonyms
+from .toxicity import op5_toxicity
 from .urls import OP8_SQL, op8_url_reputation
 
 
 def queries() -> dict:
     return {
         "op4_mixing": op4_mixing,
+        "op5_toxicity": op5_toxicity,
         "op6_decontamination": op6_decontamination,
         "op8_url_reputation": op8_url_reputation,
         "op9_pii_pseudonyms": op9_pii_pseudonyms,
