@@ -8,10 +8,12 @@ from .mixing import OP4_SQL, op4_mixing
 from .pii import op9_pii_pseudonyms
 from .toxicity import op5_toxicity
 from .urls import OP8_SQL, op8_url_reputation
+from .warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict:
     return {
+        "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
         "op5_toxicity": op5_toxicity,
         "op6_decontamination": op6_decontamination,
@@ -22,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op8_url_reputation": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op8_url_reputation": OP8_SQL}
