@@ -6,6 +6,7 @@ from .decontam import op6_decontamination
 from .embeddings import op10_embedding_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op9_pii_pseudonyms
+from .substrings import op1_substring_dedup
 from .toxicity import op5_toxicity
 from .urls import OP8_SQL, op8_url_reputation
 from .warc import OP3_SQL, op3_warc
@@ -13,6 +14,7 @@ from .warc import OP3_SQL, op3_warc
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
         "op5_toxicity": op5_toxicity,
