@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import _BYTE, LOWER, Texts, lists, pieces, segment_hash
+from .work import Workspace
 
 SAMPLE = 12_000
-MAX_TERMS = 1 << 16
+MAX_TERMS = 4096
 PREFIXES = (4, 5, 6, 7)
 #: Common English insults, each a voter of its own.
 LEXICON = ("clown", "disgusting", "fool", "garbage", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -118,25 +119,29 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.nda
     return post
 
 
-def _cells(both: np.ndarray, df: np.ndarray, toxic: int, n: int):
-    """Observed and expected counts of term x label."""
-    for x, t, y in ((both, df, toxic), (df - both, df, n - toxic), (toxic - both, n - df, toxic), (n - df - toxic + both, n - df, n - toxic)):
-        yield x, np.maximum(t * y / max(1, n), 1e-9)
+def term_statistics(rows: DataFrame, toxic: int, n: int) -> DataFrame:
+    """Terms of ``rows`` (toxic, terms) worth a vote or a weight: term, df, both, odds, ratio.
 
-
-def fit(doc: np.ndarray, term: np.ndarray, style: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(term hashes in order, weights, bias) from the sample's distinct (doc, term) pairs and labels."""
+    ratio is the log-likelihood ratio of term x label against independence, which
+    keeps chance terms out; odds the log ratio of the term's rates.
+    """
+    per = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("both"))
+    df, both = F.col("df").cast("double"), F.col("both").cast("double")
+    part = lambda x, e: F.when(x > 0, 2 * x * F.log(x / e)).otherwise(0.0)
+    clean = n - toxic
+    ratio = part(both, df * toxic / n) + part(df - both, df * clean / n) + part(toxic - both, (n - df) * toxic / n) + part(clean - df + both, (n - df) * clean / n)
+    odds = F.log((both + 0.02) / max(1, toxic)) - F.log((df - both + 0.02) / max(1, clean))
+    per = per.filter("df >= 3").withColumn("ratio", ratio).withColumn("odds", odds)
+    chosen = ((F.col("odds") > 1) & (F.col("ratio") > TOXIC_RATIO)) | ((F.col("odds") < 0) & (F.col("ratio") > CLEAN_RATIO))
+    common = (F.col("odds") < -0.5) & (df >= max(20, n // 50))
+    listed = F.col("term").isin([int(np.uint64(term_hash(w)).view(np.int64)) for w in LEXICON])
+    return per.filter(chosen | common | listed).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS)
+
+
+def fit(vocab: np.ndarray, df: np.ndarray, in_toxic: np.ndarray, odds: np.ndarray, ratio: np.ndarray, doc: np.ndarray, code: np.ndarray, style: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(term hashes in order, weights, bias); (doc, code) are the pairs of documents and places in ``vocab``."""
     n = len(gold)
-    vocab, code, df = np.unique(term, return_inverse=True, return_counts=True)
-    toxic = gold == 1
-    known = max(1, toxic.sum()), max(1, (~toxic).sum())
-    in_toxic = np.bincount(code[toxic[doc]], minlength=len(vocab))
-    rate1, rate0 = (in_toxic + 0.02) / known[0], (df - in_toxic + 0.02) / known[1]
-    odds = np.log(rate1 / rate0)
-    # log-likelihood ratio of each term against independence: chance terms stay out of the classifier
-    ratio = 2 * sum(x * np.log(np.maximum(x, 1e-9) / e) for x, e in _cells(in_toxic, df, int(toxic.sum()), n))
-    chosen = np.flatnonzero((df >= 3) & (((odds > 1) & (ratio > TOXIC_RATIO)) | ((odds < 0) & (ratio > CLEAN_RATIO))))
-    chosen = np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:MAX_TERMS]])
+    chosen = np.flatnonzero(((odds > 1) & (ratio > TOXIC_RATIO)) | ((odds < 0) & (ratio > CLEAN_RATIO)))
     # voters: terms for toxic, terms for clean, the lexicon, patterns of style
     lexicon = np.searchsorted(vocab, np.array([term_hash(w) for w in LEXICON], dtype=np.uint64)).clip(max=max(0, len(vocab) - 1))
     lexicon = [i for i, w in zip(lexicon.tolist(), LEXICON, strict=True) if len(vocab) and int(vocab[i]) == term_hash(w)]
@@ -193,17 +198,34 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = spark.createDataFrame(picked.toPandas(), "doc_id long, toxic int")  # at most ``sample`` rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    rows = texts.mapInArrow(_gather(["toxic"]), "toxic int, terms array<long>, style array<double>")
-    # a repeated doc_id could exceed the sample's size, so the bound is kept here too
-    got = rows.limit(2 * sample).toArrow()
-    if not got.num_rows:
-        return np.empty(0, dtype=np.uint64), np.empty(0), -2.0
-    col = got.column("terms").combine_chunks()
-    size = np.asarray(pa.compute.list_value_length(col))
-    doc = np.repeat(np.arange(len(size)), size)
-    style = np.array(got.column("style").to_pylist())
-    return fit(doc, np.asarray(col.flatten()).view(np.uint64), style, np.asarray(got.column("toxic")))
+    # a repeated doc_id counts once, so the sample's bound holds
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    ws = Workspace(spark, "toxicity")
+    rows = texts.mapInArrow(_gather(["doc_id", "toxic"]), "doc_id long, toxic int, terms array<long>, style array<double>")
+    rows = ws.write(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("terms", F.hash("terms")).alias("terms"), F.min_by("style", F.hash("terms")).alias("style")), "sample")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n or not toxic or toxic == n:
+        return np.empty(0, dtype=np.uint64), np.empty(0), -2.0 if not toxic else 2.0
+    stats = term_statistics(rows, toxic, n).toPandas()  # at most MAX_TERMS rows
+    vocab = stats["term"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(vocab)
+    vocab, (df, both, odds, ratio) = vocab[order], (stats[c].to_numpy()[order] for c in ("df", "both", "odds", "ratio"))
+    sent = spark.sparkContext.broadcast(vocab)
+
+    def known_terms(batches):
+        for b in batches:
+            col = b.column("terms")
+            size = np.asarray(pa.compute.list_value_length(col))
+            t = np.asarray(col.flatten()).view(np.uint64)
+            at = np.searchsorted(sent.value, t).clip(max=max(0, len(sent.value) - 1))
+            hit = (sent.value[at] == t) if len(sent.value) else np.zeros(len(t), dtype=bool)
+            count = np.bincount(np.repeat(np.arange(len(size)), size)[hit], minlength=len(size))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("style"), lists(at[hit].astype(np.int64), count)], names=["toxic", "style", "codes"])
+
+    got = rows.orderBy("doc_id").mapInArrow(known_terms, "toxic int, style array<double>, codes array<long>").toArrow()
+    col = got.column("codes").combine_chunks()
+    doc = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(col)))
+    return fit(vocab, df, both, odds, ratio, doc, np.asarray(col.flatten()), np.array(got.column("style").to_pylist()), np.asarray(got.column("toxic")))
 
 
 def scored(spark: SparkSession, docs: DataFrame, model, keep: list[str]) -> DataFrame:
