@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op6_decontamination
 from .embeddings import op10_embedding_near_dedup
+from .minhash import op7_minhash_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op9_pii_pseudonyms
 from .substrings import op1_substring_dedup
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op4_mixing": op4_mixing,
         "op5_toxicity": op5_toxicity,
         "op6_decontamination": op6_decontamination,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_url_reputation": op8_url_reputation,
         "op9_pii_pseudonyms": op9_pii_pseudonyms,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
