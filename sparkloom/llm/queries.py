@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op6_decontamination
 from .embeddings import op10_embedding_near_dedup
+from .katz import op2_katz
 from .minhash import op7_minhash_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op9_pii_pseudonyms
@@ -16,6 +17,7 @@ from .warc import OP3_SQL, op3_warc
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_katz": op2_katz,
         "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
         "op5_toxicity": op5_toxicity,
