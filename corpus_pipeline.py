@@ -1,10 +1,66 @@
-"""Corpus pipeline: filled in stage by stage."""
+"""Corpus pipeline: toxicity, near-dedup, decontamination, pseudonyms, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read back as the next one's docs. All but the last return the
+columns of ``documents``; the last returns the same columns with each document
+as often as the mix takes it. Extra columns are carried along.
+
+Edge cases: a null or empty text is never toxic, a near duplicate or
+contaminated, and has size 0 in the mix; rows with a null doc_id pass the
+near-dedup stage, where they cannot be named; of rows that repeat a doc_id one
+stays; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm.decontam import without_contaminated
+from sparkloom.llm.minhash import NearDuplicates
+from sparkloom.llm.mixing import mixed
+from sparkloom.llm.pii import pseudonymised
+from sparkloom.llm.toxicity import trained_on_open, without_toxic
+from sparkloom.llm.work import Workspace
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the classifier, trained on the labels that are not held out, finds toxic."""
+    return without_toxic(spark, docs, trained_on_open(spark, docs, sf_dir))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more on shingles of five words."""
+    kept = NearDuplicates(spark, docs).documents().filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item, up to the edit budget."""
+    return without_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms in place of personal values; n_chars follows the text."""
+    out = pseudonymised(docs, listed="__pii_values")
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size("__pii_values") > 0, size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by source weights."""
+    return mixed(spark, docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ws = spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = ws.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -217,6 +217,24 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edi
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, whose text holds no benchmark item."""
+    for rows in blocks(benchmark):
+        sent = spark.sparkContext.broadcast(rows)
+
+        def run(batches, sent=sent):
+            items = Items(sent.value, edits)
+            for whole in batches:
+                for b in pieces(whole, "text"):
+                    t = Texts(b.column("text"))
+                    clean = np.ones(t.n, dtype=bool)
+                    clean[[d for d, *_ in items.search(t.buf, t.offs)]] = False
+                    yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) match with its place and number of edits."""
     return contaminated(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

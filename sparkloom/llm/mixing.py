@@ -68,23 +68,23 @@ def uniform(seed: int, doc_id: Column) -> Column:
 
 
 def copies(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, size: Column | None = None) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies."""
-    docs = docs.withColumn("mix_size", word_count(F.col("text")) if size is None else size)
-    per = source_targets(docs.select("source", F.col("mix_size").alias("size")), weights, max_repeat)
+    """``docs`` with __mix_size, __mix_source_size, __mix_target and __mix_copies."""
+    docs = docs.withColumn("__mix_size", word_count(F.col("text")) if size is None else size)
+    per = source_targets(docs.select("source", F.col("__mix_size").alias("size")), weights, max_repeat)
     per = Workspace(spark, "mixing").write(per, "targets")
-    per = per.select(_key(F.col("source")).alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    per = per.select(_key(F.col("source")).alias("__mix_key"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    out = docs.withColumn("mix_key", _key(F.col("source"))).join(per, "mix_key").drop("mix_key")
+    rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(F.lit(0.0))
+    out = docs.withColumn("__mix_key", _key(F.col("source"))).join(per, "__mix_key").drop("__mix_key")
     more = (uniform(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    return out.withColumn("mix_copies", F.floor(rate) + more)
+    return out.withColumn("__mix_copies", F.floor(rate) + more)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
-    out = copies(spark, docs, **how).filter("mix_copies > 0")
-    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    out = copies(spark, docs, **how).filter("__mix_copies > 0")
+    out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
     return out.select(*docs.columns)
 
 
@@ -93,10 +93,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = copies(spark, docs)
     return out.select(
         "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
+        F.col("__mix_size").alias("size"),
+        F.col("__mix_source_size").alias("source_size"),
+        F.col("__mix_target").alias("target"),
+        (F.col("__mix_copies") * F.col("__mix_size")).alias("taken"),
     )
 
 

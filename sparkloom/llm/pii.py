@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .text import Texts, pieces
 
@@ -233,10 +234,10 @@ _HINT = np.zeros(256, dtype=bool)
 _HINT[[*range(48, 58), 64, 61, 58]] = True  # digits, @, =, :
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text") -> DataFrame:
-    """``docs`` with the text replaced, plus pii_values array<struct<kind, start, end>> (offsets in the original)."""
-    kind = "array<struct<kind:string,start:int,end:int>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", pii_values {kind}"
+def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", listed: str = "pii_values") -> DataFrame:
+    """``docs`` with the text replaced, plus ``listed`` array<struct<kind, start, end>> (offsets in the original)."""
+    entry = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(listed, T.ArrayType(entry))])
     values = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -259,7 +260,7 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text") ->
                     mask[changed] = True
                     col = pa.compute.replace_with_mask(col, pa.array(mask), pa.array(new, col.type))
                 cols = [col if n == text else b.column(n) for n in b.schema.names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(found, values)], names=[*b.schema.names, "pii_values"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(found, values)], names=[*b.schema.names, listed])
 
     return docs.mapInArrow(run, schema)
 

@@ -228,24 +228,39 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     return fit(vocab, df, both, odds, ratio, doc, np.asarray(col.flatten()), np.array(got.column("style").to_pylist()), np.asarray(got.column("toxic")))
 
 
-def scored(spark: SparkSession, docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and toxicity double in 0..1, from whole texts."""
+def scores(t: Texts, model) -> np.ndarray:
+    """The classifier's probability of toxic for each text."""
+    vocab, weight, bias = model
+    z = np.full(t.n, bias)
+    if len(vocab):
+        doc, term = terms(t)
+        at = np.searchsorted(vocab, term).clip(max=len(vocab) - 1)
+        z += np.bincount(doc, np.where(vocab[at] == term, weight[at], 0.0), t.n)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def scored(spark: SparkSession, docs: DataFrame, model) -> DataFrame:
+    """doc_id and toxicity double in 0..1 of ``docs`` (doc_id, text), from whole texts."""
     sent = spark.sparkContext.broadcast(model)  # at most MAX_TERMS terms
 
     def run(batches):
-        vocab, weight, bias = sent.value
         for whole in batches:
             for b in pieces(whole, "text"):
-                t = Texts(b.column("text"))
-                doc, term = terms(t)
-                z = np.full(t.n, bias)
-                if len(vocab):
-                    at = np.searchsorted(vocab, term).clip(max=len(vocab) - 1)
-                    z += np.bincount(doc, np.where(vocab[at] == term, weight[at], 0.0), t.n)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*keep, "toxicity"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(Texts(b.column("text")), sent.value))], names=["doc_id", "toxicity"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, toxicity double")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, whose text scores below ``limit``."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                yield b.filter(pa.array(scores(Texts(b.column("text")), sent.value) < limit))
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, toxicity double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _fold(doc_id, n: int):
@@ -264,5 +279,5 @@ def trained_on_open(spark: SparkSession, docs: DataFrame, sf_dir: str):
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = scored(spark, docs, trained_on_open(spark, docs, sf_dir), ["doc_id"])
+    out = scored(spark, docs, trained_on_open(spark, docs, sf_dir))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
