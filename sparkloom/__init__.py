@@ -1,0 +1 @@
+"""Persona distillation, memory and corpus analytics on Spark DataFrames."""

@@ -1,11 +1,399 @@
-"""The library's queries on the driver's tables and their DuckDB SQL."""
+"""The library's queries on the driver's tables, each over its whole table.
+
+The tables stand in for the operators' inputs: ``conversations`` for messages,
+``events`` for timed messages and for the memory log, ``documents`` for novels
+and for list items (line = item, source = profile or book, doc_id = block),
+``benchmark`` for quotes, ``pages`` for XHTML. ``oracles`` has the same in SQL.
+"""
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.text import bigram_jaccard, clean_text, entity_text, extract_json, flatten_items, normalize, split_keys, split_words
+from ..functions.timestamps import parse_ts
+from ..operators import cards, chunking, evidence, extract, memory, merge, migrate, worldbook
+from ..sources import readers
+from . import chat, novel, oracles
+from .catalogue_values import EXTENSIONS, LAYER_OF, NOW
+from .scratch import folder
+
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def messages(spark, sf) -> DataFrame:
+    """conversations: assistant is self; ord and ts from the turn."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.col("turn").alias("ord"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("ts"), F.col("role").alias("sender_name"), readers.direction("role", ["assistant"]).alias("direction"), F.col("text").alias("content"))
+
+
+def timed(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.withColumn("iso", F.date_format("ts", ISO)).withColumn("ord", F.col("event_id"))
+
+
+def lines(spark, sf) -> DataFrame:
+    """Non-blank lines of documents as items: source, block_id, pos, item."""
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("block_id"), clean_text("text").alias("t")).filter("t <> ''")
+    return d.select("source", "block_id", F.posexplode(F.split("t", "\n")).alias("pos", "item"))
+
+
+def names(spark, sf) -> DataFrame:
+    """Capitalised words of documents as mentions: source, block_id, pos, name, identity, speaking_style."""
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("block_id"), "lang", F.regexp_extract_all("text", F.lit(r"(?:^|\s)([A-Z][a-z]{3,})"), 1).alias("n"))
+    identity = F.when(F.col("block_id") % 3 == 0, F.concat(F.lit("speaks "), "lang")).otherwise("")
+    return d.select("source", "block_id", F.posexplode("n").alias("pos", "name"), identity.alias("identity"), F.lit("").alias("speaking_style"))
+
+
+def msg_direction(spark, sf):
+    m = messages(spark, sf).filter(~F.coalesce(F.trim("content") == "", F.lit(True)))
+    return m.select("conv_id", "turn", F.col("sender_name").alias("sender"), "direction", F.length("content").cast("bigint").alias("n_chars"))
+
+
+def sender_stats(spark, sf):
+    out = readers.sender_stats(messages(spark, sf), order=("conv_id", "turn"))
+    return out.select("name", "count", F.array_join("samples", "|").alias("samples"))
+
+
+def sniff_format(spark, sf):
+    d = table(spark, sf, "documents")
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return d.select("doc_id", F.concat(F.lit("export.d/"), F.col("doc_id").cast("string"), ext).alias("path")).withColumn("kind", readers.sniff_column("path"))
+
+
+def parse_ts_query(spark, sf):
+    e = timed(spark, sf)
+    epoch = F.floor(F.unix_micros(parse_ts("iso")) / 1_000_000).cast("string")
+    s = F.when(F.col("event_id") % 5 == 0, epoch).when(F.col("event_id") % 5 == 1, F.concat("iso", F.lit("Z"))).when(F.col("event_id") % 5 == 2, F.replace("iso", F.lit("T"), F.lit(" "))).when(F.col("event_id") % 5 == 3, F.lit("soon")).otherwise(F.substring("iso", 1, 10))
+    return e.select("event_id", F.unix_micros(parse_ts(s)).alias("micros"))
+
+
+def chunk_messages_size(spark, sf):
+    return chunking.chunk_messages(messages(spark, sf), ["conv_id"], block_size=3).select("conv_id", "turn", "block_id", "idx")
+
+
+def _gap(spark, sf):
+    return chunking.chunk_messages(timed(spark, sf), ["user_id"], block_size=5, gap_hours=6, ts="iso")
+
+
+def chunk_messages_gap(spark, sf):
+    return _gap(spark, sf).select("event_id", "user_id", "block_id", "idx")
+
+
+def chunk_messages_nullts(spark, sf):
+    e = timed(spark, sf).withColumn("iso", F.when(F.col("event_id") % 4 == 1, F.concat(F.substring("iso", 1, 13), F.lit("h"))).otherwise(F.col("iso")))
+    return chunking.chunk_messages(e, ["user_id"], block_size=7, gap_hours=6, ts="iso").select("event_id", "user_id", "block_id", "idx")
+
+
+def block_bounds(spark, sf):
+    return chunking.block_bounds(_gap(spark, sf), ["user_id"], ts="iso")
+
+
+def block_render(spark, sf):
+    m = chunking.chunk_messages(messages(spark, sf), ["conv_id"], block_size=4)
+    return chunking.render_blocks(m, ["conv_id"], F.lit("N"))
+
+
+def normalize_text(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", normalize("text").alias("normal"))
+
+
+def extract_json_query(spark, sf):
+    e = table(spark, sf, "events")
+    said = F.concat(F.lit("Sure:\n```json\n"), F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit('"k"'), F.lit("k:"))).otherwise(F.col("props")), F.lit("\n```\ndone"))
+    return e.select("event_id", F.try_variant_get(extract_json(said), "$.k", "bigint").alias("k"))
+
+
+def evidence_verify(spark, sf):
+    return evidence.find_quotes(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id")
+
+
+def evidence_cross_message(spark, sf):
+    order = W.partitionBy("conv_id").orderBy("turn")
+    m = messages(spark, sf).withColumn("idx", (F.row_number().over(order) - 1).cast("int")).withColumn("next", F.lead("content").over(order))
+    spans = F.concat(F.substring("content", -12, 12), F.substring(F.coalesce("next", F.lit("")), 1, 12))
+    claim = F.when(F.col("turn") % 3 == 0, F.col("idx").cast("string")).when(F.col("turn") % 3 == 1, F.lit("x9"))
+    quotes = m.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, spans).otherwise(F.substring("content", 5, 20)).alias("quote"), claim.alias("message_index"))
+    return evidence.verify_evidence(quotes, m, ["conv_id"]).select("conv_id", "turn", "status", "kept_index")
+
+
+def bigram_jaccard_query(spark, sf):
+    c, b = table(spark, sf, "conversations"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
+    return c.withColumn("item_id", (F.col("conv_id") + F.col("turn")) % 40).join(b, "item_id").select("conv_id", "turn", "item_id", F.round(bigram_jaccard("query", "text"), 6).alias("jaccard"))
+
+
+def merge_union(spark, sf):
+    return merge.ordered_union(lines(spark, sf), ["source"]).select("source", "block_id", "pos", "item")
+
+
+def scene_first_wins(spark, sf):
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("block_id"), F.lit(0).alias("pos"), F.col("lang").alias("scene"), F.substring("text", 1, 20).alias("tone"))
+    return merge.scene_tones(d, ["source"]).select("source", "scene", "block_id", "tone")
+
+
+def _lore(spark, sf):
+    return lines(spark, sf).select("source", "block_id", "pos", F.substring_index("item", " ", 1).alias("title"), F.col("item").alias("content"), F.substring("item", 1, 30).alias("keys"))
+
+
+def lore_conflict(spark, sf):
+    first, notes = merge.merge_lore(_lore(spark, sf), ["source"])
+    one = first.groupBy("source").agg(F.count("*").alias("n_lore"), F.sum(F.length("content").cast("bigint")).alias("n_chars"))
+    return one.join(notes.groupBy("source").agg(F.count("*").alias("n_conflicts")), "source", "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0)).cast("bigint"))
+
+
+def style_examples(spark, sf):
+    return merge.style_examples(lines(spark, sf).withColumnRenamed("item", "quote"), ["source"]).select("source", "block_id", "pos", "item")
+
+
+def clean_text_query(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(clean_text("text")).alias("digest"))
+
+
+def _marked(spark, sf):
+    """documents with ideographic full stops, and every fifth line as a heading."""
+    d = table(spark, sf, "documents").select("doc_id", F.split(F.translate(clean_text("text"), ".", "。"), "\n").alias("l"))
+    return d.select("doc_id", F.array_join(F.transform("l", lambda x, i: F.when(i % 5 == 4, F.concat(F.lit("Chapter "), i.cast("string"), F.lit(" "), x)).otherwise(x)), "\n").alias("text"))
+
+
+def _pieces(df):
+    return df.select("doc_id", "block_id", "idx", F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("digest"))
+
+
+def chunk_novel(spark, sf):
+    return _pieces(chunking.chunk_novels(table(spark, sf, "documents"), "doc_id"))
+
+
+def chunk_novel_chapters(spark, sf):
+    return _pieces(chunking.chunk_novels(_marked(spark, sf), "doc_id", chunk_chars=1000))
+
+
+def split_long(spark, sf):
+    one = _marked(spark, sf).select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    return _pieces(chunking.chunk_novels(one, "doc_id", chunk_chars=1 << 30)).drop("block_id")
+
+
+def character_merge(spark, sf):
+    return merge.merge_characters(names(spark, sf), ["source"]).drop("speaking_style")
+
+
+def _tops(spark, sf, n=5):
+    return merge.top_characters(merge.merge_characters(names(spark, sf), ["source"]), ["source"], n)
+
+
+def top_characters(spark, sf):
+    return _tops(spark, sf).select("source", "rank", "name", "mentions")
+
+
+def quote_attribution(spark, sf):
+    people = merge.merge_characters(names(spark, sf), ["source"])
+    head = merge.first_by(names(spark, sf).select("source", "block_id", "pos", "name"), ["source", "block_id"], ["pos"])
+    first = merge.first_by(lines(spark, sf), ["source", "block_id"], ["pos"]).select("source", "block_id", "pos", F.col("item").alias("quote"))
+    said = first.join(head.select("source", "block_id", "name"), ["source", "block_id"], "left")
+    # the speaker named is the next block's, so some are known by then and some are not
+    said = said.withColumn("speaker", F.coalesce(F.lead("name").over(W.partitionBy("source").orderBy("block_id")), F.lit("")))
+    mine, pending = merge.attribute_quotes(said.select("source", "block_id", "pos", "quote", "speaker"), people, ["source"])
+    cols = ["source", "block_id", "quote", "speaker"]
+    return mine.select(*cols, F.lit(True).alias("attributed")).unionByName(pending.select(*cols, F.lit(False).alias("attributed")))
+
+
+def worldbook_entries(spark, sf):
+    ll = lines(spark, sf)
+    lore, _ = merge.merge_lore(_lore(spark, sf).filter("pos = 0"), ["source"])
+    events = merge.ordered_union(ll.filter("pos = 1"), ["source"])
+    w = worldbook.worldbook(lore, events, _tops(spark, sf), "source")
+    return w.select("source", "id", F.array_join("keys", "|").alias("keys"), "content", "comment", "insertion_order")
+
+
+def _profiles(spark, sf):
+    top = _tops(spark, sf, 15).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("traits"))
+    p = top.select(
+        F.col("source").alias("name"), F.lit("").alias("persona_summary"), "traits", F.slice("traits", 1, 6).alias("behavior_rules"), F.array().cast("array<string>").alias("taboos"), F.slice("traits", 3, 2).alias("humor"), F.array().cast("array<string>").alias("memories"),
+        F.slice("traits", 2, 1).alias("uncertainties"), F.array().cast("array<struct<k:string,v:string>>").alias("scene_tone"), F.transform(F.slice("traits", 1, 4), lambda t: F.concat(F.lit("「"), t, F.lit("」"))).alias("style_examples"),
+        F.transform(F.slice("traits", 1, 3), lambda t: F.struct(t.alias("title"), F.concat(F.lit("about "), t).alias("content"), F.concat(t, F.lit(" key")).alias("keys"))).alias("lore"), F.create_map().cast("map<string,int>").alias("evidence_stats"),
+    )
+    return p
+
+
+def card_fields(spark, sf):
+    c = cards.card_fields(_profiles(spark, sf))
+    return c.select("name", "description", "personality", "mes_example", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["id"].cast("string"), F.array_join(e["keys"], "+"), e["content"], e["comment"], e["insertion_order"].cast("string"))), "|").alias("entries"))
+
+
+def card_roundtrip(spark, sf):
+    back = cards.from_card(cards.to_card(_profiles(spark, sf)).select("card"))
+    return back.select("name", F.array_join("traits", "|").alias("traits"), F.array_join("behavior_rules", "|").alias("behavior_rules"), F.array_join("uncertainties", "|").alias("uncertainties"), F.array_join("style_examples", "|").alias("style_examples"), F.array_join(F.transform("lore", lambda e: F.concat_ws(":", e["title"], e["content"], e["keys"])), "|").alias("lore"))
+
+
+def _adds(spark, sf):
+    e = timed(spark, sf)
+    layer = F.element_at(F.create_map(*[F.lit(x) for kv in LAYER_OF.items() for x in kv]), F.col("event_type"))
+    return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("profile_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner"), layer.alias("layer"), F.col("props").alias("content"), F.least(F.col("value") / 10, F.lit(10.0)).alias("importance"), F.col("iso").alias("ts"), F.lit(None).cast("string").alias("meta"))
+
+
+def _state(spark, sf):
+    return memory.fold_adds(_adds(spark, sf))
+
+
+def memory_upsert(spark, sf):
+    return _state(spark, sf).select("id", "profile_id", "owner", "layer", "content", "importance", "created_at", "last_accessed")
+
+
+def memory_edit_delete(spark, sf):
+    s = _state(spark, sf)
+    edits = s.filter("id % 10 = 0").select(F.col("id").alias("seq"), "profile_id", "owner", "id", F.concat(F.lit(" edited "), "content").alias("content"))
+    drops = s.filter("id % 17 = 0").select("profile_id", F.when(F.col("id") % 34 == 0, F.lit("someone else")).otherwise(F.col("owner")).alias("owner"), "id")
+    return memory.delete(memory.edit(s, edits), drops).select("id", "content")
+
+
+def memory_decay(spark, sf):
+    d = memory.apply_decay(_state(spark, sf), NOW)
+    return d.select("id", F.round("decay_score", 6).alias("decay_score"), "archived")
+
+
+def memory_recall_topk(spark, sf):
+    s = memory.scored(_state(spark, sf), '{"k": 42}', NOW, ("raw", "episodic", "core")).withColumn("score", F.round("score", 9))
+    rank = F.row_number().over(W.partitionBy("profile_id", "owner").orderBy(F.desc("score"), "id"))
+    return s.withColumn("rank", rank.cast("int")).filter("rank <= 2").select("profile_id", "owner", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def memory_isolation(spark, sf):
+    """Per scope: its memories, and those of the same profile under other owners, which it must not see."""
+    s = memory.apply_decay(_state(spark, sf), NOW)
+    own = s.groupBy("profile_id", "owner").agg(F.count_if(~F.col("archived")).alias("visible"), F.count("*").alias("total"))
+    return own.withColumn("hidden", F.sum("total").over(W.partitionBy("profile_id")) - F.col("total")).select("profile_id", "owner", "visible", "total", "hidden")
+
+
+def memory_count(spark, sf):
+    return _state(spark, sf).groupBy("profile_id").agg(F.count("*").alias("n"))
+
+
+def recall_embedding(spark, sf):
+    """The relevance hook with cosine similarity: each vector against the first of its label."""
+    e = table(spark, sf, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    v = e.join(F.broadcast(first) if first.count() <= 10_000 else first, "label").withColumn("relevance", dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q")))
+    return v.filter("relevance > 0").select("vec_id", "label", F.round("relevance", 6).alias("relevance"))
+
+
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", readers.html_text("html").alias("text"))
+
+
+def entity_text_query(spark, sf):
+    c = table(spark, sf, "conversations")
+    mixed = F.concat(F.lit("["), F.to_json(F.struct(F.lit("bold").alias("type"), F.col("text").alias("text"))), F.lit(',"-",'), F.to_json(F.struct(F.col("role").alias("_text"), F.lit("no").alias("text"))), F.lit("]"))
+    plain = F.get_json_object(F.to_json(F.struct(F.col("role").alias("r"))), "$.r")
+    raw = F.when(F.col("turn") % 2 == 0, mixed).otherwise(F.concat(F.lit('"['), plain, F.lit('"')))
+    return c.select("conv_id", "turn", entity_text(F.parse_json(raw)).alias("content"))
+
+
+def flatten_query(spark, sf):
+    c = table(spark, sf, "conversations")
+    raw = F.concat(F.lit("["), F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1)).substr(F.lit(1), F.length(F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1))) - 1), F.lit(',"  ",'), F.to_json(F.struct(F.substring("text", 1, 30).alias("content"))), F.lit(",7]"))
+    return c.select("conv_id", "turn", F.array_join(flatten_items(F.parse_json(raw)), "|").alias("items"))
+
+
+def split_keys_query(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", F.array_join(split_keys(F.substring("text", 1, 40), F.concat(F.lit("她： "), F.substring("text", 11, 20))), "|").alias("keys"))
+
+
+def migrate_lore(spark, sf):
+    d = table(spark, sf, "documents")
+    lore = d.select("source", F.col("lang").alias("category"), F.substring_index("text", " ", 2).alias("title"), F.substring("text", 1, 50).alias("content"), F.when(F.col("doc_id") % 3 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"importance": '), ((F.col("doc_id") % 10) / 10).cast("string"), F.lit("}"))).alias("payload"), (F.col("doc_id") % 2).alias("enabled"), F.col("doc_id").alias("updated_at"))
+    return migrate.lore_entries(lore, ("source",)).select("source", "i", "content", "comment", "insertion_order", "category")
+
+
+def _ledger(spark, sf):
+    e = table(spark, sf, "events")
+    bad = F.col("event_type") == "error"
+    return e.select(F.lit("r").alias("run_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("block_id"), F.when(bad, "failed").otherwise("done").alias("status"), F.lit(0).alias("attempts"), F.lit("").alias("error"), F.lit(1).alias("calls"), F.lit(10).cast("bigint").alias("prompt_tokens"), F.floor("value").alias("completion_tokens"), F.lit("").alias("reply"))
+
+
+def ledger_latest(spark, sf):
+    return extract.latest(_ledger(spark, sf)).select("block_id", "seq", "status")
+
+
+def ledger_stats(spark, sf):
+    s = extract.run_stats(_ledger(spark, sf))
+    return s.withColumn("failed_blocks", F.array_join(F.transform("failed_blocks", lambda x: x.cast("string")), ",")).select("blocks_done", "blocks_failed", "failed_blocks", "calls", "prompt_tokens", "completion_tokens")
+
+
+class Echo:
+    """A client that makes a reply out of the block itself; one block in seven fails while ``flaky``."""
+
+    def __init__(self, flaky: bool):
+        self.flaky = flaky
+
+    def chat(self, block_id: int, system: str, user: str):
+        if self.flaky and block_id % 7 == 3:
+            return extract.ChatResult("no object here", 1, 1)
+        rows = [r.split("] ", 1)[-1] for r in user.split("\n")]
+        first = rows[0].split(": ", 1)[-1]
+        name = next((w for r in rows for w in r.split() if w[:1].isupper()), "Nobody").strip(".,!")
+        said = {
+            "traits": [first[:12]], "memories": [first[:40]], "lore_candidates": [{"title": first[:6], "content": first[:30], "keys": name}], "scene_tone": {"any": first[:5]},
+            "evidence": [{"quote": first[:25], "message_index": 0, "speaker": name}, {"quote": "never said at all", "message_index": 1}], "characters": [{"name": name, "traits": [first[:8]], "identity": ""}],
+        }
+        return extract.ChatResult(json.dumps(said), len(user), 7)
+
+
+def flaky_client():
+    return Echo(True)
+
+
+def steady_client():
+    return Echo(False)
+
+
+def distill_resume(spark, sf):
+    """All conversations as one chat, in a run with failures and its resumption."""
+    m = messages(spark, sf).withColumn("ts", F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("-"), F.lpad(F.col("turn").cast("string"), 6, "0")))
+    path = folder(spark, "distill")
+    chat.distill(spark, m, "assistant", flaky_client, path, "first", block_size=50)
+    p = chat.distill(spark, m, "assistant", steady_client, path, "second", block_size=50)
+    size = lambda c: F.size(F.coalesce(c, F.array()))
+    return p.select("name", *(size(c).alias(c) for c in ("traits", "memories", "uncertainties", "style_examples", "lore")), F.to_json("evidence_stats").alias("evidence_stats"), "calls")
+
+
+def novel_distill(spark, sf):
+    """All documents as the blocks of one book."""
+    pieces = chunking.chunk_novels(table(spark, sf, "documents"), "doc_id")
+    pieces = pieces.withColumn("block_id", F.col("doc_id") * 1000 + F.col("block_id")).withColumn("book", F.lit("all"))
+    ledger = extract.Ledger(spark, folder(spark, "novel"))
+    ledger.run(chunking.render_blocks(pieces, ["book"]).select("block_id", "rendered"), flaky_client, novel.SYSTEM, "first", 1)
+    return novel.merge(ledger, pieces, "all").report.drop("failed_blocks")
+
+
+def lore_words(spark, sf):
+    """Trigger words of lore keys: words between white space."""
+    return _lore(spark, sf).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
+
+
+QUERIES = {
+    "msg_direction": msg_direction, "sender_stats": sender_stats, "sniff_format": sniff_format, "parse_ts": parse_ts_query, "chunk_messages_size": chunk_messages_size, "chunk_messages_gap": chunk_messages_gap,
+    "chunk_messages_nullts": chunk_messages_nullts, "block_bounds": block_bounds, "block_render": block_render, "normalize_text": normalize_text, "extract_json": extract_json_query, "evidence_verify": evidence_verify,
+    "evidence_cross_message": evidence_cross_message, "bigram_jaccard": bigram_jaccard_query, "merge_union": merge_union, "scene_first_wins": scene_first_wins, "lore_conflict": lore_conflict, "style_examples": style_examples,
+    "clean_text": clean_text_query, "split_long": split_long, "chunk_novel": chunk_novel, "chunk_novel_chapters": chunk_novel_chapters, "character_merge": character_merge, "top_characters": top_characters,
+    "quote_attribution": quote_attribution, "worldbook_entries": worldbook_entries, "card_fields": card_fields, "card_roundtrip": card_roundtrip, "memory_upsert": memory_upsert, "memory_edit_delete": memory_edit_delete,
+    "memory_decay": memory_decay, "memory_recall_topk": memory_recall_topk, "memory_isolation": memory_isolation, "memory_count": memory_count, "recall_embedding": recall_embedding, "html_text": html_text,
+    "entity_text": entity_text_query, "flatten_items": flatten_query, "split_keys": split_keys_query, "migrate_lore": migrate_lore, "ledger_latest": ledger_latest, "ledger_stats": ledger_stats, "lore_words": lore_words,
+    "distill_resume": distill_resume, "novel_distill": novel_distill,
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
