@@ -93,9 +93,9 @@ def apply_decay(state: DataFrame, now: str, from_created: bool = False) -> DataF
     stored = F.when(F.col("decay_score") == 0, 1.0).otherwise(F.col("decay_score"))
     value = decayed(now, F.lit(1.0), "created_at") if from_created else decayed(now, stored)
     live = ~F.col("archived")
-    out = state.withColumn("__d", value)
     gone = live & F.col("layer").isin(*FADING) & (F.col("__d") < ARCHIVE_BELOW)
-    return out.withColumn("archived", F.col("archived") | gone).withColumn("decay_score", F.when(live, F.col("__d")).otherwise(F.col("decay_score"))).select(*state.columns)
+    new = {"archived": F.col("archived") | gone, "decay_score": F.when(live, F.col("__d")).otherwise(F.col("decay_score"))}
+    return state.withColumn("__d", value).withColumns(new).select(*state.columns)
 
 
 Relevance = Callable[[Column, Column], Column]

@@ -4,4 +4,4 @@ from __future__ import annotations
 
 EXTENSIONS = (".json", ".JSONL", ".csv", ".txt", ".epub", ".docx", "")
 LAYER_OF = {"signup": "core", "purchase": "semantic", "click": "episodic", "view": "raw", "error": "raw"}
-NOW = "2024-02-15T00:00:00"
+NOW = "2024-06-15T00:00:00"
