@@ -56,15 +56,29 @@ def drop_blank(items) -> Column:
 def bigrams(c) -> Column:
     """Distinct character pairs without white space; the whole text if shorter than two."""
     z = F.regexp_replace(col(c), f"{SPACE}+", "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(z) - 1, F.lit(1))), lambda i: F.substring(z, i, F.lit(2))))
+
+    def pairs(chars: Column) -> Column:
+        n = F.greatest(F.size(chars) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), F.concat))
+
+    # the characters are taken once (a substring at each place would walk the text each time)
+    return F.when(F.length(z) < 2, F.array(z)).otherwise(bound(F.regexp_extract_all(z, F.lit("(?s)."), 0), pairs))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def bigram_jaccard(a, b) -> Column:
     """Share of common character pairs, case-sensitive; 0 where both are empty or one is null."""
-    x, y = bigrams(a), bigrams(b)
-    both = F.size(F.array_intersect(x, y)).cast("double")
-    empty = (F.regexp_replace(col(a), f"{SPACE}+", "") == "") & (F.regexp_replace(col(b), f"{SPACE}+", "") == "")
-    return F.coalesce(F.when(empty, 0.0).otherwise(both / F.size(F.array_union(x, y))), F.lit(0.0))
+
+    def share(s: Column) -> Column:
+        both = F.size(F.array_intersect(s["x"], s["y"]))
+        empty = (F.get(s["x"], F.lit(0)) == "") & (F.get(s["y"], F.lit(0)) == "")
+        return F.when(empty, 0.0).otherwise(both.cast("double") / (F.size(s["x"]) + F.size(s["y"]) - both))
+
+    return F.coalesce(F.when(col(a).isNotNull() & col(b).isNotNull(), bound(F.struct(bigrams(a).alias("x"), bigrams(b).alias("y")), share)), F.lit(0.0))
 
 
 def json_slice(c) -> Column:
