@@ -59,7 +59,7 @@ def bigrams(c) -> Column:
 
     def pairs(chars: Column) -> Column:
         n = F.greatest(F.size(chars) - 1, F.lit(0))
-        return F.array_distinct(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), F.concat))
+        return F.array_distinct(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda p, q: F.concat(p, q)))
 
     # the characters are taken once (a substring at each place would walk the text each time)
     return F.when(F.length(z) < 2, F.array(z)).otherwise(bound(F.regexp_extract_all(z, F.lit("(?s)."), 0), pairs))
