@@ -38,7 +38,7 @@ from .work import Workspace
 
 TOP, TAIL = 5, 1e-3
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-CHUNK = 8 << 20  # bytes of text
+CHUNK = 3 << 20  # bytes of text
 _ZSTD = pa.Codec("zstd")
 
 
@@ -115,14 +115,27 @@ CHUNKS = "chunk long, held boolean, ids array<long>, sizes binary, words binary,
 
 
 def _cut(batches):
+    """Chunks of about ``CHUNK`` bytes of text, those held apart from the others."""
     part, number = TaskContext.get().partitionId(), 0
+    names = ["chunk", "held", "ids", "sizes", "words", "tokens"]
+    parts: dict[bool, list] = {False: [], True: []}
+    size = {False: 0, True: 0}
+
+    def flush(held: bool) -> pa.RecordBatch:
+        nonlocal number
+        tokens, sizes, ids = (list(x) for x in zip(*parts[held], strict=True))
+        c = Chunk.of(np.concatenate(tokens), np.concatenate(sizes), [i for x in ids for i in x], held).dump()
+        parts[held], size[held] = [], 0
+        number += 1
+        return pa.RecordBatch.from_arrays([pa.array([part << 24 | number]), pa.array([held]), pa.array([c["ids"]], pa.list_(pa.int64())), *(pa.array([c[x]], pa.binary()) for x in ("sizes", "words", "tokens"))], names=names)
+
     for whole in batches:
-        for b in pieces(whole, "text", CHUNK):
-            w = Words(Texts(b.column("text")), lower=True)
-            at = np.arange(b.num_rows)
+        for b in pieces(whole, "text"):
+            t = Texts(b.column("text"))
+            w = Words(t, lower=True)
             all_held = np.asarray(b.column("held")).astype(bool)
             for held in (False, True):
-                docs = at[all_held == held]
+                docs = np.flatnonzero(all_held == held)
                 if not len(docs):
                     continue
                 # the words of these texts, each followed by the end token
@@ -133,10 +146,13 @@ def _cut(batches):
                 is_end[stop - 1] = True
                 tokens[is_end] = END
                 tokens[~is_end] = w.hash[all_held[w.doc] == held]
-                c = Chunk.of(tokens, sizes, b.column("doc_id").take(pa.array(docs)).to_pylist(), held).dump()
-                cid = part << 24 | number
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([cid]), pa.array([held]), pa.array([c["ids"]], pa.list_(pa.int64())), *(pa.array([c[x]], pa.binary()) for x in ("sizes", "words", "tokens"))], names=["chunk", "held", "ids", "sizes", "words", "tokens"])
+                parts[held].append((tokens, sizes, b.column("doc_id").take(pa.array(docs)).to_pylist()))
+                size[held] += int(np.diff(t.offs)[docs].sum())
+                if size[held] >= CHUNK:
+                    yield flush(held)
+    for held in (False, True):
+        if parts[held]:
+            yield flush(held)
 
 
 def _requests(buckets: int):
