@@ -162,7 +162,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     of = of.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.nullif(F.coalesce("component", "node"), F.lit(2**63 - 1)).alias("c"))
     out = rows.join(of, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     cid = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.col("vec_id").eqNullSafe(cid).alias("kept"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,7 +227,8 @@ class SubstringIndex:
 
 def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = WIDTH) -> DataFrame:
     """All of ``docs`` through an index, in ``batches`` of ascending doc_id."""
-    cuts = docs.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = (docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] or []) if shares else []
     index, out, low = SubstringIndex(spark, width), None, None
     for cut in [*sorted(set(cuts)), None]:
         part = docs
