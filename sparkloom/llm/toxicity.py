@@ -88,6 +88,16 @@ def term_hash(word: str) -> int:
     return int(segment_hash(_BYTE[b], np.array([0]), np.array([len(b)]))[0])
 
 
+def _shares(votes: np.ndarray) -> np.ndarray:
+    """A weight for each voter: voters whose votes correlate share one."""
+    if not votes.shape[1]:
+        return np.ones(0)
+    v = votes - votes.mean(axis=0)
+    sd = v.std(axis=0) + 1e-9
+    c = np.abs((v.T @ v) / len(v) / np.outer(sd, sd))
+    return 1 / np.maximum(1, np.where(c > 0.25, c, 0).sum(axis=1))
+
+
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Posterior probability of label 1 from ``votes`` (documents x voters, of -1, 0, 1).
 
@@ -96,20 +106,17 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.nda
     n, m = votes.shape
     prior = 0.1 if not (gold >= 0).any() else float(np.clip(gold[gold >= 0].mean(), 0.01, 0.9))
     told = np.where(gold < 0, 0.0, np.where(gold == 1, 1.0, -1.0) * np.log(GOLD / (1 - GOLD)))
-    post = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + told + (votes.sum(axis=1) if m else 0))))
+    weight = _shares(votes.astype(np.float64))
+    post = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + told + votes @ weight)))
     pos, neg = (votes > 0).astype(np.float64), (votes < 0).astype(np.float64)
-    weight = np.ones(m)
     for r in range(rounds):
         a, b = post.sum(), n - post.sum()
         p1, p0 = (post @ pos + 0.1) / (a + 1), ((1 - post) @ pos + 0.1) / (b + 1)
         q1, q0 = (post @ neg + 0.1) / (a + 1), ((1 - post) @ neg + 0.1) / (b + 1)
         prior = float(np.clip(post.mean(), 0.005, 0.95))
         if r == 5 and m:
-            # correlation of votes that is left once the label is known: such voters share one weight
-            v = votes - np.outer(post, p1 - q1) - np.outer(1 - post, p0 - q0)
-            sd = v.std(axis=0) + 1e-9
-            c = np.abs((v.T @ v) / n / np.outer(sd, sd))
-            weight = 1 / np.maximum(1, np.where(c > 0.25, c, 0).sum(axis=1))
+            # correlation of votes that is left once the label is known
+            weight = _shares(votes - np.outer(post, p1 - q1) - np.outer(1 - post, p0 - q0))
         away = np.log((1 - p1 - q1).clip(1e-6)) - np.log((1 - p0 - q0).clip(1e-6))
         gain = pos @ (weight * (np.log(p1 / p0) - away)) + neg @ (weight * (np.log(q1 / q0) - away)) + (weight * away).sum()
         new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + told + gain, -30, 30)))
