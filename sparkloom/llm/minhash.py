@@ -11,9 +11,10 @@
    large groups of near copies. A class with enough other values is found by
    those (its hot values alone cannot make up a link) and leaves the long lists.
    In what is left of a long list every member is compared with a few leaders,
-   and once the components of these links are known, members that are not with
-   their leader are compared, in pairs of blocks, with all members of other
-   components. Nothing is capped, and links inside a component need no pairs.
+   and once the components of these links are known, members outside of the list's
+   largest component are compared, block by block on full sets, with all members
+   of other components. Nothing is capped, and links inside a component need no
+   pairs: of a block's links only those that join components are returned.
 4. Candidate pairs pass if the estimate from the ``K`` smallest values of the
    united sketches can reach the threshold, then both full sets are compared.
 5. Components of the verified links; the smallest doc_id of each is kept.
@@ -40,8 +41,10 @@ K = 64  # values of a sketch
 LISTED = 24  # values looked at for the lists
 SPARE = 12  # values listed where none is hot
 ENOUGH = 14  # other values, of LISTED, that let a class leave the long lists
-HOT = 64  # longest list whose pairs are all made
-BLOCK = 256
+HOT = 32  # longest list whose pairs are all made
+BLOCK_VALUES = 1 << 19  # shingles in a block of sets that are compared with another block
+NEED = 8  # values of LISTED that a pair at the threshold shares, but for a probability of 1e-7
+LED, LEADERS = 3, 6  # long lists in which it meets leaders, and leaders by hash
 SLACK = 5.2  # standard errors allowed to estimates
 
 
@@ -143,39 +146,57 @@ def _verify(percent: int):
     return run
 
 
-def _block_pairs(threshold: float):
-    """Pairs of one long list's blocks, of different components, whose sketches overlap enough.
-
-    A pair is judged in the list of its smallest common hot value only.
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of x's with y's sets, by products of a few thousand values at a time."""
+    both = [*x, *y]
+    flat, row = np.concatenate(both), np.repeat(np.arange(len(both)), [len(s) for s in both])
+    # what only one side has is in no intersection
+    common = np.intersect1d(flat[row < len(x)], flat[row >= len(x)])
+    at = np.searchsorted(common, flat).clip(max=max(0, len(common) - 1))
+    keep = common[at] == flat if len(common) else np.zeros(len(flat), dtype=bool)
+    values, code, row = common, at[keep], row[keep]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for lo in range(0, len(values), columns):
+        s, e = np.searchsorted(code, [lo, lo + columns])
+        grid = np.zeros((len(both), columns), dtype=np.float32)
+        grid[row[s:e], code[s:e] - lo] = 1
+        out += grid[: len(x)] @ grid[len(x) :].T
+    return out
+
+
+def _block_links(percent: int):
+    """Links between a block of a long list's rest and a block of its members, on full sets.
+
+    Only links that join components not joined by the block's earlier ones are returned.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        v, lo, hi = (k.as_py() for k in key)
         table = table.combine_chunks()
-        block = np.asarray(table.column("block"))
-        node, n, comp = (np.asarray(table.column(c)) for c in ("node", "n", "component"))
-        rest = np.asarray(table.column("rest")).astype(bool)
-        sketch = _arrays(table.column("sketch").combine_chunks())
-        hot = [set(h) for h in table.column("hot").to_pylist()]
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        values, code = np.unique(np.concatenate(sketch), return_inverse=True)
-        grid = np.zeros((len(node), len(values)), dtype=np.float32)
-        grid[np.repeat(np.arange(len(node)), [len(s) for s in sketch]), code] = 1
-        both = grid[left] @ grid[right].T
-        nl, nr = n[left][:, None], n[right][None, :]
-        need = np.where((nl <= K) & (nr <= K), threshold / (1 + threshold) * (nl + nr) - 1e-6, K * threshold - SLACK * np.sqrt(K * threshold * (1 - threshold)))
-        # a sketch of fewer than K values is a whole set, so at least its share must be there
-        need = np.minimum(need, np.maximum(1, threshold * np.minimum(np.minimum(nl, nr), K) - SLACK * np.sqrt(K * threshold * (1 - threshold))))
-        ok = (both >= need) & (comp[left][:, None] != comp[right][None, :]) & (rest[left][:, None] | rest[right][None, :])
-        ok &= (np.minimum(nl, nr) >= threshold * np.maximum(nl, nr) - 1e-9) & (node[left][:, None] != node[right][None, :])
-        if lo == hi:
-            ok &= node[left][:, None] < node[right][None, :]
+        rest = np.asarray(table.column("rest").combine_chunks()).astype(bool)
+        node, comp = (np.asarray(table.column(c)) for c in ("node", "component"))
+        sets = _arrays(table.column("members").combine_chunks())
+        n = np.array([len(s) for s in sets])
+        p, q = np.flatnonzero(rest), np.flatnonzero(~rest)
         a, b = [], []
-        for i, j in zip(*np.nonzero(ok), strict=True):
-            p, q = left[i], right[j]
-            if v == min(hot[p] & hot[q]) and may_reach(sketch[p], int(n[p]), sketch[q], int(n[q]), threshold):
-                a.append(int(min(node[p], node[q])))
-                b.append(int(max(node[p], node[q])))
+        if len(p) and len(q):
+            both = overlaps([sets[i] for i in p], [sets[i] for i in q])
+            linked = (100 * both >= percent * (n[p][:, None] + n[q][None, :] - both)) & (both > 0) & (comp[p][:, None] != comp[q][None, :])
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    root[c] = root.get(root[c], root[c])
+                    c = root[c]
+                return c
+
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                u, v = find(int(comp[p[i]])), find(int(comp[q[j]]))
+                if u != v:
+                    root[u] = v
+                    a.append(int(min(node[p[i]], node[q[j]])))
+                    b.append(int(max(node[p[i]], node[q[j]])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -199,8 +220,8 @@ class NearDuplicates:
         ws = self.ws
         low = F.slice("sketch", 1, LISTED)
         each = self.reps.select("node", F.explode(low).alias("v"))
-        hot = ws.write(each.groupBy("v").count().filter(F.col("count") > HOT).select("v"), "hot")
-        marked = ws.write(each.join(hot, "v").groupBy("node").agg(F.collect_list("v").alias("hot")), "marked")
+        hot = ws.write(each.groupBy("v").count().filter(F.col("count") > HOT), "hot")
+        marked = ws.write(each.join(hot, "v").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "v"))), lambda x: x["v"]).alias("hot")), "marked")
         keyed = self.reps.join(marked, "node", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
         cold = F.array_except(low, "hot")
         # a whole small set shares over 80 % of itself with a partner; a sample needs more to be sure
@@ -212,45 +233,66 @@ class NearDuplicates:
         pairs = listed.join(other, "v").filter((F.col("node") < F.col("b")) & near).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"), F.min(F.col("plain") & F.col("plain_b") & (F.least("n", "nb") >= SPARE)).alias("plain"))
         # of SPARE values a pair at the threshold shares one or none with probability 2e-7
         pairs = pairs.filter(~F.col("plain") | (F.col("shared") > 1)).select("a", "b")
-        # long lists: a few leaders each
-        stay = ws.write(keyed.filter("stays").select("node", "n", "sketch", "hot"), "stay")
-        member = stay.select("node", "n", F.size("hot").alias("common"), F.explode("hot").alias("v"))
+        # long lists: a few leaders each, by the share of hot values, by size, and by hashes
+        # a pair that no cold list finds shares only hot values, and at least ``need`` of them; so it
+        # shares one of each partner's rarest hot values but ``need`` - 1
+        need = F.when(F.col("n") <= LISTED, F.ceil(F.col("n") * self.percent / 100)).otherwise(NEED)
+        keyed = keyed.withColumn("lists", (F.size("hot") - need + 1).cast("int")).filter("stays AND lists > 0")
+        stay = ws.write(keyed.select("node", "n", F.size("hot").alias("common"), F.slice("hot", F.lit(1), F.col("lists")).alias("hot")), "stay")
+        member = stay.select("node", "n", "common", F.explode(F.slice("hot", 1, LED)).alias("v"))
         one = F.struct("node", "n")
-        leaders = member.groupBy("v").agg(F.array_distinct(F.array(F.max_by(one, F.struct("common", -F.col("node"))), F.max_by(one, F.struct("n", -F.col("node"))), F.min_by(one, F.struct("n", "node")))).alias("leaders"))
-        star = member.join(leaders.select("v", F.explode("leaders").alias("l")), "v").select("node", "n", F.col("l.node").alias("b"), F.col("l.n").alias("nb"))
+        chosen = [F.max_by(one, F.struct("common", -F.col("node"))), F.max_by(one, F.struct("n", -F.col("node"))), *(F.min_by(one, F.xxhash64("node", F.lit(i))) for i in range(LEADERS))]
+        leaders = member.groupBy("v").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
+        star = member.join(leaders, "v").select("node", "n", F.explode("leaders").alias("l")).select("node", "n", F.col("l.node").alias("b"), F.col("l.n").alias("nb"))
         star = star.filter((F.col("node") != F.col("b")) & near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        links = ws.write(self._checked(pairs.unionByName(star).distinct()), "links")
+        likely = self._likely(pairs.unionByName(star).distinct())
+        sets = self._sets(likely, stay.select(F.col("node").alias("doc_id")))
+        links = ws.write(self._exact(likely, sets), "links")
         if stay.isEmpty():
             return links
-        # what did not join its leader, against all other components of the list
+        # what did not join its list's largest component, against all members of other components
         comp = ws.write(components(ws, links), "first-components").withColumnRenamed("id", "node")
-        placed = ws.write(stay.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        member = placed.withColumn("v", F.explode("hot"))
-        # the component that most of a list's members are in would do as well as any: the smallest of its leaders'
-        led = member.groupBy("v").agg(F.max_by("component", F.struct(F.size("hot"), -F.col("node"))).alias("led"), F.count("*").alias("members"))
-        member = member.join(led, "v").withColumn("rest", F.col("component") != F.col("led"))
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        odd = member.filter("rest").groupBy("v", "block").agg(F.lit(True).alias("odd"))
-        dealt = member.join(odd, ["v", "block"], "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select("v", "lo", "hi", "block", "node", "n", "sketch", "hot", "component", "rest")
-        more = dealt.groupBy("v", "lo", "hi").applyInArrow(_block_pairs(self.percent / 100), "a long, b long")
-        more = ws.write(more.distinct(), "more")
-        return links.unionByName(self._exact(more)) if not more.isEmpty() else links
-
-    def _checked(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that pass the estimate and then the comparison of full sets."""
+        # linked sets differ in size by a fifth at most, so they are in the same or neighbouring bands of size
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / self.percent))).cast("int")
+        placed = ws.write(stay.join(comp, "node", "left").select("node", "hot", band.alias("band"), F.coalesce("component", "node").alias("component")), "placed")
+        member = placed.select("node", "component", "band", F.explode("hot").alias("v"))
+        count = member.groupBy("v", "component").count()
+        led = count.groupBy("v").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("led"), (F.sum("count") - F.max("count")).alias("others")).filter("others > 0").drop("others")
+        member = member.join(led, "v")
+        rest = member.filter("component <> led").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+        size = member.groupBy("v", "band").agg(F.count("*").alias("all")).join(rest.groupBy("v", "band").agg(F.count("*").alias("others")), ["v", "band"])
+        step = 100 / self.percent
+        # as many sets a block as keep its values bounded
+        per_block = F.greatest(F.lit(1), F.floor(BLOCK_VALUES / F.pow(F.lit(step), F.col("band") + 2)))
+        wide = lambda c: F.ceil(F.col(c) / per_block).cast("int")
+        place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        dealt = rest.join(size, ["v", "band"]).select("v", "band", "node", "component", F.lit(True).alias("rest"), place(wide("others"), 0).alias("i"), every(wide("all")).alias("j"))
+        dealt = dealt.unionByName(member.join(size, ["v", "band"]).select("v", "band", "node", "component", F.lit(False).alias("rest"), every(wide("others")).alias("i"), place(wide("all"), 1).alias("j")))
+        dealt = dealt.join(sets.hint("merge"), "node")
+        more = dealt.groupBy("v", "band", "i", "j").applyInArrow(_block_links(self.percent), "a long, b long")
+        return links.unionByName(ws.write(more.distinct(), "more"))
+
+    def _likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sketches allow a link.
+
+        These joins and those of full sets are merge joins at every size, so that a
+        table near the broadcast threshold does not change how the job grows.
+        """
         x = self.reps.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
         y = self.reps.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
-        likely = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "nx", "y", "ny").mapInArrow(_estimate(self.percent / 100), "a long, b long")
-        return self._exact(self.ws.write(likely.distinct(), "likely"))
+        both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "nx", "y", "ny")
+        return self.ws.write(both.mapInArrow(_estimate(self.percent / 100), "a long, b long").distinct(), "likely")
+
+    def _sets(self, pairs: DataFrame, more: DataFrame) -> DataFrame:
+        """Full sets (node, members) of the pairs' texts and of ``more`` (doc_id)."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(more).distinct()
+        return self.ws.write(self.docs.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(self.shingle), "node long, members array<long>").distinct(), "sets")
 
-    def _exact(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = self.ws.write(self.docs.join(wanted, "doc_id").mapInArrow(_sets(self.shingle), "node long, members array<long>").distinct(), "sets")
+    def _exact(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long").distinct()
+        return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_verify(self.percent), "a long, b long").distinct()
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept, one row per row of the input."""
@@ -258,7 +300,7 @@ class NearDuplicates:
         of = of.select(F.col("n").alias("m"), F.col("sig").alias("s"), F.col("sig2").alias("s2"), F.coalesce("component", "node").alias("c"))
         out = self.prints.join(of, (F.col("n") == F.col("m")) & (F.col("sig") == F.col("s")) & (F.col("sig2") == F.col("s2")), "left")
         cid = F.coalesce("c", "doc_id")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
