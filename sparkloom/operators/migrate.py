@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import first_truthy, flatten_items, is_blank, split_keys, strip_u
+from ..functions.text import first_truthy, flatten_items, is_blank, split_keys
 from .cards import COMMA, NAMESPACE, SEMICOLON, SPEC, SPEC_VERSION, STOP
 
 #: The mark of a boundary among the rules, labels of the text, and how many of each part.
