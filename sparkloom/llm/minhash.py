@@ -42,7 +42,7 @@ LISTED = 24  # values looked at for the lists
 SPARE = 12  # values listed where none is hot
 ENOUGH = 14  # other values, of LISTED, that let a class leave the long lists
 HOT = 32  # longest list whose pairs are all made
-BLOCK_VALUES = 1 << 19  # shingles in a block of sets that are compared with another block
+BLOCK_ROWS, BLOCK_VALUES = 1024, 1 << 19  # sets, and shingles of all of them, in a block that is compared with another
 NEED = 8  # values of LISTED that a pair at the threshold shares, but for a probability of 1e-7
 LED, LEADERS = 3, 6  # long lists in which it meets leaders, and leaders by hash
 SLACK = 5.2  # standard errors allowed to estimates
@@ -262,8 +262,8 @@ class NearDuplicates:
         rest = member.filter("component <> led").withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
         size = member.groupBy("v", "band").agg(F.count("*").alias("all")).join(rest.groupBy("v", "band").agg(F.count("*").alias("others")), ["v", "band"])
         step = 100 / self.percent
-        # as many sets a block as keep its values bounded
-        per_block = F.greatest(F.lit(1), F.floor(BLOCK_VALUES / F.pow(F.lit(step), F.col("band") + 2)))
+        # as many sets a block as keep both its rows and its values bounded
+        per_block = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(1), F.floor(BLOCK_VALUES / F.pow(F.lit(step), F.col("band") + 2))))
         wide = lambda c: F.ceil(F.col(c) / per_block).cast("int")
         place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

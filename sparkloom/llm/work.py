@@ -8,7 +8,9 @@ lineage without leaving copies on one machine.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 import weakref
 
@@ -37,6 +39,17 @@ def _delete(jvm, conf, path: str) -> None:
         pass
 
 
+#: Rows of an Arrow batch: the default of 10,000 is large for rows that are whole texts.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of texts, unless the session has its own setting."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 class Workspace:
     """A folder of intermediate tables; removed when the interpreter ends."""
 
@@ -44,6 +57,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._tables: list[str] = []
         self._n = 0
@@ -72,6 +86,13 @@ class Workspace:
         self._tables.append(table)
         return self.spark.table(table)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of steps whose results are written and whose frames are gone."""
+        for _ in range(2):  # the gateway drops what Python dropped a moment later
+            gc.collect()
+            time.sleep(0.5)
+            self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df_path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         _delete(jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), df_path)
