@@ -181,7 +181,8 @@ COUNTED = "level int, bucket int, chunk long, keys binary, counts binary, spectr
 def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Adds up a bucket. With chunk null: its count table and its numbers of types of count 1..TOP + 1, types and tokens.
 
-    Otherwise the answer to a chunk: twice the count, plus 1 for the one chunk that is to add up this n-gram.
+    Otherwise the answer to a chunk: twice the count, plus 1 for a pair that this one of its chunks is to add up,
+    or for a word that a held text has.
     """
     level, bucket = (k.as_py() for k in key)
     rows = sorted(table.to_pylist(), key=lambda r: (r["held"], r["chunk"]))
@@ -191,7 +192,12 @@ def _count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     total = np.bincount(code, count, len(keys)).astype(np.int64)
     first = np.zeros(len(code), dtype=bool)
     first[np.unique(code, return_index=True)[1]] = True
-    answer = (total[code] * 2 + (first & (count > 0))).astype(np.uint64)
+    mark = first & (count > 0)
+    if level == 1:  # whether a held text has the word, so that its back-off weight may be asked for
+        in_held = np.zeros(len(keys), dtype=bool)
+        in_held[code[np.repeat([r["held"] for r in rows], [len(k) for k in asked])]] = True
+        mark = in_held[code]
+    answer = (total[code] * 2 + mark).astype(np.uint64)
     at = np.cumsum([0, *map(len, asked)])
     order = np.argsort(keys)
     order = order[total[order] > 0]
@@ -253,8 +259,9 @@ def _pass(model: Model, buckets: int):
             c = Chunk.load(row)
             told = sorted(answers.to_pylist(), key=lambda r: (r["level"], r["bucket"]))
             one, two = (np.concatenate([unpack(r["counts"], np.uint64) for r in told if r["level"] == level]).astype(np.int64) for level in (1, 2))
-            words, pairs, own = one // 2, two // 2, two % 2 == 1
+            words, pairs = one // 2, two // 2
             _, context, word, _, of = c.pairs()
+            own = (two % 2 == 1) & np.append(one % 2 == 1, True)[context]
             before = np.append(words, model.texts)[context]  # the context's count
             uni = np.log10(model.unigram(words))
             seen = pairs > 0
@@ -277,16 +284,15 @@ def _pass(model: Model, buckets: int):
             else:
                 out.append(("held" if c.held else "train", None, row["chunk"], c.ids, pack(numbers.ravel()), None, None))
             if own.any():
-                # what this chunk adds up: the mass of seen words and their lower-order mass, per context
+                # what this chunk adds up per context: discounted and whole counts, and the lower order's discounted counts
                 k = context[own]
-                mass = np.bincount(k, discounted(pairs[own], model.d2) / before[own], len(c.words) + 1)
-                lower = np.bincount(k, model.unigram(words)[word[own]], len(c.words) + 1)
+                sums = np.stack([np.bincount(k, x, len(c.words) + 1) for x in (discounted(pairs[own], model.d2), pairs[own], discounted(words, model.d1)[word[own]])])
                 some = np.unique(k)
                 hashes = np.append(c.words, START)[some]
                 order = np.argsort(hashes)
                 some, hashes = some[order], hashes[order]
                 at = bucket_bounds(hashes, buckets)
-                out += [("sum", i, row["chunk"], None, pack(np.stack([mass[some[s:e]], lower[some[s:e]]]).ravel()), pack_keys(hashes[s:e]), None) for i, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
+                out += [("sum", i, row["chunk"], None, pack(sums[:, some[s:e]].ravel()), pack_keys(hashes[s:e]), None) for i, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         cols = list(zip(*out, strict=True)) if out else [[]] * 7
         return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["kind", "bucket", "chunk", "ids", "numbers", "keys", "pending"])
@@ -294,23 +300,27 @@ def _pass(model: Model, buckets: int):
     return run
 
 
-def _weights(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """log10 of the back-off weights that chunks ask for in a bucket of contexts."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    asks, sums = [r for r in rows if r["kind"] == "ask"], [r for r in rows if r["kind"] == "sum"]
-    asked = [unpack_keys(r["keys"]) for r in asks]
-    wanted = np.unique(np.concatenate(asked)) if asked else np.empty(0, dtype=np.uint64)
-    mass, lower = np.zeros(len(wanted)), np.zeros(len(wanted))
-    for r in sums if len(wanted) else []:
-        k, m = unpack_keys(r["keys"]), unpack(r["numbers"], np.float64)
-        at = np.searchsorted(wanted, k).clip(max=len(wanted) - 1)
-        hit = wanted[at] == k
-        mass[at[hit]] += m[: len(k)][hit]
-        lower[at[hit]] += m[len(k) :][hit]
-    weight = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - lower, 1e-12))
-    out = [(r["chunk"], key[0].as_py(), pack(weight[np.searchsorted(wanted, k)])) for r, k in zip(asks, asked, strict=True)]
-    cols = list(zip(*out, strict=True)) if out else [[]] * 3
-    return pa.table([pa.array(x, k) for x, k in zip(cols, [pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["chunk", "bucket", "weights"])
+def _weights(tokens: int):
+    """log10 of the back-off weights that chunks ask for in a bucket of contexts; ``tokens``: of the training texts."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        asks, sums = [r for r in rows if r["kind"] == "ask"], [r for r in rows if r["kind"] == "sum"]
+        asked = [unpack_keys(r["keys"]) for r in asks]
+        wanted = np.unique(np.concatenate(asked)) if asked else np.empty(0, dtype=np.uint64)
+        total = np.zeros((3, len(wanted)))
+        for r in sums if len(wanted) else []:
+            k, m = unpack_keys(r["keys"]), unpack(r["numbers"], np.float64).reshape(3, -1)
+            at = np.searchsorted(wanted, k).clip(max=len(wanted) - 1)
+            hit = wanted[at] == k
+            total[:, at[hit]] += m[:, hit]
+        mass, lower = total[0] / np.maximum(total[1], 1), total[2] / max(1, tokens)
+        weight = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - lower, 1e-12))
+        out = [(r["chunk"], key[0].as_py(), pack(weight[np.searchsorted(wanted, k)])) for r, k in zip(asks, asked, strict=True)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table([pa.array(x, k) for x, k in zip(cols, [pa.int64(), pa.int32(), pa.binary()], strict=True)], names=["chunk", "bucket", "weights"])
+
+    return run
 
 
 def _finish(key: tuple[pa.Scalar, ...], waiting: pa.Table, weights: pa.Table) -> pa.Table:
@@ -351,6 +361,7 @@ class Katz:
         chunks = ws.write(docs.select("doc_id", "text", "held").mapInArrow(_cut, CHUNKS), "chunks", "none")
         counted = chunks.mapInArrow(_requests(buckets), "level int, bucket int, chunk long, held boolean, keys binary, counts binary").groupBy("level", "bucket").applyInArrow(_count, COUNTED)
         counted = ws.write(counted, "counted", "none")
+        ws.release()
         #: The model's count tables: level, bucket (range of hashes), keys, counts.
         self.tables = counted.filter("chunk IS NULL").select("level", "bucket", "keys", "counts")
         spectra = counted.filter("chunk IS NULL").groupBy("level").agg(*(F.sum(F.col("spectrum")[i]).alias(f"s{i}") for i in range(TOP + 3)))
@@ -361,7 +372,8 @@ class Katz:
         answers = counted.filter("chunk IS NOT NULL").select("chunk", "level", "bucket", "counts")
         passed = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_pass(model, buckets), PASSED)
         passed = ws.write(passed, "passed", "none")
-        weights = passed.filter("kind IN ('ask', 'sum')").select("kind", "bucket", "chunk", "numbers", "keys").groupBy("bucket").applyInArrow(_weights, "chunk long, bucket int, weights binary")
+        ws.release()
+        weights = passed.filter("kind IN ('ask', 'sum')").select("kind", "bucket", "chunk", "numbers", "keys").groupBy("bucket").applyInArrow(_weights(model.tokens), "chunk long, bucket int, weights binary")
         waiting = passed.filter("kind = 'waiting'").select("chunk", "ids", "numbers", "pending")
         done = waiting.groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(_finish, "ids array<long>, numbers binary").withColumn("held", F.lit(True))
         ready = passed.filter("kind IN ('train', 'held')").select("ids", "numbers", (F.col("kind") == "held").alias("held"))
