@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Text and items are folded to lower case with runs of white space and ASCII
-punctuation as one space. An item of n bytes may be matched with up to
+Text and items are folded to lower case (Unicode case folding) with runs of white
+space, punctuation and ASCII symbols as one space. An item of n bytes may be matched with up to
 k = floor(EDITS * n) edits; by the q-gram lemma such a match shares at least
 n - q + 1 - k * q of the item's q-grams, all within 2k + 1 diagonals (position in
 the text minus position in the item). Hits are counted in bands of 3k + 3
@@ -16,11 +16,15 @@ benchmark takes further passes over the texts, never a larger broadcast.
 Edge cases: null texts and items, and items without a q-gram, match nothing;
 repeated items and repeated documents each give their rows; whole texts are
 searched; ties between alignments go to the earliest end; positions are byte
-offsets in the UTF-8 of the original text.
+offsets in the UTF-8 of the original text, never inside a character that folding
+changed. Edits are counted in bytes of the folded text, so an accented letter
+against a plain one costs up to two.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +39,53 @@ _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
 
-def folded(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes and the original offset of each."""
-    f = _FOLD[buf]
+def _changes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point from 0x80 the number of its replacement (0: none), and the replacements' bytes and lengths."""
+    of, found = np.zeros(0x20000, dtype=np.int32), [b""]
+    for c in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):  # no case or punctuation beyond
+        x = chr(c)
+        y = " " if x.isspace() or unicodedata.category(x)[0] in "PZ" else x.casefold()
+        if y != x:
+            of[c] = len(found)
+            found.append(y.encode("utf-8"))
+    size = np.array([len(y) for y in found])
+    return of, np.array([list(y.ljust(size.max(), b"\0")) for y in found], dtype=np.uint8), size
+
+
+_CHANGE, _NEW, _SIZE = _changes()
+
+
+def folded(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded bytes, and the start and end in the original of what each stands for."""
+    f, at = _FOLD[buf], np.arange(len(buf))
+    to = at + 1
+    lead = np.flatnonzero(buf >= 0xC2)
+    spots, widths, kinds = [], [], []
+    for width, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF5)):
+        p = lead[(buf[lead] >= low) & (buf[lead] < high) & (lead + width <= len(buf))]
+        code, whole = buf[p].astype(np.int64) & (0xFF >> (width + 1)), np.ones(len(p), dtype=bool)
+        for j in range(1, width):
+            code, whole = code << 6 | (buf[p + j] & 0x3F), whole & (buf[p + j] & 0xC0 == 0x80)
+        kind = np.where(whole & (code < len(_CHANGE)), _CHANGE[np.minimum(code, len(_CHANGE) - 1)], 0)
+        spots.append(p[kind > 0])
+        kinds.append(kind[kind > 0])
+        widths.append(np.full(len(spots[-1]), width))
+    p, width, kind = (np.concatenate(x) for x in (spots, widths, kinds))
+    if len(p):
+        times = np.ones(len(buf), dtype=np.int64)
+        for j in range(1, 4):
+            times[p[width > j] + j] = 0
+        times[p] = _SIZE[kind]
+        put = np.cumsum(times)[p] - times[p]
+        to[p] = p + width
+        f, at, to = np.repeat(f, times), np.repeat(at, times), np.repeat(to, times)
+        for j in range(_NEW.shape[1]):
+            more = _SIZE[kind] > j
+            f[put[more] + j] = _NEW[kind[more], j]
     keep = np.ones(len(f), dtype=bool)
     blank = f == 32
     keep[1:] = ~(blank[1:] & blank[:-1])
-    at = np.flatnonzero(keep)
-    return f[at], at
+    return f[keep], at[keep], to[keep]
 
 
 def grams(f: np.ndarray) -> np.ndarray:
@@ -95,7 +138,7 @@ class Items:
         """(text, item, start, end, edits) of every match in the texts ``buf[offs[i]:offs[i + 1]]``."""
         if not self.ids:
             return []
-        f, at = folded(buf)
+        f, at, to = folded(buf)
         bounds = np.searchsorted(at, offs)
         g = grams(f)
         p = np.flatnonzero(self.maybe[self._slot(g)])
@@ -143,7 +186,7 @@ class Items:
                 clash = [x for x in have if a < x[1] and x[0] < z]
                 if all(e < x[2] for x in clash):
                     out[d, i] = [x for x in have if x not in clash] + [(a, z, e)]
-        return [(d, i, int(at[a]), int(at[z - 1]) + 1, e) for (d, i), found in sorted(out.items()) for a, z, e in sorted(found)]
+        return [(d, i, int(at[a]), int(to[z - 1]), e) for (d, i), found in sorted(out.items()) for a, z, e in sorted(found)]
 
 
 def align(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 
 import duckdb
@@ -167,6 +168,24 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert decontam.without_contaminated(spark, docs, bench).count() == 0
 
 
+def test_decontamination_folds_beyond_ascii(spark):
+    item = "Où l'été s'achève — près de la forêt dévastée où les élèves « fêtés » étaient déjà âgés, à côté d'une île ; Straße Ἀθῆναι Москва"
+    shouted = item.upper().replace("—", "…").replace(" ;", "\u00a0\u3000;").replace("«", "“").replace("»", "”")
+    rows = [(1, "ÀÉ " + shouted + " ÉÀ"), (2, shouted), (3, item), (4, "É " * 200), (5, shouted[: len(shouted) // 2])]
+    docs = spark.createDataFrame(rows, DOCS)
+    bench = spark.createDataFrame([(1, item), (2, "")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(spark, docs, bench).collect()}
+    assert got.keys() == {1, 2, 3} and all(r.edits == 0 for r in got.values())
+    for d in got:
+        assert dict(rows)[d].encode()[got[d].start : got[d].end].decode() == (item if d == 3 else shouted)
+    assert sorted(r.doc_id for r in decontam.without_contaminated(spark, docs, bench).collect()) == [4, 5]
+    for x in ("", "É", "ŉ", "x—", "İß", "\U00010400\U0001f600ab", item, shouted):
+        f, at, to = decontam.folded(np.frombuffer(x.encode(), dtype=np.uint8))
+        assert bytes(f).decode().strip() == " ".join("".join(c if c.isalnum() or ord(c) > 127 and unicodedata.category(c)[0] not in "PZ" else " " for c in x).casefold().split())
+        assert (at < to).all() and (np.diff(at) >= 0).all() and len(f) == len(at) == len(to)
+    assert len(decontam.folded(np.array([0xC3, 0x41, 0xFF, 0xE2, 0x80], dtype=np.uint8))[0]) == 5  # not UTF-8
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 97, 1000):
         got = [pii.permute(x, size, b"k", "t") for x in range(size)]
