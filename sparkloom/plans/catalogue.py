@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigram_jaccard, clean_text, entity_text, extract_json, flatten_items, normalize, split_keys, split_words
 from ..functions.timestamps import parse_ts
-from ..operators import cards, chunking, evidence, extract, memory, merge, migrate, worldbook
+from ..operators import cards, chunking, evidence, extract, memory, merge, migrate, similarity, worldbook
 from ..sources import readers
 from . import chat, novel, oracles
 from .catalogue_values import EXTENSIONS, LAYER_OF, NOW
@@ -130,6 +130,12 @@ def bigram_jaccard_query(spark, sf):
     return c.withColumn("item_id", (F.col("conv_id") + F.col("turn")) % 40).join(b, "item_id").select("conv_id", "turn", "item_id", F.round(bigram_jaccard("query", "text"), 6).alias("jaccard"))
 
 
+def bigram_jaccard_whole(spark, sf):
+    """Every conversation row against every item."""
+    out = similarity.jaccard_pairs(table(spark, sf, "conversations").select("conv_id", "turn", "text"), table(spark, sf, "benchmark"), "item_id")
+    return out.withColumn("jaccard", F.round("jaccard", 6))
+
+
 def merge_union(spark, sf):
     return merge.ordered_union(lines(spark, sf), ["source"]).select("source", "block_id", "pos", "item")
 
@@ -387,7 +393,7 @@ QUERIES = {
     "quote_attribution": quote_attribution, "worldbook_entries": worldbook_entries, "card_fields": card_fields, "card_roundtrip": card_roundtrip, "memory_upsert": memory_upsert, "memory_edit_delete": memory_edit_delete,
     "memory_decay": memory_decay, "memory_recall_topk": memory_recall_topk, "memory_isolation": memory_isolation, "memory_count": memory_count, "recall_embedding": recall_embedding, "html_text": html_text,
     "entity_text": entity_text_query, "flatten_items": flatten_query, "split_keys": split_keys_query, "migrate_lore": migrate_lore, "ledger_latest": ledger_latest, "ledger_stats": ledger_stats, "lore_words": lore_words,
-    "distill_resume": distill_resume, "novel_distill": novel_distill,
+    "distill_resume": distill_resume, "novel_distill": novel_distill, "bigram_jaccard_whole": bigram_jaccard_whole,
 }
 
 
