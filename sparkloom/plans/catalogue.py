@@ -210,6 +210,19 @@ def quote_attribution(spark, sf):
     return mine.select(*cols, F.lit(True).alias("attributed")).unionByName(pending.select(*cols, F.lit(False).alias("attributed")))
 
 
+def quote_attribution_whole(spark, sf):
+    """As quote_attribution, with every line of a block as its speaker's quote."""
+    people = merge.merge_characters(names(spark, sf), ["source"])
+    head = merge.first_by(names(spark, sf).select("source", "block_id", "pos", "name"), ["source", "block_id"], ["pos"])
+    ll = lines(spark, sf)
+    told = ll.select("source", "block_id").distinct().join(head.select("source", "block_id", "name"), ["source", "block_id"], "left")
+    told = told.select("source", "block_id", F.coalesce(F.lead("name").over(W.partitionBy("source").orderBy("block_id")), F.lit("")).alias("speaker"))
+    said = ll.withColumnRenamed("item", "quote").join(told, ["source", "block_id"])
+    mine, pending = merge.attribute_quotes(said.select("source", "block_id", "pos", "quote", "speaker"), people, ["source"])
+    cols = ["source", "block_id", "pos", "quote", "speaker"]
+    return mine.select(*cols, F.lit(True).alias("attributed")).unionByName(pending.select(*cols, F.lit(False).alias("attributed")))
+
+
 def worldbook_entries(spark, sf):
     ll = lines(spark, sf)
     lore, _ = merge.merge_lore(_lore(spark, sf).filter("pos = 0"), ["source"])
@@ -218,6 +231,13 @@ def worldbook_entries(spark, sf):
     return w.select("source", "id", F.array_join("keys", "|").alias("keys"), "content", "comment", "insertion_order")
 
 
+def worldbook_entries_whole(spark, sf):
+    """As worldbook_entries, with every line as lore and as an event, and all its words as keys."""
+    lore, _ = merge.merge_lore(_lore(spark, sf).withColumn("keys", F.col("content")), ["source"])
+    w = worldbook.worldbook(lore, merge.ordered_union(lines(spark, sf), ["source"]), _tops(spark, sf), "source")
+    return w.select("source", "id", F.array_join("keys", "|").alias("keys"), "content", "comment", "insertion_order")
+
+
 def _profiles(spark, sf):
     top = _tops(spark, sf, 15).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("traits"))
     p = top.select(
@@ -393,7 +413,7 @@ QUERIES = {
     "quote_attribution": quote_attribution, "worldbook_entries": worldbook_entries, "card_fields": card_fields, "card_roundtrip": card_roundtrip, "memory_upsert": memory_upsert, "memory_edit_delete": memory_edit_delete,
     "memory_decay": memory_decay, "memory_recall_topk": memory_recall_topk, "memory_isolation": memory_isolation, "memory_count": memory_count, "recall_embedding": recall_embedding, "html_text": html_text,
     "entity_text": entity_text_query, "flatten_items": flatten_query, "split_keys": split_keys_query, "migrate_lore": migrate_lore, "ledger_latest": ledger_latest, "ledger_stats": ledger_stats, "lore_words": lore_words,
-    "distill_resume": distill_resume, "novel_distill": novel_distill, "bigram_jaccard_whole": bigram_jaccard_whole,
+    "distill_resume": distill_resume, "novel_distill": novel_distill, "bigram_jaccard_whole": bigram_jaccard_whole, "quote_attribution_whole": quote_attribution_whole, "worldbook_entries_whole": worldbook_entries_whole,
 }
 
 

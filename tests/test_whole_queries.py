@@ -34,3 +34,50 @@ def test_jaccard_of_every_pair(spark, tmp_path, monkeypatch, limit):
 
     want = [(c, t, i, share(q, x)) for (c, t, x), (i, q) in itertools.product(texts, items)]
     assert listed(catalogue.queries()["bigram_jaccard_whole"](spark, str(tmp_path)).select("conv_id", "turn", "item_id", "jaccard")) == sorted(want, key=repr)
+
+
+BOOK = [
+    (1, "The gate is old\nAnna saw the gate\nBruno ran off\nthe gate is OLD!", "en", "a"),
+    (2, "Anna sat here\nBruno ran off\nThe gate is gone", "en", "a"),
+    (3, "Bruno spoke\n\n  a third line \nfourth line of it", "fr", "a"),
+    (4, "Bruno again\na third line", "fr", "a"),
+    (5, "single line", "fr", "b"),
+    (6, None, "fr", "b"),
+]
+DOCUMENTS = "doc_id long, text string, lang string, source string"
+
+
+def book_lines():
+    return [(s, d, i, x) for d, t, _, s in BOOK for i, x in enumerate(y.strip() for y in (t or "").split("\n") if y.strip())]
+
+
+def norm(x):
+    return "".join(c for c in x.lower() if c.isalnum())
+
+
+def test_every_line_is_a_quote(spark, tmp_path):
+    stored(spark, tmp_path, "documents", BOOK, DOCUMENTS)
+    got = listed(catalogue.queries()["quote_attribution_whole"](spark, str(tmp_path)).select("source", "block_id", "pos", "quote", "speaker", "attributed"))
+    # the next block's first name; Anna and Bruno are known from block 1 on, The is too
+    speaker, want, seen = {1: "Anna", 2: "Bruno", 3: "Bruno", 4: None, 5: None}, [], set()
+    for s, d, i, x in book_lines():
+        who = speaker[d]
+        if who is None or (who, x) not in seen:
+            want.append((s, d, i, x, who, who is not None))
+        seen.add((who, x))
+    assert got == sorted(want, key=repr) and {x[2] for x in got} == {0, 1, 2, 3}
+
+
+def test_every_line_is_lore_and_an_event(spark, tmp_path):
+    stored(spark, tmp_path, "documents", BOOK, DOCUMENTS)
+    rows = catalogue.queries()["worldbook_entries_whole"](spark, str(tmp_path)).collect()
+    for source in "ab":
+        lore, events = {}, {}
+        for s, _, _, x in book_lines():
+            if s == source:
+                lore.setdefault(norm(x.split(" ")[0]), x)
+                events.setdefault(norm(x), x)
+        want = [f"[设定] {x.split(' ')[0]}：{x}" for x in lore.values()] + [f"[事件] {x}" for x in events.values()]
+        mine = sorted((r for r in rows if r.source == source), key=lambda r: r.id)
+        assert [r.content for r in mine] == want
+        assert [r["keys"].split("|") for r in mine[: len(lore)]] == [[x.split(" ")[0], *x.split()] for x in lore.values()]
