@@ -53,6 +53,11 @@ def names(spark, sf) -> DataFrame:
     return d.select("source", "block_id", F.posexplode("n").alias("pos", "name"), identity.alias("identity"), F.lit("").alias("speaking_style"))
 
 
+def start(c: str, n: int | None, at: int = 1):
+    """``n`` characters of a column from place ``at``; all of it if ``n`` is None."""
+    return F.col(c) if n is None else F.substring(c, at, n)
+
+
 def msg_direction(spark, sf):
     m = messages(spark, sf).filter(~F.coalesce(F.trim("content") == "", F.lit(True)))
     return m.select("conv_id", "turn", F.col("sender_name").alias("sender"), "direction", F.length("content").cast("bigint").alias("n_chars"))
@@ -140,13 +145,13 @@ def merge_union(spark, sf):
     return merge.ordered_union(lines(spark, sf), ["source"]).select("source", "block_id", "pos", "item")
 
 
-def scene_first_wins(spark, sf):
-    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("block_id"), F.lit(0).alias("pos"), F.col("lang").alias("scene"), F.substring("text", 1, 20).alias("tone"))
+def scene_first_wins(spark, sf, chars=20):
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("block_id"), F.lit(0).alias("pos"), F.col("lang").alias("scene"), start("text", chars).alias("tone"))
     return merge.scene_tones(d, ["source"]).select("source", "scene", "block_id", "tone")
 
 
-def _lore(spark, sf):
-    return lines(spark, sf).select("source", "block_id", "pos", F.substring_index("item", " ", 1).alias("title"), F.col("item").alias("content"), F.substring("item", 1, 30).alias("keys"))
+def _lore(spark, sf, chars=30):
+    return lines(spark, sf).select("source", "block_id", "pos", F.substring_index("item", " ", 1).alias("title"), F.col("item").alias("content"), start("item", chars).alias("keys"))
 
 
 def lore_conflict(spark, sf):
@@ -233,7 +238,7 @@ def worldbook_entries(spark, sf):
 
 def worldbook_entries_whole(spark, sf):
     """As worldbook_entries, with every line as lore and as an event, and all its words as keys."""
-    lore, _ = merge.merge_lore(_lore(spark, sf).withColumn("keys", F.col("content")), ["source"])
+    lore, _ = merge.merge_lore(_lore(spark, sf, None), ["source"])
     w = worldbook.worldbook(lore, merge.ordered_union(lines(spark, sf), ["source"]), _tops(spark, sf), "source")
     return w.select("source", "id", F.array_join("keys", "|").alias("keys"), "content", "comment", "insertion_order")
 
@@ -322,20 +327,20 @@ def entity_text_query(spark, sf):
     return c.select("conv_id", "turn", entity_text(F.parse_json(raw)).alias("content"))
 
 
-def flatten_query(spark, sf):
+def flatten_query(spark, sf, chars=30):
     c = table(spark, sf, "conversations")
-    raw = F.concat(F.lit("["), F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1)).substr(F.lit(1), F.length(F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1))) - 1), F.lit(',"  ",'), F.to_json(F.struct(F.substring("text", 1, 30).alias("content"))), F.lit(",7]"))
+    raw = F.concat(F.lit("["), F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1)).substr(F.lit(1), F.length(F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1))) - 1), F.lit(',"  ",'), F.to_json(F.struct(start("text", chars).alias("content"))), F.lit(",7]"))
     return c.select("conv_id", "turn", F.array_join(flatten_items(F.parse_json(raw)), "|").alias("items"))
 
 
-def split_keys_query(spark, sf):
+def split_keys_query(spark, sf, chars=40, said=20):
     b = table(spark, sf, "benchmark")
-    return b.select("item_id", F.array_join(split_keys(F.substring("text", 1, 40), F.concat(F.lit("她： "), F.substring("text", 11, 20))), "|").alias("keys"))
+    return b.select("item_id", F.array_join(split_keys(start("text", chars), F.concat(F.lit("她： "), start("text", said, 11))), "|").alias("keys"))
 
 
-def migrate_lore(spark, sf):
+def migrate_lore(spark, sf, chars=50):
     d = table(spark, sf, "documents")
-    lore = d.select("source", F.col("lang").alias("category"), F.substring_index("text", " ", 2).alias("title"), F.substring("text", 1, 50).alias("content"), F.when(F.col("doc_id") % 3 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"importance": '), ((F.col("doc_id") % 10) / 10).cast("string"), F.lit("}"))).alias("payload"), (F.col("doc_id") % 2).alias("enabled"), F.col("doc_id").alias("updated_at"))
+    lore = d.select("source", F.col("lang").alias("category"), F.substring_index("text", " ", 2).alias("title"), start("text", chars).alias("content"), F.when(F.col("doc_id") % 3 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"importance": '), ((F.col("doc_id") % 10) / 10).cast("string"), F.lit("}"))).alias("payload"), (F.col("doc_id") % 2).alias("enabled"), F.col("doc_id").alias("updated_at"))
     return migrate.lore_entries(lore, ("source",)).select("source", "i", "content", "comment", "insertion_order", "category")
 
 
@@ -400,9 +405,29 @@ def novel_distill(spark, sf):
     return novel.merge(ledger, pieces, "all").report.drop("failed_blocks")
 
 
-def lore_words(spark, sf):
+def lore_words(spark, sf, chars=30):
     """Trigger words of lore keys: words between white space."""
-    return _lore(spark, sf).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
+    return _lore(spark, sf, chars).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
+
+
+def scene_first_wins_whole(spark, sf):
+    return scene_first_wins(spark, sf, None)
+
+
+def lore_words_whole(spark, sf):
+    return lore_words(spark, sf, None)
+
+
+def flatten_whole(spark, sf):
+    return flatten_query(spark, sf, None)
+
+
+def split_keys_whole(spark, sf):
+    return split_keys_query(spark, sf, None, None)
+
+
+def migrate_lore_whole(spark, sf):
+    return migrate_lore(spark, sf, None)
 
 
 QUERIES = {
@@ -414,6 +439,7 @@ QUERIES = {
     "memory_decay": memory_decay, "memory_recall_topk": memory_recall_topk, "memory_isolation": memory_isolation, "memory_count": memory_count, "recall_embedding": recall_embedding, "html_text": html_text,
     "entity_text": entity_text_query, "flatten_items": flatten_query, "split_keys": split_keys_query, "migrate_lore": migrate_lore, "ledger_latest": ledger_latest, "ledger_stats": ledger_stats, "lore_words": lore_words,
     "distill_resume": distill_resume, "novel_distill": novel_distill, "bigram_jaccard_whole": bigram_jaccard_whole, "quote_attribution_whole": quote_attribution_whole, "worldbook_entries_whole": worldbook_entries_whole,
+    "scene_first_wins_whole": scene_first_wins_whole, "lore_words_whole": lore_words_whole, "flatten_items_whole": flatten_whole, "split_keys_whole": split_keys_whole, "migrate_lore_whole": migrate_lore_whole,
 }
 
 

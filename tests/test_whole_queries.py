@@ -81,3 +81,16 @@ def test_every_line_is_lore_and_an_event(spark, tmp_path):
         mine = sorted((r for r in rows if r.source == source), key=lambda r: r.id)
         assert [r.content for r in mine] == want
         assert [r["keys"].split("|") for r in mine[: len(lore)]] == [[x.split(" ")[0], *x.split()] for x in lore.values()]
+
+
+def test_texts_are_taken_whole(spark, tmp_path):
+    long = [f"one two {d} " + " ".join(f"w{i}" for i in range(30)) + f" end{d}" for d in range(3)]
+    stored(spark, tmp_path, "documents", [(d, t + "\n" + t[::-1], "en", "a") for d, t in enumerate(long)], DOCUMENTS)
+    stored(spark, tmp_path, "conversations", [(1, d, t, "user") for d, t in enumerate(long)], "conv_id long, turn int, text string, role string")
+    stored(spark, tmp_path, "benchmark", [(1, "a-word-of-over-twelve-characters " * 3 + "late words"), (2, "ab: cd")], "item_id long, text string")
+    run = lambda name, *cols: listed(catalogue.queries()[name](spark, str(tmp_path)).select(*cols))
+    assert run("scene_first_wins_whole", "scene", "tone") == [("en", long[0] + "\n" + long[0][::-1])]
+    assert run("lore_words_whole", "block_id", "pos", "n_keys") == [(d, i, 34) for d in range(3) for i in range(2)]
+    assert run("flatten_items_whole", "turn", "items") == [(d, "user|" + t) for d, t in enumerate(long)]
+    assert run("split_keys_whole", "item_id", "keys") == [(1, "late|words|awordofov"), (2, "ab:|cd|abcd")]
+    assert run("migrate_lore_whole", "i", "content") == [(0, f"[en] one two：{long[1]}\n{long[1][::-1]}")]
