@@ -24,7 +24,8 @@ is the same as one pass over everything.
 
 Edge cases: a null text has no words; a null doc_id is neither an earlier nor a
 later document, so its text is kept whole and not indexed; rows that repeat a
-doc_id are judged as one document and returned one by one; fewer than ``width``
+doc_id are one document, whose own windows do not remove each other, and are
+judged and returned one by one; fewer than ``width``
 words are kept whole; equal windows within one document do not remove each
 other; an empty batch makes an empty run.
 """
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import Texts, U, Words, distinct_in_doc, lists, mix, pieces, rolling, segment_hash, signed, slide
+from .text import BASE, Texts, U, Words, distinct_in_doc, lists, mix, pieces, rolling, segment_hash, signed, slide
 from .work import Workspace
 
 WIDTH, GRAM = 50, 12
@@ -74,7 +75,7 @@ def _prints(width: int, gram: int):
             for b in pieces(whole, "text"):
                 w = Words(Texts(b.column("text")))
                 doc, value = anchors(w, width, gram)
-                whole1, whole2 = (segment_hash(w.hash, w.first[:-1], w.first[1:], base) for base in (SECOND, 0x9E3779B97F4A7C15))
+                whole1, whole2 = (segment_hash(w.hash, w.first[:-1], w.first[1:], base) for base in (SECOND, BASE))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.count.astype(np.int64)), signed(whole1), signed(whole2), lists(value, np.bincount(doc, minlength=b.num_rows))], names=["doc_id", "n_words", "sig", "sig2", "anchors"])
 
     return run
@@ -126,7 +127,12 @@ def _kept(width: int):
                 np.add.at(cover, at, 1)
                 np.subtract.at(cover, at + width, 1)
                 gone = np.cumsum(cover[:-1]) > 0
-                copy = np.asarray(pa.compute.fill_null(b.column("copy"), False)).astype(bool)
+                copy = np.zeros(t.n, dtype=bool)
+                some = np.flatnonzero(np.asarray(pa.compute.is_valid(b.column("copy"))))
+                ends = w.first[:-1][some], w.first[1:][some]
+                sig, sig2 = (segment_hash(w.hash, *ends, base).view(np.int64).tolist() for base in (SECOND, BASE))
+                for i, *own, known in zip(some.tolist(), sig, sig2, w.count[some].tolist(), b.column("copy").take(pa.array(some)).to_pylist(), strict=True):
+                    copy[i] = dict(zip(("sig", "sig2", "n_words"), own, strict=True)) in known
                 gone |= copy[w.doc]
                 lost = np.bincount(w.doc[gone], minlength=t.n)
                 text, cut = [], []
@@ -144,6 +150,7 @@ def _kept(width: int):
     return run
 
 
+COPY = "array<struct<sig:bigint,sig2:bigint,n_words:bigint>>"
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
 
 
@@ -173,7 +180,8 @@ class SubstringIndex:
         copies = self._put(first, "copies", "sig")
         keyed = prints.join(copies.hint("merge"), ["sig", "sig2", "n_words"])
         alone = ws.write(keyed.filter("first = doc_id").select("doc_id", "anchors"), "alone")
-        again = keyed.filter("first < doc_id").select("doc_id", F.lit(True).alias("copy")).distinct()
+        # of rows that share a doc_id only those with a copied word sequence are copies
+        again = keyed.filter("first < doc_id").select("doc_id", F.struct("sig", "sig2", "n_words").alias("c")).groupBy("doc_id").agg(F.collect_set("c").alias("copy"))
         # anchors of this batch against each run's
         each = alone.select("doc_id", F.explode("anchors").alias("h"))
         state = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("old", F.lit(None).cast("long")).withColumn("was_live", F.lit(False))
@@ -206,7 +214,7 @@ class SubstringIndex:
         self.runs.append({"docs": docs, "copies": copies, "anchors": marks, "windows": windows})
         if len(self.runs) > self.fanout:
             self.compact()
-        rest = batch.filter("doc_id IS NULL").withColumns({"removed": F.lit(None).cast("array<long>"), "copy": F.lit(False)})
+        rest = batch.filter("doc_id IS NULL").withColumns({"removed": F.lit(None).cast("array<long>"), "copy": F.lit(None).cast(COPY)})
         judged = docs.join(removed, "doc_id", "left").select("doc_id", "text", "removed", "copy").unionByName(rest)
         return judged.mapInArrow(_kept(width), RESULT)
 

@@ -82,6 +82,15 @@ def test_substring_runs_are_merged(spark):
     assert sorted(out, key=repr) == brute_substrings(rows, 50)
 
 
+def test_a_copy_under_a_repeated_id_leaves_the_other_row_alone(spark):
+    rng = random.Random(2)
+    long, other = " ".join(words(rng, 80)), " ".join(words(rng, 70))
+    rows = [(1, long), (2, long), (2, other)]
+    for batches in (1, 2):
+        got = dedup(spark, spark.createDataFrame(rows, DOCS), batches)
+        assert results(got) == brute_substrings(rows, 50)
+
+
 def test_substrings_of_nothing(spark):
     assert dedup(spark, spark.createDataFrame([], DOCS)).count() == 0
 
