@@ -19,8 +19,9 @@ match must agree in the second hash as well as the first (verification).
 ``compact`` merges runs when there are more than ``fanout``.
 
 A window is removed where an earlier document has it: one of an earlier batch,
-or one of the same batch with a smaller doc_id. With batches in doc_id order this
-is the same as one pass over everything.
+or one of the same batch with a smaller doc_id. A document that
+comes again under its id in a later batch does not remove itself. With batches in
+doc_id order this is the same as one pass over everything.
 
 Edge cases: a null text has no words; a null doc_id is neither an earlier nor a
 later document, so its text is kept whole and not indexed; rows that repeat a
@@ -150,6 +151,8 @@ def _kept(width: int):
     return run
 
 
+#: ``first`` is another document of an earlier batch, or one of the same batch with a smaller doc_id.
+EARLIER = "first < doc_id OR (known AND first > doc_id)"
 COPY = "array<struct<sig:bigint,sig2:bigint,n_words:bigint>>"
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
 
@@ -173,21 +176,21 @@ class SubstringIndex:
         docs = self._put(batch.filter("doc_id IS NOT NULL"), "docs", "doc_id")
         prints = ws.write(docs.mapInArrow(_prints(width, gram), "doc_id long, n_words long, sig long, sig2 long, anchors array<long>"), "prints").filter(F.col("n_words") >= width)
         # whole copies: only the first document of equal word sequences goes on
-        first = prints.groupBy("sig", "sig2", "n_words").agg(F.min("doc_id").alias("first"))
+        first = prints.groupBy("sig", "sig2", "n_words").agg(F.min("doc_id").alias("first")).withColumn("old", F.lit(None).cast("long"))
         for run in self.runs:
             old = run["copies"].select(F.col("sig").alias("s"), F.col("sig2").alias("s2"), F.col("n_words").alias("n"), F.col("first").alias("f"))
-            first = first.join(old, (F.col("sig") == F.col("s")) & F.col("sig2").bitwiseXOR(F.col("s2")).isin(0) & ~(F.col("n_words") > F.col("n")) & ~(F.col("n_words") < F.col("n")), "left").select("sig", "sig2", "n_words", F.least("first", "f").alias("first"))
-        copies = self._put(first, "copies", "sig")
+            first = first.join(old, (F.col("sig") == F.col("s")) & F.col("sig2").bitwiseXOR(F.col("s2")).isin(0) & ~(F.col("n_words") > F.col("n")) & ~(F.col("n_words") < F.col("n")), "left").select("sig", "sig2", "n_words", "first", F.coalesce("old", "f").alias("old"))
+        copies = self._put(first.select("sig", "sig2", "n_words", F.coalesce("old", "first").alias("first"), F.col("old").isNotNull().alias("known")), "copies", "sig")
         keyed = prints.join(copies.hint("merge"), ["sig", "sig2", "n_words"])
         alone = ws.write(keyed.filter("first = doc_id").select("doc_id", "anchors"), "alone")
         # of rows that share a doc_id only those with a copied word sequence are copies
-        again = keyed.filter("first < doc_id").select("doc_id", F.struct("sig", "sig2", "n_words").alias("c")).groupBy("doc_id").agg(F.collect_set("c").alias("copy"))
+        again = keyed.filter(EARLIER).select("doc_id", F.struct("sig", "sig2", "n_words").alias("c")).groupBy("doc_id").agg(F.collect_set("c").alias("copy"))
         # anchors of this batch against each run's
         each = alone.select("doc_id", F.explode("anchors").alias("h"))
         state = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("old", F.lit(None).cast("long")).withColumn("was_live", F.lit(False))
         for run in self.runs:
             old = run["anchors"].select("h", F.col("first").alias("f"), F.col("live").alias("l"))
-            state = state.join(old, "h", "left").select("h", "first", "last", F.least("old", "f").alias("old"), (F.col("was_live") | F.coalesce("l", F.lit(False))).alias("was_live"))
+            state = state.join(old, "h", "left").select("h", "first", "last", F.coalesce("old", "f").alias("old"), (F.col("was_live") | F.coalesce("l", F.lit(False))).alias("was_live"))
         known = F.col("old").isNotNull()
         state = state.select("h", F.coalesce("old", "first").alias("first"), (known | (F.col("first") < F.col("last"))).alias("live"), (known & ~F.col("was_live")).alias("wake"))
         marks = self._put(state, "anchors", "h")
@@ -200,16 +203,17 @@ class SubstringIndex:
             for run in self.runs:
                 old = run["docs"].join(woken, "doc_id").mapInArrow(_windows(width, gram), "h1 long, h2 int, doc_id long")
                 found = found.unionByName(old.withColumn("new", F.lit(None).cast("long")))
-        found = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("new").alias("last"))
+        found = found.groupBy("h1", "h2").agg(F.min("new").alias("first"), F.max("new").alias("last"), F.min(F.when(F.col("new").isNull(), F.col("doc_id"))).alias("old"))
         for run in self.runs:
             old = run["windows"].select("h1", F.col("h2").alias("check"), F.col("first").alias("f"))
-            found = found.join(old, (found["h1"] == old["h1"]) & F.col("h2").bitwiseXOR(F.col("check")).isin(0), "left").select(found["h1"], "h2", F.least("first", "f").alias("first"), "last")
+            found = found.join(old, (found["h1"] == old["h1"]) & F.col("h2").bitwiseXOR(F.col("check")).isin(0), "left").select(found["h1"], "h2", "first", "last", F.coalesce("old", "f").alias("old"))
+        found = found.select("h1", "h2", F.coalesce("old", "first").alias("first"), "last", F.col("old").isNotNull().alias("known"))
         windows = self._put(found, "windows", "h1")
         # read as plain files here, so that a window that very many documents share can be split
         path = windows.inputFiles()
         doubled = self.spark.read.schema(windows.schema).parquet(*path) if path else windows
-        doubled = doubled.filter("first < last").select("h1", "h2", "first")
-        removed = own.join(doubled, ["h1", "h2"]).filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("h1").alias("removed"))
+        doubled = doubled.filter("last IS NOT NULL AND (known OR first < last)").select("h1", "h2", "first", "known")
+        removed = own.join(doubled, ["h1", "h2"]).filter(EARLIER).groupBy("doc_id").agg(F.collect_set("h1").alias("removed"))
         removed = ws.write(removed.join(again, "doc_id", "full"), "removed")
         self.runs.append({"docs": docs, "copies": copies, "anchors": marks, "windows": windows})
         if len(self.runs) > self.fanout:
@@ -222,9 +226,9 @@ class SubstringIndex:
         """Merges all runs into one; old runs stay on disk while results read them."""
         merged = {
             "docs": (None, "doc_id"),
-            "copies": (lambda d: d.groupBy("sig", "sig2", "n_words").agg(F.min("first").alias("first")), "sig"),
+            "copies": (lambda d: d.groupBy("sig", "sig2", "n_words").agg(F.min("first").alias("first")).withColumn("known", F.lit(False)), "sig"),
             "anchors": (lambda d: d.groupBy("h").agg(F.min("first").alias("first"), F.max("live").alias("live")).withColumn("wake", F.lit(False)), "h"),
-            "windows": (lambda d: d.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last")), "h1"),
+            "windows": (lambda d: d.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("known", F.lit(False)), "h1"),
         }
         new = {}
         for name, (fold, key) in merged.items():

@@ -91,6 +91,15 @@ def test_a_copy_under_a_repeated_id_leaves_the_other_row_alone(spark):
         assert results(got) == brute_substrings(rows, 50)
 
 
+def test_earlier_batches_come_first_whatever_their_ids(spark):
+    rng = random.Random(3)
+    a, b = words(rng, 200), words(rng, 90)
+    rows = [[(100, " ".join(a))], [(50, " ".join(a)), (60, " ".join(b + a[20:90])), (100, " ".join(a))], [(10, " ".join(b)), (70, " ".join(words(rng, 80)))], [(1, " ".join(b[:70])), (2, " ".join(a))]]
+    index = SubstringIndex(spark, fanout=2, buckets=3)
+    got = [{r.doc_id: r.n_removed for r in index.add(spark.createDataFrame(x, DOCS)).collect()} for x in rows]
+    assert got == [{100: 0}, {50: 200, 60: 70, 100: 0}, {10: 90, 70: 0}, {1: 70, 2: 200}]
+
+
 def test_substrings_of_nothing(spark):
     assert dedup(spark, spark.createDataFrame([], DOCS)).count() == 0
 
