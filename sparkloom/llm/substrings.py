@@ -3,20 +3,25 @@
 The index is a list of immutable runs. A run holds, hashed and sorted by key so
 that later batches merge-join with it without a shuffle of the run:
 
-- ``docs``: the documents of its batch, by doc_id;
 - ``copies``: the first document of each whole word sequence;
 - ``anchors``: of every window of ``width`` words the smallest hash of ``gram``
   consecutive words (winnowing), with the first document that has it and whether
   it is live, that is known from two documents;
-- ``windows``: for windows whose anchor is live, 64 + 32 bits of hash and the
-  first document that has the window.
+- ``windows``: for windows whose anchor is live, two 64-bit hashes and the first
+  document that has the window.
+
+Beside the runs each batch's texts are stored once, as they came, and never rewritten.
 
 Two equal windows have equal anchors, so windows whose anchor occurs in one
 document only cannot repeat and are never written: the index holds about one
 anchor per 20 words, and windows only where text repeats. When a batch meets an
 anchor that so far one old document has, that document's windows are added. A
-match must agree in the second hash as well as the first (verification).
-``compact`` merges runs when there are more than ``fanout``.
+match must agree in the second hash as well as the first (verification); the two
+are made from independent hashes of the words.
+
+Runs have levels: ``fanout`` runs of one level are merged into one of the next
+before another batch comes, so a batch meets at most (fanout - 1) * log(batches)
+runs, and each entry is rewritten at most log(batches) times.
 
 A window is removed where an earlier document has it: one of an earlier batch,
 or one of the same batch with a smaller doc_id. A document that
@@ -28,7 +33,9 @@ later document, so its text is kept whole and not indexed; rows that repeat a
 doc_id are one document, whose own windows do not remove each other, and are
 judged and returned one by one; fewer than ``width``
 words are kept whole; equal windows within one document do not remove each
-other; an empty batch makes an empty run.
+other; an empty batch makes an empty run; whole texts count, a very long one being
+a batch of its own in memory; columns other than doc_id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,14 +44,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import BASE, Texts, U, Words, distinct_in_doc, lists, mix, pieces, rolling, segment_hash, signed, slide
-from .work import Workspace
+from .text import Texts, U, Words, distinct_in_doc, lists, mix, pieces, rolling, sequence_hash, signed, slide
+from .work import Workspace, about, not_about
 
 WIDTH, GRAM = 50, 12
-SECOND = 0xC2B2AE3D27D4EB4F  # base of the second hash
+SECOND = 1  # seed of the words' second hash
 
 
 def window_minima(w: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +83,7 @@ def _prints(width: int, gram: int):
             for b in pieces(whole, "text"):
                 w = Words(Texts(b.column("text")))
                 doc, value = anchors(w, width, gram)
-                whole1, whole2 = (segment_hash(w.hash, w.first[:-1], w.first[1:], base) for base in (SECOND, BASE))
+                whole1, whole2 = (sequence_hash(h, w.first[:-1], w.first[1:]) for h in (w.hash, w.rehashed(SECOND)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.count.astype(np.int64)), signed(whole1), signed(whole2), lists(value, np.bincount(doc, minlength=b.num_rows))], names=["doc_id", "n_words", "sig", "sig2", "anchors"])
 
     return run
@@ -102,12 +109,12 @@ def _windows(width: int, gram: int):
                 _, low = window_minima(w, width, gram)
                 at = np.flatnonzero(low)
                 at = at[_member(w.doc[at], low[at], b.column("live"))]
-                h1, h2 = rolling(w.hash, width)[at], (rolling(w.hash, width, SECOND)[at] >> U(32)).astype(np.uint32)
+                h1, h2 = (rolling(h, width)[at] for h in (w.hash, w.rehashed(SECOND)))
                 order = np.lexsort((h1, w.doc[at]))
                 d, h1, h2 = w.doc[at][order], h1[order], h2[order]
                 new = np.ones(len(d), dtype=bool)
                 new[1:] = (d[1:] != d[:-1]) | (h1[1:] != h1[:-1])
-                yield pa.RecordBatch.from_arrays([signed(h1[new]), pa.array(h2[new].view(np.int32)), b.column("doc_id").take(pa.array(d[new]))], names=["h1", "h2", "doc_id"])
+                yield pa.RecordBatch.from_arrays([signed(h1[new]), signed(h2[new]), b.column("doc_id").take(pa.array(d[new]))], names=["h1", "h2", "doc_id"])
 
     return run
 
@@ -131,7 +138,7 @@ def _kept(width: int):
                 copy = np.zeros(t.n, dtype=bool)
                 some = np.flatnonzero(np.asarray(pa.compute.is_valid(b.column("copy"))))
                 ends = w.first[:-1][some], w.first[1:][some]
-                sig, sig2 = (segment_hash(w.hash, *ends, base).view(np.int64).tolist() for base in (SECOND, BASE))
+                sig, sig2 = (sequence_hash(h, *ends).view(np.int64).tolist() for h in (w.hash, w.rehashed(SECOND) if len(some) else w.hash))
                 for i, *own, known in zip(some.tolist(), sig, sig2, w.count[some].tolist(), b.column("copy").take(pa.array(some)).to_pylist(), strict=True):
                     copy[i] = dict(zip(("sig", "sig2", "n_words"), own, strict=True)) in known
                 gone |= copy[w.doc]
@@ -157,29 +164,39 @@ COPY = "array<struct<sig:bigint,sig2:bigint,n_words:bigint>>"
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
 
 
+WINDOWS = "h1 long, h2 long, doc_id long"
+
+
+def _same(x: Column, y: Column) -> Column:
+    """x = y, as a condition that is no join key: the join stays on the key by which runs are bucketed and sorted."""
+    return x.bitwiseXOR(y).isin(0)
+
+
 class SubstringIndex:
     """The index; ``add`` takes a batch and returns its documents without what was there before."""
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, fanout: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, fanout: int = 2, buckets: int | None = None):
         self.spark, self.width, self.gram, self.fanout = spark, width, gram, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.ws = Workspace(spark, "substrings")
-        self.runs: list[dict[str, DataFrame]] = []
+        self.runs: list[tuple[int, dict[str, DataFrame]]] = []  # (level, tables)
+        self.texts: list[DataFrame] = []
 
     def _put(self, df: DataFrame, name: str, key: str) -> DataFrame:
         return self.ws.bucketed(df, name, key, self.buckets)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """``batch`` (doc_id, text): doc_id, n_words, n_removed, spans of removed words, kept text."""
-        ws, width, gram = self.ws, self.width, self.gram
-        batch = batch.select("doc_id", "text")
-        docs = self._put(batch.filter("doc_id IS NOT NULL"), "docs", "doc_id")
+        self.compact()
+        ws, width, gram, runs = self.ws, self.width, self.gram, [tables for _, tables in self.runs]
+        batch = ws.write(batch.select("doc_id", "text"), "texts")
+        docs = batch.filter("doc_id IS NOT NULL")
         prints = ws.write(docs.mapInArrow(_prints(width, gram), "doc_id long, n_words long, sig long, sig2 long, anchors array<long>"), "prints").filter(F.col("n_words") >= width)
         # whole copies: only the first document of equal word sequences goes on
         first = prints.groupBy("sig", "sig2", "n_words").agg(F.min("doc_id").alias("first")).withColumn("old", F.lit(None).cast("long"))
-        for run in self.runs:
+        for run in runs:
             old = run["copies"].select(F.col("sig").alias("s"), F.col("sig2").alias("s2"), F.col("n_words").alias("n"), F.col("first").alias("f"))
-            first = first.join(old, (F.col("sig") == F.col("s")) & F.col("sig2").bitwiseXOR(F.col("s2")).isin(0) & ~(F.col("n_words") > F.col("n")) & ~(F.col("n_words") < F.col("n")), "left").select("sig", "sig2", "n_words", "first", F.coalesce("old", "f").alias("old"))
+            first = first.join(old, (F.col("sig") == F.col("s")) & _same(F.col("sig2"), F.col("s2")) & _same(F.col("n_words"), F.col("n")), "left").select("sig", "sig2", "n_words", "first", F.coalesce("old", "f").alias("old"))
         copies = self._put(first.select("sig", "sig2", "n_words", F.coalesce("old", "first").alias("first"), F.col("old").isNotNull().alias("known")), "copies", "sig")
         keyed = prints.join(copies.hint("merge"), ["sig", "sig2", "n_words"])
         alone = ws.write(keyed.filter("first = doc_id").select("doc_id", "anchors"), "alone")
@@ -188,7 +205,7 @@ class SubstringIndex:
         # anchors of this batch against each run's
         each = alone.select("doc_id", F.explode("anchors").alias("h"))
         state = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn("old", F.lit(None).cast("long")).withColumn("was_live", F.lit(False))
-        for run in self.runs:
+        for run in runs:
             old = run["anchors"].select("h", F.col("first").alias("f"), F.col("live").alias("l"))
             state = state.join(old, "h", "left").select("h", "first", "last", F.coalesce("old", "f").alias("old"), (F.col("was_live") | F.coalesce("l", F.lit(False))).alias("was_live"))
         known = F.col("old").isNotNull()
@@ -196,17 +213,17 @@ class SubstringIndex:
         marks = self._put(state, "anchors", "h")
         live = marks.filter("live").select("h")
         touched = ws.write(each.join(live, "h").groupBy("doc_id").agg(F.collect_list("h").alias("live")), "touched")
-        own = docs.join(touched, "doc_id").mapInArrow(_windows(width, gram), "h1 long, h2 int, doc_id long")
+        own = ws.write(about(docs, touched).join(touched.hint("merge"), "doc_id").mapInArrow(_windows(width, gram), WINDOWS), "own")
         found = own.select("h1", "h2", "doc_id", F.col("doc_id").alias("new"))
-        if self.runs:
+        if runs:
             woken = ws.write(marks.filter("wake").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("h").alias("live")), "woken")
-            for run in self.runs:
-                old = run["docs"].join(woken, "doc_id").mapInArrow(_windows(width, gram), "h1 long, h2 int, doc_id long")
-                found = found.unionByName(old.withColumn("new", F.lit(None).cast("long")))
+            history = reduce(DataFrame.unionByName, self.texts)
+            old = about(history, woken).join(woken.hint("merge"), "doc_id").mapInArrow(_windows(width, gram), WINDOWS)
+            found = found.unionByName(old.withColumn("new", F.lit(None).cast("long")))
         found = found.groupBy("h1", "h2").agg(F.min("new").alias("first"), F.max("new").alias("last"), F.min(F.when(F.col("new").isNull(), F.col("doc_id"))).alias("old"))
-        for run in self.runs:
+        for run in runs:
             old = run["windows"].select("h1", F.col("h2").alias("check"), F.col("first").alias("f"))
-            found = found.join(old, (found["h1"] == old["h1"]) & F.col("h2").bitwiseXOR(F.col("check")).isin(0), "left").select(found["h1"], "h2", "first", "last", F.coalesce("old", "f").alias("old"))
+            found = found.join(old, (found["h1"] == old["h1"]) & _same(F.col("h2"), F.col("check")), "left").select(found["h1"], "h2", "first", "last", F.coalesce("old", "f").alias("old"))
         found = found.select("h1", "h2", F.coalesce("old", "first").alias("first"), "last", F.col("old").isNotNull().alias("known"))
         windows = self._put(found, "windows", "h1")
         # read as plain files here, so that a window that very many documents share can be split
@@ -215,29 +232,29 @@ class SubstringIndex:
         doubled = doubled.filter("last IS NOT NULL AND (known OR first < last)").select("h1", "h2", "first", "known")
         removed = own.join(doubled, ["h1", "h2"]).filter(EARLIER).groupBy("doc_id").agg(F.collect_set("h1").alias("removed"))
         removed = ws.write(removed.join(again, "doc_id", "full"), "removed")
-        self.runs.append({"docs": docs, "copies": copies, "anchors": marks, "windows": windows})
-        if len(self.runs) > self.fanout:
-            self.compact()
-        rest = batch.filter("doc_id IS NULL").withColumns({"removed": F.lit(None).cast("array<long>"), "copy": F.lit(None).cast(COPY)})
-        judged = docs.join(removed, "doc_id", "left").select("doc_id", "text", "removed", "copy").unionByName(rest)
+        self.texts.append(docs)
+        self.runs.append((0, {"copies": copies, "anchors": marks, "windows": windows}))
+        whole = not_about(batch, removed).withColumns({"removed": F.lit(None).cast("array<long>"), "copy": F.lit(None).cast(COPY)})
+        judged = about(batch, removed).join(removed.hint("merge"), "doc_id", "left").select("doc_id", "text", "removed", "copy").unionByName(whole)
         return judged.mapInArrow(_kept(width), RESULT)
 
     def compact(self) -> None:
-        """Merges all runs into one; old runs stay on disk while results read them."""
-        merged = {
-            "docs": (None, "doc_id"),
-            "copies": (lambda d: d.groupBy("sig", "sig2", "n_words").agg(F.min("first").alias("first")).withColumn("known", F.lit(False)), "sig"),
-            "anchors": (lambda d: d.groupBy("h").agg(F.min("first").alias("first"), F.max("live").alias("live")).withColumn("wake", F.lit(False)), "h"),
-            "windows": (lambda d: d.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("known", F.lit(False)), "h1"),
+        """Merges each ``fanout`` runs of a level into one of the next; old runs stay on disk while results read them."""
+        fold = {
+            "copies": (("sig", "sig2", "n_words"), (F.min("first").alias("first"), F.lit(False).alias("known"))),
+            "anchors": (("h",), (F.min("first").alias("first"), F.max("live").alias("live"), F.lit(False).alias("wake"))),
+            "windows": (("h1", "h2"), (F.min("first").alias("first"), F.max("last").alias("last"), F.lit(False).alias("known"))),
         }
-        new = {}
-        for name, (fold, key) in merged.items():
-            every = reduce(DataFrame.unionByName, (r[name] for r in self.runs))
-            new[name] = self._put(fold(every) if fold else every, name, key)
-        self.runs = [new]
+        level = 0
+        while any(k >= level for k, _ in self.runs):
+            old = [tables for k, tables in self.runs if k == level]
+            if len(old) >= self.fanout:
+                merged = {name: self._put(reduce(DataFrame.unionByName, (r[name] for r in old)).groupBy(*keys).agg(*values), name, keys[0]) for name, (keys, values) in fold.items()}
+                self.runs = [(k, r) for k, r in self.runs if k != level] + [(level + 1, merged)]
+            level += 1
 
 
-def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = WIDTH) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, batches: int = 3, width: int = WIDTH) -> DataFrame:
     """All of ``docs`` through an index, in ``batches`` of ascending doc_id."""
     shares = [i / batches for i in range(1, batches)]
     cuts = (docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] or []) if shares else []
@@ -254,5 +271,6 @@ def dedup(spark: SparkSession, docs: DataFrame, batches: int = 2, width: int = W
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of all ``documents``, through an index in three batches: the first two are compacted before the third."""
     out = dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

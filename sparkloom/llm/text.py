@@ -2,10 +2,17 @@
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which for UTF-8 is the
 same as ``[^\\x20\\x09-\\x0D]+`` over characters. All arithmetic is modulo 2**64.
+
+Words are hashed by chained mixing of their 8-byte blocks and sequences of words by
+sums of values mixed with their places; neither is a polynomial modulo 2**64, which
+would give long patterns of two letters or words (Thue-Morse) equal hashes. Only runs
+of a few dozen mixed word hashes (``rolling``) are polynomials. Hashes of different
+``seed`` are independent of each other.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +25,9 @@ SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**64, 256, dtype=np.uint64)
+GOLDEN = U(0x9E3779B97F4A7C15)
+LONG = 4096  # bytes of a word that is hashed apart
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)  # keeps the first i bytes of a block
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -54,12 +63,38 @@ def rolling(values: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     return mix((pre[width:] - pre[:-width]) * q[:n])
 
 
-def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """Hash of values[s:e] for each pair, with the length mixed in."""
-    p, q = powers(len(values), base)
-    pre = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * p[: len(values)], out=pre[1:])
-    return mix((pre[ends] - pre[starts]) * q[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes buf[s:e] for each pair, block by block of 8 bytes; very long ones by BLAKE2b."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * GOLDEN + U(seed * 2 + 1))
+    if not len(buf):
+        return out
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    block = np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    large = np.flatnonzero(size > LONG)
+    for i in large.tolist():
+        digest = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        out[left] = mix(out[left] * GOLDEN ^ (block[starts[left] + at] & _LOW[np.minimum(rest, 8)]))
+        at += 8
+        left = left[rest > 8]
+    return out
+
+
+def sequence_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the values[s:e] of each pair; the pairs are in order and do not overlap."""
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    own = mix(values[place + np.repeat(starts, size)] + mix(place.astype(np.uint64) * GOLDEN + U(1)))
+    total = np.zeros(len(own) + 1, dtype=np.uint64)
+    np.cumsum(own, out=total[1:])
+    return mix(total[first + size] - total[first] + size.astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def slide(values: np.ndarray, width: int, op) -> np.ndarray:
@@ -94,8 +129,7 @@ class Words:
     """Word bounds and hashes of texts; ``first[i]:first[i + 1]`` are the words of text i."""
 
     def __init__(self, texts: Texts, lower: bool = False):
-        buf = LOWER[texts.buf] if lower else texts.buf
-        self.texts = texts
+        self.buf = buf = LOWER[texts.buf] if lower else texts.buf
         word = ~SEP[buf]
         n = len(buf)
         head = np.zeros(n + 1, dtype=bool)
@@ -112,9 +146,13 @@ class Words:
         self.ends = np.flatnonzero(word & (~after | head[1:])) + 1
         self.first = np.searchsorted(self.starts, texts.offs)
         self.count = np.diff(self.first)
-        self.hash = segment_hash(_BYTE[buf], self.starts, self.ends)
+        self.hash = word_hash(buf, self.starts, self.ends)
         self.doc = np.repeat(np.arange(texts.n), self.count)
 
+    def rehashed(self, seed: int) -> np.ndarray:
+        """The words' hashes by another, independent function."""
+        return word_hash(self.buf, self.starts, self.ends, seed)
+
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each; a longer text is one slice."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import _BYTE, LOWER, Texts, lists, pieces, segment_hash
+from .text import LOWER, Texts, lists, pieces, word_hash
 from .work import Workspace
 
 SAMPLE = 12_000
@@ -53,8 +53,7 @@ def terms(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(letter & (~before | head[:-1]))
     ends = np.flatnonzero(letter & (~after | head[1:])) + 1
     doc = np.searchsorted(t.offs, starts, side="right") - 1
-    value = _BYTE[buf]
-    word = segment_hash(value, starts, ends)
+    word = word_hash(buf, starts, ends)
     # distinct words per text first: prefixes only of these
     order = np.lexsort((word, doc))
     d, w = doc[order], word[order]
@@ -66,8 +65,8 @@ def terms(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     for k in PREFIXES:
         long = ends - starts > k
         docs.append(doc[long])
-        # + k keeps a prefix apart from the word of the same letters
-        out.append(segment_hash(value, starts[long], starts[long] + k) + np.uint64(k))
+        # its own seed keeps a prefix apart from the word of the same letters
+        out.append(word_hash(buf, starts[long], starts[long] + k, 1))
     doc, term = np.concatenate(docs), np.concatenate(out)
     order = np.lexsort((term, doc))
     doc, term = doc[order], term[order]
@@ -85,7 +84,7 @@ def styles(t: Texts) -> np.ndarray:
 
 def term_hash(word: str) -> int:
     b = np.frombuffer(word.encode(), dtype=np.uint8)
-    return int(segment_hash(_BYTE[b], np.array([0]), np.array([len(b)]))[0])
+    return int(word_hash(b, np.array([0]), np.array([len(b)]))[0])
 
 
 def _shares(votes: np.ndarray) -> np.ndarray:

@@ -14,7 +14,8 @@ import time
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -31,6 +32,45 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by their quoted names, so that dots in a name are no path."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Buckets of ids, so many numbers at most are ever broadcast.
+BUCKETS = 1 << 20
+
+
+def _buckets(ids: DataFrame, key: str) -> tuple[Column, DataFrame]:
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BUCKETS))
+    return bucket, F.broadcast(ids.select(bucket.alias("__bucket")).distinct())
+
+
+def about(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All rows whose ``key`` is in ``ids`` and few others, without a shuffle.
+
+    Only the buckets that the ids fall into are broadcast, ``BUCKETS`` numbers at
+    most; so before texts are shuffled to be joined exactly, most that have no
+    partner are left out, and where most have one nothing is lost.
+    """
+    bucket, some = _buckets(ids, key)
+    return rows.join(some, bucket == F.col("__bucket"), "leftsemi")
+
+
+def not_about(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows that ``about`` leaves out."""
+    bucket, some = _buckets(ids, key)
+    return rows.join(some, bucket == F.col("__bucket"), "leftanti")
+
+
 def _delete(jvm, conf, path: str) -> None:
     try:
         p = jvm.org.apache.hadoop.fs.Path(path)
