@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .work import Workspace
+from .work import Workspace, columns, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many (about 100 bytes each) are broadcast; more are joined by shuffle.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import LOWER, Texts, lists, pieces, word_hash
-from .work import Workspace
+from .work import Workspace, through
 
 SAMPLE = 12_000
 MAX_TERMS = 4096
@@ -261,12 +261,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, model, limit: float = 0.
     """The rows of ``docs``, whatever their columns, whose text scores below ``limit``."""
     sent = spark.sparkContext.broadcast(model)
 
-    def run(batches):
-        for whole in batches:
-            for b in pieces(whole, "text"):
-                yield b.filter(pa.array(scores(Texts(b.column("text")), sent.value) < limit))
+    def kernel(name):
+        def run(batches):
+            for whole in batches:
+                for b in pieces(whole, name):
+                    yield b.filter(pa.array(scores(Texts(b.column(name)), sent.value) < limit))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    return through(docs, "text", kernel)
 
 
 def _fold(doc_id, n: int):

@@ -16,6 +16,7 @@ import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -71,6 +72,18 @@ def not_about(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame
     return rows.join(some, bucket == F.col("__bucket"), "leftanti")
 
 
+def through(df: DataFrame, column: str, kernel, *more: T.StructField) -> DataFrame:
+    """``df.mapInArrow(kernel(name), ...)`` whatever the columns' names; ``name`` is that of ``column`` inside.
+
+    The kernel returns all columns and then ``more``. Inside, columns are numbered,
+    since ``mapInArrow`` takes dots in names for paths.
+    """
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)] + [T.StructField(f"c{len(df.columns) + i}", f.dataType) for i, f in enumerate(more)]
+    inner = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    out = inner.mapInArrow(kernel(f"c{df.columns.index(column)}"), T.StructType(fields))
+    return out.toDF(*df.columns, *(f.name for f in more))
+
+
 def _delete(jvm, conf, path: str) -> None:
     try:
         p = jvm.org.apache.hadoop.fs.Path(path)
