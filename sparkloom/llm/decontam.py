@@ -7,33 +7,51 @@ n - q + 1 - k * q of the item's q-grams, all within 2k + 1 diagonals (position i
 the text minus position in the item). Hits are counted in bands of 3k + 3
 diagonals that overlap by two thirds, so every match lies whole in one; bands
 that meet the bound are verified by banded alignment (edit distance of the whole
-item against any part of the region). For items so short that the bound would
-vanish, k is lowered until it is 1.
+item against any part of the region). Items under ``SMALL`` bytes take shorter
+q-grams, so that the bound never vanishes; items too short for those are found
+where they stand exactly, between spaces.
+
+Grams that very many items share (a common prompt, say) are not looked up item by
+item. The lemma holds for every subset of an item's grams: of r others, r - k * q
+must be hit, which is what most items are filtered by. For items that are made of
+shared grams for the most part, the text is cut into overlapping stretches; in
+those with enough hits of such items' grams at all, the distinct pieces of ``PIECE``
+bytes that stretch and item share are counted for all items at once, and an item
+that lacks more than k edits can destroy is out. Either way no match is lost; what
+is left is aligned in batches, from the item's less common end, and given up at
+the first row over the budget.
 
 The items are broadcast in blocks of at most ``BLOCK_BYTES`` of text; a larger
 benchmark takes further passes over the texts, never a larger broadcast.
 
-Edge cases: null texts and items, and items without a q-gram, match nothing;
+Edge cases: null texts and items, and items without a letter or digit, match nothing;
 repeated items and repeated documents each give their rows; whole texts are
-searched; ties between alignments go to the earliest end; positions are byte
-offsets in the UTF-8 of the original text, never inside a character that folding
-changed. Edits are counted in bytes of the folded text, so an accented letter
-against a plain one costs up to two.
+searched, a very long one as a batch of its own; ties between alignments go to the
+earliest end; positions are byte offsets in the UTF-8 of the original text, never
+inside a character that folding changed. Edits are counted in bytes of the folded
+text, so an accented letter against a plain one costs up to two. An empty benchmark
+or table gives no matches; columns other than those named pass through or are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .text import Texts, mix, pieces
+from .work import through
 
-Q = 10
+Q, SMALL_Q, SMALL = 10, 5, 30
 EDITS = 0.07
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+MANY = 32  # items that may share a gram before it is counted apart
+PIECE = 4
+CELLS = 1 << 22  # of all alignments that run at once
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -88,65 +106,83 @@ def folded(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return f[keep], at[keep], to[keep]
 
 
-def grams(f: np.ndarray) -> np.ndarray:
-    """A 64-bit code of each run of Q bytes."""
-    n = len(f) - Q + 1
+def grams(f: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit code of each run of ``q`` bytes (10, or 8 at most)."""
+    n = len(f) - q + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    f = np.ascontiguousarray(f)
-    head = np.ndarray(n, dtype="<u8", buffer=f, strides=(1,))
-    tail = np.ndarray(n, dtype="<u2", buffer=f, offset=8, strides=(1,))
+    padded = np.zeros(len(f) + 8, dtype=np.uint8)
+    padded[: len(f)] = f
+    head = np.ndarray(n, dtype="<u8", buffer=padded, strides=(1,))
+    if q <= 8:
+        return mix(head & np.uint64((1 << 8 * q) - 1))
+    tail = np.ndarray(n, dtype="<u2", buffer=padded, offset=8, strides=(1,))
     return mix(head * np.uint64(0x9E3779B97F4A7C15) + tail.astype(np.uint64))
 
 
-class Items:
-    """An index of q-grams over a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS):
-        self.ids, self.text, self.budget, self.need = [], [], [], []
-        codes, item, pos = [], [], []
-        for key, text in rows:
-            f = folded(np.frombuffer(text.encode("utf-8"), dtype=np.uint8))[0].tobytes().strip()
-            n = len(f)
-            if n < Q:
-                continue
-            k = min(int(edits * n), (n - Q) // Q)
-            g = grams(np.frombuffer(f, dtype=np.uint8))
-            codes.append(g)
-            item.append(np.full(len(g), len(self.ids)))
-            pos.append(np.arange(len(g)))
-            self.ids.append(key)
-            self.text.append(f)
-            self.budget.append(k)
-            self.need.append(len(g) - k * Q)
-        self.lengths = np.array([len(t) for t in self.text], dtype=np.int64)
-        self.budgets, self.needs = np.array(self.budget, dtype=np.int64), np.array(self.need, dtype=np.int64)
-        allc = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
-        order = np.argsort(allc, kind="stable")
-        self.code, self.first = np.unique(allc[order], return_index=True)
-        self.last = np.append(self.first[1:], len(allc))
-        self.item = (np.concatenate(item) if item else np.empty(0, dtype=np.int64))[order]
-        self.pos = (np.concatenate(pos) if pos else np.empty(0, dtype=np.int64))[order]
-        self.bits = max(16, int(len(allc) * 8).bit_length())
+def _flat(parts: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray]:
+    """The parts one after the other, and where each begins."""
+    return (np.concatenate(parts) if parts else np.empty(0, dtype=kind)), np.cumsum([0, *map(len, parts)])
+
+
+def _pieces(f: np.ndarray) -> np.ndarray:
+    """Distinct runs of PIECE bytes, as 16-bit codes."""
+    return np.unique((grams(f, PIECE) >> np.uint64(48)).astype(np.int64))
+
+
+class Index:
+    """An index of q-grams over folded items, each longer than q."""
+
+    def __init__(self, texts: list[bytes], edits: float, q: int):
+        self.text, self.q = texts, q
+        arrays = [np.frombuffer(t, dtype=np.uint8) for t in texts]
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.budgets = (self.lengths * edits + 1e-9).astype(np.int64)
+        codes, first = _flat([grams(a, q) for a in arrays], np.uint64)
+        size = np.diff(first)
+        item = np.repeat(np.arange(len(texts)), size)
+        pos = np.arange(len(codes)) - np.repeat(first[:-1], size)
+        order = np.argsort(codes, kind="stable")
+        self.code, at = np.unique(codes[order], return_index=True)
+        times = np.diff(np.append(at, len(codes)))
+        common = np.repeat(times > MANY, times)  # per posting in order
+        rare = np.bincount(item[order][~common], minlength=len(texts))
+        left = rare - self.budgets * q
+        self.template = left < 1  # too few grams of its own for the bound
+        self.needs = np.where(self.template, size - self.budgets * q, left)
+        # which end to align from: the one with fewer shared grams
+        middle = pos[order] * 2 < size[item[order]]
+        self.backward = np.bincount(item[order][common & middle], minlength=len(texts)) > np.bincount(item[order][common & ~middle], minlength=len(texts))
+        own = ~common & ~self.template[item[order]]
+        self.times = np.add.reduceat(own.astype(np.int64), at) if len(at) else np.empty(0, dtype=np.int64)
+        self.first = np.cumsum(self.times) - self.times
+        self.item, self.pos = item[order][own].astype(np.int32), pos[order][own].astype(np.int32)
+        # of templates: by classes of length, which grams they have and their distinct pieces
+        self.classes = []
+        for c in np.unique(self.lengths[self.template] // 64) if self.template.any() else ():
+            members = np.flatnonzero(self.template & (self.lengths // 64 == c))
+            its = np.zeros(len(self.code), dtype=bool)
+            its[np.searchsorted(self.code, codes[np.isin(item, members)])] = True
+            flat, begin = _flat([_pieces(arrays[i]) for i in members], np.int64)
+            need = np.maximum(1, np.diff(begin) - self.budgets[members] * PIECE)
+            self.classes.append((members, its, flat, begin[:-1], need, int((self.lengths + self.budgets)[members].max()), int(self.needs[members].min())))
+        self.bits = max(16, int(len(codes) * 8).bit_length())
         self.maybe = np.zeros(1 << self.bits, dtype=bool)
         self.maybe[self._slot(self.code)] = True
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def search(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits) of every match in the texts ``buf[offs[i]:offs[i + 1]]``."""
-        if not self.ids:
-            return []
-        f, at, to = folded(buf)
-        bounds = np.searchsorted(at, offs)
-        g = grams(f)
+    def candidates(self, f: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows (text, item, start, end) of the regions of f that may hold an item."""
+        none = np.empty((0, 4), dtype=np.int64)
+        g = grams(f, self.q)
         p = np.flatnonzero(self.maybe[self._slot(g)])
         where = np.searchsorted(self.code, g[p])
         real = (where < len(self.code)) & (self.code[np.minimum(where, len(self.code) - 1)] == g[p])
         p, where = p[real], where[real]
         doc = np.searchsorted(bounds, p, side="right") - 1
-        inside = p + Q <= bounds[doc + 1]
+        inside = p + self.q <= bounds[doc + 1]
         p, where, doc = p[inside], where[inside], doc[inside]
         # a match needs this many hits within the longest item's reach
         reach = int((self.lengths + self.budgets).max())
@@ -154,39 +190,147 @@ class Items:
         near = hi - lo >= self.needs.min()
         p, where, doc = p[near], where[near], doc[near]
         if not len(p):
-            return []
-        times = self.last[where] - self.first[where]
+            return none
+        found = [self._banded(p, where, doc, bounds)]
+        for members, its, flat, begin, need, width, least in self.classes:
+            t = its[where]
+            found.append(self._stretches(f, p[t], doc[t], bounds, members, flat, begin, need, width, least))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _banded(self, p: np.ndarray, where: np.ndarray, doc: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Regions by bands of diagonals with enough hits of grams that few items share."""
+        times = self.times[where]
         src = np.repeat(np.arange(len(p)), times)
+        if not len(src):
+            return np.empty((0, 4), dtype=np.int64)
         post = np.arange(len(src)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.first[where], times)
-        it, j, p, doc = self.item[post], self.pos[post], p[src], doc[src]
-        width = self.budgets[it] + 1
-        band = (p - j + self.lengths[it]) // width
+        it, j, p, doc = self.item[post].astype(np.int64), self.pos[post].astype(np.int64), p[src], doc[src]
+        band = (p - j + self.lengths[it]) // (self.budgets[it] + 1)
         key = np.stack([doc, it, band], axis=1)
         # a band spans three widths and starts at each one, so any 2k + 1 diagonals lie whole in one
         triple = np.concatenate([key, key - [0, 0, 1], key - [0, 0, 2]])
-        jj, pp = np.tile(j, 3), np.tile(p, 3)
+        jj = np.tile(j, 3)
         order = np.lexsort((jj, triple[:, 2], triple[:, 1], triple[:, 0]))
-        triple, jj, pp = triple[order], jj[order], pp[order]
+        triple, jj = triple[order], jj[order]
         new = np.concatenate([[True], (triple[1:] != triple[:-1]).any(axis=1)])
         fresh = new | np.concatenate([[True], jj[1:] != jj[:-1]])  # an item position counts once
         start = np.flatnonzero(new)
         count = np.add.reduceat(fresh.astype(np.int64), start)
-        good = count >= self.needs[triple[start, 1]]
-        out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for s, c in zip(start[good].tolist(), np.diff(np.append(start, len(jj)))[good].tolist(), strict=True):
-            d, i, b = triple[s].tolist()
-            k, n = self.budget[i], len(self.text[i])
-            first = b * (k + 1) - n  # the band's lowest diagonal
-            lo = max(int(bounds[d]), first - k)
-            hi = min(int(bounds[d + 1]), first + 3 * (k + 1) + n + k)
-            hit = align(self.text[i], f[lo:hi].tobytes(), k)
-            if hit:
+        d, i, b = triple[start[count >= self.needs[triple[start, 1]]]].T
+        k, n = self.budgets[i], self.lengths[i]
+        first = b * (k + 1) - n  # the band's lowest diagonal
+        return np.stack([d, i, np.maximum(bounds[d], first - k), np.minimum(bounds[d + 1], first + 3 * (k + 1) + n + k)], axis=1)
+
+    def _stretches(self, f, p, doc, bounds, members, flat, begin, need, width, least) -> np.ndarray:
+        """Regions of templates: stretches of 2 * width that begin every width, so a match lies whole in one."""
+        out = [np.empty((0, 4), dtype=np.int64)]
+        tile = (p - bounds[doc]) // width
+        key, count = np.unique(np.concatenate([np.stack([doc, tile], axis=1), np.stack([doc, tile - 1], axis=1)]), axis=0, return_counts=True)
+        key = key[count >= least]
+        present = np.zeros(1 << 16, dtype=bool)
+        for d, t in key.tolist():
+            lo, hi = int(bounds[d]) + max(0, t) * width, min(int(bounds[d + 1]), int(bounds[d]) + (t + 2) * width)
+            has = _pieces(f[lo:hi])
+            present[has] = True
+            hit = members[np.add.reduceat(present[flat].astype(np.int64), begin) >= need]
+            present[has] = False
+            out.append(np.stack([np.full(len(hit), d), hit, np.full(len(hit), lo), np.full(len(hit), hi)], axis=1))
+        return np.concatenate(out)
+
+    def within(self, f: np.ndarray, regions: np.ndarray) -> np.ndarray:
+        """Which regions hold their item with no more edits than its budget."""
+        out = np.zeros(len(regions), dtype=bool)
+        size = regions[:, 3] - regions[:, 2]
+        order = np.lexsort((self.lengths[regions[:, 1]], size))
+        at = 0
+        while at < len(order):
+            n = max(1, CELLS // max(1, int(size[order[at]])))
+            part = order[at : at + n]
+            while len(part) > 1 and len(part) * int(size[part[-1]]) > 2 * CELLS:
+                part = part[: len(part) // 2]
+            out[part] = self._aligned(f, regions[part])
+            at += len(part)
+        return out
+
+    def _aligned(self, f: np.ndarray, regions: np.ndarray) -> np.ndarray:
+        items, lo, hi = regions[:, 1], regions[:, 2], regions[:, 3]
+        wide, long = int((hi - lo).max()), int(self.lengths[items].max())
+        back = self.backward[items][:, None]
+        step = np.arange(wide)
+        at = np.where(back, hi[:, None] - 1 - step, lo[:, None] + step)
+        there = step[None, :] < (hi - lo)[:, None]
+        region = np.where(there, f[np.where(there, at, 0)], 255).astype(np.uint8)  # 255 is no byte of a text
+        kinds, which = np.unique(items, return_inverse=True)
+        letters = np.zeros((len(kinds), long), dtype=np.uint8)
+        for row, i in zip(letters, kinds.tolist(), strict=True):
+            t = np.frombuffer(self.text[i], dtype=np.uint8)
+            row[: len(t)] = t[::-1] if self.backward[i] else t
+        n, k = self.lengths[items], self.budgets[items]
+        out, live = np.zeros(len(regions), dtype=bool), np.arange(len(regions))
+        cost = np.zeros((len(regions), wide + 1), dtype=np.int32)
+        steps = np.arange(wide + 1, dtype=np.int32)
+        for i in range(long):
+            best = cost + 1
+            np.minimum(best[:, 1:], cost[:, :-1] + (region[live] != letters[which[live], i][:, None]), out=best[:, 1:])
+            cost = np.minimum.accumulate(best - steps, axis=1) + steps
+            least = cost.min(axis=1)
+            good = least <= k[live]
+            done = good & (n[live] == i + 1)
+            out[live[done]] = True
+            keep = good & ~done
+            if not keep.all():
+                live, cost = live[keep], cost[keep]
+            if not len(live):
+                break
+        return out
+
+
+class Items:
+    """A block of items (id, text), and the search for them."""
+
+    def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS):
+        self.ids = []
+        small, large, tiny = [], [], []
+        for key, text in rows:
+            f = folded(np.frombuffer(text.encode("utf-8"), dtype=np.uint8))[0].tobytes().strip()
+            if f:
+                (tiny if len(f) < Q else small if len(f) < SMALL else large).append((len(self.ids), f))
+                self.ids.append(key)
+        self.parts = [([i for i, _ in part], Index([t for _, t in part], edits, q)) for part, q in ((small, SMALL_Q), (large, Q)) if part]
+        self.tiny: dict[int, dict[int, list[int]]] = {}
+        for i, t in tiny:
+            self.tiny.setdefault(len(t), {}).setdefault(int(grams(np.frombuffer(t, dtype=np.uint8), len(t) if len(t) < 9 else 8)[0]), []).append(i)
+        self.tiny_text = dict(tiny)
+
+    def search(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, edits) of every match in the texts ``buf[offs[i]:offs[i + 1]]``."""
+        f, at, to = folded(buf)
+        bounds = np.searchsorted(at, offs)
+        out = self._exact(f, bounds)
+        for names, index in self.parts:
+            regions = index.candidates(f, bounds)
+            best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+            for d, i, lo, hi in regions[index.within(f, regions)].tolist() if len(regions) else ():
+                hit = align(index.text[i], f[lo:hi].tobytes(), int(index.budgets[i]))
                 a, z, e = lo + hit[0], lo + hit[1], hit[2]
-                have = out.setdefault((d, i), [])
+                have = best.setdefault((d, i), [])
                 clash = [x for x in have if a < x[1] and x[0] < z]
                 if all(e < x[2] for x in clash):
-                    out[d, i] = [x for x in have if x not in clash] + [(a, z, e)]
-        return [(d, i, int(at[a]), int(to[z - 1]), e) for (d, i), found in sorted(out.items()) for a, z, e in sorted(found)]
+                    best[d, i] = [x for x in have if x not in clash] + [(a, z, e)]
+            out += [(d, names[i], a, z, e) for (d, i), found in best.items() for a, z, e in found]
+        return [(d, i, int(at[a]), int(to[z - 1]), e) for d, i, a, z, e in sorted(out)]
+
+    def _exact(self, f: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Whole-word places of the items that are too short for edits."""
+        out = []
+        for n, known in self.tiny.items():
+            g = grams(f, min(n, 8))[: max(0, len(f) - n + 1)]
+            p = np.flatnonzero(np.isin(g, np.array(list(known), dtype=np.uint64)))
+            d = np.searchsorted(bounds, p, side="right") - 1
+            whole = (p + n <= bounds[d + 1]) & ((p == bounds[d]) | (f[p - 1] == 32)) & ((p + n == bounds[d + 1]) | (f[np.minimum(p + n, len(f) - 1)] == 32))
+            for a, t in zip(p[whole].tolist(), d[whole].tolist(), strict=True):
+                out += [(t, i, a, a + n, 0) for i in known[int(g[a])] if self.tiny_text[i] == f[a : a + n].tobytes()]
+        return out
 
 
 def align(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
@@ -235,6 +379,19 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
         yield rows
 
 
+_BUILT: dict = {}
+
+
+def _items(sent, edits: float) -> Items:
+    """The index of a broadcast block, built once in a Python worker; only the last few are kept."""
+    key, rows = sent.value
+    if (key, edits) not in _BUILT:
+        while len(_BUILT) > 1:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key, edits] = Items(rows, edits)
+    return _BUILT[key, edits]
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, start, end, edits) of each benchmark item found in ``docs`` (doc_id, text)."""
     schema = "doc_id long, item_id long, start long, end long, edits int"
@@ -242,10 +399,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edi
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
     docs, out = docs.select("doc_id", "text"), None
     for rows in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(rows)
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
         def run(batches, sent=sent):
-            items = Items(sent.value, edits)
+            items = _items(sent, edits)
             for whole in batches:
                 for b in pieces(whole, "text"):
                     t = Texts(b.column("text"))
@@ -262,18 +419,21 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edi
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """The rows of ``docs``, whatever their columns, whose text holds no benchmark item."""
     for rows in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(rows)
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
-        def run(batches, sent=sent):
-            items = Items(sent.value, edits)
-            for whole in batches:
-                for b in pieces(whole, "text"):
-                    t = Texts(b.column("text"))
-                    clean = np.ones(t.n, dtype=bool)
-                    clean[[d for d, *_ in items.search(t.buf, t.offs)]] = False
-                    yield b.filter(pa.array(clean))
+        def kernel(name, sent=sent):
+            def run(batches):
+                items = _items(sent, edits)
+                for whole in batches:
+                    for b in pieces(whole, name):
+                        t = Texts(b.column(name))
+                        clean = np.ones(t.n, dtype=bool)
+                        clean[[d for d, *_ in items.search(t.buf, t.offs)]] = False
+                        yield b.filter(pa.array(clean))
+
+            return run
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = through(docs, "text", kernel)
     return docs
 
 

@@ -2,10 +2,14 @@
 
 import base64
 import collections
+import datetime
 import gzip
 import hashlib
+import itertools
 import math
 import random
+import re
+import time
 import unicodedata
 import zlib
 
@@ -138,7 +142,7 @@ def test_decontamination(spark):
     rows = [(i, "Before this. " + edited(i % 12) + " And after it, more text é.") for i in range(60)]
     rows += [(100, "nothing of the kind " * 50), (101, None), (102, ""), (103, ITEM.upper().replace(" ", "\n")), (104, ("filler text here. " * 4000) + ITEM), (105, ITEM + " x " + ITEM), (106, ITEM), (106, ITEM)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", item_id int")
-    bench = spark.createDataFrame([(1, ITEM), (2, None), (3, "short"), (None, "no id at all but long enough"), (4, "another passage, which is in none of the texts that are looked at here")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, None), (3, "no such"), (None, "no id at all but long enough"), (4, "another passage, which is in none of the texts that are looked at here")], "item_id long, text string")
     got = decontam.contaminated(spark, docs, bench).collect()
     by = collections.defaultdict(list)
     for r in got:
@@ -168,6 +172,48 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert decontam.without_contaminated(spark, docs, bench).count() == 0
 
 
+def test_items_that_share_most_of_their_text_are_found_as_by_exact_search():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    head = "answer the question below using only what the passage says "
+    items = [(i, head + " ".join(word() for _ in range(rng.choice([2, 6, 7])))) for i in range(120)]
+    items += [(200 + i, f"{word()} {word()}"[:n]) for i, n in enumerate(range(10, 35))] + [(300, "yes"), (301, "a b c d e"), (302, "!?")]
+    index = decontam.Items(items)
+    assert any(x.template.any() for _, x in index.parts) and not all(x.template.all() for _, x in index.parts)
+
+    def edited(s, n):
+        s = list(s)
+        for _ in range(n):
+            p = rng.randrange(len(s))
+            s[p : p + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        return "".join(s)
+
+    texts = [" ".join([word(), edited(rng.choice(items)[1], rng.randrange(9)), word(), head, word()]) for _ in range(60)] + ["Yes", "yesno a b c d e", "", head * 30]
+    fold = lambda s: decontam.folded(np.frombuffer(s.encode(), dtype=np.uint8))[0].tobytes().strip()
+    data = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts]
+    got = {(d, index.ids[i]) for d, i, *_ in index.search(np.concatenate(data), np.cumsum([0, *map(len, data)]))}
+    want = set()
+    for d, t in enumerate(texts):
+        t = fold(t)
+        for key, item in items:
+            f = fold(item)
+            if f and (b" " + f + b" " in b" " + t + b" " if len(f) < 10 else edit_distance_in(f, t) <= int(0.07 * len(f))):
+                want.add((d, key))
+    assert got == want and any(k < 200 for _, k in want) and any(200 <= k < 300 for _, k in want) and {(60, 300), (61, 301)} <= want
+
+
+def test_many_items_with_one_prefix_take_seconds():
+    rng = np.random.default_rng(1)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    prefix = letters(60)
+    items = [(i, prefix + letters(40)) for i in range(2000)]
+    text = " ".join([letters(200) + prefix + letters(60) for _ in range(50)] + [items[7][1], items[1234][1][:80] + items[1234][1][81:]])
+    index, buf = decontam.Items(items), np.frombuffer(text.encode(), dtype=np.uint8)
+    start = time.perf_counter()
+    got = {i for _, i, *_ in index.search(buf, np.array([0, len(buf)]))}
+    assert got == {7, 1234} and time.perf_counter() - start < 20
+
+
 def test_decontamination_folds_beyond_ascii(spark):
     item = "Où l'été s'achève — près de la forêt dévastée où les élèves « fêtés » étaient déjà âgés, à côté d'une île ; Straße Ἀθῆναι Москва"
     shouted = item.upper().replace("—", "…").replace(" ;", "\u00a0\u3000;").replace("«", "“").replace("»", "”")
@@ -210,6 +256,56 @@ def test_pseudonyms_keep_format_and_link():
         assert pii.pseudonymise(clean) == (clean, [])
 
 
+def test_strings_are_permuted_within_their_shape():
+    sets = ("0123456789", "abc")
+    for text, size in (("7", 10), ("b", 3), ("4a", 30), ("10c", 300), ("1-a2", 300)):
+        shape = [next(s for s in sets if c in s) if c.isalnum() else c for c in text]
+        every = ["".join(x) for x in itertools.product(*shape)]
+        got = {pii.classes(x, b"k", "t", sets) for x in every}
+        assert got == set(every) and len(got) == size
+    for x in ("Hello-World9", "q" * 100_000):
+        assert pii.classes(pii.classes(x, b"k", "t"), b"k", "t", inverse=True) == x
+
+
+def test_long_values_take_linear_time():
+    n = 100_000
+    cases = ["password=" + "a1B" * (n // 3), "x" * n + "@mail.example.com", "x" * n + " 1", "1_" * n + " @", "x@" + "a-a." * n + "1", "1" * n, "+1" * n, "1 " * n, "A" * n + "AB12" * n]
+    for text in cases:
+        start = time.perf_counter()
+        new, found = pii.pseudonymise(text)
+        assert len(new) == len(text) and (new != text) == bool(found)
+        assert time.perf_counter() - start < 10
+    assert [len(pii.pseudonymise(c)[1]) for c in cases[:4]] == [1, 1, 0, 0]
+
+
+def test_dates_have_one_pseudonym_in_all_spellings():
+    read, seen = {}, {}
+    for k in range(0, 73049, 8):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(k)
+        spelled = [day.isoformat(), f"{day.day:02d}.{day.month:02d}.{day.year}", f"{day.day}/{day.month}/{day.year}"]
+        if day.day > 12:
+            spelled.append(f"{day.month:02d}/{day.day:02d}/{day.year}")
+        for text in spelled:
+            new, found = pii.pseudonymise(text)
+            assert [f[0] for f in found] == ["date"]
+            if "-" in new:
+                value = datetime.date.fromisoformat(new)
+            else:
+                a, b, y = map(int, re.split("[/.]", new))
+                value = datetime.date(y, a, b) if b > 12 >= a else datetime.date(y, b, a)
+            assert read.setdefault(day, value) == value and seen.setdefault(value, day) == day
+
+
+def test_telephone_numbers():
+    link = [pii.pseudonymise(x)[0] for x in ("+1 (212) 555-0143", "+12125550143", "212-555-0143", "(212) 555-0143")]
+    assert len({"".join(c for c in x if c.isdigit())[-10:] for x in link}) == 1
+    assert pii.pseudonymise("012-555-0143 and +49") == ("012-555-0143 and +49", [])
+    for text, kept in (("+49 170 1234567", "+49 "), ("+358-40-123 4567", "+358-"), ("+442071234567", "+44")):
+        new, found = pii.pseudonymise(text)
+        assert found == [("abroad", 0, len(text))] and new.startswith(kept) and new != text and len(new) == len(text)
+    assert pii.pseudonymise("\u0661\u0662-\u0663\u0664-\u0665 5")[1] == []
+
+
 def test_pseudonyms_on_frames(spark):
     rows = [(1, "a@b.example.com"), (2, None), (3, ""), (4, "é " * 50000 + "10.0.0.1"), (5, "none"), (5, "none"), (6, "again a@b.example.com")]
     df = spark.createDataFrame([(*r, [1]) for r in rows], DOCS + ", pii_values array<int>")
@@ -218,6 +314,7 @@ def test_pseudonyms_on_frames(spark):
     assert out[4].text.startswith("é é") and out[4].found[0].kind == "address" and out[4].found[0].start == 100000
     assert out[6].text == "again " + out[1].text and out[1].text != "a@b.example.com"
     assert pii.pseudonymised(df.limit(0), listed="found").count() == 0
+    assert pii.pseudonymised(df.withColumnRenamed("text", "t.x").withColumn("text", F.lit("a@b.com"))).columns == ["doc_id", "t.x", "pii_values", "text", "pii_values_"]
 
 
 def near(got, sql, con):
