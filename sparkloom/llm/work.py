@@ -8,11 +8,8 @@ lineage without leaving copies on one machine.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
-import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,8 +103,6 @@ def small_batches(spark: SparkSession) -> None:
 class Workspace:
     """A folder of intermediate tables; removed when the interpreter ends."""
 
-    _live: "weakref.WeakSet[Workspace]" = weakref.WeakSet()
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         small_batches(spark)
@@ -123,12 +118,15 @@ class Workspace:
         df.write.option("compression", compression).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-        """Write ``df`` hashed and sorted by ``key``, so that joins on it need no shuffle of this side."""
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int, dealt: bool = False) -> DataFrame:
+        """Write ``df`` hashed and sorted by ``key``, so that joins on it need no shuffle of this side.
+
+        ``dealt``: without a shuffle for the writing either, for few large rows; each task writes its own files.
+        """
         self._n += 1
         table = f"sl_{uuid.uuid4().hex[:10]}_{name}"
         (
-            df.repartition(buckets, key)
+            (df if dealt else df.repartition(buckets, key))
             .write.option("compression", "zstd")
             .option("path", f"{self.path}/{self._n:02d}-{name}")
             .bucketBy(buckets, key)
@@ -139,13 +137,6 @@ class Workspace:
         self._tables.append(table)
         return self.spark.table(table)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of steps whose results are written and whose frames are gone."""
-        for _ in range(2):  # the gateway drops what Python dropped a moment later
-            gc.collect()
-            time.sleep(0.5)
-            self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df_path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         _delete(jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), df_path)

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -24,46 +25,112 @@ from sparkloom.llm.work import Workspace
 DOCS = "doc_id long, text string"
 
 
-def model_scores(rows):
+def good_turing(counts):
+    """Katz's factors for counts 1 to 5 from log-linear counts of counts, in plain Python."""
+    n = collections.Counter(c for c in counts if c <= 40)
+    r = sorted(n)
+    if len(r) < 2:
+        b = -2.0
+    else:
+        gap = [(hi - lo) / 2 for lo, hi in zip([0, *r[:-1]], [*r[1:], 2 * r[-1] - r[-2]])]
+        x, y = [math.log(v) for v in r], [math.log(n[v] / g) for v, g in zip(r, gap)]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        b = sum((p - mx) * (q - my) for p, q in zip(x, y)) / sum((p - mx) ** 2 for p in x)
+    types = lambda v: v ** min(b, -1.05)
+    tail = 6 * types(6) / types(1)
+    return {v: ((v + 1) * types(v + 1) / (v * types(v)) - tail) / (1 - tail) for v in range(1, 6)}, b
+
+
+def model_scores(rows, order):
     """Katz by dictionaries, for rows (doc_id, text, held)."""
-    docs = [(d, [*(t or "").encode().lower().split(), "</s>"] if (t or "").isascii() else None, h) for d, t, h in rows]
-    c1, c2, ch = collections.Counter(), collections.Counter(), collections.Counter()
+    docs = [(d, [*(t or "").encode().lower().split(), "</s>"], h) for d, t, h in rows]
+    grams = [collections.Counter() for _ in range(order)]
+    before = [collections.Counter() for _ in range(order)]
+    pad = ["<s>"] * (order - 1)
     for _, w, h in docs:
         if not h:
-            c1.update(w)
-            for p, x in zip(["<s>", *w], w):
-                c2[p, x] += 1
-                ch[p] += 1
-    n, v = sum(c1.values()), len(c1)
-    spectrum = lambda c: [sum(x == r for x in c.values()) for r in range(1, katz.TOP + 2)]
-    d1, d2 = katz.discounts(spectrum(c1)), katz.discounts(spectrum(c2))
-    cut = lambda c, d: c - katz.TAIL if c > katz.TOP else d[c] * c
-    unknown = 1 - sum(cut(x, d1) for x in c1.values()) / n if n else 1.0
-    one = lambda w: cut(c1[w], d1) / n if w in c1 else unknown
-    mass, low = collections.defaultdict(float), collections.defaultdict(float)
-    for (p, x), c in c2.items():
-        mass[p] += cut(c, d2) / ch[p]
-        low[p] += one(x)
-    prob = lambda p, x: cut(c2[p, x], d2) / ch[p] if c2[p, x] else one(x) * ((1 - mass[p]) / (1 - low[p]) if p in mass else 1)
+            w = pad + w
+            for i in range(len(pad), len(w)):
+                for k in range(order):
+                    grams[k][tuple(w[i - k : i + 1])] += 1
+                    before[k][tuple(w[i - k : i])] += 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    d = [good_turing(c.values())[0] for c in grams]
+    cut = [{g: c - 0.001 if c > 5 else d[k][c] * c for g, c in x.items()} for k, x in enumerate(grams)]
+    unknown = 1 - sum(cut[0].values()) / n if n else 1.0
+
+    def prob(context, w):
+        k = len(context)
+        if not k:
+            return cut[0][(w,)] / n if (w,) in cut[0] else unknown
+        if (*context, w) in cut[k]:
+            return cut[k][(*context, w)] / before[k][context]
+        return prob(context[1:], w) * (weight(context) if before[k][context] else 1)
+
+    known = {}
+
+    def weight(context):
+        if context not in known:
+            k = len(context)
+            after = followers[context]
+            known[context] = (1 - sum(cut[k][(*context, x)] for x in after) / before[k][context]) / (1 - sum(prob(context[1:], x) for x in after))
+        return known[context]
+
+    followers = collections.defaultdict(list)
+    for x in grams[1:]:
+        for g in x:
+            followers[g[:-1]].append(g[-1])
     out = {}
-    for d, w, h in docs:
-        out[d] = (h, len(w), sum(x in c1 for x in w), sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(prob(p, x)) for p, x in zip(["<s>", *w], w)))
-    return out, prob, c1, ch
+    for i, w, h in docs:
+        whole = pad + w
+        score = sum(math.log10(prob(tuple(whole[j : j + order - 1]), whole[j + order - 1])) for j in range(len(w)))
+        out[i] = (h, len(w), sum((x,) in grams[0] for x in w), sum(math.log10((grams[0][(x,)] + 1) / (n + v + 1)) for x in w), score)
+    return out, prob, grams
 
 
-def test_katz(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(spark, monkeypatch, order):
     monkeypatch.setattr(katz, "CHUNK", 400)  # many chunks
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["The", "the", "cat", "sat", "on", "mat", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(30))), i % 5 == 0) for i in range(120)]
     rows += [(500, None, False), (501, "", True), (502, "never seen words", True), (503, "the " * 3000, False), (504, "the " * 50 + "cat", True)]
     df = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", held boolean, chunk string")
-    got = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in katz.Katz(spark, df, buckets=5).scores.collect()}
-    want, prob, c1, ch = model_scores(rows)
+    model = katz.Katz(spark, df, buckets=5, order=order)
+    got = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in model.scores.collect()}
+    want, prob, grams = model_scores(rows, order)
     assert got.keys() == want.keys()
     for d in want:
         assert got[d][:3] == want[d][:3] and np.allclose(got[d][3:], want[d][3:], rtol=1e-9), d
-    for p in ["<s>", b"the", b"cat", *list(ch)[:20], "unseen context"]:
-        assert abs(sum(prob(p, x) for x in [*c1, "unknown word"]) - 1) < 1e-9  # exactly normalised
+    for d, x in zip(model.model.d, grams):
+        assert np.allclose(d[1:], list(good_turing(x.values())[0].values()))
+    contexts = {g[:-1] for x in grams[1:] for g in list(x)[:40] if len(g) > 1}
+    for c in [(), ("unseen context",), *contexts]:
+        assert abs(sum(prob(c, x) for (x,) in [*grams[0], ("unknown word",)]) - 1) < 1e-9  # exactly normalised
+
+
+def test_katz_sums_to_one_over_its_own_scores(spark):
+    """The implementation's probabilities of all that can follow some contexts: its scores of texts that go on with each word,
+    less what the dictionary model gives for the parts that they share."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 12))), False) for i in range(60)]
+    vocab = [*sorted({w for _, t, _ in rows for w in t.split()}), "unknown"]
+    contexts = ["", "a", "a b", "c c", "unknown", "h unknown", "unknown g", "d e f"]
+    ask = {}
+    for c in contexts:
+        for text in [c, *(f"{c} {w}".strip() for w in vocab)]:
+            if text not in ask:
+                ask[text] = 1000 + len(ask)
+                rows.append((ask[text], text, True))
+    score = {r.doc_id: r.score for r in katz.Katz(spark, spark.createDataFrame(rows, DOCS + ", held boolean"), order=3).scores.collect()}
+    _, prob, _ = model_scores([(d, t.encode().decode(), h) for d, t, h in rows], 3)
+    for c in contexts:
+        padded = ["<s>", "<s>", *(w.encode() for w in c.split())]
+        start = sum(math.log10(prob(tuple(padded[j - 2 : j]), padded[j])) for j in range(2, len(padded)))
+        total = 10 ** (score[ask[c]] - start)  # the end follows
+        for w in vocab:
+            after = prob((*padded, w.encode())[-2:], "</s>")
+            total += 10 ** (score[ask[f"{c} {w}".strip()]] - start) / after
+        assert abs(total - 1) < 1e-9, c
 
 
 def test_katz_edges(spark):
@@ -71,11 +138,26 @@ def test_katz_edges(spark):
     assert none.scores.count() == 0
     only = katz.Katz(spark, spark.createDataFrame([(1, "a b", True)], DOCS + ", held boolean"), buckets=2).scores.collect()
     assert [(r.n_tokens, r.n_known, r.base_score, r.score) for r in only] == [(3, 0, 0.0, 0.0)]
-    assert (katz.discounts([0] * 6)[1:] < 1).all() and (katz.discounts([100, 40, 22, 14, 10, 8])[1:] < 1).all()
+    for spectrum in ([0] * 42, [193655, 25105, 6496, 2179, 2497, 618] + [0] * 36, [100, 90, 80, 85, 90, 99] + [0] * 36):
+        assert ((katz.discounts(spectrum)[1:] < 1) & (katz.discounts(spectrum)[1:] > 0)).all()
     x = np.array([1, 5, 9, 2**63], dtype=np.uint64)
     assert (katz.unpack_keys(katz.pack_keys(x)) == x).all() and not len(katz.unpack_keys(katz.pack_keys(x[:0])))
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_katz_discounts_are_good_turing_at_every_size(spark, sf):
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path).select("doc_id", "text", katz.held_out(F.col("doc_id")).alias("held"))
+    model = katz.Katz(spark, docs).model
+    assert len(model.slopes) == 3 and all(s < katz.FLATTEST for s in model.slopes)  # never the exit
+    counts = collections.Counter()
+    for r in docs.filter("NOT held").select("text").toLocalIterator():
+        counts.update([*(bytes(c + 32 if 65 <= c <= 90 else c for c in (r.text or "").encode())).split(), "</s>"])
+    assert np.allclose(model.d[0][1:], list(good_turing(counts.values())[0].values())) and model.tokens == sum(counts.values())
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     plain = [f"word{i}" for i in range(300)]
