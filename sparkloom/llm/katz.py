@@ -403,26 +403,28 @@ def _pass(model: Model, spread: Spread):
                     place[asked[order]] = np.arange(len(asked)) + places
                     links.append(np.stack([text[late], place[context]]))
                     places += len(asked)
-                    asks.append((k, hashes[order]))
+                    # how often the context occurs, and the context that is left without its first word
+                    total = np.append(a.count[k - 2], model.texts)[asked]
+                    left = np.full(len(asked), model.tokens) if k == 2 else np.append(a.count[k - 3][levels[k - 2].lower], model.texts)[asked]
+                    asks.append((k, hashes[order], np.stack([total, left])[:, order]))
             kind = "held" if row["held"] else "train"
             if asks:
                 link = np.concatenate(links, axis=1)
                 pairs, n = np.unique(link[0] * places + link[1], return_counts=True)
                 out.append(("waiting", None, None, row["chunk"], c.ids, pack(numbers.ravel()), None, pack(np.stack([pairs, n]).ravel())))
-                out += [("ask", k, i, row["chunk"], None, None, pack_keys(spread.sent(k - 1, h)[s:e]), None) for k, h in asks for i, s, e in spread.parts(h)]
+                out += [("ask", k, i, row["chunk"], None, pack(m[:, s:e].ravel()), pack_keys(spread.sent(k - 1, h)[s:e]), None) for k, h, m in asks for i, s, e in spread.parts(h)]
             else:
                 out.append((kind, None, None, row["chunk"], c.ids, pack(numbers.ravel()), None, None))
             for k, x in enumerate(levels[1:], 2):
                 own = a.own[k - 1] & a.held_before(k, x)
                 if not own.any():
                     continue
-                # what this chunk adds up per context: discounted and whole counts, and the lower order's probabilities
-                of, low = x.context[own], x.lower[own]
-                count = a.count[k - 1][own]
-                below = levels[k - 2]
-                lower = model.unigram(known[low]) if k == 2 else discounted(a.count[k - 2][low], model.d[k - 2]) / np.maximum(1, a.before(k - 1, below)[low])
-                some, at = np.unique(of, return_inverse=True)
-                sums = np.stack([np.bincount(at, v, len(some)) for v in (discounted(count, model.d[k - 1]), count, lower)])
+                # what this chunk adds up per context: numbers of n-grams and of their lower parts by count, as integers,
+                # which take little room; with the discounts they give both sums that the weights need
+                below, low = levels[k - 2], a.count[k - 2][x.lower[own]]
+                some, at = np.unique(x.context[own], return_inverse=True)
+                by_count = lambda c: np.bincount(at * (TOP + 1) + np.minimum(c, TOP + 1) - 1, minlength=len(some) * (TOP + 1)).reshape(-1, TOP + 1).T
+                sums = np.concatenate([by_count(a.count[k - 1][own]), by_count(low), [np.bincount(at, np.where(low > TOP, low, 0), len(some)).astype(np.int64)]])
                 hashes = np.append(below.key, START)[some]
                 order = np.argsort(hashes)
                 hashes, sums = hashes[order], sums[:, order]
@@ -433,23 +435,33 @@ def _pass(model: Model, spread: Spread):
     return run
 
 
-def _weights(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _weights(model: Model):
     """log10 of the back-off weights that chunks ask for in a bucket of contexts."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    asks, sums = [r for r in rows if r["kind"] == "ask"], [r for r in rows if r["kind"] == "sum"]
-    asked = [unpack_keys(r["keys"]) for r in asks]
-    wanted = np.unique(np.concatenate(asked)) if asked else np.empty(0, dtype=np.uint64)
-    total = np.zeros((3, len(wanted)))
-    for r in sums if len(wanted) else []:
-        k, m = unpack_keys(r["keys"]), unpack(r["numbers"], np.float64).reshape(3, -1)
-        at = np.searchsorted(wanted, k).clip(max=len(wanted) - 1)
-        hit = wanted[at] == k
-        for t, v in zip(total, m, strict=True):
-            np.add.at(t, at[hit], v[hit])
-    weight = np.log10(np.maximum(1 - total[0] / np.maximum(total[1], 1), 1e-12) / np.maximum(1 - total[2], 1e-12))
-    level, bucket = (k.as_py() for k in key)
-    out = [(r["chunk"], level, bucket, pack(weight[np.searchsorted(wanted, k)])) for r, k in zip(asks, asked, strict=True)]
-    return _batch(out, ["chunk", "level", "bucket", "weights"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        level, bucket = (k.as_py() for k in key)
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        asks, sums = [r for r in rows if r["kind"] == "ask"], [r for r in rows if r["kind"] == "sum"]
+        asked = [unpack_keys(r["keys"]) for r in asks]
+        wanted = np.unique(np.concatenate(asked)) if asked else np.empty(0, dtype=np.uint64)
+        total, counts = np.zeros((2 * TOP + 3, len(wanted)), dtype=np.int64), np.ones((2, len(wanted)))
+        for r, k in zip(asks, asked, strict=True):
+            counts[:, np.searchsorted(wanted, k)] = unpack(r["numbers"], np.int64).reshape(2, -1)
+        for r in sums if len(wanted) else []:
+            k, m = unpack_keys(r["keys"]), unpack(r["numbers"], np.int64).reshape(len(total), -1)
+            at = np.searchsorted(wanted, k).clip(max=len(wanted) - 1)
+            hit = wanted[at] == k
+            for t, v in zip(total, m, strict=True):
+                np.add.at(t, at[hit], v[hit])
+        own, low, high = total[: TOP + 1], total[TOP + 1 : -1], total[-1]
+        r = np.arange(1, TOP + 1)
+        lost = (r * (1 - model.d[level - 1][1:])) @ own[:TOP] + TAIL * own[TOP]
+        lower = (r * model.d[level - 2][1:]) @ low[:TOP] + high - TAIL * low[TOP]
+        weight = np.log10(np.maximum(lost / counts[0], 1e-12) / np.maximum(1 - lower / counts[1], 1e-12))
+        out = [(r["chunk"], level, bucket, pack(weight[np.searchsorted(wanted, k)])) for r, k in zip(asks, asked, strict=True)]
+        return _batch(out, ["chunk", "level", "bucket", "weights"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+
+    return run
 
 
 def _finish(key: tuple[pa.Scalar, ...], waiting: pa.Table, weights: pa.Table) -> pa.Table:
@@ -507,7 +519,7 @@ class Katz:
         self.model = model = Model([found.get(k, [0] * (SPECTRUM + 2)) for k in range(1, order + 1)], texts)
         passed = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_pass(model, spread), PASSED)
         passed = ws.write(passed, "passed", "none")
-        weights = passed.filter("kind IN ('ask', 'sum')").select("kind", "level", "bucket", "chunk", "numbers", "keys").groupBy("level", "bucket").applyInArrow(_weights, "chunk long, level int, bucket int, weights binary")
+        weights = passed.filter("kind IN ('ask', 'sum')").select("kind", "level", "bucket", "chunk", "numbers", "keys").groupBy("level", "bucket").applyInArrow(_weights(model), "chunk long, level int, bucket int, weights binary")
         waiting = passed.filter("kind = 'waiting'").select("chunk", "ids", "numbers", "pending")
         done = waiting.groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(_finish, "ids array<long>, numbers binary").withColumn("held", F.lit(True))
         ready = passed.filter("kind IN ('train', 'held')").select("ids", "numbers", (F.col("kind") == "held").alias("held"))
