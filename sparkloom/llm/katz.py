@@ -53,6 +53,7 @@ SPARE_BITS = 24
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 CHUNK = 4 << 20  # bytes of text
 KEYS = 2_000_000  # tokens that make up a bucket
+MOST_FILES = 100_000  # buckets that Spark allows a table
 _ZSTD = pa.Codec("zstd")
 
 
@@ -502,14 +503,16 @@ class Katz:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         cut = docs.select("doc_id", "text", "held").mapInArrow(_cut, CHUNKS)
         # bucketed by the tasks that cut them, so the passes below read chunks without a shuffle
-        chunks = ws.bucketed(cut, "chunks", "chunk", buckets or least, dealt=True)
+        files = min(MOST_FILES, max(least, docs.rdd.getNumPartitions()))
+        chunks = ws.bucketed(cut, "chunks", "chunk", buckets or files, dealt=True)
         tokens, texts = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("held"), F.size("ids"))), F.lit(0))).first()
         spread = Spread(tokens, least, buckets)
-        counted = ws.write(chunks.mapInArrow(_requests(spread), ASKED).groupBy("level", "bucket").applyInArrow(_count, COUNTED), "counted", "none")
+        by = lambda df: df.repartition(spread.buckets, "level", "bucket").groupBy("level", "bucket")  # noqa: E731  tasks follow the data, too
+        counted = ws.write(by(chunks.mapInArrow(_requests(spread), ASKED)).applyInArrow(_count, COUNTED), "counted", "none")
         answers = counted.filter("chunk IS NOT NULL").select("chunk", "level", "bucket", "counts")
         for level in range(3, order + 1):
             asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_more_requests(spread, level, texts), ASKED)
-            more = ws.write(asked.groupBy("level", "bucket").applyInArrow(_count, COUNTED), "counted", "none")
+            more = ws.write(by(asked).applyInArrow(_count, COUNTED), "counted", "none")
             counted = counted.unionByName(more)
             answers = counted.filter("chunk IS NOT NULL").select("chunk", "level", "bucket", "counts")
         #: The model's count tables: level, bucket (range of hashes), keys, counts. N-grams that follow from their parts are not in it.
@@ -519,7 +522,7 @@ class Katz:
         self.model = model = Model([found.get(k, [0] * (SPECTRUM + 2)) for k in range(1, order + 1)], texts)
         passed = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_pass(model, spread), PASSED)
         passed = ws.write(passed, "passed", "none")
-        weights = passed.filter("kind IN ('ask', 'sum')").select("kind", "level", "bucket", "chunk", "numbers", "keys").groupBy("level", "bucket").applyInArrow(_weights(model), "chunk long, level int, bucket int, weights binary")
+        weights = by(passed.filter("kind IN ('ask', 'sum')").select("kind", "level", "bucket", "chunk", "numbers", "keys")).applyInArrow(_weights(model), "chunk long, level int, bucket int, weights binary")
         waiting = passed.filter("kind = 'waiting'").select("chunk", "ids", "numbers", "pending")
         done = waiting.groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(_finish, "ids array<long>, numbers binary").withColumn("held", F.lit(True))
         ready = passed.filter("kind IN ('train', 'held')").select("ids", "numbers", (F.col("kind") == "held").alias("held"))
