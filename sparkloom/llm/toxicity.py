@@ -1,23 +1,30 @@
 """Toxicity by weak supervision.
 
-1. From a bounded sample of labelled rows (``SAMPLE`` documents, those with the
-   smallest hashes of doc_id), the terms of each document are taken: words and
-   their first 4 to 7 bytes, so that inflected forms meet.
-2. Voters: the built-in lexicon, terms that the sample associates with toxic or
-   with clean text, and patterns of style. Each votes toxic, clean or abstains.
+1. From bounded samples of labelled and of unlabelled rows (``SAMPLE`` and
+   ``UNLABELLED`` documents, those with the smallest hashes of doc_id), the terms of
+   each document are taken: words and their first 4 to 7 bytes, so that inflected
+   forms meet.
+2. Voters: the built-in lexicon, terms that the labelled sample associates with toxic
+   or with clean text, and patterns of style. Each votes toxic, clean or abstains.
 3. A generative label model: the hidden label gives each voter's vote with its
-   own accuracy and coverage (EM, with the known labels as one more voter of
-   fixed accuracy). Voters whose votes are correlated beyond what the label
-   explains share one weight.
+   own accuracy and coverage, estimated by EM over all rows. Known labels count in
+   the estimates of accuracies, never in a row's posterior, which is that of its
+   votes alone. Voters that depend on each other beyond what the label explains are
+   weighed by the inverse of their estimated correlations, so that m copies of a
+   voter count as one.
 4. A linear classifier on the presence of terms is trained on the posterior
    labels and scores every document's whole text.
 
-Labels, lang, source and doc_id are no inputs of a score.
+Labels, lang, source and doc_id are no inputs of a score. The fit is bounded by four
+parameters: both sample sizes, ``MAX_TERMS`` terms of the classifier and
+``MAX_VOTERS`` voters, the most telling ones first.
 
 Edge cases: a null text counts as empty; an empty text, one without known terms,
 and any text when there are no usable labels get the score of the bias alone;
 null labels and labels of unknown documents are left out; contradictory labels
-of a document count as toxic if any says so; repeated rows score alike.
+of a document count as toxic if any says so; repeated rows score alike; whole texts
+count, a very long one being a batch of its own; an empty table has no scores; columns
+other than doc_id and text are not read or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +37,18 @@ from pyspark.sql import functions as F
 from .text import LOWER, Texts, lists, pieces, word_hash
 from .work import Workspace, through
 
-SAMPLE = 12_000
-MAX_TERMS = 4096
+SAMPLE, UNLABELLED = 12_000, 6_000
+MAX_TERMS, MAX_VOTERS = 16_384, 800
 PREFIXES = (4, 5, 6, 7)
-#: Common English insults, each a voter of its own.
-LEXICON = ("clown", "disgusting", "fool", "garbage", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: Common insults in English, French, German and Spanish, each a voter of its own.
+LEXICON = (
+    "bastard", "brainless", "clown", "coward", "cretin", "crap", "damn", "despicable", "dimwit", "disgusting", "dumb", "dunce", "filth", "filthy", "fool", "freak", "garbage", "gross", "idiot", "idiotic", "ignorant", "imbecile", "jerk", "lame", "liar", "loser", "lousy",
+    "lunatic", "moron", "moronic", "nasty", "nitwit", "nonsense", "pathetic", "pig", "rat", "repulsive", "revolting", "rotten", "rubbish", "scum", "scumbag", "shameful", "sick", "sleazy", "spineless", "stupid", "sucker", "swine", "trash", "ugly", "useless", "vermin", "vile", "weakling", "worthless", "wretch",
+    "abruti", "connard", "cr\u00e9tin", "d\u00e9bile", "imb\u00e9cile", "minable", "ordure", "salaud", "arschloch", "bl\u00f6d", "depp", "dreck", "dummkopf", "schwachkopf", "schwein", "trottel", "basura", "cerdo", "est\u00fapido", "idiota", "imb\u00e9cil", "in\u00fatil", "mierda", "tonto",
+)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 TOXIC_RATIO, CLEAN_RATIO = 20.0, 40.0
-GOLD = 0.98  # accuracy of a given label in the label model
 
 
 def terms(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -87,41 +97,58 @@ def term_hash(word: str) -> int:
     return int(word_hash(b, np.array([0]), np.array([len(b)]))[0])
 
 
-def _shares(votes: np.ndarray) -> np.ndarray:
-    """A weight for each voter: voters whose votes correlate share one."""
-    if not votes.shape[1]:
-        return np.ones(0)
-    v = votes - votes.mean(axis=0)
-    sd = v.std(axis=0) + 1e-9
-    c = np.abs((v.T @ v) / len(v) / np.outer(sd, sd))
-    return 1 / np.maximum(1, np.where(c > 0.25, c, 0).sum(axis=1))
+def dependence_weights(rest: np.ndarray, apart: np.ndarray, strength: float = 3.0) -> np.ndarray:
+    """A weight for each voter from ``rest``, the votes less what the label explains (documents x voters).
+
+    ``apart``: how far the label moves each voter's mean vote. In standard units that
+    is t, and the best linear combination of voters of correlation R takes R^-1 t where
+    independent ones take t; the weights are the quotient of the two, from 0 to 1. So m
+    copies get 1 / m each, and a voter that adds nothing to another gets none.
+    Correlations under ``strength`` standard errors are taken as none.
+    """
+    n, m = rest.shape
+    if not m or not n:
+        return np.ones(m)
+    rest = rest - rest.mean(axis=0)
+    sd = np.maximum(rest.std(axis=0), 1e-6)
+    c = (rest.T @ rest) / n / np.outer(sd, sd)
+    c[np.abs(c) < strength / np.sqrt(n)] = 0
+    np.fill_diagonal(c, 1)
+    t, ridge = apart / sd, 0.1
+    t = np.where(np.abs(t) < 1e-6, 1e-6, t)
+    return np.clip(np.linalg.solve(c + ridge * np.eye(m), (1 + ridge) * t) / t, 0, 1)
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Posterior probability of label 1 from ``votes`` (documents x voters, of -1, 0, 1).
+    """Posterior probability of label 1 from ``votes`` (documents x voters, of -1, 0, 1), for each row from its votes alone.
 
-    ``gold``: 1, 0, or -1 where no label is known.
+    ``gold``: 1, 0, or -1 where no label is known; used for the voters' accuracies only.
     """
     n, m = votes.shape
-    prior = 0.1 if not (gold >= 0).any() else float(np.clip(gold[gold >= 0].mean(), 0.01, 0.9))
-    told = np.where(gold < 0, 0.0, np.where(gold == 1, 1.0, -1.0) * np.log(GOLD / (1 - GOLD)))
-    weight = _shares(votes.astype(np.float64))
-    post = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + told + votes @ weight)))
+    known = gold >= 0
     pos, neg = (votes > 0).astype(np.float64), (votes < 0).astype(np.float64)
+    prior = float(np.clip(gold[known].mean(), 0.005, 0.95)) if known.any() else 0.1
+    start = np.log(prior / (1 - prior)) + votes.sum(axis=1)
+    post, weight = 1 / (1 + np.exp(-np.clip(start, -30, 30))), np.ones(m)
     for r in range(rounds):
-        a, b = post.sum(), n - post.sum()
-        p1, p0 = (post @ pos + 0.1) / (a + 1), ((1 - post) @ pos + 0.1) / (b + 1)
-        q1, q0 = (post @ neg + 0.1) / (a + 1), ((1 - post) @ neg + 0.1) / (b + 1)
-        prior = float(np.clip(post.mean(), 0.005, 0.95))
-        if r == 5 and m:
-            # correlation of votes that is left once the label is known
-            weight = _shares(votes - np.outer(post, p1 - q1) - np.outer(1 - post, p0 - q0))
+        # the first estimates are from known labels alone, where there are any
+        label = np.where(known, gold, post)
+        share = known.astype(np.float64) if r == 0 and known.any() else np.ones(n)
+        a, b = (share * label).sum(), (share * (1 - label)).sum()
+        yes, no = share * label, share * (1 - label)
+        p1, p0 = (yes @ pos + 0.1) / (a + 1), (no @ pos + 0.1) / (b + 1)
+        q1, q0 = (yes @ neg + 0.1) / (a + 1), (no @ neg + 0.1) / (b + 1)
+        prior = float(np.clip(a / (a + b), 0.005, 0.95))
+        if r == (0 if known.any() else 3):  # from known labels, as dependent voters can make up a label of their own
+            some = share > 0
+            weight = dependence_weights(votes[some] - np.outer(label[some], p1 - q1) - np.outer(1 - label[some], p0 - q0), p1 - q1 - p0 + q0)
         away = np.log((1 - p1 - q1).clip(1e-6)) - np.log((1 - p0 - q0).clip(1e-6))
         gain = pos @ (weight * (np.log(p1 / p0) - away)) + neg @ (weight * (np.log(q1 / q0) - away)) + (weight * away).sum()
-        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + told + gain, -30, 30)))
-        if np.abs(new - post).max(initial=0) < 1e-4:
-            return new
+        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + gain, -30, 30)))
+        change = np.abs(new - post).max(initial=0)
         post = new
+        if r > 3 and change < 1e-4:
+            break
     return post
 
 
@@ -144,27 +171,31 @@ def term_statistics(rows: DataFrame, toxic: int, n: int) -> DataFrame:
     return per.filter(chosen | common | listed).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS)
 
 
-def fit(vocab: np.ndarray, df: np.ndarray, in_toxic: np.ndarray, odds: np.ndarray, ratio: np.ndarray, doc: np.ndarray, code: np.ndarray, style: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(term hashes in order, weights, bias); (doc, code) are the pairs of documents and places in ``vocab``."""
-    n = len(gold)
-    chosen = np.flatnonzero(((odds > 1) & (ratio > TOXIC_RATIO)) | ((odds < 0) & (ratio > CLEAN_RATIO)))
-    # voters: terms for toxic, terms for clean, the lexicon, patterns of style
-    lexicon = np.searchsorted(vocab, np.array([term_hash(w) for w in LEXICON], dtype=np.uint64)).clip(max=max(0, len(vocab) - 1))
-    lexicon = [i for i, w in zip(lexicon.tolist(), LEXICON, strict=True) if len(vocab) and int(vocab[i]) == term_hash(w)]
+def voters(vocab, df, in_toxic, odds, ratio, doc, code, style, n: int) -> np.ndarray:
+    """Votes (documents x voters) of the lexicon, of terms for toxic and for clean, and of patterns of style."""
+    place = np.searchsorted(vocab, np.array([term_hash(w) for w in LEXICON], dtype=np.uint64)).clip(max=max(0, len(vocab) - 1))
+    lexicon = [i for i, w in zip(place.tolist(), LEXICON, strict=True) if len(vocab) and int(vocab[i]) == term_hash(w)]
     strong = np.flatnonzero((in_toxic >= 3) & (odds > 2.5) & (ratio > TOXIC_RATIO))
-    strong = strong[np.argsort(-(in_toxic * odds)[strong], kind="stable")[:400]]
-    mild = np.flatnonzero((df >= max(20, n // 50)) & (odds < -0.5))
-    mild = mild[np.argsort(odds[mild], kind="stable")[:20]]
-    voters = list(dict.fromkeys([*lexicon, *strong.tolist(), *mild.tolist()]))
-    votes = np.zeros((n, len(voters) + style.shape[1]), dtype=np.int8)
+    mild = np.flatnonzero((odds < -0.5) & (ratio > CLEAN_RATIO))
+    chosen = np.concatenate([strong, mild])
+    chosen = chosen[np.argsort(-ratio[chosen], kind="stable")]
+    named = list(dict.fromkeys([*lexicon, *chosen.tolist()]))[:MAX_VOTERS]
+    votes = np.zeros((n, len(named) + style.shape[1]), dtype=np.int8)
     column = np.full(len(vocab), -1)
-    column[voters] = np.arange(len(voters))
+    column[named] = np.arange(len(named))
     hit = column[code] >= 0
-    sign = np.where(np.isin(np.array(voters, dtype=np.int64), mild), -1, 1).astype(np.int8)
+    sign = np.where(np.isin(np.array(named, dtype=np.int64), mild), -1, 1).astype(np.int8)
     votes[doc[hit], column[code[hit]]] = sign[column[code[hit]]]
     for s in range(style.shape[1]):
-        votes[:, len(voters) + s] = (style[:, s] > np.quantile(style[:, s], 0.98)).astype(np.int8)
-    post = label_model(votes, gold)
+        votes[:, len(named) + s] = (style[:, s] > np.quantile(style[:, s], 0.98)).astype(np.int8)
+    return votes
+
+
+def fit(vocab: np.ndarray, df: np.ndarray, in_toxic: np.ndarray, odds: np.ndarray, ratio: np.ndarray, doc: np.ndarray, code: np.ndarray, style: np.ndarray, gold: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(term hashes in order, weights, bias); (doc, code) are the pairs of documents and places in ``vocab``, ``ids`` the documents' (unused)."""
+    n = len(gold)
+    chosen = np.flatnonzero(((odds > 1) & (ratio > TOXIC_RATIO)) | ((odds < 0) & (ratio > CLEAN_RATIO)))
+    post = label_model(voters(vocab, df, in_toxic, odds, ratio, doc, code, style, n), gold)
     # logistic regression on presence, by full-batch AdaGrad over the sparse pairs
     slot = np.full(len(vocab), -1)
     slot[chosen] = np.arange(len(chosen))
@@ -195,23 +226,31 @@ def _gather(schema_cols: list[str]):
     return run
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Fits on a sample of at most ``sample`` of ``labels`` (doc_id, toxic); returns what ``fit`` does.
+def _picked(spark: SparkSession, rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows (doc_id, toxic) with the smallest hashes of doc_id."""
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()  # n rows at most
+    return spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in got], "doc_id long, toxic int")
+
 
-    The sample is a fixed number of documents whatever the input, and only their
-    distinct terms reach the driver.
+def sampled(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, unlabelled: int = UNLABELLED) -> dict | None:
+    """What ``fit`` takes, from at most ``sample`` of ``labels`` (doc_id, toxic) and ``unlabelled`` documents without any.
+
+    The samples are a fixed number of documents whatever the input, and only their
+    distinct terms reach the driver. None if there are no labels of both kinds.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = spark.createDataFrame(picked.toPandas(), "doc_id long, toxic int")  # at most ``sample`` rows
-    # a repeated doc_id counts once, so the sample's bound holds
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id")
+    other = named.join(known, "doc_id", "leftanti").distinct().withColumn("toxic", F.lit(-1))
+    picked = _picked(spark, known, sample).unionByName(_picked(spark, other, unlabelled))
+    # a repeated doc_id counts once, so the samples' bounds hold
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
     ws = Workspace(spark, "toxicity")
-    rows = texts.mapInArrow(_gather(["doc_id", "toxic"]), "doc_id long, toxic int, terms array<long>, style array<double>")
-    rows = ws.write(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("terms", F.hash("terms")).alias("terms"), F.min_by("style", F.hash("terms")).alias("style")), "sample")
+    every = texts.mapInArrow(_gather(["doc_id", "toxic"]), "doc_id long, toxic int, terms array<long>, style array<double>")
+    every = ws.write(every.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("terms", F.hash("terms")).alias("terms"), F.min_by("style", F.hash("terms")).alias("style")), "sample")
+    rows = every.filter("toxic >= 0")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not toxic or toxic == n:
-        return np.empty(0, dtype=np.uint64), np.empty(0), -2.0 if not toxic else 2.0
+        return None
     stats = term_statistics(rows, toxic, n).toPandas()  # at most MAX_TERMS rows
     vocab = stats["term"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(vocab)
@@ -226,12 +265,21 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             at = np.searchsorted(sent.value, t).clip(max=max(0, len(sent.value) - 1))
             hit = (sent.value[at] == t) if len(sent.value) else np.zeros(len(t), dtype=bool)
             count = np.bincount(np.repeat(np.arange(len(size)), size)[hit], minlength=len(size))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("style"), lists(at[hit].astype(np.int64), count)], names=["toxic", "style", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("style"), lists(at[hit].astype(np.int64), count)], names=["doc_id", "toxic", "style", "codes"])
 
-    got = rows.orderBy("doc_id").mapInArrow(known_terms, "toxic int, style array<double>, codes array<long>").toArrow()
+    got = every.orderBy("doc_id").mapInArrow(known_terms, "doc_id long, toxic int, style array<double>, codes array<long>").toArrow()
     col = got.column("codes").combine_chunks()
-    doc = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(col)))
-    return fit(vocab, df, both, odds, ratio, doc, np.asarray(col.flatten()), np.array(got.column("style").to_pylist()), np.asarray(got.column("toxic")))
+    doc = np.repeat(np.arange(got.num_rows), np.asarray(pa.compute.list_value_length(col)))
+    return {"vocab": vocab, "df": df, "in_toxic": both, "odds": odds, "ratio": ratio, "doc": doc, "code": np.asarray(col.flatten()), "style": np.array(got.column("style").to_pylist()), "gold": np.asarray(got.column("toxic")), "ids": np.asarray(got.column("doc_id"))}
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, unlabelled: int = UNLABELLED):
+    """The classifier (terms, weights, bias) that ``fit`` makes of samples of ``labels`` (doc_id, toxic) and ``docs``."""
+    got = sampled(spark, docs, labels, sample, unlabelled)
+    if got is None:  # of one kind only, or none
+        some = docs.select("doc_id").join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "leftsemi").limit(1).count()
+        return np.empty(0, dtype=np.uint64), np.empty(0), 2.0 if some else -2.0
+    return fit(**got)
 
 
 def scores(t: Texts, model) -> np.ndarray:
@@ -247,7 +295,7 @@ def scores(t: Texts, model) -> np.ndarray:
 
 def scored(spark: SparkSession, docs: DataFrame, model) -> DataFrame:
     """doc_id and toxicity double in 0..1 of ``docs`` (doc_id, text), from whole texts."""
-    sent = spark.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    sent = spark.sparkContext.broadcast(model)  # MAX_TERMS terms at most
 
     def run(batches):
         for whole in batches:
@@ -287,6 +335,7 @@ def trained_on_open(spark: SparkSession, docs: DataFrame, sf_dir: str):
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all ``documents``, learnt from the labels of the others than the held-out ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = scored(spark, docs, trained_on_open(spark, docs, sf_dir))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

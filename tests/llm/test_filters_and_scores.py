@@ -185,6 +185,8 @@ def test_toxicity(spark):
     assert kept.columns == extra.columns and kept.count() == sum(r.toxicity < 0.5 for r in got)
     empty = toxicity.train(spark, docs, known.limit(0))
     assert toxicity.scored(spark, docs.limit(3), empty).filter("toxicity < 0.5").count() == 3
+    only = toxicity.train(spark, docs, known.filter("toxic = 1"))
+    assert toxicity.scored(spark, docs.limit(3), only).filter("toxicity > 0.5").count() == 3
     assert toxicity.scored(spark, docs.limit(0), model).count() == 0
 
 
@@ -198,6 +200,62 @@ def test_label_model_weighs_voters_that_repeat_each_other_less():
     assert ((post > 0.5) == y).mean() > 0.85
 
 
+def test_label_model_against_loops():
+    """EM written out row by row and voter by voter, for voters that do not depend on each other."""
+    rng = np.random.default_rng(8)
+    n, m = 400, 4
+    y = rng.random(n) < 0.3
+    votes = np.stack([np.where(rng.random(n) < np.where(y, 0.7, 0.1 + 0.05 * j), 1 if j < 3 else -1, 0) for j in range(m)], axis=1).astype(np.int8)
+    gold = np.where(rng.random(n) < 0.4, y.astype(int), -1)
+    post = [0.5] * n
+    for r in range(4):
+        label = [float(g) if g >= 0 else p for g, p in zip(gold, post)]
+        used = [i for i in range(n) if r or gold[i] >= 0]
+        a, b = sum(label[i] for i in used), sum(1 - label[i] for i in used)
+        rate = lambda j, v, one: (sum((label[i] if one else 1 - label[i]) for i in used if votes[i, j] == v) + 0.1) / ((a if one else b) + 1)
+        table = [{v: (rate(j, v, 1), rate(j, v, 0)) for v in (1, -1)} for j in range(m)]
+        for i in range(n):
+            odds = math.log(a / b)
+            for j in range(m):
+                v = int(votes[i, j])
+                one, zero = table[j][v] if v else (1 - table[j][1][0] - table[j][-1][0], 1 - table[j][1][1] - table[j][-1][1])
+                odds += math.log(one / zero)
+            post[i] = 1 / (1 + math.exp(-odds))
+    independent = lambda rest, apart: np.ones(rest.shape[1])
+    kept, toxicity.dependence_weights = toxicity.dependence_weights, independent
+    try:
+        assert np.allclose(toxicity.label_model(votes, gold, 4), post, atol=1e-9)
+    finally:
+        toxicity.dependence_weights = kept
+
+
+def test_dependence_weights():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 3))
+    copies = np.stack([x[:, 0]] * 4 + [x[:, 1]], axis=1)
+    w = toxicity.dependence_weights(copies, np.ones(5))
+    assert np.allclose(w[:4], 0.25, atol=0.03) and abs(w[4] - 1) < 0.03
+    noisy = np.stack([x[:, 0], x[:, 0] + x[:, 2]], axis=1)  # the second adds nothing to the first
+    w = toxicity.dependence_weights(noisy, np.array([1.0, 1.0]))
+    assert w[0] > 0.8 and w[1] < 0.2
+
+
+def test_label_model_alone_beats_the_lexicon_on_held_out_rows(spark):
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    got = toxicity.sampled(spark, docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    votes = toxicity.voters(*(got[k] for k in ("vocab", "df", "in_toxic", "odds", "ratio", "doc", "code", "style")), len(got["gold"]))
+    post = dict(zip(got["ids"].tolist(), toxicity.label_model(votes, got["gold"]).tolist()))
+    held = {r.doc_id: r.toxic for r in labels.filter(toxicity.held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).collect() if r.doc_id in post}
+    text = {r.doc_id: set(re.findall("[a-z\u00c0-\u024f]+", (r.text or "").lower())) for r in docs.collect() if r.doc_id in held}
+    errors = lambda said: sum(said(d) != t for d, t in held.items())
+    model, never, lexicon = errors(lambda d: int(post[d] >= 0.5)), errors(lambda d: 0), errors(lambda d: int(bool(text[d] & set(toxicity.LEXICON))))
+    assert len(held) > 300 and model < lexicon < never
+
+
 ITEM = "The quick brown fox jumps over the lazy dog while seven wizards brew a potion of strange green colour."
 
 
