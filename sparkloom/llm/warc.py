@@ -14,9 +14,11 @@ session's threshold and joins by shuffle otherwise.
 
 Edge cases: a null html is an empty payload; a null url leaves the target out; a
 null page_id revisits a known one and is a response otherwise; rows that repeat a
-page_id with the same payload are each a record of the same type; an empty table
-makes no archive and no row; a record larger than memory for one file's record is
-not supported (records, not archives, are held whole).
+page_id with the same payload are each a record of the same type; record ids name the
+page and its payload, so only such rows share one; an empty table makes no archive and
+no row; columns other than page_id, url and html are not read, whatever their names.
+Archives are streamed, both ways: a task holds one record at a time, never an archive,
+so a record must fit in memory and an archive of any size need not.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def records(ws: Workspace, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     same = ws.write(same, "repeated")
     rows = rows.join(same, ["sha", "size"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    uri = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    uri = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(":"), F.lower(F.hex("sha")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(again, http).otherwise(F.concat(http, F.col("payload")))
     line = lambda name, c: F.concat(F.lit(name + ": "), c, F.lit("\r\n"))
@@ -83,18 +85,20 @@ def write_archives(ws: Workspace, pages: DataFrame, path: str, min_bytes: int =
     records(ws, pages, min_bytes).write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).mode("overwrite").text(path)
 
 
-def inflated(data: bytes, step: int = 1 << 18):
-    """The inflated bytes of a gzip file of one or more members, in parts."""
-    view, at = memoryview(data), 0
-    d = zlib.decompressobj(31)
-    while at < len(view):
-        out = d.decompress(view[at : at + step])
-        at += step
-        if d.eof:
-            at -= len(d.unused_data)
-            d = zlib.decompressobj(31)
+def inflated(read, step: int = 1 << 18):
+    """The inflated bytes of a gzip file of one or more members, in parts; ``read(n)`` gives its next bytes."""
+    d, data = zlib.decompressobj(31), read(step)
+    while data:
+        out = d.decompress(data, step * 4)
         if out:
             yield out
+        if d.eof:
+            data = d.unused_data or read(step)
+            d = zlib.decompressobj(31)
+        else:
+            data = d.unconsumed_tail or read(step)
+    if rest := d.flush():
+        yield rest
 
 
 def split_records(parts):
@@ -133,6 +137,8 @@ def header(head: bytes, name: bytes) -> str | None:
 
 
 def _open(base: str):
+    if base.startswith("file:/") and not base.startswith("file://"):  # as Spark names local files
+        base = "file://" + base[len("file:") :]
     where, path = fs.FileSystem.from_uri(base)
     return where, path.rstrip("/")
 
@@ -154,13 +160,18 @@ def normalise(spark: SparkSession, source: str, base: str) -> DataFrame:
         where, path = _open(base)
         where.create_dir(path, recursive=True)
         for b in batches:
-            for name, content in zip(b.column("path"), b.column("content"), strict=True):
-                name = name.as_py().rsplit("/", 1)[1].split(".")[0] + ".warc.gz"
+            for archive in b.column("path").to_pylist():
+                there, file = _open(archive)
+                name = file.rsplit("/", 1)[1].split(".")[0] + ".warc.gz"
                 index: list[str] = []
 
-                def members(out, content=content, index=index):
+                def members(out, there=there, file=file, index=index):
+                    with there.open_input_stream(file, compression=None) as whole:
+                        write_members(out, inflated(whole.read), index)
+
+                def write_members(out, parts, index):
                     at = 0
-                    for head, block in split_records(inflated(content.as_buffer())):
+                    for head, block in split_records(parts):
                         c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         size = sum(out.write(x) or len(x) for x in (c.compress(head), c.compress(block), c.compress(b"\r\n\r\n"), c.flush()))
                         index.append(f"{at}\t{size}\t{header(head, b'warc-record-id')}\n")
@@ -170,9 +181,9 @@ def normalise(spark: SparkSession, source: str, base: str) -> DataFrame:
                 _put(where, path, name + ".idx", lambda out, index=index: out.write("".join(index).encode()))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["archive", "entries"])
 
-    # one file a task at least: an archive is inflated once, by one task
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
-    return files.select("path", "content").mapInArrow(run, "archive string, entries long")
+    # an archive is inflated once, by one task; its content is streamed there, only names are dealt
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
+    return files.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, "archive string, entries long")
 
 
 def parse(member: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -187,7 +198,7 @@ def parse(member: bytes) -> tuple[int | None, int, str, str, int | None]:
     if kind == "response":
         if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
             raise ValueError(f"{header(head, b'warc-record-id')}: the payload does not match its digest")
-    number = lambda s: int(n) if s and (n := s[len("<urn:x-page:") : -1]) else None
+    number = lambda s: int(n) if s and (n := s[len("<urn:x-page:") :].split(":")[0]) else None
     return number(header(head, b"warc-record-id")), size, digest, kind, number(header(head, b"warc-refers-to"))
 
 
@@ -211,6 +222,7 @@ def read_archives(archives: DataFrame, base: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record that ``pages`` make, read back from the archives."""
     ws = Workspace(spark, "warc")
     whole, base = f"{ws.path}/whole", f"{ws.path}/archives"
     write_archives(ws, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), whole)
