@@ -8,7 +8,9 @@ so reruns agree.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in order; a null doc_id hashes as the empty string; repeated rows each count;
-an empty table gives an empty result; other columns are passed through unread.
+an empty table gives an empty result; whole texts count, however long; other columns
+are passed through unread, whatever their names (those of ``copies``' own columns
+take underscores until they are free in ``mixed``).
 """
 
 from __future__ import annotations
@@ -17,11 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .work import Workspace, columns, free_name
+from .work import Workspace, columns
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources up to this many (about 100 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
     order = W.orderBy(F.col("source").asc_nulls_last())
     every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("w", weight.cast("long")).withColumn("cap", F.col("source_size") * max_repeat)
-    before = W.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("w", weight.cast("long")).withColumn("cap", F.col("source_size").cast("decimal(38,0)") * max_repeat)
+    before = W.orderBy(F.col("cap").cast("double") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     per = (
         per.withColumn("total", F.sum("source_size").over(every))
         .withColumn("all_w", F.sum("w").over(every))
@@ -67,28 +67,35 @@ def uniform(seed: int, doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def copies(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, size: Column | None = None) -> DataFrame:
-    """``docs`` with __mix_size, __mix_source_size, __mix_target and __mix_copies."""
-    docs = docs.withColumn("__mix_size", word_count(F.col("text")) if size is None else size)
-    per = source_targets(docs.select("source", F.col("__mix_size").alias("size")), weights, max_repeat)
+def copies(spark: SparkSession, docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, size: Column | None = None, prefix: str = "__mix_") -> DataFrame:
+    """``docs`` with __mix_size, __mix_source_size, __mix_target and __mix_copies.
+
+    The table of targets is written, so Spark knows its size and broadcasts it below
+    the session's threshold; beyond, it splits the hot sources of the join.
+    """
+    name = lambda c: prefix + c
+    docs = docs.withColumn(name("size"), word_count(F.col("text")) if size is None else size)
+    per = source_targets(docs.select("source", F.col(name("size")).alias("size")), weights, max_repeat)
     per = Workspace(spark, "mixing").write(per, "targets")
-    per = per.select(_key(F.col("source")).alias("__mix_key"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"))
-    if per.count() <= BROADCAST_SOURCES:
-        per = F.broadcast(per)
-    rate = F.when(F.col("__mix_source_size") > 0, F.col("__mix_target") / F.col("__mix_source_size")).otherwise(F.lit(0.0))
-    out = docs.withColumn("__mix_key", _key(F.col("source"))).join(per, "__mix_key").drop("__mix_key")
+    per = per.select(_key(F.col("source")).alias(name("key")), F.col("source_size").alias(name("source_size")), F.col("target").alias(name("target")))
+    rate = F.when(F.col(name("source_size")) > 0, F.col(name("target")) / F.col(name("source_size"))).otherwise(F.lit(0.0))
+    out = docs.withColumn(name("key"), _key(F.col("source"))).join(per, name("key")).drop(name("key"))
     more = (uniform(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    return out.withColumn("__mix_copies", F.floor(rate) + more)
+    return out.withColumn(name("copies"), F.floor(rate) + more)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
-    out = copies(spark, docs, **how).filter("__mix_copies > 0")
-    out = out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
-    return out.select(*docs.columns)
+    prefix = "__mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    out = copies(spark, docs, prefix=prefix, **how).filter(F.col(prefix + "copies") > 0)
+    out = out.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.col(prefix + "copies"))))
+    return out.select(*columns(docs))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of all ``documents``, weights 5, 2, 1 and three repeats at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     out = copies(spark, docs)
     return out.select(
