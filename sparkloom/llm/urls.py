@@ -9,7 +9,10 @@ Explicit rules go before the reputation.
 Edge cases: a null url or one without ``://`` has empty host and path; null
 outcomes are left out; repeated outcomes of a page count once (bad if any is
 bad); hosts without outcomes take the shrunken rate of their domain; with no
-outcomes at all nothing is blocked.
+outcomes at all nothing is blocked; a port, a user name or a trailing dot belongs to
+the host but not to its domain; addresses (also IPv6 in brackets) are their own
+domain; very long urls count whole; repeated pages give a row each; empty tables give
+no rows; columns other than those named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .work import Workspace
+
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Public suffixes of two labels that are told apart.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "org.uk")
+#: Public suffixes of two labels that are told apart unless a longer list is given.
+TWO_LABEL_SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg",
+    "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "github.io", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.mx", "org.nz", "org.uk", "org.za", "blogspot.com",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+BESIDE, ADDRESS = r"^.*@|\.*(:[0-9]*)?$", r"^([0-9.]+|\[.*)$"
 Z, MAX_BAD = 1.645, 0.25
 
 
@@ -41,11 +50,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix; an address or single label is its own domain."""
+def domain_and_suffix(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix, without user, port and trailing dots; an address or single label is its own domain.
+
+    ``suffixes``: the public suffixes of more than one label (two of them are looked at).
+    """
+    host = F.regexp_replace(host, BESIDE, "")
     two = F.substring_index(host, ".", -2)
-    known = two.isin(*TWO_LABEL_SUFFIXES)
-    address = host.rlike(r"^[0-9.]+$")
+    known = two.isin(*suffixes)
+    address = host.rlike(ADDRESS)
     suffix = F.when(address, F.lit("")).when(known, two).otherwise(F.substring_index(host, ".", -1))
     return F.when(address, host).when(known, F.substring_index(host, ".", -3)).otherwise(two), suffix
 
@@ -64,6 +77,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     """Posterior (bad_mean, bad_low) of each of ``hosts`` (host) from ``outcomes`` (host, bad)."""
     dom, suf = domain_and_suffix(F.col("host"))
     per_host = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("x")).filter("n > 0").withColumn("domain", dom).withColumn("suffix", suf)
+    per_host = Workspace(hosts.sparkSession, "urls").write(per_host, "per-host")  # the outcomes are counted once
     per_dom = per_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     per_suf = per_dom.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     # three rows of two numbers: the only thing that reaches the driver
@@ -111,11 +125,13 @@ WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '{PARTS}', 2) AS path FROM pages
 ), h AS (
-  SELECT DISTINCT host, string_split(host, '.') AS l, regexp_matches(host, '^[0-9.]+$') AS addr FROM p
+  SELECT DISTINCT host, regexp_replace(host, '{BESIDE}', '', 'g') AS bare FROM p
+), h1 AS (
+  SELECT host, bare, string_split(bare, '.') AS l, regexp_matches(bare, '{ADDRESS}') AS addr FROM h
 ), h2 AS (
-  SELECT host, l, addr, array_to_string(l[-2:], '.') AS two FROM h
+  SELECT host, bare, l, addr, array_to_string(l[-2:], '.') AS two FROM h1
 ), hosts AS (
-  SELECT host, CASE WHEN addr THEN host WHEN two IN ({_TWO}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain,
+  SELECT host, CASE WHEN addr THEN bare WHEN two IN ({_TWO}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain,
     CASE WHEN addr THEN '' WHEN two IN ({_TWO}) THEN two ELSE l[-1] END AS suffix FROM h2
 ), o AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
