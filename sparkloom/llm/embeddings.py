@@ -7,12 +7,20 @@ pairs whose upper bound reaches the threshold are computed exactly. Pairs are
 looked for within buckets of further random projections: ``tables`` tables of
 ``bits`` bits, chosen so that a pair at the threshold shares a bucket with
 probability ``recall``. A bucket of over ``BLOCK`` vectors is dealt out as pairs
-of blocks, so no task holds more than two blocks, and nothing is capped.
+of blocks, so no task holds more than two blocks, and nothing is capped. With a
+``recall`` of 1 there is one bucket a label, so every pair of blocks is compared and
+the bounds alone decide: the exact way, whose work grows with the square of a label.
+
+Vectors keep their type; each is scaled by its largest component before its length
+is taken, so very small and very large doubles neither vanish nor overflow. Vectors
+travel with their codes, since the links of a block are counted where they are found:
+a group of near copies would make the square of its size in pairs to be fetched for.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components,
 and those with a null label, link with nothing; only equal labels and equal
 lengths are compared; equal vectors are one class and link with each other;
-repeated rows count as copies; a row with a null id can link (it has no class
+repeated rows count as copies; an empty table gives no rows; columns other than the
+three are not read, whatever their names; a row with a null id can link (it has no class
 id of its own, so a class of nulls alone has a null id and is kept).
 """
 
@@ -42,28 +50,34 @@ def planes(dim: int, n: int, seed: int) -> np.ndarray:
 
 
 def plan(largest: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Bits per table and number of tables for groups of up to ``largest`` vectors."""
+    """Bits per table and number of tables for groups of up to ``largest`` vectors; none and one for an exact search."""
     bits = max(0, math.ceil(math.log2(max(1, largest) / BLOCK)))
-    if bits == 0:
+    if bits == 0 or recall >= 1:
         return 0, 1
     share = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)))
 
 
-def _encode(bits: int, tables: int, seed: int):
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _encode(bits: int, tables: int, seed: int, kind: str):
     def encode(batches):
         for b in batches:
             for dim in np.unique(np.asarray(b.column("dim"))).tolist():
                 part = b.filter(pa.compute.equal(b.column("dim"), dim))
                 x = np.asarray(part.column("embedding").flatten(), dtype=np.float64).reshape(-1, dim)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                unit = units(x)
                 turned = unit @ rotation(dim, seed).T
                 factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
                 code = np.packbits(turned > 0, axis=1)
                 sides = (unit @ planes(dim, bits * tables, seed).T > 0).reshape(len(x), tables, bits)
                 keys = (sides * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("label"), part.column("dim"), part.column("node"), part.column("copies"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
+                    [part.column("label"), part.column("dim"), part.column("node"), part.column("copies"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
                     names=["label", "dim", "node", "copies", "code", "factor", "vector", "keys"],
                 )
 
@@ -90,15 +104,14 @@ def pair_links(vectors: np.ndarray, codes: np.ndarray, factors: np.ndarray, rota
     return out
 
 
-def _compare(threshold: float, seed: int):
+def _compare(threshold: float, seed: int, kind: str):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, dim, t, _, lo, hi = (k.as_py() for k in key)
         table = table.sort_by([("block", "ascending"), ("node", "ascending")])
         node = np.asarray(table.column("node"))
-        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.float32).reshape(-1, dim).astype(np.float64)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = units(np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float64))
         bits = np.unpackbits(np.frombuffer(b"".join(table.column("code").to_pylist()), dtype=np.uint8).reshape(len(x), -1), axis=1)[:, :dim]
         rotated, signs = x @ rotation(dim, seed).T, bits * 2.0 - 1.0
         keys = np.array(table.column("keys").to_pylist(), dtype=np.int64)
@@ -138,7 +151,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     """vec_id, n_links, component_id, kept for ``vectors`` (vec_id, embedding, label)."""
     ws = Workspace(spark, "embeddings")
     e = F.col("embedding")
-    numbers = F.transform(e, lambda x: x.cast("float"))
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    part_kind = "<f4" if single else "<f8"
+    numbers = F.transform(e, lambda x: x.cast("float" if single else "double"))
     usable = F.col("label").isNotNull() & F.coalesce(F.size(e) > 0, F.lit(False)) & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", "label", F.when(usable, numbers).alias("embedding"))
     classes = rows.filter("embedding IS NOT NULL").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
@@ -147,14 +162,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, threshold, recall)
     kind = vectors.schema["label"].dataType.simpleString()
-    coded = classes.select("label", "dim", "node", "copies", "embedding").mapInArrow(_encode(bits, tables, seed), f"label {kind}, dim int, node long, copies long, code binary, factor double, vector binary, keys array<long>")
+    coded = classes.select("label", "dim", "node", "copies", "embedding").mapInArrow(_encode(bits, tables, seed, part_kind), f"label {kind}, dim int, node long, copies long, code binary, factor double, vector binary, keys array<long>")
     placed = ws.write(coded, "codes").select("*", F.posexplode("keys").alias("t", "key"))
     # the vectors of a bucket beyond BLOCK are dealt into blocks, and each pair of blocks is one group
     count = placed.groupBy("label", "dim", "t", "key").count()
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     placed = placed.join(count, ["label", "dim", "t", "key"]).withColumn("blocks", blocks).drop("count").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    found = dealt.groupBy("label", "dim", "t", "key", "lo", "hi").applyInArrow(_compare(threshold, seed), "a long, b long, n long")
+    found = dealt.groupBy("label", "dim", "t", "key", "lo", "hi").applyInArrow(_compare(threshold, seed, part_kind), "a long, b long, n long")
     found = ws.write(found, "found")
     degree = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     comp = components(ws, found.filter("b IS NOT NULL").select("a", "b"))
@@ -166,4 +181,5 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of all ``embeddings``, by a cosine of 0.93 or more within a label."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))

@@ -1,6 +1,7 @@
 """Substring dedup, MinHash near-dedup and embedding near-dedup against brute force, and their edge cases."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -168,6 +169,34 @@ def test_near_duplicates_through_long_lists_only(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect() if r.doc_id is not None} == brute_near(rows, 4, 80)
 
 
+def test_long_patterns_of_two_letters_or_words_are_told_apart(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rest = " ".join(f"w{i}" for i in range(60))
+    p, q = " ".join("xy" if c == "a" else "yz" for c in a), " ".join("yz" if c == "a" else "xy" for c in a)
+    rows = [(1, a), (2, b), (3, f"{rest} {a} {rest}"), (4, f"{rest} {b} {rest}"), (5, p), (6, q), (7, a[:1024]), (8, b[:1024])]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.component_id for r in NearDuplicates(spark, docs, 4).documents().collect()} == brute_near(rows, 4, 80)
+    assert results(dedup(spark, docs, 2)) == brute_substrings(rows, 50)
+
+
+def test_carried_columns_come_back(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "x"), (2, "a b c d e", "y"), (3, None, None)], DOCS + ", __mine string")
+    got = NearDuplicates(spark, docs, 4, carry=("__mine",)).documents().collect()
+    assert sorted((r.doc_id, r.component_id, r["__mine"]) for r in got) == [(1, 1, "x"), (2, 1, "y"), (3, 3, None)]
+
+
+def test_near_duplicates_at_the_tables_own_size(spark):
+    """Every link on sf0.01, by the sets of all pairs that share a shingle few enough texts have."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in NearDuplicates(spark, docs, 4).documents().collect()}
+    assert got == brute_near([tuple(r) for r in docs.collect()], 4, 80)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert NearDuplicates(spark, spark.createDataFrame([], DOCS), 4).documents().count() == 0
     assert [tuple(r) for r in NearDuplicates(spark, spark.createDataFrame([(1, None)], DOCS), 4).documents().collect()] == [(1, 0, 1, True)]
@@ -218,6 +247,28 @@ def test_embeddings(spark, monkeypatch):
     assert near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_of_doubles(spark, monkeypatch):
+    import sparkloom.llm.embeddings as e
+
+    monkeypatch.setattr(e, "BLOCK", 10)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((30, 12))
+    rows = []
+    for i, v in enumerate(base):
+        for k, scale in enumerate((1.0, 1e-200, 1e200, 1e-310)):
+            rows.append((i * 10 + k, [float(x) for x in (v + 0.05 * k * rng.standard_normal(12)) * scale], 0))
+    rows += [(900, [1e-320] + [0.0] * 11, 0), (901, [0.0, 1e-320] + [0.0] * 10, 0), (902, [1.0] + [0.0] * 11, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark, df, recall=1.0).collect()}
+    x = np.array([r[1] for r in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    ids = [r[0] for r in rows]
+    assert [got[d][0] for d in ids] == links.sum(axis=1).tolist()
+    assert got[900] == (1, 900) and got[901] == (0, 901) and got[902] == (1, 900)
+
+
 def test_estimates_are_unbiased_and_bounded():
     from sparkloom.llm.embeddings import pair_links, rotation
 

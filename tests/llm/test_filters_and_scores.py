@@ -499,7 +499,9 @@ def test_urls(spark, tmp_path):
     hosts = ["a.example.org", "example.org", "b.net", "B.NET", "x.co.uk", "10.0.0.1", "c.com", "new.c.com"]
     paths = ["/es/1", "/en/15", "/en/2", "/fr/x?y=/de/", "/de/", "", "#f", "?q=1"]
     pages = [(i, f"https://{hosts[i % 8]}{paths[i // 8 % 8]}") for i in range(320)] + [(1000, None), (1001, "no scheme"), (1002, "://"), (1003, "a://b.net://c.com/de/"), (1004, "http://notexample.org/es/1"), (5, "https://b.net/x"), (5, "https://b.net/x")]
-    labels = [(i, int(i % 3 != 0 or i % 8 == 4), int(i % 8 == 4)) for i in range(200)] + [(None, 0, 0), (300, None, None), (301, None, 1), (3, 0, 1), (77777, 0, 0)]
+    odd = ["b.net:8080", "user:pw@b.net", "www.b.net.", "[2001:db8::1]:80", "[::1]", "x.co.kr:443", "y.github.io", "a:b:c", "..", "b.net.:81", "me@example.com@c.com"]
+    pages += [(2000 + i, f"https://{odd[i % len(odd)]}/p{i}") for i in range(44)]
+    labels = [(i, int(i % 3 != 0 or i % 8 == 4), int(i % 8 == 4)) for i in range(200)] + [(2000 + i, int(i % 2), 0) for i in range(30)] + [(None, 0, 0), (300, None, None), (301, None, 1), (3, 0, 1), (77777, 0, 0)]
     sf, con = tables(spark, tmp_path, pages=spark.createDataFrame([(*p, "h", "r") for p in pages], "page_id long, url string, host string, rule string"), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     want = near(urls.op8_url_reputation(spark, sf), urls.OP8_SQL, con)
     assert len(want) == len(pages)
@@ -539,6 +541,32 @@ def test_warc(spark, tmp_path, monkeypatch):
     assert warc.op3_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_hosts_without_user_and_port_share_a_domain(spark):
+    hosts = ["b.net", "b.net:8080", "u@www.b.net.", "[::1]:80", "10.0.0.1:5", "z.x.co.kr:1", "x.co.kr", "localhost"]
+    dom, suf = urls.domain_and_suffix(F.col("host"))
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select(dom.alias("d"), suf.alias("s")).collect()
+    assert [tuple(r) for r in got] == [("b.net", "net")] * 3 + [("[::1]", ""), ("10.0.0.1", ""), ("x.co.kr", "co.kr"), ("x.co.kr", "co.kr"), ("localhost", "localhost")]
+
+
+def test_archives_are_streamed():
+    record = b"WARC/1.1\r\nContent-Length: 3000000\r\n\r\n" + b"x" * 3_000_000 + b"\r\n\r\n"
+    data = gzip.compress(record * 20, 1) + gzip.compress(record)
+    at, most = 0, 0
+
+    def read(n):
+        nonlocal at
+        at += n
+        return data[at - n : at]
+
+    def parts():
+        nonlocal most
+        for x in warc.inflated(read, 1 << 12):
+            most = max(most, len(x))
+            yield x
+
+    assert [len(b) for _, b in warc.split_records(parts())] == [3_000_000] * 21 and most <= 1 << 14
+
+
 def test_broken_archives_are_told():
     with pytest.raises(ValueError):
         list(warc.split_records([b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort"]))

@@ -75,6 +75,23 @@ def test_stages(spark, corpus, tmp_path):
     assert n == want and corpus_pipeline.run(spark, path).count() == n
 
 
+def test_names_and_repeated_ids(spark, corpus, tmp_path):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(900)}"
+    one, two, near = (" ".join(word() for _ in range(40)) for _ in range(3))
+    rows = [(1, one), (1, two), (1, one), (2, one + " more"), (None, two), (None, near), (3, near), (4, None), (4, ""), (5, None), (6, "mail me@example.com")]
+    docs = spark.createDataFrame([(d, t, "a", "en", i, 1, 2, {"k": 1}) for i, (d, t) in enumerate(rows)], "doc_id long, text string, source string, `meta.lang` string, __row long, __mix_size int, `a``b` int, m map<string,int>")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, corpus[0])
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "near_dedup":
+            kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+            assert kept == sorted([(1, one), (1, two), (3, near), (4, None), (4, ""), (5, None), (6, "mail me@example.com")], key=repr)
+    assert docs.filter("doc_id = 6").first()["meta.lang"] == "en"
+
+
 def test_empty(spark, corpus, tmp_path):
     path = corpus[0]
     for t in ("documents", "labels", "benchmark"):
