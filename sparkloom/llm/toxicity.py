@@ -97,8 +97,8 @@ def term_hash(word: str) -> int:
     return int(word_hash(b, np.array([0]), np.array([len(b)]))[0])
 
 
-def dependence_weights(rest: np.ndarray, apart: np.ndarray, strength: float = 3.0) -> np.ndarray:
-    """A weight for each voter from ``rest``, the votes less what the label explains (documents x voters).
+def dependence_weights(spread: np.ndarray, n: int, apart: np.ndarray, strength: float = 3.0) -> np.ndarray:
+    """A weight for each voter from ``spread``, the covariance over ``n`` documents of the votes less what the label explains.
 
     ``apart``: how far the label moves each voter's mean vote. In standard units that
     is t, and the best linear combination of voters of correlation R takes R^-1 t where
@@ -106,12 +106,11 @@ def dependence_weights(rest: np.ndarray, apart: np.ndarray, strength: float = 3.
     copies get 1 / m each, and a voter that adds nothing to another gets none.
     Correlations under ``strength`` standard errors are taken as none.
     """
-    n, m = rest.shape
+    m = len(spread)
     if not m or not n:
         return np.ones(m)
-    rest = rest - rest.mean(axis=0)
-    sd = np.maximum(rest.std(axis=0), 1e-6)
-    c = (rest.T @ rest) / n / np.outer(sd, sd)
+    sd = np.maximum(np.sqrt(np.diag(spread)), 1e-6)
+    c = spread / np.outer(sd, sd)
     c[np.abs(c) < strength / np.sqrt(n)] = 0
     np.fill_diagonal(c, 1)
     t, ridge = apart / sd, 0.1
@@ -119,6 +118,30 @@ def dependence_weights(rest: np.ndarray, apart: np.ndarray, strength: float = 3.
     return np.clip(np.linalg.solve(c + ridge * np.eye(m), (1 + ridge) * t) / t, 0, 1)
 
 
+ROWS = 1024  # of the votes that are widened to numbers at a time
+
+
+def _parts(votes: np.ndarray):
+    """(rows, votes for, votes against) block by block, as numbers."""
+    for s in range(0, len(votes), ROWS):
+        v = votes[s : s + ROWS]
+        yield slice(s, s + ROWS), (v > 0).astype(np.float64), (v < 0).astype(np.float64)
+
+
+def _spread(votes: np.ndarray, label: np.ndarray, share: np.ndarray, one: np.ndarray, zero: np.ndarray) -> tuple[np.ndarray, int]:
+    """Covariance of the votes less their means ``one`` and ``zero`` by label, over the rows with a share, and their number."""
+    m, n = votes.shape[1], 0
+    total, square = np.zeros(m), np.zeros((m, m))
+    for rows, pos, neg in _parts(votes):
+        some = share[rows] > 0
+        y = label[rows][some, None]
+        rest = (pos - neg)[some] - y * one - (1 - y) * zero
+        n += len(rest)
+        total += rest.sum(axis=0)
+        square += rest.T @ rest
+    return (square / n - np.outer(total, total) / n**2, n) if n else (square, 0)
+
+
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Posterior probability of label 1 from ``votes`` (documents x voters, of -1, 0, 1), for each row from its votes alone.
 
@@ -126,24 +149,25 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.nda
     """
     n, m = votes.shape
     known = gold >= 0
-    pos, neg = (votes > 0).astype(np.float64), (votes < 0).astype(np.float64)
     prior = float(np.clip(gold[known].mean(), 0.005, 0.95)) if known.any() else 0.1
-    start = np.log(prior / (1 - prior)) + votes.sum(axis=1)
+    start = np.log(prior / (1 - prior)) + votes.sum(axis=1, dtype=np.int64)
     post, weight = 1 / (1 + np.exp(-np.clip(start, -30, 30))), np.ones(m)
     for r in range(rounds):
         # the first estimates are from known labels alone, where there are any
         label = np.where(known, gold, post)
         share = known.astype(np.float64) if r == 0 and known.any() else np.ones(n)
         a, b = (share * label).sum(), (share * (1 - label)).sum()
-        yes, no = share * label, share * (1 - label)
-        p1, p0 = (yes @ pos + 0.1) / (a + 1), (no @ pos + 0.1) / (b + 1)
-        q1, q0 = (yes @ neg + 0.1) / (a + 1), (no @ neg + 0.1) / (b + 1)
+        by = np.zeros((4, m))
+        for rows, pos, neg in _parts(votes):
+            yes, no = (share * label)[rows], (share * (1 - label))[rows]
+            by += [yes @ pos, no @ pos, yes @ neg, no @ neg]
+        p1, p0, q1, q0 = (by + 0.1) / (np.array([[a], [b], [a], [b]]) + 1)
         prior = float(np.clip(a / (a + b), 0.005, 0.95))
         if r == (0 if known.any() else 3):  # from known labels, as dependent voters can make up a label of their own
-            some = share > 0
-            weight = dependence_weights(votes[some] - np.outer(label[some], p1 - q1) - np.outer(1 - label[some], p0 - q0), p1 - q1 - p0 + q0)
+            weight = dependence_weights(*_spread(votes, label, share, p1 - q1, p0 - q0), p1 - q1 - p0 + q0)
         away = np.log((1 - p1 - q1).clip(1e-6)) - np.log((1 - p0 - q0).clip(1e-6))
-        gain = pos @ (weight * (np.log(p1 / p0) - away)) + neg @ (weight * (np.log(q1 / q0) - away)) + (weight * away).sum()
+        up, down = weight * (np.log(p1 / p0) - away), weight * (np.log(q1 / q0) - away)
+        gain = np.concatenate([pos @ up + neg @ down for _, pos, neg in _parts(votes)]) + (weight * away).sum()
         new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + gain, -30, 30)))
         change = np.abs(new - post).max(initial=0)
         post = new

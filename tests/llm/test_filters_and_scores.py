@@ -221,7 +221,7 @@ def test_label_model_against_loops():
                 one, zero = table[j][v] if v else (1 - table[j][1][0] - table[j][-1][0], 1 - table[j][1][1] - table[j][-1][1])
                 odds += math.log(one / zero)
             post[i] = 1 / (1 + math.exp(-odds))
-    independent = lambda rest, apart: np.ones(rest.shape[1])
+    independent = lambda spread, n, apart: np.ones(len(spread))
     kept, toxicity.dependence_weights = toxicity.dependence_weights, independent
     try:
         assert np.allclose(toxicity.label_model(votes, gold, 4), post, atol=1e-9)
@@ -233,10 +233,10 @@ def test_dependence_weights():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((20_000, 3))
     copies = np.stack([x[:, 0]] * 4 + [x[:, 1]], axis=1)
-    w = toxicity.dependence_weights(copies, np.ones(5))
+    w = toxicity.dependence_weights(np.cov(copies.T), 20_000, np.ones(5))
     assert np.allclose(w[:4], 0.25, atol=0.03) and abs(w[4] - 1) < 0.03
     noisy = np.stack([x[:, 0], x[:, 0] + x[:, 2]], axis=1)  # the second adds nothing to the first
-    w = toxicity.dependence_weights(noisy, np.array([1.0, 1.0]))
+    w = toxicity.dependence_weights(np.cov(noisy.T), 20_000, np.array([1.0, 1.0]))
     assert w[0] > 0.8 and w[1] < 0.2
 
 
