@@ -13,6 +13,10 @@ from pyspark.sql.types import StringType
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 
 
+#: Ends of lines as Python's str.splitlines sees them.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -33,9 +37,14 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def normalize(c, compose: bool = True) -> Column:
-    """Letters and digits only, lower case, after NFKC (unless the text is known to be composed)."""
+    """Letters and digits only, lower case, after NFKC (unless the text is known to be composed).
+
+    ASCII texts, which NFKC leaves as they are, do not travel to Python.
+    """
     c = col(c)
-    return F.lower(F.regexp_replace(nfkc(c) if compose else c, r"[^\p{L}\p{N}]+", ""))
+    if compose:
+        c = F.coalesce(nfkc(F.when(~c.rlike(r"^\p{ASCII}*$"), c)), c)
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
 def first_truthy(*cols) -> Column:
@@ -45,7 +54,7 @@ def first_truthy(*cols) -> Column:
 
 def clean_text(c) -> Column:
     """Lines stripped, blank lines dropped."""
-    lines = F.transform(F.split(col(c), r"\r\n|\n|\r", -1), strip_u)
+    lines = F.transform(F.split(col(c), LINE_END, -1), strip_u)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, drop_blank, split_words, strip_u
+from ..functions.text import LINE_END, col, drop_blank, split_words, strip_u
 
 #: Fixed values of the card format, and the labels of its text.
 SPEC, SPEC_VERSION = "chara_card_v3", "3.0"
@@ -77,7 +77,7 @@ def split_listed(c) -> Column:
 
 
 def split_examples(c) -> Column:
-    return drop_blank(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\r\n|\n|\r"), strip_u))
+    return drop_blank(F.transform(F.split(F.coalesce(col(c), F.lit("")), LINE_END), strip_u))
 
 
 def from_card(cards: DataFrame, card="card", namespace: str = NAMESPACE) -> DataFrame:

@@ -101,3 +101,25 @@ def attribute_quotes(quotes: DataFrame, characters: DataFrame, scope: list[str])
 def list_items(fragments: DataFrame, field: str, scope: list[str]) -> DataFrame:
     """Rows (scope, block_id, pos, item) of an array column."""
     return fragments.select(*scope, "block_id", F.posexplode(col(field)).alias("pos", "item"))
+
+
+#: The labels of a character's line.
+PROFILE_LABELS = {"identity": ("（", "）："), "style": "；风格：", "relations": "；关系：", "nobody": "?"}
+
+
+def _quoted(c: Column) -> Column:
+    """A string in the quotes that Python would print it in."""
+    return F.when(F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"')), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def character_profile_text(characters) -> Column:
+    """One line for each of an array of characters (name, identity, traits, speaking_style, relationships)."""
+
+    def line(c: Column) -> Column:
+        text = lambda f: F.coalesce(c[f], F.lit(""))
+        some = lambda f: F.coalesce(c[f], F.array().cast("array<string>"))
+        known = F.when(F.size(some("relationships")) > 0, F.concat(F.lit(PROFILE_LABELS["relations"] + "["), F.array_join(F.transform(some("relationships"), _quoted), ", "), F.lit("]"))).otherwise("")
+        opened, closed = PROFILE_LABELS["identity"]
+        return F.concat(F.coalesce(c["name"], F.lit(PROFILE_LABELS["nobody"])), F.lit(opened), text("identity"), F.lit(closed), F.array_join(some("traits"), "、"), F.lit(PROFILE_LABELS["style"]), text("speaking_style"), known)
+
+    return F.array_join(F.transform(characters if isinstance(characters, Column) else F.col(characters), line), "\n")

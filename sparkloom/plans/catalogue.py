@@ -53,11 +53,6 @@ def names(spark, sf) -> DataFrame:
     return d.select("source", "block_id", F.posexplode("n").alias("pos", "name"), identity.alias("identity"), F.lit("").alias("speaking_style"))
 
 
-def start(c: str, n: int | None, at: int = 1):
-    """``n`` characters of a column from place ``at``; all of it if ``n`` is None."""
-    return F.col(c) if n is None else F.substring(c, at, n)
-
-
 def msg_direction(spark, sf):
     m = messages(spark, sf).filter(~F.coalesce(F.trim("content") == "", F.lit(True)))
     return m.select("conv_id", "turn", F.col("sender_name").alias("sender"), "direction", F.length("content").cast("bigint").alias("n_chars"))
@@ -124,18 +119,13 @@ def evidence_verify(spark, sf):
 def evidence_cross_message(spark, sf):
     order = W.partitionBy("conv_id").orderBy("turn")
     m = messages(spark, sf).withColumn("idx", (F.row_number().over(order) - 1).cast("int")).withColumn("next", F.lead("content").over(order))
-    spans = F.concat(F.substring("content", -12, 12), F.substring(F.coalesce("next", F.lit("")), 1, 12))
+    spans = F.concat("content", F.coalesce("next", F.lit("")))
     claim = F.when(F.col("turn") % 3 == 0, F.col("idx").cast("string")).when(F.col("turn") % 3 == 1, F.lit("x9"))
-    quotes = m.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, spans).otherwise(F.substring("content", 5, 20)).alias("quote"), claim.alias("message_index"))
+    quotes = m.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, spans).otherwise(F.col("content")).alias("quote"), claim.alias("message_index"))
     return evidence.verify_evidence(quotes, m, ["conv_id"]).select("conv_id", "turn", "status", "kept_index")
 
 
 def bigram_jaccard_query(spark, sf):
-    c, b = table(spark, sf, "conversations"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"))
-    return c.withColumn("item_id", (F.col("conv_id") + F.col("turn")) % 40).join(b, "item_id").select("conv_id", "turn", "item_id", F.round(bigram_jaccard("query", "text"), 6).alias("jaccard"))
-
-
-def bigram_jaccard_whole(spark, sf):
     """Every conversation row against every item."""
     out = similarity.jaccard_pairs(table(spark, sf, "conversations").select("conv_id", "turn", "text"), table(spark, sf, "benchmark"), "item_id")
     return out.withColumn("jaccard", F.round("jaccard", 6))
@@ -145,13 +135,13 @@ def merge_union(spark, sf):
     return merge.ordered_union(lines(spark, sf), ["source"]).select("source", "block_id", "pos", "item")
 
 
-def scene_first_wins(spark, sf, chars=20):
-    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("block_id"), F.lit(0).alias("pos"), F.col("lang").alias("scene"), start("text", chars).alias("tone"))
+def scene_first_wins(spark, sf):
+    d = table(spark, sf, "documents").select("source", F.col("doc_id").alias("block_id"), F.lit(0).alias("pos"), F.col("lang").alias("scene"), F.col("text").alias("tone"))
     return merge.scene_tones(d, ["source"]).select("source", "scene", "block_id", "tone")
 
 
-def _lore(spark, sf, chars=30):
-    return lines(spark, sf).select("source", "block_id", "pos", F.substring_index("item", " ", 1).alias("title"), F.col("item").alias("content"), start("item", chars).alias("keys"))
+def _lore(spark, sf):
+    return lines(spark, sf).select("source", "block_id", "pos", F.substring_index("item", " ", 1).alias("title"), F.col("item").alias("content"), F.col("item").alias("keys"))
 
 
 def lore_conflict(spark, sf):
@@ -204,19 +194,7 @@ def top_characters(spark, sf):
 
 
 def quote_attribution(spark, sf):
-    people = merge.merge_characters(names(spark, sf), ["source"])
-    head = merge.first_by(names(spark, sf).select("source", "block_id", "pos", "name"), ["source", "block_id"], ["pos"])
-    first = merge.first_by(lines(spark, sf), ["source", "block_id"], ["pos"]).select("source", "block_id", "pos", F.col("item").alias("quote"))
-    said = first.join(head.select("source", "block_id", "name"), ["source", "block_id"], "left")
-    # the speaker named is the next block's, so some are known by then and some are not
-    said = said.withColumn("speaker", F.coalesce(F.lead("name").over(W.partitionBy("source").orderBy("block_id")), F.lit("")))
-    mine, pending = merge.attribute_quotes(said.select("source", "block_id", "pos", "quote", "speaker"), people, ["source"])
-    cols = ["source", "block_id", "quote", "speaker"]
-    return mine.select(*cols, F.lit(True).alias("attributed")).unionByName(pending.select(*cols, F.lit(False).alias("attributed")))
-
-
-def quote_attribution_whole(spark, sf):
-    """As quote_attribution, with every line of a block as its speaker's quote."""
+    """Every line of a block as a quote of the name that the next block begins with, so some speakers are known by then and some are not."""
     people = merge.merge_characters(names(spark, sf), ["source"])
     head = merge.first_by(names(spark, sf).select("source", "block_id", "pos", "name"), ["source", "block_id"], ["pos"])
     ll = lines(spark, sf)
@@ -229,22 +207,14 @@ def quote_attribution_whole(spark, sf):
 
 
 def worldbook_entries(spark, sf):
-    ll = lines(spark, sf)
-    lore, _ = merge.merge_lore(_lore(spark, sf).filter("pos = 0"), ["source"])
-    events = merge.ordered_union(ll.filter("pos = 1"), ["source"])
-    w = worldbook.worldbook(lore, events, _tops(spark, sf), "source")
-    return w.select("source", "id", F.array_join("keys", "|").alias("keys"), "content", "comment", "insertion_order")
-
-
-def worldbook_entries_whole(spark, sf):
-    """As worldbook_entries, with every line as lore and as an event, and all its words as keys."""
-    lore, _ = merge.merge_lore(_lore(spark, sf, None), ["source"])
+    """Every line as lore, all its words as keys, and as an event."""
+    lore, _ = merge.merge_lore(_lore(spark, sf), ["source"])
     w = worldbook.worldbook(lore, merge.ordered_union(lines(spark, sf), ["source"]), _tops(spark, sf), "source")
     return w.select("source", "id", F.array_join("keys", "|").alias("keys"), "content", "comment", "insertion_order")
 
 
 def _profiles(spark, sf):
-    top = _tops(spark, sf, 15).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("traits"))
+    top = _tops(spark, sf, 2**31 - 1).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("traits"))
     p = top.select(
         F.col("source").alias("name"), F.lit("").alias("persona_summary"), "traits", F.slice("traits", 1, 6).alias("behavior_rules"), F.array().cast("array<string>").alias("taboos"), F.slice("traits", 3, 2).alias("humor"), F.array().cast("array<string>").alias("memories"),
         F.slice("traits", 2, 1).alias("uncertainties"), F.array().cast("array<struct<k:string,v:string>>").alias("scene_tone"), F.transform(F.slice("traits", 1, 4), lambda t: F.concat(F.lit("「"), t, F.lit("」"))).alias("style_examples"),
@@ -327,20 +297,20 @@ def entity_text_query(spark, sf):
     return c.select("conv_id", "turn", entity_text(F.parse_json(raw)).alias("content"))
 
 
-def flatten_query(spark, sf, chars=30):
+def flatten_query(spark, sf):
     c = table(spark, sf, "conversations")
-    raw = F.concat(F.lit("["), F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1)).substr(F.lit(1), F.length(F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1))) - 1), F.lit(',"  ",'), F.to_json(F.struct(start("text", chars).alias("content"))), F.lit(",7]"))
+    raw = F.concat(F.lit("["), F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1)).substr(F.lit(1), F.length(F.get(F.split(F.to_json(F.struct(F.concat(F.lit(" "), "role").alias("r"))), ":", 2), F.lit(1))) - 1), F.lit(',"  ",'), F.to_json(F.struct(F.col("text").alias("content"))), F.lit(",7]"))
     return c.select("conv_id", "turn", F.array_join(flatten_items(F.parse_json(raw)), "|").alias("items"))
 
 
-def split_keys_query(spark, sf, chars=40, said=20):
+def split_keys_query(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select("item_id", F.array_join(split_keys(start("text", chars), F.concat(F.lit("她： "), start("text", said, 11))), "|").alias("keys"))
+    return b.select("item_id", F.array_join(split_keys(F.col("text"), F.concat(F.lit("她： "), F.col("text"))), "|").alias("keys"))
 
 
-def migrate_lore(spark, sf, chars=50):
+def migrate_lore(spark, sf):
     d = table(spark, sf, "documents")
-    lore = d.select("source", F.col("lang").alias("category"), F.substring_index("text", " ", 2).alias("title"), start("text", chars).alias("content"), F.when(F.col("doc_id") % 3 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"importance": '), ((F.col("doc_id") % 10) / 10).cast("string"), F.lit("}"))).alias("payload"), (F.col("doc_id") % 2).alias("enabled"), F.col("doc_id").alias("updated_at"))
+    lore = d.select("source", F.col("lang").alias("category"), F.substring_index("text", " ", 2).alias("title"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"importance": '), ((F.col("doc_id") % 10) / 10).cast("string"), F.lit("}"))).alias("payload"), (F.col("doc_id") % 2).alias("enabled"), F.col("doc_id").alias("updated_at"))
     return migrate.lore_entries(lore, ("source",)).select("source", "i", "content", "comment", "insertion_order", "category")
 
 
@@ -399,35 +369,111 @@ def distill_resume(spark, sf):
 def novel_distill(spark, sf):
     """All documents as the blocks of one book."""
     pieces = chunking.chunk_novels(table(spark, sf, "documents"), "doc_id")
-    pieces = pieces.withColumn("block_id", F.col("doc_id") * 1000 + F.col("block_id")).withColumn("book", F.lit("all"))
+    pieces = pieces.withColumn("block_id", F.col("doc_id") * (1 << 24) + F.col("block_id")).withColumn("book", F.lit("all"))
     ledger = extract.Ledger(spark, folder(spark, "novel"))
     ledger.run(chunking.render_blocks(pieces, ["book"]).select("block_id", "rendered"), flaky_client, novel.SYSTEM, "first", 1)
     return novel.merge(ledger, pieces, "all").report.drop("failed_blocks")
 
 
-def lore_words(spark, sf, chars=30):
+def lore_words(spark, sf):
     """Trigger words of lore keys: words between white space."""
-    return _lore(spark, sf, chars).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
+    return _lore(spark, sf).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
+
+
+def parse_ts_forms(spark, sf):
+    """The forms of ISO 8601 beside the usual one."""
+    e = table(spark, sf, "events")
+    shape = lambda f: F.date_format("ts", f)
+    forms = [
+        shape("yyyyMMdd'T'HHmmss"), F.concat(shape(ISO), F.lit("+0800")), shape("yyyy-MM-dd'T'HH"), F.replace(shape(ISO), F.lit("."), F.lit(",")), F.concat(shape("yyyy-MM-dd HH:mm"), F.lit("-0530")),
+        F.concat(shape("yyyyMMdd HHmmss"), F.lit(",1234567")), F.concat(shape("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02")), F.concat(shape("yyyy-MM-dd_HH:mm:ss"), F.lit("Z")),
+    ]
+    return e.select("event_id", F.unix_micros(parse_ts(F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int")))).alias("micros"))
+
+
+def splitlines(spark, sf):
+    """Every end of line that there is."""
+    c = table(spark, sf, "conversations").withColumn("text", clean_text("text"))
+    whole = F.concat("text", F.lit("\u2028two\x0b\x0c"), "role", F.lit("\x85 four \x1e\r\nfive\r"))
+    return c.select("conv_id", "turn", clean_text(whole).alias("lines"))
+
+
+def _cast(spark, sf):
+    """Every character with made-up traits, a style for some and relationships for some."""
+    p, n = _tops(spark, sf, 2**31 - 1), F.col("name")
+    none = F.array().cast("array<string>")
+    return p.select(
+        "source", "rank", "name", "mentions", "identity", F.array(F.concat(n, F.lit(" one")), F.concat(n, F.lit(" two"))).alias("traits"), F.when(F.col("mentions") % 2 == 0, "plain").otherwise("").alias("speaking_style"),
+        F.when(F.col("mentions") % 3 == 0, F.array(F.concat(F.lit("knows "), n), F.lit("x"))).otherwise(none).alias("relationships"), F.array(F.concat(n, F.lit(" said"))).alias("quotes"),
+    )
+
+
+def profile_text(spark, sf):
+    listed = _cast(spark, sf).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "identity", "traits", "speaking_style", "relationships"))).alias("c"))
+    return listed.select("source", merge.character_profile_text("c").alias("text"))
+
+
+def novel_cards(spark, sf):
+    c = worldbook.novel_cards(_cast(spark, sf), "source")
+    count = F.get_json_object("card", f"$.data.extensions.{worldbook.NAMESPACE}.evidence_stats.mention_count").cast("int")
+    return c.select("source", "name", "description", "personality", "scenario", "first_mes", "mes_example", count.alias("mention_count"))
+
+
+def memory_touch(spark, sf):
+    """The state after the two best memories of every scope were recalled."""
+    state = _state(spark, sf)
+    got = memory_recall_topk(spark, sf).select("profile_id", "owner", "id")
+    return memory.touch(state, got, NOW).select("id", "last_accessed")
+
+
+MESSAGE = ("ts", "sender_id", "sender_name", "direction", "content", "type", "source")
+
+
+def _exports(spark, sf, name, one):
+    """An export file for each conversation, a JSON array of what ``one`` makes of its rows; the folder."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: one(F.col("conv_id"), x)).alias("messages"))
+    path = folder(spark, name)
+    c.select(F.to_json(F.struct("messages")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def _tag(conv, turn):
+    return F.concat(conv.cast("string"), F.lit(":"), turn.cast("string"))
+
 
+def import_telegram(spark, sf):
+    """Exports written from all conversations and read back: plain and mixed texts, service rows, two kinds of dates."""
 
-def scene_first_wins_whole(spark, sf):
-    return scene_first_wins(spark, sf, None)
+    def one(conv, x):
+        return F.struct(
+            F.when(x["turn"] % 5 == 4, "service").otherwise("message").alias("type"), x["role"].alias("from"), _tag(conv, x["turn"]).alias("from_id"), F.when(x["turn"] % 2 == 0, F.concat(F.lit("17000"), F.lpad(x["turn"].cast("string"), 5, "0"))).alias("date_unixtime"),
+            F.concat(F.lit("day "), x["turn"].cast("string")).alias("date"), F.when(x["turn"] % 3 == 0, F.array(F.struct(x["text"].alias("text")), F.struct(F.lit("!").alias("text")), F.struct(x["role"].alias("text")))).otherwise(F.array(F.struct(x["text"].alias("text")))).alias("text"),
+        )
 
+    return readers.read_telegram(spark, _exports(spark, sf, "telegram", one), {"assistant"}).select(*MESSAGE)
 
-def lore_words_whole(spark, sf):
-    return lore_words(spark, sf, None)
 
+def import_memotrace(spark, sf):
+    def one(conv, x):
+        return F.struct(_tag(conv, x["turn"]).alias("StrTime"), x["role"].alias("talker"), F.when(x["turn"] % 3 == 0, (x["turn"] % 2 == 0).cast("int")).alias("is_sender"), x["text"].alias("msg"), F.when(x["turn"] % 3 == 0, "1").when(x["turn"] % 3 == 1, "34").otherwise("note").alias("type"))
 
-def flatten_whole(spark, sf):
-    return flatten_query(spark, sf, None)
+    return readers.read_memotrace(spark, _exports(spark, sf, "memotrace", one), {"assistant"}).select(*MESSAGE)
 
 
-def split_keys_whole(spark, sf):
-    return split_keys_query(spark, sf, None, None)
+def import_jsonl(spark, sf):
+    """A line a row, with lines that are no object between them."""
+    c, path = table(spark, sf, "conversations"), folder(spark, "jsonl")
+    said = F.to_json(F.struct(F.concat(F.lit("t"), F.col("turn").cast("string")).alias("ts"), _tag(F.col("conv_id"), F.col("turn")).alias("sender_id"), F.col("role").alias("sender"), F.when(F.col("turn") % 3 == 0, "self").when(F.col("turn") % 3 == 1, "nobody").alias("direction"), F.col("text").alias("content"), F.when(F.col("turn") % 4 == 0, "image").alias("type")))
+    bad = F.element_at(F.array(F.lit("\n{broken"), F.lit("\n[1, 2]"), F.lit("\n\n"), F.lit("")), (F.col("turn") % 4 + 1).cast("int"))
+    c.select(F.concat(said, bad).alias("value")).write.text(path)
+    return readers.read_jsonl(spark, path, {"assistant"}).select(*MESSAGE)
 
 
-def migrate_lore_whole(spark, sf):
-    return migrate_lore(spark, sf, None)
+def import_csv(spark, sf):
+    c, path = table(spark, sf, "conversations"), folder(spark, "csv")
+    rows = c.filter("text IS NOT NULL").select(_tag(F.col("conv_id"), F.col("turn")).alias("ts"), F.col("role").alias("sender"), F.concat("text", F.lit(', "'), "role", F.lit('"')).alias("content"), F.lit("").alias("type"))
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return readers.read_csv(spark, path, {"assistant"}).select(*MESSAGE)
 
 
 QUERIES = {
@@ -438,8 +484,9 @@ QUERIES = {
     "quote_attribution": quote_attribution, "worldbook_entries": worldbook_entries, "card_fields": card_fields, "card_roundtrip": card_roundtrip, "memory_upsert": memory_upsert, "memory_edit_delete": memory_edit_delete,
     "memory_decay": memory_decay, "memory_recall_topk": memory_recall_topk, "memory_isolation": memory_isolation, "memory_count": memory_count, "recall_embedding": recall_embedding, "html_text": html_text,
     "entity_text": entity_text_query, "flatten_items": flatten_query, "split_keys": split_keys_query, "migrate_lore": migrate_lore, "ledger_latest": ledger_latest, "ledger_stats": ledger_stats, "lore_words": lore_words,
-    "distill_resume": distill_resume, "novel_distill": novel_distill, "bigram_jaccard_whole": bigram_jaccard_whole, "quote_attribution_whole": quote_attribution_whole, "worldbook_entries_whole": worldbook_entries_whole,
-    "scene_first_wins_whole": scene_first_wins_whole, "lore_words_whole": lore_words_whole, "flatten_items_whole": flatten_whole, "split_keys_whole": split_keys_whole, "migrate_lore_whole": migrate_lore_whole,
+    "distill_resume": distill_resume, "novel_distill": novel_distill,
+    "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
+    "import_csv": import_csv, "import_memotrace": import_memotrace,
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .catalogue_values import EXTENSIONS, LAYER_OF, NOW
 
 WS = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def strip(x: str) -> str:
@@ -16,7 +17,7 @@ def norm(x: str) -> str:
 
 
 def clean(x: str) -> str:
-    return rf"array_to_string(list_filter(list_transform(string_split_regex({x}, '\r\n|\n|\r'), lambda l: {strip('l')}), lambda l: l <> ''), chr(10))"
+    return rf"array_to_string(list_filter(list_transform(string_split_regex({x}, '{LINE_END}'), lambda l: {strip('l')}), lambda l: l <> ''), chr(10))"
 
 
 ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
@@ -37,7 +38,7 @@ NAMES = r"""names AS (
 LORE = f"""lore AS (
   SELECT *, split_part(item, ' ', 1) AS title, CASE WHEN {norm("split_part(item, ' ', 1)")} <> '' THEN {norm("split_part(item, ' ', 1)")} ELSE left({norm("item")}, 40) END AS k FROM lines
 )"""
-FIRST_LORE = "first_lore AS (SELECT * FROM lore WHERE {} QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY block_id, pos) = 1)"
+FIRST_LORE = "first_lore AS (SELECT * FROM lore QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY block_id, pos) = 1)"
 UNION = f"SELECT source, block_id, pos, item FROM lines WHERE {norm('item')} <> '' QUALIFY row_number() OVER (PARTITION BY source, {norm('item')} ORDER BY block_id, pos) = 1"
 _LAYER = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LAYER_OF.items())
 STATE = f"""adds AS (
@@ -100,7 +101,7 @@ def squeezed(x: str) -> str:
     return f"regexp_replace({x}, '{WS}+', '', 'g')"
 
 
-PROFILES = f"""{NAMES}, profiles AS (SELECT source AS name, array_agg(name ORDER BY rank) AS t FROM ranked WHERE rank <= 15 GROUP BY source)"""
+PROFILES = f"""{NAMES}, profiles AS (SELECT source AS name, array_agg(name ORDER BY rank) AS t FROM ranked GROUP BY source)"""
 EXT = ", ".join(f"'{x}'" for x in EXTENSIONS)
 
 SQL = {
@@ -127,15 +128,16 @@ WITH d AS (SELECT doc_id, {norm("text")} AS t FROM documents), b AS (SELECT item
 SELECT doc_id, item_id FROM d JOIN b ON contains(t, q) WHERE q <> ''""",
     "evidence_cross_message": f"""
 WITH m AS (SELECT *, row_number() OVER w - 1 AS idx, coalesce(lead(text) OVER w, '') AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-q AS (SELECT conv_id, turn, {strip("CASE WHEN turn % 2 = 0 THEN right(text, 12) || left(nxt, 12) ELSE substr(text, 5, 20) END")} AS quote, CASE turn % 3 WHEN 0 THEN idx WHEN 1 THEN -1 ELSE 0 END AS i FROM m),
+q AS (SELECT conv_id, turn, {strip("CASE WHEN turn % 2 = 0 THEN text || nxt ELSE text END")} AS quote, CASE turn % 3 WHEN 0 THEN idx WHEN 1 THEN -1 ELSE 0 END AS i FROM m),
 t AS (SELECT conv_id, array_agg({norm("text")} ORDER BY idx) AS l FROM m GROUP BY conv_id),
 k AS (SELECT conv_id, turn, CASE WHEN length(quote) < 2 OR {norm("quote")} = '' THEN NULL WHEN i >= 0 AND coalesce(contains(l[i + 1], {norm("quote")}), false) THEN i WHEN contains(array_to_string(l, ''), {norm("quote")}) THEN 0 END AS kept FROM q JOIN t USING (conv_id))
 SELECT conv_id, turn, CASE WHEN kept IS NULL THEN 'dropped' ELSE 'kept' END AS status, CAST(kept AS INTEGER) AS kept_index FROM k""",
     "bigram_jaccard": f"""
-WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 40 AS item_id, {squeezed("text")} AS t FROM conversations), b AS (SELECT item_id, {squeezed("text")} AS q FROM benchmark)
-SELECT conv_id, turn, item_id, round({jaccard("q", "t")}, 6) AS jaccard FROM c JOIN b USING (item_id)""",
+WITH c AS (SELECT conv_id, turn, t, {grams("t")} AS x FROM (SELECT conv_id, turn, {squeezed("text")} AS t FROM conversations)), b AS (SELECT item_id, q, {grams("q")} AS y FROM (SELECT item_id, {squeezed("text")} AS q FROM benchmark)),
+n AS (SELECT conv_id, turn, item_id, t, q, len(x) + len(y) AS total, len(list_intersect(x, y)) AS shared FROM c CROSS JOIN b)
+SELECT conv_id, turn, item_id, CASE WHEN t IS NULL OR q IS NULL OR (t = '' AND q = '') THEN 0.0 ELSE round(CAST(shared AS DOUBLE) / (total - shared), 6) END AS jaccard FROM n""",
     "merge_union": f"WITH {LINES} {UNION}",
-    "scene_first_wins": "SELECT source, lang AS scene, doc_id AS block_id, left(text, 20) AS tone FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1",
+    "scene_first_wins": "SELECT source, lang AS scene, doc_id AS block_id, text AS tone FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1",
     "lore_conflict": f"""
 WITH {LINES}, {LORE}, w AS (SELECT *, row_number() OVER x AS n, first_value({norm("item")}) OVER x AS f FROM lore WINDOW x AS (PARTITION BY source, k ORDER BY block_id, pos))
 SELECT source, count(*) FILTER (n = 1) AS n_lore, CAST(sum(length(item)) FILTER (n = 1) AS BIGINT) AS n_chars, count(*) FILTER ({norm("item")} <> f) AS n_conflicts FROM w GROUP BY source""",
@@ -148,15 +150,16 @@ WITH {LINES} SELECT source, block_id, pos, '「' || item || '」' AS item FROM l
     "character_merge": f"WITH {NAMES} SELECT source, name, mentions, first_block, first_pos, identity FROM people",
     "top_characters": f"WITH {NAMES} SELECT source, rank, name, mentions FROM ranked WHERE rank <= 5",
     "quote_attribution": f"""
-WITH {LINES}, {NAMES}, h AS (SELECT source, block_id, name FROM names WHERE pos = 0),
-s AS (SELECT source, block_id, item AS quote, coalesce(lead(name) OVER (PARTITION BY source ORDER BY block_id), '') AS speaker FROM lines LEFT JOIN h USING (source, block_id) WHERE pos = 0),
-j AS (SELECT s.source, s.block_id, s.quote, nullif(s.speaker, '') AS speaker, coalesce(first_block <= s.block_id, false) AS attributed FROM s LEFT JOIN people p ON p.source = s.source AND p.name = s.speaker)
-SELECT * FROM j QUALIFY NOT attributed OR row_number() OVER (PARTITION BY source, speaker, quote, attributed ORDER BY block_id) = 1""",
+WITH {LINES}, {NAMES}, h AS (SELECT source, block_id, name FROM names WHERE pos = 0), k AS (SELECT DISTINCT source, block_id FROM lines),
+o AS (SELECT source, block_id, coalesce(lead(name) OVER (PARTITION BY source ORDER BY block_id), '') AS speaker FROM k LEFT JOIN h USING (source, block_id)),
+s AS (SELECT source, block_id, pos, item AS quote, speaker FROM lines JOIN o USING (source, block_id)),
+j AS (SELECT s.source, s.block_id, s.pos, s.quote, nullif(s.speaker, '') AS speaker, coalesce(first_block <= s.block_id, false) AS attributed FROM s LEFT JOIN people p ON p.source = s.source AND p.name = s.speaker)
+SELECT * FROM j QUALIFY NOT attributed OR row_number() OVER (PARTITION BY source, speaker, quote, attributed ORDER BY block_id, pos) = 1""",
     "worldbook_entries": f"""
-WITH {LINES}, {LORE}, {FIRST_LORE.format("pos = 0")}, {NAMES},
+WITH {LINES}, {LORE}, {FIRST_LORE}, {NAMES},
 n AS (SELECT source, array_agg(name ORDER BY rank) AS names FROM ranked WHERE rank <= 5 GROUP BY source),
-l AS (SELECT source, 0 AS part, row_number() OVER (PARTITION BY source ORDER BY block_id, pos) - 1 AS i, title || coalesce('|' || nullif(array_to_string(list_filter(string_split_regex(left(item, 30), '{WS}+'), lambda x: x <> ''), '|'), ''), '') AS keys, '[设定] ' || title || '：' || item AS content, title AS comment FROM first_lore),
-u AS (SELECT * FROM lines WHERE pos = 1 AND {norm("item")} <> '' QUALIFY row_number() OVER (PARTITION BY source, {norm("item")} ORDER BY block_id, pos) = 1),
+l AS (SELECT source, 0 AS part, row_number() OVER (PARTITION BY source ORDER BY block_id, pos) - 1 AS i, title || coalesce('|' || nullif(array_to_string(list_filter(string_split_regex(item, '{WS}+'), lambda x: x <> ''), '|'), ''), '') AS keys, '[设定] ' || title || '：' || item AS content, title AS comment FROM first_lore),
+u AS (SELECT * FROM lines WHERE {norm("item")} <> '' QUALIFY row_number() OVER (PARTITION BY source, {norm("item")} ORDER BY block_id, pos) = 1),
 e AS (SELECT u.source, 1 AS part, row_number() OVER (PARTITION BY u.source ORDER BY block_id, pos) - 1 AS i, coalesce(nullif(array_to_string(list_filter(coalesce(names, []), lambda x: contains(item, x))[1:3], '|'), ''), u.source) AS keys, '[事件] ' || item AS content, left(item, 16) AS comment FROM u LEFT JOIN n ON n.source = u.source QUALIFY i < 60),
 b AS (SELECT * FROM l UNION ALL SELECT * FROM e)
 SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY part, i) - 1 AS INTEGER) AS id, keys, content, comment, CAST(100 + part * 100 + i AS INTEGER) AS insertion_order FROM b""",
@@ -189,18 +192,45 @@ SELECT vec_id, label, round(s, 6) AS relevance FROM r WHERE s > 0""",
 WITH r AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?is)<(?:p|h1|h2|h3|div|title)(?:\s[^>]*)?>([^<]+)', 1), lambda x: {strip("x")}) AS l FROM pages)
 SELECT page_id, {clean("array_to_string(l, chr(10))")} AS text FROM r""",
     "entity_text": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || '-' || role ELSE '[' || role END AS content FROM conversations",
-    "flatten_items": f"SELECT conv_id, turn, role || coalesce('|' || nullif({strip('left(text, 30)')}, ''), '') AS items FROM conversations",
+    "flatten_items": f"SELECT conv_id, turn, role || coalesce('|' || nullif({strip('text')}, ''), '') AS items FROM conversations",
     "split_keys": rf"""
-WITH b AS (SELECT item_id, list_filter(string_split_regex({strip("left(text, 40)")}, '[\s，。！？、/·（）()]+'), lambda k: length(k) BETWEEN 1 AND 12) AS w,
-  regexp_replace(regexp_extract('她： ' || substr(text, 11, 20), '(?:她|他|用户)?[:：]\s*(.{{2,12}})', 1), '[^\p{{L}}\p{{N}}_]', '', 'g') AS f, left({strip("left(text, 40)")}, 12) AS t FROM benchmark),
+WITH b AS (SELECT item_id, list_filter(string_split_regex({strip("text")}, '[\s，。！？、/·（）()]+'), lambda k: length(k) BETWEEN 1 AND 12) AS w,
+  regexp_replace(regexp_extract('她： ' || text, '(?:她|他|用户)?[:：]\s*(.{{2,12}})', 1), '[^\p{{L}}\p{{N}}_]', '', 'g') AS f, left({strip("text")}, 12) AS t FROM benchmark),
 k AS (SELECT item_id, CASE WHEN length(f) BETWEEN 2 AND 12 AND NOT list_contains(w, f) THEN list_append(w, f) ELSE w END AS k, t FROM b)
 SELECT item_id, CASE WHEN len(k) > 0 THEN array_to_string(k[1:4], '|') ELSE t END AS keys FROM k""",
     "migrate_lore": """
-SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS i, '[' || lang || '] ' || array_to_string(string_split(text, ' ')[1:2], ' ') || '：' || left(text, 50) AS content, array_to_string(string_split(text, ' ')[1:2], ' ') AS comment,
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS i, '[' || lang || '] ' || array_to_string(string_split(text, ' ')[1:2], ' ') || '：' || text AS content, array_to_string(string_split(text, ' ')[1:2], ' ') AS comment,
   CAST(100 + floor(CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE (doc_id % 10) / 10 END * 50) AS INTEGER) AS insertion_order, lang AS category FROM documents WHERE doc_id % 2 = 1""",
     "ledger_latest": "SELECT user_id AS block_id, max(event_id) AS seq, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'failed' ELSE 'done' END AS status FROM events GROUP BY user_id",
     "ledger_stats": """
 WITH l AS (SELECT user_id, arg_max(event_type, event_id) = 'error' AS bad FROM events GROUP BY user_id), e AS (SELECT count(*) AS calls, CAST(count(*) * 10 AS BIGINT) AS prompt_tokens, CAST(sum(floor(value)) AS BIGINT) AS completion_tokens FROM events)
 SELECT count(*) FILTER (NOT bad) AS blocks_done, count(*) FILTER (bad) AS blocks_failed, coalesce(string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) FILTER (bad), '') AS failed_blocks, any_value(calls) AS calls, any_value(prompt_tokens) AS prompt_tokens, any_value(completion_tokens) AS completion_tokens FROM l, e""",
-    "lore_words": f"WITH {LINES} SELECT source, block_id, pos, CAST(len(list_filter(string_split_regex(left(item, 30), '{WS}+'), lambda x: x <> '')) AS INTEGER) AS n_keys FROM lines",
+    "lore_words": f"WITH {LINES} SELECT source, block_id, pos, CAST(len(list_filter(string_split_regex(item, '{WS}+'), lambda x: x <> '')) AS INTEGER) AS n_keys FROM lines",
+    "parse_ts_forms": """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN epoch_us(date_trunc('second', ts)) WHEN 1 THEN epoch_us(ts) - 28800000000 WHEN 2 THEN epoch_us(date_trunc('hour', ts)) WHEN 3 THEN epoch_us(ts) WHEN 4 THEN epoch_us(date_trunc('minute', ts)) + 19800000000
+  WHEN 5 THEN epoch_us(date_trunc('second', ts)) + 123456 WHEN 6 THEN epoch_us(date_trunc('second', ts)) - 7200000000 ELSE epoch_us(date_trunc('second', ts)) END AS micros FROM events""",
+    "splitlines": f"SELECT conv_id, turn, array_to_string(list_filter([{strip('text')}, 'two', role, 'four', 'five'], lambda x: x <> ''), chr(10)) AS lines FROM (SELECT conv_id, turn, role, {clean('text')} AS text FROM conversations)",
+    "character_profile_text": f"""
+WITH {NAMES} SELECT source, string_agg(name || '（' || identity || '）：' || name || ' one、' || name || ' two；风格：' || CASE WHEN mentions % 2 = 0 THEN 'plain' ELSE '' END || CASE WHEN mentions % 3 = 0 THEN '；关系：[' || chr(39) || 'knows ' || name || chr(39) || ', ' || chr(39) || 'x' || chr(39) || ']' ELSE '' END, chr(10) ORDER BY rank) AS text FROM ranked GROUP BY source""",
+    "novel_cards": f"""
+WITH {NAMES}, c AS (SELECT *, name || '——' || CASE WHEN identity <> '' THEN identity ELSE '本书人物' END || '。' AS first FROM ranked)
+SELECT source, name, first || chr(10) || '性格：' || name || ' one、' || name || ' two。' || CASE WHEN mentions % 2 = 0 THEN chr(10) || '说话风格：plain。' ELSE '' END || CASE WHEN mentions % 3 = 0 THEN chr(10) || '人物关系：knows ' || name || '；x。' ELSE '' END
+    || chr(10) || '你正与读者（用户）在《' || source || '》的世界中互动，保持人物的言行逻辑与语言习惯。' AS description,
+  name || ' one、' || name || ' two' AS personality, '《' || source || '》的世界。用户是穿越进书中世界的读者。' AS scenario, '（' || name || ' 注意到你的到来）……你是谁？为何在此？' AS first_mes,
+  '「' || name || ' said」' AS mes_example, CAST(mentions AS INTEGER) AS mention_count FROM c""",
+    "memory_touch": f"""
+WITH {STATE}, q AS (SELECT *, {jaccard("'{\"k\":42}'", squeezed("content"))} AS r FROM faded WHERE layer <> 'semantic'),
+s AS (SELECT *, round(greatest(d, 0.01) * r * greatest(importance, 0.1) / 10.0, 9) AS score FROM q WHERE r > 0),
+h AS (SELECT id FROM s QUALIFY row_number() OVER (PARTITION BY profile_id, owner ORDER BY score DESC, id) <= 2)
+SELECT id, CASE WHEN h.id IS NOT NULL THEN '{NOW}' ELSE last_accessed END AS last_accessed FROM state LEFT JOIN h USING (id)""".replace("SELECT id, CASE", "SELECT state.id, CASE").replace("JOIN h USING (id)", "JOIN h ON h.id = state.id"),
+    "import_telegram": """
+SELECT CASE WHEN turn % 2 = 0 THEN '17000' || lpad(CAST(turn AS VARCHAR), 5, '0') ELSE 'day ' || turn END AS ts, conv_id || ':' || turn AS sender_id, role AS sender_name, CASE WHEN role = 'assistant' THEN 'self' ELSE 'other' END AS direction,
+  CASE WHEN turn % 3 = 0 THEN text || '!' || role ELSE text END AS content, 'text' AS type, 'telegram' AS source FROM conversations WHERE turn % 5 <> 4 AND trim(text) <> ''""",
+    "import_jsonl": """
+SELECT 't' || turn AS ts, conv_id || ':' || turn AS sender_id, role AS sender_name, CASE WHEN turn % 3 = 0 THEN 'self' WHEN role = 'assistant' THEN 'self' ELSE 'other' END AS direction, text AS content, CASE WHEN turn % 4 = 0 THEN 'image' ELSE 'text' END AS type, 'generic' AS source FROM conversations WHERE trim(text) <> ''""",
+    "import_csv": """
+SELECT conv_id || ':' || turn AS ts, role AS sender_id, role AS sender_name, CASE WHEN role = 'assistant' THEN 'self' ELSE 'other' END AS direction, text || ', "' || role || '"' AS content, 'text' AS type, 'generic' AS source FROM conversations WHERE text IS NOT NULL""",
+    "import_memotrace": """
+SELECT conv_id || ':' || turn AS ts, role AS sender_id, role AS sender_name, CASE WHEN turn % 3 = 0 THEN CASE WHEN turn % 2 = 0 THEN 'self' ELSE 'other' END WHEN role = 'assistant' THEN 'self' ELSE 'other' END AS direction, text AS content,
+  CASE turn % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'media' ELSE 'note' END AS type, 'memotrace' AS source FROM conversations WHERE trim(text) <> ''""",
 }

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, col, entity_text, first_truthy, is_blank, strip_u
+from ..functions.text import LINE_END, clean_text, col, entity_text, first_truthy, is_blank, strip_u
 
 CHAT_EXTENSIONS = (".csv", ".json", ".jsonl")
 NOVEL_EXTENSIONS = (".epub", ".txt")
@@ -83,7 +83,7 @@ def read_telegram(spark: SparkSession, path: str, self_names=()) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, self_names=()) -> DataFrame:
     """Bad lines and lines that are no object are skipped; the physical line number stands in for ts."""
-    lines = _whole(spark, path).select(F.posexplode(F.split("value", r"\r\n|\n|\r", -1)).alias("i", "line"))
+    lines = _whole(spark, path).select(F.posexplode(F.split("value", LINE_END, -1)).alias("i", "line"))
     rows = lines.select((F.col("i") + 1).cast("bigint").alias("n"), F.try_parse_json(strip_u("line")).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
     sender = F.coalesce(_text("v", "sender_name"), _text("v", "sender"), F.lit("unknown"))
     rows = rows.select("n", "v", sender.alias("sender"))

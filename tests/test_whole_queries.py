@@ -33,7 +33,7 @@ def test_jaccard_of_every_pair(spark, tmp_path, monkeypatch, limit):
         return round(len(x & y) / len(x | y), 6) if a or b else 0.0
 
     want = [(c, t, i, share(q, x)) for (c, t, x), (i, q) in itertools.product(texts, items)]
-    assert listed(catalogue.queries()["bigram_jaccard_whole"](spark, str(tmp_path)).select("conv_id", "turn", "item_id", "jaccard")) == sorted(want, key=repr)
+    assert listed(catalogue.queries()["bigram_jaccard"](spark, str(tmp_path)).select("conv_id", "turn", "item_id", "jaccard")) == sorted(want, key=repr)
 
 
 BOOK = [
@@ -57,7 +57,7 @@ def norm(x):
 
 def test_every_line_is_a_quote(spark, tmp_path):
     stored(spark, tmp_path, "documents", BOOK, DOCUMENTS)
-    got = listed(catalogue.queries()["quote_attribution_whole"](spark, str(tmp_path)).select("source", "block_id", "pos", "quote", "speaker", "attributed"))
+    got = listed(catalogue.queries()["quote_attribution"](spark, str(tmp_path)).select("source", "block_id", "pos", "quote", "speaker", "attributed"))
     # the next block's first name; Anna and Bruno are known from block 1 on, The is too
     speaker, want, seen = {1: "Anna", 2: "Bruno", 3: "Bruno", 4: None, 5: None}, [], set()
     for s, d, i, x in book_lines():
@@ -70,7 +70,7 @@ def test_every_line_is_a_quote(spark, tmp_path):
 
 def test_every_line_is_lore_and_an_event(spark, tmp_path):
     stored(spark, tmp_path, "documents", BOOK, DOCUMENTS)
-    rows = catalogue.queries()["worldbook_entries_whole"](spark, str(tmp_path)).collect()
+    rows = catalogue.queries()["worldbook_entries"](spark, str(tmp_path)).collect()
     for source in "ab":
         lore, events = {}, {}
         for s, _, _, x in book_lines():
@@ -89,8 +89,8 @@ def test_texts_are_taken_whole(spark, tmp_path):
     stored(spark, tmp_path, "conversations", [(1, d, t, "user") for d, t in enumerate(long)], "conv_id long, turn int, text string, role string")
     stored(spark, tmp_path, "benchmark", [(1, "a-word-of-over-twelve-characters " * 3 + "late words"), (2, "ab: cd")], "item_id long, text string")
     run = lambda name, *cols: listed(catalogue.queries()[name](spark, str(tmp_path)).select(*cols))
-    assert run("scene_first_wins_whole", "scene", "tone") == [("en", long[0] + "\n" + long[0][::-1])]
-    assert run("lore_words_whole", "block_id", "pos", "n_keys") == [(d, i, 34) for d in range(3) for i in range(2)]
-    assert run("flatten_items_whole", "turn", "items") == [(d, "user|" + t) for d, t in enumerate(long)]
-    assert run("split_keys_whole", "item_id", "keys") == [(1, "late|words|awordofov"), (2, "ab:|cd|abcd")]
-    assert run("migrate_lore_whole", "i", "content") == [(0, f"[en] one two：{long[1]}\n{long[1][::-1]}")]
+    assert run("scene_first_wins", "scene", "tone") == [("en", long[0] + "\n" + long[0][::-1])]
+    assert run("lore_words", "block_id", "pos", "n_keys") == [(d, i, 34) for d in range(3) for i in range(2)]
+    assert run("flatten_items", "turn", "items") == [(d, "user|" + t) for d, t in enumerate(long)]
+    assert run("split_keys", "item_id", "keys") == [(1, "late|words|awordofov"), (2, "ab:|cd|abcd")]
+    assert run("migrate_lore", "i", "content") == [(0, f"[en] one two：{long[1]}\n{long[1][::-1]}")]
