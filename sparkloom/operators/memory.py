@@ -1,4 +1,4 @@
-"""Four-layer memory: an append-only log of events folded into a state, scored on recall.
+"""Four-layer memory: adds folded into a state, scored on recall, kept in a store.
 
 State rows are one per (profile_id, owner, layer, content). Every private read and
 write names both profile_id and owner.
@@ -6,8 +6,12 @@ write names both profile_id and owner.
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,65 +144,109 @@ def count(state: DataFrame, profile_id: str | None = None, owner: str | None = N
 
 
 class MemoryStore:
-    """Snapshots under a folder, partitioned by a hash of the scope; each change writes the next and then drops the last but one.
-
-    A reader of one scope prunes to one partition. Changes come as tables, so one
-    call folds any number of events.
+    """A table of memories under a folder, in parts by a hash of the scope.
+
+    ``data/part=P/v=V`` has a part's rows, ``touch/part=P/v=V`` what recalls have marked
+    since, appended and folded when read, and ``manifest/N.json`` names the version of
+    every part. A change writes the parts of its scopes anew and then the next manifest;
+    a recall reads one part and appends its marks, a few rows. Manifests are created, never
+    overwritten, so of two writers that start from the same one the second fails. What a
+    change replaces is deleted by the one after it, so running readers keep their files.
     """
 
+    FEW_TOUCHES = 64  # files of marks before a recall folds them into its part
+
     def __init__(self, spark: SparkSession, path: str, parts: int = 64):
         self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
 
-    def _versions(self) -> list[int]:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        jvm = self.spark.sparkContext._jvm
-        names = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(x.getName()[1:]) for x in names if x.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _manifest(self) -> dict:
+        found = sorted(int(n.removesuffix(".json")) for n in self._names(f"{self.path}/manifest") if n.endswith(".json") and not n.startswith("."))
+        if not found:
+            return {"n": -1, "parts": {}, "last_id": 0, "stale": []}
+        return json.loads(self.spark.read.text(f"{self.path}/manifest/{found[-1]}.json", wholetext=True).first()[0])
 
     def _part(self, profile_id, owner) -> Column:
         return F.pmod(F.xxhash64(profile_id, owner), F.lit(self.parts)).cast("int")
 
-    def state(self, profile_id: str | None = None, owner: str | None = None) -> DataFrame:
-        have = self._versions()
+    def _parts_of(self, changes: DataFrame) -> list[int]:
+        scopes = changes.select(self._part(strip_u("profile_id"), strip_u("owner")).alias("p")).distinct()
+        return [r["p"] for r in scopes.collect()]  # as many numbers as there are parts at most
+
+    def _read(self, manifest: dict, parts: list[int] | None = None) -> DataFrame:
+        """The rows of some parts, or of all, with the marks of recalls folded in."""
+        have = {int(p): v for p, v in manifest["parts"].items() if parts is None or int(p) in parts}
         if not have:
             return self.spark.createDataFrame([], MEMORY_STATE)
-        df = self.spark.read.schema(f"{MEMORY_STATE}, part INT").parquet(f"{self.path}/v{have[-1]}")
-        if profile_id is not None and owner is not None:
-            part = self.spark.range(1).select(self._part(F.lit(profile_id), F.lit(owner))).first()[0]
-            df = scoped(df.filter(F.col("part") == part), profile_id, owner)
-        return df.drop("part")
-
-    def _commit(self, state: DataFrame) -> None:
-        have = self._versions()
-        out = state.withColumn("part", self._part(F.col("profile_id"), F.col("owner")))
-        out.repartition("part").write.partitionBy("part").parquet(f"{self.path}/v{have[-1] + 1 if have else 0}")
-        jvm = self.spark.sparkContext._jvm
-        for old in have[:-1]:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        place = lambda kind: [f"{self.path}/{kind}/part={p}/v={v}" for p, v in have.items()]
+        df = self.spark.read.schema(f"{MEMORY_STATE}, part INT, v STRING").option("basePath", f"{self.path}/data").parquet(*place("data"))
+        if parts is not None:
+            df = df.filter(F.col("part").isin(*parts))
+        marks = [p for p in place("touch") if self._names(p)]
+        if marks:
+            last = self.spark.read.schema("profile_id STRING, owner STRING, id LONG, seq LONG, at STRING").parquet(*marks)
+            last = last.groupBy(*SCOPE, "id").agg(F.max(F.struct("seq", "at"))["at"].alias("__at"))
+            df = df.join(last, [*SCOPE, "id"], "left").withColumn("last_accessed", F.coalesce("__at", "last_accessed"))
+        return df.select(*self.spark.createDataFrame([], MEMORY_STATE).columns)
+
+    def state(self, profile_id: str | None = None, owner: str | None = None) -> DataFrame:
+        manifest = self._manifest()
+        if profile_id is None or owner is None:
+            return self._read(manifest)
+        part = self.spark.range(1).select(self._part(F.lit(profile_id), F.lit(owner))).first()[0]
+        return scoped(self._read(manifest, [part]), profile_id, owner)
+
+    def _commit(self, manifest: dict, state: DataFrame, parts: list[int], last_id: int | None = None) -> None:
+        """The next manifest, with ``state`` as all that ``parts`` hold."""
+        version = f"{manifest['n'] + 1}-{uuid.uuid4().hex[:8]}"
+        out = state.withColumn("part", self._part(F.col("profile_id"), F.col("owner"))).withColumn("v", F.lit(version))
+        # a part with a hot scope is written by several tasks
+        out.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("part", "v").mode("append").parquet(f"{self.path}/data")
+        now = dict(manifest["parts"])
+        stale = [[p, now.pop(str(p))] for p in parts if str(p) in now]
+        now |= {str(p): version for p in parts if self._names(f"{self.path}/data/part={p}/v={version}")}
+        new = {"n": manifest["n"] + 1, "parts": now, "last_id": manifest["last_id"] if last_id is None else last_id, "stale": stale}
+        fs, p = self._fs(f"{self.path}/manifest/{new['n']}.json")
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"{self.path}: another writer has changed the store meanwhile") from e
+        stream.write(json.dumps(new).encode())
+        stream.close()
+        for part, old in manifest["stale"]:
+            for kind in ("data", "touch"):
+                fs, p = self._fs(f"{self.path}/{kind}/part={part}/v={old}")
+                fs.delete(p, True)
 
     def add(self, adds: DataFrame) -> None:
         check_adds(adds)
-        state = self.state()
-        last = state.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        manifest, parts = self._manifest(), self._parts_of(adds)
+        last = manifest["last_id"]
+        highest = adds.agg(F.max("seq")).first()[0]
         # ids follow the last one used, in order of seq
-        self._commit(upsert(state, adds.withColumn("seq", F.col("seq") + last)))
+        self._commit(manifest, upsert(self._read(manifest, parts), adds.withColumn("seq", F.col("seq") + last)), parts, last + (highest or 0))
 
     def edit(self, edits: DataFrame) -> None:
-        state = self.state()
+        manifest, parts = self._manifest(), self._parts_of(edits)
+        state = self._read(manifest, parts)
         self._in_scope(state, edits)
         new = edit(state, edits)
         if not new.groupBy(*KEY).count().filter("count > 1").isEmpty():
             raise ValueError("an edit would repeat a memory of its scope and layer")
-        self._commit(new)
+        self._commit(manifest, new, parts)
 
     def delete(self, deletes: DataFrame) -> None:
-        state = self.state()
+        manifest, parts = self._manifest(), self._parts_of(deletes)
+        state = self._read(manifest, parts)
         self._in_scope(state, deletes)
-        self._commit(delete(state, deletes))
+        self._commit(manifest, delete(state, deletes), parts)
 
     @staticmethod
     def _in_scope(state: DataFrame, changes: DataFrame) -> None:
@@ -207,17 +255,24 @@ class MemoryStore:
 
     def apply_decay(self, now: str) -> int:
         """Decays the whole store; returns how many were archived."""
-        state = self.state()
+        manifest = self._manifest()
+        state = self._read(manifest)
         before = state.filter("archived").count()
-        self._commit(apply_decay(state, now))
+        self._commit(manifest, apply_decay(state, now), [int(p) for p in manifest["parts"]])
         return self.state().filter("archived").count() - before
 
     def recall(self, profile_id: str, owner: str, query: str, now: str, top_k: int = 5, layers: tuple[str, ...] = (), relevance: Relevance = bigram_jaccard) -> list:
-        """The best rows of a scope (at most ``top_k``); marks them as accessed."""
-        got = recall(self.state(profile_id, owner), profile_id, owner, query, now, top_k, layers, relevance).collect()
+        """The best rows of a scope (at most ``top_k``); marks them as accessed, which writes these rows' marks only."""
+        manifest = self._manifest()
+        part = self.spark.range(1).select(self._part(F.lit(profile_id), F.lit(owner))).first()[0]
+        state = self._read(manifest, [part])
+        got = recall(state, profile_id, owner, query, now, top_k, layers, relevance).collect()
         if got:
-            ids = self.spark.createDataFrame([(r["profile_id"], r["owner"], r["id"]) for r in got], "profile_id string, owner string, id long")
-            self._commit(touch(self.state(), ids, now))
+            place = f"{self.path}/touch/part={part}/v={manifest['parts'][str(part)]}"
+            marks = [(r["profile_id"], r["owner"], r["id"], time.time_ns(), now) for r in got]
+            self.spark.createDataFrame(marks, "profile_id string, owner string, id long, seq long, at string").coalesce(1).write.mode("append").parquet(place)
+            if sum(n.endswith(".parquet") for n in self._names(place)) > self.FEW_TOUCHES:
+                self._commit(manifest, self._read(manifest, [part]), [part])
         return got
 
     def count(self, profile_id: str | None = None, owner: str | None = None) -> int:

@@ -80,3 +80,39 @@ def test_edit_and_delete_in_scope(spark, tmp_path):
     assert {r.content for r in store.state().collect()} == {"new", "other"}
     store.delete(change("o", 1, ""))
     assert {r.content for r in store.state().collect()} == {"other"}
+
+
+def test_recalls_write_their_marks_only(spark, tmp_path):
+    store = m.MemoryStore(spark, str(tmp_path / "m"), parts=4)
+    store.add(spark.createDataFrame([(i, f"p{i % 5}", "o", "raw", f"note {i}", 5.0, "2026-01-01", None) for i in range(40)], ADDS))
+    files = lambda kind: {str(f) for f in (tmp_path / "m" / kind).rglob("*.parquet")}
+    data, manifests = files("data"), sorted((tmp_path / "m/manifest").iterdir())
+    got = store.recall("p1", "o", "note", "2026-01-02", 3)
+    again = store.recall("p1", "o", "note", "2026-01-05", 1)
+    assert len(got) == 3 and files("data") == data and sorted((tmp_path / "m/manifest").iterdir()) == manifests
+    assert sum(spark.read.parquet(f).count() for f in files("touch")) == 4
+    marked = {r.id: r.last_accessed for r in store.state().collect()}
+    want = {r["id"]: "2026-01-02" for r in got} | {r["id"]: "2026-01-05" for r in again}
+    assert {i: t for i, t in marked.items() if t != "2026-01-01"} == want
+    store.add(spark.createDataFrame([(1, "p1", "o", "raw", "one more", 5.0, "2026-01-06", None)], ADDS))  # folds them
+    assert {r.id: r.last_accessed for r in store.state("p1", "o").collect() if r.id in want} == want
+    assert store.count("p1") == 9 and store.state().agg({"id": "max"}).first()[0] == 40
+
+
+def test_marks_are_folded_when_there_are_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(m.MemoryStore, "FEW_TOUCHES", 3)
+    store = m.MemoryStore(spark, str(tmp_path / "m"), parts=2)
+    store.add(spark.createDataFrame([(1, "p", "o", "raw", "a note", 5.0, "2026-01-01", None)], ADDS))
+    for day in range(2, 9):
+        assert store.recall("p", "o", "note", f"2026-01-0{day}")[0]["last_accessed"] == f"2026-01-0{day - 1}"
+    assert len(list((tmp_path / "m/manifest").glob("[0-9]*.json"))) > 1 and store.state().first()["last_accessed"] == "2026-01-08"
+
+
+def test_a_second_writer_fails(spark, tmp_path):
+    store = m.MemoryStore(spark, str(tmp_path / "m"), parts=2)
+    store.add(spark.createDataFrame([(1, "p", "o", "raw", "a note", 5.0, "2026-01-01", None)], ADDS))
+    seen = store._manifest()
+    store.add(spark.createDataFrame([(1, "p", "o", "raw", "another", 5.0, "2026-01-01", None)], ADDS))
+    with pytest.raises(RuntimeError):
+        store._commit(seen, store._read(seen), [0, 1])
+    assert store.count("p") == 2
