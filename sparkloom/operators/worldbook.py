@@ -37,7 +37,8 @@ def worldbook(lore: DataFrame, events: DataFrame, tops: DataFrame, book: str = "
     said = said.withColumn("keys", F.concat(F.array("title"), split_words("keys"))).withColumn("comment", F.col("title")).withColumn("content", F.concat(F.lit(LORE_MARK), F.col("title"), F.lit("："), F.col("content")))
     said = said.withColumn("part", F.lit(0)).withColumn("insertion_order", F.lit(100) + F.col("i"))
     names = tops.groupBy(book).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
-    told = events.withColumn("i", F.row_number().over(order) - 1).filter(F.col("i") < MAX_EVENTS).join(names, book, "left")
+    # a plain comparison with the row number, which Spark turns into a limit before the shuffle
+    told = events.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_EVENTS).withColumn("i", F.col("n") - 1).join(names, book, "left")
     hit = F.slice(F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.contains(F.col("item"), n)), 1, EVENT_KEYS)
     told = told.withColumn("keys", F.when(F.size(hit) > 0, hit).otherwise(F.array(F.col(book).cast("string")))).withColumn("comment", F.substring("item", 1, 16)).withColumn("content", F.concat(F.lit(EVENT_MARK), F.col("item")))
     told = told.withColumn("part", F.lit(1)).withColumn("insertion_order", F.lit(200) + F.col("i"))

@@ -357,11 +357,10 @@ def steady_client():
 
 
 def distill_resume(spark, sf):
-    """All conversations as one chat, in a run with failures and its resumption."""
-    m = messages(spark, sf).withColumn("ts", F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("-"), F.lpad(F.col("turn").cast("string"), 6, "0")))
-    path = folder(spark, "distill")
-    chat.distill(spark, m, "assistant", flaky_client, path, "first", block_size=50)
-    p = chat.distill(spark, m, "assistant", steady_client, path, "second", block_size=50)
+    """All conversations of one person, each cut for itself, in a run with failures and its resumption."""
+    path, m = folder(spark, "distill"), messages(spark, sf)
+    chat.distill(spark, m, "assistant", flaky_client, path, "first", block_size=50, conversation="conv_id")
+    p = chat.distill(spark, m, "assistant", steady_client, path, "second", block_size=50, conversation="conv_id")
     size = lambda c: F.size(F.coalesce(c, F.array()))
     return p.select("name", *(size(c).alias(c) for c in ("traits", "memories", "uncertainties", "style_examples", "lore")), F.to_json("evidence_stats").alias("evidence_stats"), "calls")
 
@@ -476,6 +475,33 @@ def import_csv(spark, sf):
     return readers.read_csv(spark, path, {"assistant"}).select(*MESSAGE)
 
 
+def card_import(spark, sf):
+    """Cards of the flat and of the nested form without an extension of ours: lists and examples come from their plain texts."""
+    c = table(spark, sf, "conversations")
+    entry = lambda content, keys: F.struct(F.lit("").alias("comment"), content.alias("content"), keys.alias("keys"))
+    book = F.struct(F.array(entry(F.concat(F.lit("  "), "text"), F.concat("role", F.lit("  key\tlast"))), entry(F.lit(" "), F.lit("none"))).alias("entries"))
+    data = F.struct(F.concat(F.lit(" "), "role", F.lit(" ")).alias("name"), F.col("text").alias("description"), F.concat(F.lit("kind，"), "role", F.lit("、 、calm")).alias("personality"), F.concat("role", F.lit(" says\u2028 \x0b again ")).alias("mes_example"), book.alias("character_book"))
+    flat, nested = F.to_json(data), F.to_json(F.struct(F.lit("chara_card_v2").alias("spec"), data.alias("data")))
+    got = cards.from_card(c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, flat).otherwise(nested).alias("card")))
+    return got.select("conv_id", "turn", "name", "persona_summary", F.array_join("traits", "|").alias("traits"), F.array_join("style_examples", "|").alias("style_examples"), F.array_join(F.transform("lore", lambda e: F.concat_ws(":", e["title"], e["content"], e["keys"])), "|").alias("lore"))
+
+
+PROFILE = {
+    "personality": {"temperament": "calm", "traits": ["kind", {"content": " brave "}, " "]}, "preferences": {"likes": ["tea"], "dislikes": ["noise", "cold rain"]}, "behavior_rules": ["be kind", migrate.BOUNDARY_MARK + "no calls"],
+    "speaking_style": {"common_phrases": ["well", "so"]}, "shared_memories": [{"content": "the lake"}, {"content": "  "}], "uncertainties": ["age"],
+}
+
+
+def migrate_convert(spark, sf):
+    """One profile with all documents as its lore and all events as its memories."""
+    profile = spark.createDataFrame([("Nora", json.dumps(PROFILE), 2), ("Other", "{}", 1)], "name string, profile_json string, updated_at long")
+    lore = table(spark, sf, "documents").select(F.col("lang").alias("category"), F.substring_index("text", " ", 2).alias("title"), F.col("text").alias("content"), F.lit("{}").alias("payload"), (F.col("doc_id") % 2).alias("enabled"), F.col("doc_id").alias("updated_at"))
+    told = table(spark, sf, "events").select(F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.col("props")).alias("content"), F.col("value").alias("importance"), F.when(F.col("event_id") % 5 == 0, "gone").alias("deleted_at"))
+    card = migrate.convert(migrate.load_profile(profile), lore.filter("content IS NOT NULL"), told)
+    back = cards.from_card(card)
+    return back.select("name", F.array_join("traits", "|").alias("traits"), F.array_join("behavior_rules", "|").alias("behavior_rules"), F.array_join("taboos", "|").alias("taboos"), F.array_join("style_examples", "|").alias("style_examples"), F.size("lore").alias("n_lore"), F.size("memories").alias("n_memories"), F.element_at("memories", -1).alias("last_memory"))
+
+
 QUERIES = {
     "msg_direction": msg_direction, "sender_stats": sender_stats, "sniff_format": sniff_format, "parse_ts": parse_ts_query, "chunk_messages_size": chunk_messages_size, "chunk_messages_gap": chunk_messages_gap,
     "chunk_messages_nullts": chunk_messages_nullts, "block_bounds": block_bounds, "block_render": block_render, "normalize_text": normalize_text, "extract_json": extract_json_query, "evidence_verify": evidence_verify,
@@ -486,7 +512,7 @@ QUERIES = {
     "entity_text": entity_text_query, "flatten_items": flatten_query, "split_keys": split_keys_query, "migrate_lore": migrate_lore, "ledger_latest": ledger_latest, "ledger_stats": ledger_stats, "lore_words": lore_words,
     "distill_resume": distill_resume, "novel_distill": novel_distill,
     "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
-    "import_csv": import_csv, "import_memotrace": import_memotrace,
+    "import_csv": import_csv, "import_memotrace": import_memotrace, "card_import": card_import, "migrate_convert": migrate_convert,
 }
 
 

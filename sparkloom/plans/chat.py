@@ -22,13 +22,20 @@ SYSTEM = (
 )
 
 
-def blocks_of(messages: DataFrame, block_size: int = 100, gap_hours: float = 6.0) -> DataFrame:
-    return chunk_messages(messages.withColumn("scope", F.lit(0)), ["scope"], block_size, gap_hours)
+BLOCKS = 1 << 24  # block ids of a conversation
 
 
-def distill(spark: SparkSession, messages: DataFrame, name: str, factory: Callable, path: str, run_id: str = "run", max_attempts: int = 2, block_size: int = 100, gap_hours: float = 6.0) -> DataFrame:
+def blocks_of(messages: DataFrame, block_size: int = 100, gap_hours: float = 6.0, conversation: str | None = None) -> DataFrame:
+    """Messages with block_id and idx; with ``conversation``, a column of numbers, each conversation is cut for itself (and is one task's work at most)."""
+    if conversation is None:
+        return chunk_messages(messages.withColumn("scope", F.lit(0)), ["scope"], block_size, gap_hours)
+    cut = chunk_messages(messages.withColumn("scope", F.col(conversation)), ["scope"], block_size, gap_hours)
+    return cut.withColumn("block_id", F.col("scope").cast("bigint") * BLOCKS + F.col("block_id"))
+
+
+def distill(spark: SparkSession, messages: DataFrame, name: str, factory: Callable, path: str, run_id: str = "run", max_attempts: int = 2, block_size: int = 100, gap_hours: float = 6.0, conversation: str | None = None) -> DataFrame:
     """One row: the merged profile of ``name``. Calling again with the same ``path`` calls only for blocks that are not done."""
-    chunked = blocks_of(messages, block_size, gap_hours)
+    chunked = blocks_of(messages, block_size, gap_hours, conversation)
     rendered = render_blocks(chunked, ["scope"], F.lit(name)).select("block_id", "rendered")
     ledger = Ledger(spark, path)
     ledger.run(rendered, factory, SYSTEM.format(name=name), run_id, max_attempts)
@@ -49,7 +56,7 @@ def merge(ledger: Ledger, chunked: DataFrame, name: str) -> DataFrame:
     for c in LIST_FIELDS:
         items = list_items(frags, c, scope)
         if c == "uncertainties":  # notes come after all that the fragments say
-            later = notes.withColumn("block_id", F.col("block_id") + F.lit(1 << 30))
+            later = notes.withColumn("block_id", F.col("block_id") + F.lit(1 << 62))
             items = items.unionByName(later)
         out = out.join(gathered(ordered_union(items, scope), scope, c), scope, "left")
     out = out.join(gathered(style_examples(kept, scope), scope, "style_examples"), scope, "left")

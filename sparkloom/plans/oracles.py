@@ -233,4 +233,10 @@ SELECT conv_id || ':' || turn AS ts, role AS sender_id, role AS sender_name, CAS
     "import_memotrace": """
 SELECT conv_id || ':' || turn AS ts, role AS sender_id, role AS sender_name, CASE WHEN turn % 3 = 0 THEN CASE WHEN turn % 2 = 0 THEN 'self' ELSE 'other' END WHEN role = 'assistant' THEN 'self' ELSE 'other' END AS direction, text AS content,
   CASE turn % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'media' ELSE 'note' END AS type, 'memotrace' AS source FROM conversations WHERE trim(text) <> ''""",
+    "card_import": f"""
+WITH c AS (SELECT *, {strip("text")} AS t FROM conversations)
+SELECT conv_id, turn, role AS name, text AS persona_summary, 'kind|' || role || '|calm' AS traits, role || ' says|again' AS style_examples, CASE WHEN t = '' THEN '' ELSE left(t, 20) || ':' || t || ':' || role || ' key last' END AS lore FROM c WHERE text IS NOT NULL""",
+    "migrate_convert": """
+SELECT 'Nora' AS name, 'kind|brave' AS traits, 'be kind' AS behavior_rules, 'no calls' AS taboos, 'well|so' AS style_examples, CAST((SELECT count(*) FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL) + 2 AS INTEGER) AS n_lore,
+  CAST((SELECT count(*) FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND trim(props) <> '') + 1 AS INTEGER) AS n_memories, 'the lake' AS last_memory""",
 }

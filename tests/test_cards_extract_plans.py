@@ -153,3 +153,13 @@ def test_migration(spark):
     with pytest.raises(LookupError, match="Ada"):
         migrate.load_profile(companions, "None")
     assert migrate.enabled_lore(lore).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkloom.__main__ import main
+    from sparkloom.plans.catalogue import steady_client
+
+    (tmp_path / "b.txt").write_text("Anna came home.\nBruno waited for Anna at the old gate.\n", encoding="utf-8")
+    main(["--input", str(tmp_path / "b.txt"), "--name", "Gate", "--base-url", "http://none", "--api-key", "k", "--model", "m", "--out", str(tmp_path / "out")], steady_client)
+    assert "card " in capsys.readouterr().out
+    assert list((tmp_path / "out/Gate/cards").glob("name=*")) and list((tmp_path / "out/Gate/report").glob("*.json"))
