@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(_OWN[app])
