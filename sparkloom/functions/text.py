@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 #: White space as Python's str.strip and str.isspace see it; also what RE2 accepts.
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+#: The same characters one by one, for trimming without a pattern.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 #: Ends of lines as Python's str.splitlines sees them.
@@ -23,7 +25,7 @@ def col(c) -> Column:
 
 def strip_u(c) -> Column:
     """Strips Unicode white space at both ends."""
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def is_blank(c) -> Column:
