@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import REACH_SQL, components
 from .text import Texts, U, Words, lists, mix, pieces, rolling, sequence_hash
 from .work import Workspace, about
 
@@ -344,3 +344,23 @@ class NearDuplicates:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of all ``documents``, on shingles of four words."""
     return NearDuplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).documents()
+
+
+#: All pairs that share a shingle, for tables of a size that allows them. Texts of equal sets are linked through the first.
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END)) AS s FROM w
+), sized AS (
+  SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY md5(array_to_string(s, chr(10)))) ELSE doc_id END AS rep FROM s
+), each AS (
+  SELECT doc_id, n, unnest(s) AS x FROM sized WHERE doc_id = rep
+), pairs AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, p.n + q.n - count(*) AS total, count(*) AS shared FROM each p JOIN each q ON p.x = q.x AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY p.doc_id, q.doc_id, p.n, q.n
+), one AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 80 * total
+), links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one
+), {REACH_SQL}
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, rep) AS component_id, doc_id = coalesce(component, rep) AS kept FROM sized LEFT JOIN comp ON id = rep
+"""

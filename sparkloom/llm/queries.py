@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .decontam import op6_decontamination
-from .embeddings import op10_embedding_near_dedup
+from .embeddings import OP10_SQL, op10_embedding_near_dedup
 from .katz import op2_katz
-from .minhash import op7_minhash_near_dedup
+from .minhash import OP7_SQL, op7_minhash_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op9_pii_pseudonyms
-from .substrings import op1_substring_dedup
+from .substrings import OP1_SQL, op1_substring_dedup
 from .toxicity import op5_toxicity
 from .urls import OP8_SQL, op8_url_reputation
 from .warc import OP3_SQL, op3_warc
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op8_url_reputation": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_reputation": OP8_SQL, "op10_embedding_near_dedup": OP10_SQL}
