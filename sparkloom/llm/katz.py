@@ -522,6 +522,7 @@ class Katz:
         self.model = model = Model([found.get(k, [0] * (SPECTRUM + 2)) for k in range(1, order + 1)], texts)
         passed = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_pass(model, spread), PASSED)
         passed = ws.write(passed, "passed", "none")
+        ws.drop(ws.places["chunks"])  # what is left to do reads ``passed`` alone
         weights = by(passed.filter("kind IN ('ask', 'sum')").select("kind", "level", "bucket", "chunk", "numbers", "keys")).applyInArrow(_weights(model), "chunk long, level int, bucket int, weights binary")
         waiting = passed.filter("kind = 'waiting'").select("chunk", "ids", "numbers", "pending")
         done = waiting.groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(_finish, "ids array<long>, numbers binary").withColumn("held", F.lit(True))

@@ -110,6 +110,7 @@ class Workspace:
         small_batches(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._tables: list[str] = []
+        self.places: dict[str, str] = {}
         self._n = 0
         atexit.register(self.close)
 
@@ -127,10 +128,11 @@ class Workspace:
         """
         self._n += 1
         table = f"sl_{uuid.uuid4().hex[:10]}_{name}"
+        self.places[name] = f"{self.path}/{self._n:02d}-{name}"
         (
             (df if dealt else df.repartition(buckets, key))
             .write.option("compression", "zstd")
-            .option("path", f"{self.path}/{self._n:02d}-{name}")
+            .option("path", self.places[name])
             .bucketBy(buckets, key)
             .sortBy(key)
             .format("parquet")
