@@ -22,7 +22,22 @@ TEMPLATES = {
 
 
 def _entry(df: DataFrame, book: str) -> DataFrame:
-    return df.select(book, "part", "i", "keys", "content", "comment", "insertion_order")
+    return df.select(book, "id", "keys", "content", "comment", "insertion_order")
+
+
+def _numbered(rows: DataFrame, book: str, first) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``i``, their places in their book from 0, and the number of each book's rows (__b, __size).
+
+    A row's place is the count of the rows in earlier blocks plus its place in its own
+    block, so a window sees one block's rows or one count a block, never a book's texts.
+    """
+    per = rows.groupBy(F.col(book).alias("__b"), F.col(first[0]).alias("__k")).agg(F.count("*").alias("__n"))
+    before = W.partitionBy("__b").orderBy("__k").rowsBetween(W.unboundedPreceding, -1)
+    start = per.select("__b", "__k", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(W.partitionBy(book, first[0]).orderBy(*first)) - 1
+    same = F.col(book).eqNullSafe(F.col("__b")) & F.col(first[0]).eqNullSafe(F.col("__k"))
+    out = rows.withColumn("i", place).join(start, same).withColumn("i", F.col("i") + F.col("__start")).drop("__b", "__k", "__start")
+    return out, per.groupBy("__b").agg(F.sum("__n").alias("__size"))
 
 
 def worldbook(lore: DataFrame, events: DataFrame, tops: DataFrame, book: str = "book", first=("block_id", "pos")) -> DataFrame:
@@ -33,18 +48,17 @@ def worldbook(lore: DataFrame, events: DataFrame, tops: DataFrame, book: str = "
     whose names in an event are its keys, or else the book's.
     """
     order = W.partitionBy(book).orderBy(*first)
-    said = lore.withColumn("i", F.row_number().over(order) - 1)
+    said, sizes = _numbered(lore, book, first)
     said = said.withColumn("keys", F.concat(F.array("title"), split_words("keys"))).withColumn("comment", F.col("title")).withColumn("content", F.concat(F.lit(LORE_MARK), F.col("title"), F.lit("："), F.col("content")))
-    said = said.withColumn("part", F.lit(0)).withColumn("insertion_order", F.lit(100) + F.col("i"))
+    said = said.withColumn("id", F.col("i")).withColumn("insertion_order", F.lit(100) + F.col("i"))
     names = tops.groupBy(book).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
     # a plain comparison with the row number, which Spark turns into a limit before the shuffle
     told = events.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_EVENTS).withColumn("i", F.col("n") - 1).join(names, book, "left")
     hit = F.slice(F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.contains(F.col("item"), n)), 1, EVENT_KEYS)
     told = told.withColumn("keys", F.when(F.size(hit) > 0, hit).otherwise(F.array(F.col(book).cast("string")))).withColumn("comment", F.substring("item", 1, 16)).withColumn("content", F.concat(F.lit(EVENT_MARK), F.col("item")))
-    told = told.withColumn("part", F.lit(1)).withColumn("insertion_order", F.lit(200) + F.col("i"))
+    told = told.join(sizes, F.col(book).eqNullSafe(F.col("__b")), "left").withColumn("id", F.coalesce("__size", F.lit(0)) + F.col("i")).withColumn("insertion_order", F.lit(200) + F.col("i"))
     both = _entry(said, book).unionByName(_entry(told, book))
-    number = F.row_number().over(W.partitionBy(book).orderBy("part", "i")) - 1
-    return both.select(book, number.cast("int").alias("id"), "keys", "content", "comment", F.lit(True).alias("enabled"), F.col("insertion_order").cast("int").alias("insertion_order"), F.lit(False).alias("constant"), F.lit("before_char").alias("position"))
+    return both.select(book, F.col("id").cast("int").alias("id"), "keys", "content", "comment", F.lit(True).alias("enabled"), F.col("insertion_order").cast("int").alias("insertion_order"), F.lit(False).alias("constant"), F.lit("before_char").alias("position"))
 
 
 def novel_cards(characters: DataFrame, book: str = "book", namespace: str = NAMESPACE) -> DataFrame:

@@ -94,3 +94,24 @@ def test_texts_are_taken_whole(spark, tmp_path):
     assert run("flatten_items", "turn", "items") == [(d, "user|" + t) for d, t in enumerate(long)]
     assert run("split_keys", "item_id", "keys") == [(1, "late|words|awordofov"), (2, "ab:|cd|abcd")]
     assert run("migrate_lore", "i", "content") == [(0, f"[en] one two：{long[1]}\n{long[1][::-1]}")]
+
+
+def test_worldbook_numbers_by_block(spark):
+    """Places run on over the blocks of a book; null books and blocks count, events follow the lore."""
+    from sparkloom.operators.worldbook import worldbook
+
+    keys = [(b, k, p) for b in ("hot", "small", None) for k in (None, 0, 2, 7) for p in range(1 if b == "small" else 9)]
+    lore = spark.createDataFrame([(b, k, p, f"t{k}.{p}", "c", "") for b, k, p in keys], "book string, block_id long, pos int, title string, content string, keys string")
+    told = [("hot", 0, p, f"e{p}") for p in range(70)] + [("none", 3, 0, "alone"), (None, 1, 0, "lost")]
+    events = spark.createDataFrame(told, "book string, block_id long, pos int, item string")
+    tops = spark.createDataFrame([], "book string, name string, rank int")
+    got = {}
+    for r in worldbook(lore, events, tops).collect():
+        got.setdefault(r.book, []).append((r.id, r.insertion_order, r.comment))
+    for book in ("hot", "small", None, "none"):
+        own = sorted((k for k in keys if k[0] == book), key=lambda k: (k[1] is not None, k[1] or 0, k[2]))
+        want = [(i, 100 + i, f"t{k}.{p}") for i, (_, k, p) in enumerate(own)]
+        want += [(len(own) + i, 200 + i, t[3]) for i, t in enumerate([t for t in told if t[0] == book][:60])]
+        assert sorted(got[book]) == want
+    empty = worldbook(lore.limit(0), events.limit(0), tops)
+    assert empty.count() == 0
