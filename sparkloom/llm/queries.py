@@ -8,6 +8,7 @@ from .katz import op2_katz
 from .minhash import OP7_SQL, op7_minhash_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .pii import op9_pii_pseudonyms
+from .runs import op13_periodic_runs
 from .substrings import OP1_SQL, op1_substring_dedup
 from .toxicity import op5_toxicity
 from .urls import OP8_SQL, op8_url_reputation
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_url_reputation": op8_url_reputation,
         "op9_pii_pseudonyms": op9_pii_pseudonyms,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
