@@ -126,11 +126,11 @@ class Texts:
 
 
 class Words:
-    """Word bounds and hashes of texts; ``first[i]:first[i + 1]`` are the words of text i."""
+    """Word bounds and hashes of texts; ``first[i]:first[i + 1]`` are the words of text i. ``sep``: the bytes between words."""
 
-    def __init__(self, texts: Texts, lower: bool = False):
+    def __init__(self, texts: Texts, lower: bool = False, sep: np.ndarray = SEP):
         self.buf = buf = LOWER[texts.buf] if lower else texts.buf
-        word = ~SEP[buf]
+        word = ~sep[buf]
         n = len(buf)
         head = np.zeros(n + 1, dtype=bool)
         head[texts.offs] = True  # a text's first byte starts anew
