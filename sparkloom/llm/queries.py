@@ -7,6 +7,7 @@ from .embeddings import OP10_SQL, op10_embedding_near_dedup
 from .katz import op2_katz
 from .minhash import OP7_SQL, op7_minhash_near_dedup
 from .mixing import OP4_SQL, op4_mixing
+from .ordered import op11_order_minhash
 from .pii import op9_pii_pseudonyms
 from .runs import op13_periodic_runs
 from .search import OP12_SQL, op12_lexical_search
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_url_reputation": op8_url_reputation,
         "op9_pii_pseudonyms": op9_pii_pseudonyms,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_order_minhash": op11_order_minhash,
         "op12_lexical_search": op12_lexical_search,
         "op13_periodic_runs": op13_periodic_runs,
     }
