@@ -1,8 +1,10 @@
 """The extraction stage: one client call per block, resumable through a ledger.
 
-Calls cost money, so their results are appended to a ledger (one row per block and
-run) before anything is derived from them, and a resumed run calls only for
-blocks whose latest row is not done.
+Calls cost money, so their results are kept before anything is derived from them, by
+the task that made the call and as soon as it has the reply (``journal``), not when its
+job commits. Another attempt of a task takes what earlier ones have kept instead of
+calling again, and a resumed run calls only for blocks whose latest row is not done,
+whether the run before it ended or died.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_blank, extract_json, strip_u
 from ..types import LEDGER, LIST_FIELDS
+from . import journal
+from .journal import EVERY, SECONDS, Appender
 
 ERROR_CHARS = 200
+LEDGER_COLUMNS = [c.split()[0] for c in LEDGER.split(", ")]
 
 
 class ProviderError(RuntimeError):
@@ -108,62 +113,141 @@ def object_in(text: str) -> dict:
     return found
 
 
-def call_blocks(blocks: DataFrame, factory: Callable[[], object], system: str, run_id: str, seq: int, max_attempts: int = 2) -> DataFrame:
-    """Ledger rows for ``blocks`` (block_id, rendered, before): each is called until a reply holds an object, at most ``max_attempts`` times."""
+#: Folders of a run's journal; a task lists only those of its own blocks.
+BUCKETS = 64
+
+
+def bucket_of(block_id="block_id") -> Column:
+    return F.pmod(F.xxhash64(F.col(block_id).cast("long")), F.lit(BUCKETS)).cast("int")
+
+
+def call_blocks(blocks: DataFrame, factory: Callable[[], object], system: str, run_id: str, seq: int, path: str, max_attempts: int = 2, every: int = EVERY, seconds: float = SECONDS) -> DataFrame:
+    """(called, kept): calls for ``blocks`` (block_id, rendered, before), each until a reply holds an object, at most ``max_attempts`` times.
+
+    The ledger rows go to the journal at ``path``, a folder for each bucket of blocks; ``called`` counts the
+    blocks of this attempt, ``kept`` those that an earlier attempt of the run has kept already.
+    """
+
+    def call(client, block_id: int, user: str, before: int) -> dict:
+        status, error, reply, calls, asked, told = "failed", "", None, 0, 0, 0
+        for _ in range(max_attempts):
+            calls += 1
+            try:
+                got = client.chat(block_id, system, user)
+                asked, told = asked + got.prompt_tokens, told + got.completion_tokens
+                object_in(got.text)
+                status, error, reply = "done", "", got.text
+                break
+            except Exception as e:  # any fault of a client is a failed attempt
+                error = str(e)[:ERROR_CHARS]
+        return dict(zip(LEDGER_COLUMNS, (run_id, seq, block_id, status, before + (status == "failed"), error, calls, asked, told, reply), strict=True))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
-        for part in parts:
-            out = []
-            for block_id, user, before in part[["block_id", "rendered", "before"]].itertuples(index=False):
-                status, error, reply, calls, asked, told = "failed", "", None, 0, 0, 0
-                for _ in range(max_attempts):
-                    calls += 1
-                    try:
-                        got = client.chat(int(block_id), system, user)
-                        asked, told = asked + got.prompt_tokens, told + got.completion_tokens
-                        object_in(got.text)
-                        status, error, reply = "done", "", got.text
-                        break
-                    except Exception as e:  # any fault of a client is a failed attempt
-                        error = str(e)[:ERROR_CHARS]
-                out.append((run_id, seq, int(block_id), status, int(before) + (status == "failed"), error, calls, asked, told, reply))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
-
-    return blocks.select("block_id", "rendered", "before").mapInPandas(run, LEDGER)
+        client, at, kept, log = None, None, set(), None
+        called = had = 0
+        try:
+            for part in parts:
+                for bucket, block_id, user, before in part[["bucket", "block_id", "rendered", "before"]].itertuples(index=False):
+                    if bucket != at:
+                        if log is not None:
+                            log.flush()
+                        at, folder = bucket, f"{path}/bucket={bucket}"
+                        kept, log = {r["block_id"] for r in journal.read(folder)}, Appender(folder, every, seconds)
+                    if block_id in kept:
+                        had += 1
+                        continue
+                    client = client or factory()
+                    log.append(call(client, int(block_id), user, int(before)))
+                    log.settle()
+                    called += 1
+        finally:
+            if log is not None:
+                log.flush()
+        yield pd.DataFrame({"called": [called], "kept": [had]})
+
+    todo = blocks.select(bucket_of().alias("bucket"), "block_id", "rendered", "before")
+    return todo.repartition("bucket").sortWithinPartitions("bucket", "block_id").mapInPandas(run, "called long, kept long")
 
 
 class Ledger:
-    """The ledger of one profile or book: an append-only Parquet folder."""
+    """The ledger of one profile or book, a folder.
+
+    ``journal/seq=N`` has what the tasks of run N have kept, ``runs/seq=N`` the same folded into
+    Parquet once the run has ended; that one counts where it is complete. A run that
+    died leaves its journal, which is read like any other.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _runs(self, kind: str) -> set[int]:
+        fs, p = self._fs(f"{self.path}/{kind}")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return {int(n.removeprefix("seq=")) for n in names if n.startswith("seq=")}
+
+    def _folded(self) -> set[int]:
+        done = set()
+        for n in self._runs("runs"):
+            fs, p = self._fs(f"{self.path}/runs/seq={n}/_SUCCESS")
+            if fs.exists(p):
+                done.add(n)
+        return done
+
     def rows(self) -> DataFrame:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(self.path)
+        """One row per block and run."""
+        folded = self._folded()
+        open_ = self._runs("journal") - folded
+        out = self.spark.createDataFrame([], LEDGER)
+        if folded:
+            out = out.unionByName(self.spark.read.schema(LEDGER).option("basePath", f"{self.path}/runs").parquet(*(f"{self.path}/runs/seq={n}" for n in sorted(folded))).select(*LEDGER_COLUMNS))
+        if open_:
+            told = self.spark.read.schema(f"{LEDGER}, bucket INT").json([f"{self.path}/journal/seq={n}/bucket=*/*.json" for n in sorted(open_)])
+            out = out.unionByName(fold(told.select(*LEDGER_COLUMNS)))
+        return out
 
     def latest(self) -> DataFrame:
         """One row per block: that of its last run."""
         return latest(self.rows())
 
-    def run(self, blocks: DataFrame, factory, system: str, run_id: str, max_attempts: int = 2, only: DataFrame | None = None) -> None:
+    def run(self, blocks: DataFrame, factory, system: str, run_id: str, max_attempts: int = 2, only: DataFrame | None = None, every: int = EVERY, seconds: float = SECONDS) -> None:
         """Calls for all ``blocks`` (block_id, rendered) that are not done, or those of them in ``only``."""
-        have = self.rows()
-        seq = have.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-        state = latest(have)
-        todo = blocks.join(state.filter("status = 'done'").select("block_id"), "block_id", "left_anti")
+        seq = max(self._runs("journal") | self._runs("runs"), default=-1) + 1
+        state = latest(self.rows())
+        todo = blocks.select("block_id", "rendered").join(state.filter("status = 'done'").select("block_id"), "block_id", "left_anti")
         if only is not None:
             todo = todo.join(only.select("block_id").distinct(), "block_id", "left_semi")
         todo = todo.join(state.select("block_id", F.col("attempts").alias("before")), "block_id", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-        call_blocks(todo, factory, system, run_id, seq, max_attempts).write.mode("append").parquet(self.path)
+        call_blocks(todo, factory, system, run_id, seq, f"{self.path}/journal/seq={seq}", max_attempts, every, seconds).agg(F.sum("called")).collect()
+        self.fold_run(seq)
+
+    def fold_run(self, seq: int) -> None:
+        """Writes a run's journal as Parquet and then deletes it; done again after a crash it does no harm."""
+        if seq in self._runs("journal") and seq not in self._folded():
+            told = self.spark.read.schema(f"{LEDGER}, bucket INT").json(f"{self.path}/journal/seq={seq}/bucket=*/*.json")
+            fold(told.select(*LEDGER_COLUMNS)).drop("seq").write.mode("overwrite").parquet(f"{self.path}/runs/seq={seq}")
+        if seq in self._folded():
+            fs, p = self._fs(f"{self.path}/journal/seq={seq}")
+            fs.delete(p, True)
 
     def stats(self) -> DataFrame:
         return run_stats(self.rows())
 
 
+def fold(told: DataFrame) -> DataFrame:
+    """One row per block and run of what tasks have kept.
+
+    Two attempts of one task may both have called for a block: a done row goes before a failed one,
+    and calls and tokens of both were paid for.
+    """
+    rest = [c for c in LEDGER_COLUMNS if c not in ("seq", "block_id", "calls", "prompt_tokens", "completion_tokens")]
+    won = told.groupBy("seq", "block_id").agg(F.min(F.struct((F.col("status") != "done").alias("open"), *rest)).alias("w"), *(F.sum(c).cast(told.schema[c].dataType).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")))
+    return won.select(*(F.col(f"w.{c}").alias(c) if c in rest else F.col(c) for c in LEDGER_COLUMNS))
+
+
 def latest(rows: DataFrame) -> DataFrame:
     rest = [c for c in rows.columns if c not in ("block_id", "seq")]
     won = rows.groupBy("block_id").agg(F.max(F.struct("seq", *rest)).alias("w"))
