@@ -1,4 +1,4 @@
-"""Four-layer memory: adds folded into a state, scored on recall, kept in a store.
+"""Four-layer memory: adds folded into a state, scored on recall, kept in a store that is a log of events.
 
 State rows are one per (profile_id, owner, layer, content). Every private read and
 write names both profile_id and owner.
@@ -7,8 +7,8 @@ write names both profile_id and owner.
 from __future__ import annotations
 
 import json
-import time
 import uuid
+import warnings
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bigram_jaccard, col, is_blank, strip_u
-from ..functions.timestamps import days_between
+from ..functions.timestamps import days_between, parse_ts
 from ..types import LAYERS, MEMORY_STATE
 
 #: Days until half is forgotten, and where raw and episodic memories are archived.
@@ -143,21 +143,89 @@ def count(state: DataFrame, profile_id: str | None = None, owner: str | None = N
     return state.count()
 
 
+#: Rows of the log: ``new`` (a memory as first added, or as a full merge left it), ``text`` (its content from now on), ``seen`` (an access), ``gone``.
+EVENT = "kind STRING, id BIGINT, profile_id STRING, owner STRING, seq BIGINT, layer STRING, content STRING, importance DOUBLE, at STRING, meta STRING, score DOUBLE, archived BOOLEAN, upto BIGINT"
+EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
+STATE_COLUMNS = [c.split()[0] for c in MEMORY_STATE.split(", ")]
+
+
+def _events(df: DataFrame, kind: str, **values) -> DataFrame:
+    """Rows of the log from rows that have the scope and id; what is not given is null."""
+    types = dict(c.split() for c in EVENT.split(", "))
+    given = {"kind": F.lit(kind), **{c: F.col(c) for c in (*SCOPE, "id")}, **values}
+    return df.select(*(given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in EVENT_COLUMNS))
+
+
+def fold_log(log: DataFrame, epochs: list[tuple[int, int | None]]) -> DataFrame:
+    """The memories that ``log`` leaves: the state's columns, ``seen`` and ``born`` (numbers of the last access and the add) and ``faded`` (that of the decay that archived it).
+
+    ``epochs`` are the decays, (number, microseconds): each multiplies the score of what is there and
+    not archived by the days since the access before it, as ``apply_decay`` does at once. All is a
+    minimum, a maximum or a short list per id (the accesses that no merge has folded yet).
+    """
+    kind = F.col("kind")
+    access = F.when(kind == "seen", F.struct("seq", "us", "at"))
+    g = log.withColumn("us", F.unix_micros(parse_ts("at"))).groupBy(*SCOPE, "id").agg(
+        F.max(F.when(kind == "new", F.struct("seq", "layer", "importance", F.col("at").alias("created_at"), "meta", "score", "archived", "upto"))).alias("n"),
+        F.max(F.when(kind.isin("new", "text"), F.struct("seq", kind == "text", "content")))["content"].alias("content"),
+        F.bool_or(kind == "gone").alias("gone"),
+        F.array_sort(F.collect_list(access)).alias("acc"),
+    )
+    g = g.filter(F.col("n").isNotNull() & ~F.col("gone"))
+    start = F.struct(F.coalesce("n.score", F.lit(1.0)).alias("d"), F.coalesce("n.archived", F.lit(False)).alias("a"), F.lit(None).cast("long").alias("e"))
+    if epochs:
+        all_of = F.array(*(F.struct(F.lit(n).cast("long").alias("n"), F.lit(us).cast("long").alias("us")) for n, us in epochs))
+        later = F.filter(all_of, lambda e: e["n"] > F.greatest(F.col("n.seq"), F.coalesce("n.upto", F.lit(-1))))
+
+        def fade(s: Column, e: Column) -> Column:
+            last = F.filter("acc", lambda x: x["seq"] < e["n"])
+            days = F.coalesce(F.greatest((e["us"] - F.get(last, F.size(last) - 1)["us"]) / F.lit(86_400_000_000.0), F.lit(0.0)), F.lit(0.0))
+            d = F.when(s["d"] == 0, 1.0).otherwise(s["d"]) * F.pow(F.lit(0.5), days / half_life("n.layer"))
+            a = F.col("n.layer").isin(*FADING) & (d < ARCHIVE_BELOW)
+            return F.when(s["a"], s).otherwise(F.struct(d.alias("d"), a.alias("a"), F.when(a, e["n"]).alias("e")))
+
+        start = F.aggregate(later, start, fade)
+    last = F.get("acc", F.size("acc") - 1)
+    return g.withColumn("s", start).select(
+        "id", *SCOPE, "n.layer", "content", "n.importance", "n.created_at", F.coalesce(last["at"], F.col("n.created_at")).alias("last_accessed"), F.col("s.d").alias("decay_score"), F.col("s.a").alias("archived"), "n.meta",
+        F.coalesce(last["seq"], F.col("n.seq")).alias("seen"), F.col("n.seq").alias("born"), F.col("s.e").alias("faded"),
+    )
+
+
+class Conflict(RuntimeError):
+    """Another writer has changed the same part of a store since it was read."""
+
+
 class MemoryStore:
-    """A table of memories under a folder, in parts by a hash of the scope.
-
-    ``data/part=P/v=V`` has a part's rows, ``touch/part=P/v=V`` what recalls have marked
-    since, appended and folded when read, and ``manifest/N.json`` names the version of
-    every part. A change writes the parts of its scopes anew and then the next manifest;
-    a recall reads one part and appends its marks, a few rows. Manifests are created, never
-    overwritten, so of two writers that start from the same one the second fails. What a
-    change replaces is deleted by the one after it, so running readers keep their files.
+    """A table of memories as a log of events under a folder, in parts by a hash of the scope.
+
+    - ``events/c=C/part=P``: a segment, the rows of one change; never rewritten. A change writes its own
+      rows and nothing else: an add those that are new and an access of those that were there, an
+      edit, a deletion or a recall a row a memory.
+    - ``manifest/N.json``: the segments that count after N changes, and the decays, which are a number
+      and a time each; ``apply_decay`` writes no row. States are folded when read (``fold_log``).
+
+    A manifest is written aside and then put in its place, which fails if its number is taken; so a reader finds
+    whole manifests at any time. The loser of a race reads again: accesses and decays are put after the
+    other's change as they are, other changes are made anew if it touched the same parts. A recall's
+    accesses never fail its answer.
+
+    Segments of like size are merged when there are ``FAN`` of them, so a row is rewritten as often as
+    the logarithm of the store. A merge of some keeps, of each memory, one row a kind (of its
+    accesses the last before each decay); a merge of all leaves the state itself and settles the decays.
+    What a merge replaces is deleted by the next one, so running readers keep their files.
     """
 
-    FEW_TOUCHES = 64  # files of marks before a recall folds them into its part
+    FAN = 8  # segments of a size before they are merged
+    UNIT = 1 << 20  # bytes of the smallest size
+    MANY = 64  # decays before all is merged
+    TRIES = 50
 
     def __init__(self, spark: SparkSession, path: str, parts: int = 64):
-        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+        self.spark, self.path = spark, path.rstrip("/")
+        self.parts = self._manifest()["of"] or parts
+
+    # files
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -167,11 +235,49 @@ class MemoryStore:
         fs, p = self._fs(path)
         return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
+    def _numbers(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._names(f"{self.path}/manifest") if n.endswith(".json") and n[0] not in "._")
+
     def _manifest(self) -> dict:
-        found = sorted(int(n.removesuffix(".json")) for n in self._names(f"{self.path}/manifest") if n.endswith(".json") and not n.startswith("."))
+        found = self._numbers()
         if not found:
-            return {"n": -1, "parts": {}, "last_id": 0, "stale": []}
-        return json.loads(self.spark.read.text(f"{self.path}/manifest/{found[-1]}.json", wholetext=True).first()[0])
+            return {"n": -1, "of": 0, "last_id": 0, "segments": [], "epochs": [], "changed": {}, "stale": []}
+        fs, p = self._fs(f"{self.path}/manifest/{found[-1]}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _put(self, manifest: dict) -> bool:
+        """Whether ``manifest`` is now the one of its number: whole, and nobody else's."""
+        jvm = self.spark.sparkContext._jvm
+        fs, aside = self._fs(f"{self.path}/manifest/_{uuid.uuid4().hex}")
+        _, p = self._fs(f"{self.path}/manifest/{manifest['n']}.json")
+        stream = fs.create(aside, False)
+        stream.write(json.dumps(manifest).encode())
+        stream.close()
+        try:
+            if fs.getScheme() == "file":  # a local rename would overwrite; a second link of one name cannot be made
+                link, no_options = (jvm.java.nio.file.Path.of(x.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for x in (p, aside))
+                jvm.java.nio.file.Files.createLink(link, no_options)
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(aside, p, none)
+            return True
+        except Py4JJavaError:
+            if fs.exists(p):
+                return False
+            raise
+        finally:
+            fs.delete(aside, False)
+
+    def _drop(self, c: str) -> None:
+        fs, p = self._fs(f"{self.path}/events/c={c}")
+        fs.delete(p, True)
+
+    # reading
 
     def _part(self, profile_id, owner) -> Column:
         return F.pmod(F.xxhash64(profile_id, owner), F.lit(self.parts)).cast("int")
@@ -180,100 +286,213 @@ class MemoryStore:
         scopes = changes.select(self._part(strip_u("profile_id"), strip_u("owner")).alias("p")).distinct()
         return [r["p"] for r in scopes.collect()]  # as many numbers as there are parts at most
 
-    def _read(self, manifest: dict, parts: list[int] | None = None) -> DataFrame:
-        """The rows of some parts, or of all, with the marks of recalls folded in."""
-        have = {int(p): v for p, v in manifest["parts"].items() if parts is None or int(p) in parts}
-        if not have:
-            return self.spark.createDataFrame([], MEMORY_STATE)
-        place = lambda kind: [f"{self.path}/{kind}/part={p}/v={v}" for p, v in have.items()]
-        df = self.spark.read.schema(f"{MEMORY_STATE}, part INT, v STRING").option("basePath", f"{self.path}/data").parquet(*place("data"))
+    def _log(self, manifest: dict, parts: list[int] | None = None, only: list[dict] | None = None) -> DataFrame:
+        """The rows of the segments, each with the number of its change."""
+        segments = [s for s in (manifest["segments"] if only is None else only) if parts is None or set(parts) & set(s["parts"])]
+        if not segments:
+            return self.spark.createDataFrame([], f"{EVENT}, part INT")
+        folders = [f"{self.path}/events/c={s['c']}" for s in segments]
+        if parts is not None and len(parts) <= 4:
+            folders = [f"{self.path}/events/c={s['c']}/part={p}" for s in segments for p in parts if p in s["parts"]]
+        df = self.spark.read.schema(f"{EVENT}, c STRING, part INT").option("basePath", f"{self.path}/events").parquet(*folders)
         if parts is not None:
             df = df.filter(F.col("part").isin(*parts))
-        marks = [p for p in place("touch") if self._names(p)]
-        if marks:
-            last = self.spark.read.schema("profile_id STRING, owner STRING, id LONG, seq LONG, at STRING").parquet(*marks)
-            last = last.groupBy(*SCOPE, "id").agg(F.max(F.struct("seq", "at"))["at"].alias("__at"))
-            df = df.join(last, [*SCOPE, "id"], "left").withColumn("last_accessed", F.coalesce("__at", "last_accessed"))
-        return df.select(*self.spark.createDataFrame([], MEMORY_STATE).columns)
+        number = F.create_map(*(F.lit(x) for s in segments for x in (s["c"], s["n"])))
+        return df.withColumn("seq", F.coalesce("seq", F.element_at(number, F.col("c")).cast("long"))).drop("c")
+
+    def _read(self, manifest: dict, parts: list[int] | None = None) -> DataFrame:
+        return fold_log(self._log(manifest, parts), [(n, us) for n, us in manifest["epochs"]])
 
     def state(self, profile_id: str | None = None, owner: str | None = None) -> DataFrame:
         manifest = self._manifest()
         if profile_id is None or owner is None:
-            return self._read(manifest)
-        part = self.spark.range(1).select(self._part(F.lit(profile_id), F.lit(owner))).first()[0]
-        return scoped(self._read(manifest, [part]), profile_id, owner)
-
-    def _commit(self, manifest: dict, state: DataFrame, parts: list[int], last_id: int | None = None) -> None:
-        """The next manifest, with ``state`` as all that ``parts`` hold."""
-        version = f"{manifest['n'] + 1}-{uuid.uuid4().hex[:8]}"
-        out = state.withColumn("part", self._part(F.col("profile_id"), F.col("owner"))).withColumn("v", F.lit(version))
-        # a part with a hot scope is written by several tasks
-        out.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("part", "v").mode("append").parquet(f"{self.path}/data")
-        now = dict(manifest["parts"])
-        stale = [[p, now.pop(str(p))] for p in parts if str(p) in now]
-        now |= {str(p): version for p in parts if self._names(f"{self.path}/data/part={p}/v={version}")}
-        new = {"n": manifest["n"] + 1, "parts": now, "last_id": manifest["last_id"] if last_id is None else last_id, "stale": stale}
-        fs, p = self._fs(f"{self.path}/manifest/{new['n']}.json")
+            return self._read(manifest).select(*STATE_COLUMNS)
+        return scoped(self._read(manifest, [self._one(profile_id, owner)]), profile_id, owner).select(*STATE_COLUMNS)
+
+    def _one(self, profile_id: str, owner: str) -> int:
+        return self.spark.range(1).select(self._part(F.lit(profile_id), F.lit(owner))).first()[0]
+
+    # writing
+
+    def _write(self, rows: DataFrame) -> dict | None:
+        """A segment of ``rows``, which no manifest names yet; None of no rows."""
+        c = uuid.uuid4().hex
+        out = rows.withColumn("part", self._part(F.col("profile_id"), F.col("owner")))
+        out.hint("rebalance", F.col("part")).write.partitionBy("part").parquet(f"{self.path}/events/c={c}")  # a hot part is several tasks' work
+        parts = sorted(int(n.removeprefix("part=")) for n in self._names(f"{self.path}/events/c={c}") if n.startswith("part="))
+        if not parts:
+            self._drop(c)
+            return None
+        fs, p = self._fs(f"{self.path}/events/c={c}")
+        size, tier = fs.getContentSummary(p).getLength(), 0
+        while size >= self.UNIT * self.FAN ** (tier + 1):
+            tier += 1
+        return {"c": c, "tier": tier, "parts": parts}
+
+    def _commit(self, change: Callable[[dict], None], seen: dict | None = None, parts: list = ()) -> dict:
+        """The next manifest, ``change`` of the last one; Conflict if ``parts`` were changed since ``seen``."""
+        for _ in range(self.TRIES):
+            last = self._manifest()
+            if seen is not None and any(last["changed"].get(str(p), -1) > seen["n"] for p in parts):
+                raise Conflict(f"{self.path}: another writer has changed the same part meanwhile")
+            new = json.loads(json.dumps(last)) | {"n": last["n"] + 1, "of": last["of"] or self.parts}
+            change(new)
+            if self._put(new):
+                return new
+        raise RuntimeError(f"{self.path}: no turn in {self.TRIES} tries")
+
+    def _append(self, rows: DataFrame, seen: dict, parts: list, ids: int = 0) -> None:
+        """Commits ``rows`` as a change of ``parts`` as they were in ``seen``."""
+        segment = self._write(rows)
+        if segment is None:
+            return
+
+        def change(m: dict) -> None:
+            m["segments"].append(segment | {"n": m["n"]})
+            m["changed"] |= {str(p): m["n"] for p in segment["parts"]}
+            if ids:
+                m["last_id"] += ids
+                m["changed"]["ids"] = m["n"]
+
         try:
-            stream = fs.create(p, False)
-        except Py4JJavaError as e:
-            raise RuntimeError(f"{self.path}: another writer has changed the store meanwhile") from e
-        stream.write(json.dumps(new).encode())
-        stream.close()
-        for part, old in manifest["stale"]:
-            for kind in ("data", "touch"):
-                fs, p = self._fs(f"{self.path}/{kind}/part={part}/v={old}")
-                fs.delete(p, True)
+            self._commit(change, seen, parts)
+        except Exception:
+            self._drop(segment["c"])
+            raise
+
+    def _again(self, attempt: Callable[[], None]) -> None:
+        for left in reversed(range(self.TRIES)):
+            try:
+                attempt()
+                break
+            except Conflict:
+                if not left:
+                    raise
+        self.merge()
 
     def add(self, adds: DataFrame) -> None:
         check_adds(adds)
-        manifest, parts = self._manifest(), self._parts_of(adds)
-        last = manifest["last_id"]
-        highest = adds.agg(F.max("seq")).first()[0]
-        # ids follow the last one used, in order of seq
-        self._commit(manifest, upsert(self._read(manifest, parts), adds.withColumn("seq", F.col("seq") + last)), parts, last + (highest or 0))
+        parts, new = self._parts_of(adds), fold_adds(adds)
+        ids = adds.agg(F.max("seq")).first()[0] or 0
+
+        def attempt() -> None:
+            m = self._manifest()
+            both = new.join(self._read(m, parts).select(*KEY, F.col("id").alias("__id")), list(KEY), "left")
+            both = both.withColumn("id", F.coalesce("__id", F.col("id") + m["last_id"]))  # ids follow the last one used, in order of seq
+            first = _events(both.filter("__id IS NULL"), "new", layer=F.col("layer"), content=F.col("content"), importance=F.col("importance"), at=F.col("created_at"), meta=F.col("meta"), score=F.lit(1.0), archived=F.lit(False))
+            self._append(first.unionByName(_events(both, "seen", at=F.col("last_accessed"))), m, [*parts, "ids"], ids)  # also made anew if other adds took the ids
+
+        self._again(attempt)
 
     def edit(self, edits: DataFrame) -> None:
-        manifest, parts = self._manifest(), self._parts_of(edits)
-        state = self._read(manifest, parts)
-        self._in_scope(state, edits)
-        new = edit(state, edits)
-        if not new.groupBy(*KEY).count().filter("count > 1").isEmpty():
-            raise ValueError("an edit would repeat a memory of its scope and layer")
-        self._commit(manifest, new, parts)
+        parts = self._parts_of(edits)
+
+        def attempt() -> None:
+            m = self._manifest()
+            state = self._read(m, parts).select(*STATE_COLUMNS)
+            self._in_scope(state, edits)
+            if not edit(state, edits).groupBy(*KEY).count().filter("count > 1").isEmpty():
+                raise ValueError("an edit would repeat a memory of its scope and layer")
+            last = edits.groupBy(*SCOPE, "id").agg(strip_u(F.max(F.struct("seq", "content"))["content"]).alias("content"))
+            self._append(_events(last.filter("content IS NOT NULL"), "text", content=F.col("content")), m, parts)
+
+        self._again(attempt)
 
     def delete(self, deletes: DataFrame) -> None:
-        manifest, parts = self._manifest(), self._parts_of(deletes)
-        state = self._read(manifest, parts)
-        self._in_scope(state, deletes)
-        self._commit(manifest, delete(state, deletes), parts)
+        parts = self._parts_of(deletes)
+
+        def attempt() -> None:
+            m = self._manifest()
+            self._in_scope(self._read(m, parts), deletes)
+            self._append(_events(deletes.select(*SCOPE, "id").distinct(), "gone"), m, parts)
+
+        self._again(attempt)
 
     @staticmethod
     def _in_scope(state: DataFrame, changes: DataFrame) -> None:
         if lost := missing(state, changes).limit(1).collect():
             raise LookupError(f"memory {lost[0]['id']} is not in its scope")
 
-    def apply_decay(self, now: str) -> int:
-        """Decays the whole store; returns how many were archived."""
-        manifest = self._manifest()
-        state = self._read(manifest)
-        before = state.filter("archived").count()
-        self._commit(manifest, apply_decay(state, now), [int(p) for p in manifest["parts"]])
-        return self.state().filter("archived").count() - before
+    def apply_decay(self, now: str, count: bool = True) -> int | None:
+        """Decays the whole store, which writes its time only; how many this archives is counted in one pass, if asked."""
+        us = self.spark.range(1).select(F.unix_micros(parse_ts(F.lit(now)))).first()[0]
+        m = self._commit(lambda m: m["epochs"].append([m["n"], us]))
+        lost = self._read(m).filter(F.col("faded") == m["n"]).count() if count else None
+        self.merge()
+        return lost
 
     def recall(self, profile_id: str, owner: str, query: str, now: str, top_k: int = 5, layers: tuple[str, ...] = (), relevance: Relevance = bigram_jaccard) -> list:
-        """The best rows of a scope (at most ``top_k``); marks them as accessed, which writes these rows' marks only."""
-        manifest = self._manifest()
-        part = self.spark.range(1).select(self._part(F.lit(profile_id), F.lit(owner))).first()[0]
-        state = self._read(manifest, [part])
+        """The best rows of a scope (at most ``top_k``); marks them as accessed, which writes these rows' marks only.
+
+        Should the marks not be kept, the answer is given nevertheless, with a warning.
+        """
+        state = self._read(self._manifest(), [self._one(profile_id, owner)]).select(*STATE_COLUMNS)
         got = recall(state, profile_id, owner, query, now, top_k, layers, relevance).collect()
         if got:
-            place = f"{self.path}/touch/part={part}/v={manifest['parts'][str(part)]}"
-            marks = [(r["profile_id"], r["owner"], r["id"], time.time_ns(), now) for r in got]
-            self.spark.createDataFrame(marks, "profile_id string, owner string, id long, seq long, at string").coalesce(1).write.mode("append").parquet(place)
-            if sum(n.endswith(".parquet") for n in self._names(place)) > self.FEW_TOUCHES:
-                self._commit(manifest, self._read(manifest, [part]), [part])
+            try:
+                marks = self.spark.createDataFrame([(r["profile_id"], r["owner"], r["id"]) for r in got], "profile_id string, owner string, id long")
+                segment = self._write(_events(marks, "seen", at=F.lit(now)))
+                self._commit(lambda m: m["segments"].append(segment | {"n": m["n"]}))
+                if len(self._manifest()["segments"]) > 4 * self.FAN:
+                    self.merge()
+            except Exception as e:
+                warnings.warn(f"{self.path}: the recall's marks are lost: {e}", stacklevel=2)
         return got
 
     def count(self, profile_id: str | None = None, owner: str | None = None) -> int:
         return count(self.state(), profile_id, owner)
+
+    # merging
+
+    def merge(self, whole: bool = False) -> None:
+        """Merges segments of like size where there are many, or all of them; leaves it to another writer who is at it."""
+        while True:
+            m = self._manifest()
+            tiers: dict[int, list[dict]] = {}
+            for s in m["segments"]:
+                tiers.setdefault(s["tier"], []).append(s)
+            full = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.FAN), None)
+            if whole or len(m["epochs"]) > self.MANY:
+                full = m["segments"]
+            if not full:
+                return
+            settled = len(full) == len(m["segments"])
+            segment = self._write(self._settled(m) if settled else self._merged(m, full))
+            gone = {s["c"] for s in full}
+
+            def change(new: dict, m=m, gone=gone, segment=segment, settled=settled) -> None:
+                if not gone <= {s["c"] for s in new["segments"]}:
+                    raise Conflict(f"{self.path}: another writer has merged the same segments")
+                new["segments"] = [s for s in new["segments"] if s["c"] not in gone] + ([segment | {"n": m["n"]}] if segment else [])
+                if settled:
+                    new["epochs"] = [e for e in new["epochs"] if e[0] > m["n"]]
+                new["stale"] = sorted(gone)
+
+            stale = m["stale"]
+            try:
+                self._commit(change)
+            except Conflict:
+                if segment:
+                    self._drop(segment["c"])
+                return
+            for c in stale:
+                self._drop(c)
+            for n in self._numbers()[: -self.MANY]:
+                fs, p = self._fs(f"{self.path}/manifest/{n}.json")
+                fs.delete(p, False)
+            if whole or settled:
+                return
+
+    def _merged(self, m: dict, segments: list[dict]) -> DataFrame:
+        """The rows of some segments, one a memory and kind; of accesses the last of each span between decays."""
+        span = F.size(F.filter(F.array(*(F.lit(n).cast("long") for n, _ in m["epochs"])).cast("array<bigint>"), lambda n: n < F.col("seq")))
+        log = self._log(m, only=segments).withColumn("span", F.when(F.col("kind") == "seen", span).otherwise(0))
+        rest = [c for c in EVENT_COLUMNS if c not in ("kind", "id", *SCOPE, "seq")]
+        last = log.groupBy("kind", *SCOPE, "id", "span").agg(F.max(F.struct("seq", *rest)).alias("w"))
+        return last.select(*(F.col(f"w.{c}").alias(c) if c in ("seq", *rest) else F.col(c) for c in EVENT_COLUMNS))
+
+    def _settled(self, m: dict) -> DataFrame:
+        """The state as rows of the log, its decays done."""
+        s = self._read(m)
+        kept = _events(s, "new", seq=F.col("born"), layer=F.col("layer"), content=F.col("content"), importance=F.col("importance"), at=F.col("created_at"), meta=F.col("meta"), score=F.col("decay_score"), archived=F.col("archived"), upto=F.lit(m["n"]))
+        return kept.unionByName(_events(s, "seen", seq=F.col("seen"), at=F.col("last_accessed")))
