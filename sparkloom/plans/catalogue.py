@@ -8,6 +8,7 @@ and for list items (line = item, source = profile or book, doc_id = block),
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from ..functions.timestamps import parse_ts
 from ..operators import cards, chunking, evidence, extract, memory, merge, migrate, similarity, worldbook
 from ..sources import readers
 from . import chat, novel, oracles
-from .catalogue_values import EXTENSIONS, LAYER_OF, NOW
+from .catalogue_values import EXTENSIONS, HALFWAY, LAYER_OF, NOW
 from .scratch import folder
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -374,6 +375,40 @@ def novel_distill(spark, sf):
     return novel.merge(ledger, pieces, "all").report.drop("failed_blocks")
 
 
+class Told:
+    """A client that repeats what it is told; while ``flaky``, errors get no usable reply."""
+
+    def __init__(self, flaky: bool):
+        self.flaky = flaky
+
+    def chat(self, block_id: int, system: str, user: str):
+        kind, _, props = user.partition(":")
+        return extract.ChatResult("none" if self.flaky and kind == "error" else f"so: {props}", len(user), 3)
+
+
+def ledger_journal(spark, sf):
+    """Every event as a block of its own: a run in which errors fail, and another; what the tasks kept, one row a block and run."""
+    blocks = table(spark, sf, "events").select(F.col("event_id").alias("block_id"), F.concat("event_type", F.lit(":"), "props").alias("rendered"))
+    ledger = extract.Ledger(spark, folder(spark, "journal"))
+    for name, flaky in (("first", True), ("second", False)):
+        ledger.run(blocks, functools.partial(Told, flaky), "say it again", name, max_attempts=2)
+    k = F.try_variant_get(extract_json("reply"), "$.k", "bigint")
+    return ledger.rows().select("run_id", "seq", "block_id", "status", "attempts", "calls", "prompt_tokens", "completion_tokens", "error", k.alias("k"))
+
+
+def memory_log(spark, sf):
+    """A store through two batches of all events, edits, deletions and two decays; its state."""
+    a, store = _adds(spark, sf), memory.MemoryStore(spark, folder(spark, "memory"), parts=16)
+    store.add(a.filter("seq % 2 = 0"))
+    store.apply_decay(HALFWAY, count=False)
+    store.add(a.filter("seq % 2 = 1"))
+    s = store.state()
+    store.edit(s.filter("id % 10 = 0").select(F.col("id").alias("seq"), "profile_id", "owner", "id", F.concat(F.lit(" edited "), "content").alias("content")))
+    store.delete(s.filter("id % 17 = 0").select("profile_id", "owner", "id"))
+    store.apply_decay(NOW, count=False)
+    return store.state().select("id", "profile_id", "owner", "layer", "content", "importance", "created_at", "last_accessed", F.round("decay_score", 6).alias("decay_score"), "archived")
+
+
 def lore_words(spark, sf):
     """Trigger words of lore keys: words between white space."""
     return _lore(spark, sf).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
@@ -513,6 +548,7 @@ QUERIES = {
     "distill_resume": distill_resume, "novel_distill": novel_distill,
     "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
     "import_csv": import_csv, "import_memotrace": import_memotrace, "card_import": card_import, "migrate_convert": migrate_convert,
+    "ledger_journal": ledger_journal, "memory_log": memory_log,
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue_values import EXTENSIONS, LAYER_OF, NOW
+from .catalogue_values import EXTENSIONS, HALFWAY, LAYER_OF, NOW
 
 WS = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -51,6 +51,11 @@ STATE = f"""adds AS (
 STATE = STATE.replace("FROM adds GROUP BY ALL", "FROM adds GROUP BY profile_id, owner, layer, content")
 
 
+def _faded(score: str, now: str) -> str:
+    """``score`` after the days to ``now`` since last_accessed, with a column ``half`` of half-lives."""
+    return f"{score} * pow(0.5, greatest(epoch_us(TIMESTAMP '{now}') - epoch_us(CAST(last_accessed AS TIMESTAMP)), 0) / 86400000000.0 / half)"
+
+
 def chunked(ts: str, dt: str, size: int) -> str:
     return f"""e AS (SELECT event_id, user_id, {ts} AS s, {dt} AS dt FROM (SELECT *, {ISO} AS iso FROM events)
 ), a AS (SELECT *, last_value(dt IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e
@@ -239,4 +244,24 @@ SELECT conv_id, turn, role AS name, text AS persona_summary, 'kind|' || role ||
     "migrate_convert": """
 SELECT 'Nora' AS name, 'kind|brave' AS traits, 'be kind' AS behavior_rules, 'no calls' AS taboos, 'well|so' AS style_examples, CAST((SELECT count(*) FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL) + 2 AS INTEGER) AS n_lore,
   CAST((SELECT count(*) FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND trim(props) <> '') + 1 AS INTEGER) AS n_memories, 'the lake' AS last_memory""",
+    "ledger_journal": """
+WITH e AS (SELECT event_id, event_type = 'error' AS bad, CAST(length(event_type || ':' || props) AS BIGINT) AS n, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT 'first' AS run_id, CAST(0 AS BIGINT) AS seq, event_id AS block_id, CASE WHEN bad THEN 'failed' ELSE 'done' END AS status, CASE WHEN bad THEN 1 ELSE 0 END AS attempts, CASE WHEN bad THEN 2 ELSE 1 END AS calls,
+  CASE WHEN bad THEN 2 * n ELSE n END AS prompt_tokens, CAST(CASE WHEN bad THEN 6 ELSE 3 END AS BIGINT) AS completion_tokens, CASE WHEN bad THEN 'no JSON object in the reply: ''none''' ELSE '' END AS error, CASE WHEN NOT bad THEN k END AS k FROM e
+UNION ALL SELECT 'second', 1, event_id, 'done', 1, 1, n, 3, '', k FROM e WHERE bad""",
+    "memory_log": f"""
+WITH adds AS (
+  SELECT event_id AS seq, 'p' || (user_id % 20) AS profile_id, 'u' || user_id AS owner, CASE event_type {_LAYER} END AS layer, props AS content, least(value / 10, 10.0) AS importance, {ISO} AS tm FROM events
+), f AS (
+  SELECT seq % 2 AS b, min(seq) AS id, profile_id, owner, layer, content, arg_min(importance, seq) AS importance, arg_min(tm, seq) AS created_at, arg_max(tm, seq) AS last_accessed FROM adds GROUP BY 1, profile_id, owner, layer, content
+), x AS (SELECT max(seq) AS top FROM adds WHERE seq % 2 = 0
+), h AS (SELECT *, CASE layer WHEN 'raw' THEN 30 WHEN 'episodic' THEN 14 ELSE 3650 END AS half FROM f
+), a AS (SELECT *, {_faded("CAST(1 AS DOUBLE)", HALFWAY)} AS d FROM h WHERE b = 0
+), both_ AS (
+  SELECT coalesce(a.id, n.id + top) AS id, coalesce(a.profile_id, n.profile_id) AS profile_id, coalesce(a.owner, n.owner) AS owner, coalesce(a.layer, n.layer) AS layer, coalesce(a.content, n.content) AS content,
+    coalesce(a.importance, n.importance) AS importance, coalesce(a.created_at, n.created_at) AS created_at, coalesce(n.last_accessed, a.last_accessed) AS last_accessed, coalesce(a.half, n.half) AS half, coalesce(a.d, 1.0) AS d,
+    coalesce(a.d < 0.05 AND a.layer IN ('raw', 'episodic'), false) AS gone
+  FROM a FULL JOIN (SELECT * FROM h WHERE b = 1) n ON a.profile_id = n.profile_id AND a.owner = n.owner AND a.layer = n.layer AND a.content = n.content, x
+), later AS (SELECT *, CASE WHEN gone THEN d ELSE {_faded("d", NOW)} END AS e FROM both_ WHERE id % 17 <> 0)
+SELECT id, profile_id, owner, layer, CASE WHEN id % 10 = 0 THEN 'edited ' || content ELSE content END AS content, importance, created_at, last_accessed, round(e, 6) AS decay_score, gone OR (e < 0.05 AND layer IN ('raw', 'episodic')) AS archived FROM later""",
 }
