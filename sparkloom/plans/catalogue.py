@@ -20,7 +20,7 @@ from ..functions.timestamps import parse_ts
 from ..operators import cards, chunking, evidence, extract, memory, merge, migrate, similarity, worldbook
 from ..sources import readers
 from . import chat, novel, oracles
-from .catalogue_values import EXTENSIONS, HALFWAY, LAYER_OF, NOW
+from .catalogue_values import EXTENSIONS, HALFWAY, HOT_GAP, LAYER_OF, NOW
 from .scratch import folder
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -409,6 +409,23 @@ def memory_log(spark, sf):
     return store.state().select("id", "profile_id", "owner", "layer", "content", "importance", "created_at", "last_accessed", F.round("decay_score", 6).alias("decay_score"), "archived")
 
 
+def jaccard_top(spark, sf):
+    """The five conversation rows nearest to each benchmark item."""
+    out = similarity.jaccard_top(table(spark, sf, "conversations").select("conv_id", "turn", "text"), table(spark, sf, "benchmark"), "item_id", 5)
+    return out.withColumn("jaccard", F.round("jaccard", 6))
+
+
+def chunk_messages_hot(spark, sf):
+    """All events as one conversation."""
+    return chunking.chunk_hot_messages(timed(spark, sf), [], block_size=5, gap_hours=HOT_GAP, ts="iso").select("event_id", "block_id", "idx")
+
+
+def chunk_novel_lines(spark, sf):
+    """The marked documents line by line."""
+    lines_ = _marked(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return _pieces(chunking.chunk_novel_lines(lines_, "doc_id", chunk_chars=1000).withColumnRenamed("key", "doc_id"))
+
+
 def lore_words(spark, sf):
     """Trigger words of lore keys: words between white space."""
     return _lore(spark, sf).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
@@ -548,7 +565,7 @@ QUERIES = {
     "distill_resume": distill_resume, "novel_distill": novel_distill,
     "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
     "import_csv": import_csv, "import_memotrace": import_memotrace, "card_import": card_import, "migrate_convert": migrate_convert,
-    "ledger_journal": ledger_journal, "memory_log": memory_log,
+    "ledger_journal": ledger_journal, "memory_log": memory_log, "jaccard_top": jaccard_top, "chunk_messages_hot": chunk_messages_hot, "chunk_novel_lines": chunk_novel_lines,
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue_values import EXTENSIONS, HALFWAY, LAYER_OF, NOW
+from .catalogue_values import EXTENSIONS, HALFWAY, HOT_GAP, LAYER_OF, NOW
 
 WS = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -264,4 +264,15 @@ WITH adds AS (
   FROM a FULL JOIN (SELECT * FROM h WHERE b = 1) n ON a.profile_id = n.profile_id AND a.owner = n.owner AND a.layer = n.layer AND a.content = n.content, x
 ), later AS (SELECT *, CASE WHEN gone THEN d ELSE {_faded("d", NOW)} END AS e FROM both_ WHERE id % 17 <> 0)
 SELECT id, profile_id, owner, layer, CASE WHEN id % 10 = 0 THEN 'edited ' || content ELSE content END AS content, importance, created_at, last_accessed, round(e, 6) AS decay_score, gone OR (e < 0.05 AND layer IN ('raw', 'episodic')) AS archived FROM later""",
+    "jaccard_top": f"""
+WITH c AS (SELECT conv_id, turn, {grams("t")} AS x FROM (SELECT conv_id, turn, {squeezed("text")} AS t FROM conversations) WHERE t <> ''), b AS (SELECT item_id, {grams("q")} AS y FROM (SELECT item_id, {squeezed("text")} AS q FROM benchmark) WHERE q <> ''),
+n AS (SELECT conv_id, turn, item_id, len(x) + len(y) AS total, len(list_intersect(x, y)) AS shared FROM c CROSS JOIN b),
+r AS (SELECT *, CAST(shared AS DOUBLE) / (total - shared) AS j, CAST(row_number() OVER (PARTITION BY item_id ORDER BY CAST(shared AS DOUBLE) / (total - shared) DESC, conv_id, turn) AS INTEGER) AS rank FROM n WHERE shared > 0)
+SELECT item_id, rank, conv_id, turn, round(j, 6) AS jaccard FROM r WHERE rank <= 5""",
+    "chunk_messages_hot": f"""
+WITH a AS (SELECT event_id, ts, ts - lag(ts) OVER (ORDER BY ts, event_id) > INTERVAL {int(HOT_GAP * 3600)} SECOND AS gap FROM events),
+b AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) - 1 AS n FROM b)
+SELECT event_id, CAST(dense_rank() OVER (ORDER BY run, n // 5) - 1 AS INTEGER) AS block_id, CAST(n % 5 AS INTEGER) AS idx FROM c""",
+    "chunk_novel_lines": f"WITH RECURSIVE {packed(MARKED, 1000)} SELECT * FROM out",
 }
