@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import col, normalize, strip_u
 
@@ -38,9 +39,14 @@ def find_quotes(texts: DataFrame, quotes: DataFrame, text_key: str, quote_key: s
     Each text is read once a set of quotes by an Aho-Corasick automaton. Sets are
     bounded by ``limit``; more quotes make further passes, not larger broadcasts.
     """
-    texts = texts.select(col(text_key).alias("a"), normalize("text", compose).alias("t"))
+    texts = texts.select(col(text_key).alias("at"), normalize("text", compose).alias("t"))
     quotes = quotes.select(col(quote_key).alias("b"), normalize("text", compose).alias("q")).filter("q <> ''")
-    ka, kb = (d.schema[c].dataType.simpleString() for d, c in ((texts, "a"), (quotes, "b")))
+    return contained(texts, quotes, limit).withColumnsRenamed({"a": text_key, "b": quote_key})
+
+
+def contained(texts: DataFrame, quotes: DataFrame, limit: int = QUOTE_CHARS) -> DataFrame:
+    """(a, b): for each text (at, t) the keys of the quotes (b, q) that it contains, as they are."""
+    kinds = to_arrow_schema(texts.select(F.col("at").alias("a")).schema.add(quotes.schema["b"]))
     spark, out, rows, size = texts.sparkSession, None, [], 0
 
     def one(rows):
@@ -50,9 +56,9 @@ def find_quotes(texts: DataFrame, quotes: DataFrame, text_key: str, quote_key: s
             find = _finder(sent.value)
             for b in batches:
                 hits = [(i, k) for i, t in enumerate(b.column("t").to_pylist()) for k in sorted(find(t or ""))]
-                yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array([i for i, _ in hits], pa.int64())), pa.array([k for _, k in hits])] if hits else [b.column("a").slice(0, 0), pa.array([], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([b.column("at").take(pa.array([i for i, _ in hits], pa.int64())), pa.array([k for _, k in hits], kinds.field("b").type)], names=["a", "b"])
 
-        return texts.mapInArrow(run, f"a {ka}, b {kb}")
+        return texts.mapInArrow(run, texts.select(F.col("at").alias("a")).schema.add(quotes.schema["b"]))
 
     for r in quotes.toLocalIterator():
         if rows and size + len(r["q"]) > limit:
@@ -62,7 +68,7 @@ def find_quotes(texts: DataFrame, quotes: DataFrame, text_key: str, quote_key: s
         size += len(r["q"])
     if rows or out is None:
         out = one(rows) if out is None else out.unionByName(one(rows))
-    return out.withColumnsRenamed({"a": text_key, "b": quote_key})
+    return out
 
 
 def _finder(rows):

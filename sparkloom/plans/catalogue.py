@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigram_jaccard, clean_text, entity_text, extract_json, flatten_items, normalize, split_keys, split_words
 from ..functions.timestamps import parse_ts
-from ..operators import cards, chunking, evidence, extract, memory, merge, migrate, similarity, worldbook
+from ..operators import cards, chunking, evidence, extract, memory, merge, migrate, similarity, worldbook, worldinfo
 from ..sources import readers
 from . import chat, novel, oracles
-from .catalogue_values import EXTENSIONS, HALFWAY, HOT_GAP, LAYER_OF, NOW
+from .catalogue_values import EXTENSIONS, HALFWAY, HOT_GAP, LAYER_OF, NOW, WORD_BREAKS
 from .scratch import folder
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -426,6 +426,49 @@ def chunk_novel_lines(spark, sf):
     return _pieces(chunking.chunk_novel_lines(lines_, "doc_id", chunk_chars=1000).withColumnRenamed("key", "doc_id"))
 
 
+def _book(spark, sf):
+    """benchmark items as the entries of a book: keys from their words, all else from their ids."""
+    b, i = table(spark, sf, "benchmark"), F.col("item_id")
+    w = F.filter(F.split(F.lower("text"), WORD_BREAKS), lambda x: F.length(x).between(4, 6))
+    b = b.withColumn("w", w)
+    return b.select(
+        i.alias("entry_id"), F.slice("w", 1, 2).alias("keys"), F.when(i % 3 == 0, F.slice("w", 3, 2)).otherwise(F.array().cast("array<string>")).alias("second"), F.element_at(F.array(*map(F.lit, worldinfo.LOGIC)), (F.floor(i / 3) % 4 + 1).cast("int")).alias("logic"),
+        F.col("text").alias("content"), (i % 11 == 0).alias("constant"), (i % 7).alias("priority"), (i % 3).cast("int").alias("sticky"), (i % 4).cast("int").alias("cooldown"), (i % 3).cast("int").alias("delay"), F.when(i % 2 == 0, 70).alias("probability"),
+        (i % 9 == 0).alias("exempt"), F.length("text").alias("cost"), F.when(i % 2 == 0, i % 6).alias("pool"), (1 + i % 4 * 5).cast("int").alias("weight"),
+    )
+
+
+def _talk(spark, sf):
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("conv"), "turn", "text")
+
+
+def wi_scan(spark, sf):
+    """Entries that the last three messages of each turn call up, and constant ones."""
+    return worldinfo.scan(_talk(spark, sf), _book(spark, sf), 3)
+
+
+def wi_timed(spark, sf):
+    return worldinfo.timed(wi_scan(spark, sf), _book(spark, sf), _talk(spark, sf))
+
+
+def wi_recursion(spark, sf):
+    return worldinfo.recursed(wi_scan(spark, sf), _book(spark, sf), 3)
+
+
+def wi_pools(spark, sf):
+    return worldinfo.one_of_each_pool(wi_scan(spark, sf), _book(spark, sf))
+
+
+def wi_budget(spark, sf):
+    return worldinfo.within_budget(wi_recursion(spark, sf), _book(spark, sf), 1500)
+
+
+def guards(spark, sf):
+    """Every event as a wish to write to its user: three a day, 90 minutes apart, from 8 to 22, four in five."""
+    out = worldinfo.guarded(table(spark, sf, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id", 3, 90, (8, 22), 80)
+    return out.select("user_id", "event_id", "sent")
+
+
 def lore_words(spark, sf):
     """Trigger words of lore keys: words between white space."""
     return _lore(spark, sf).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
@@ -566,6 +609,7 @@ QUERIES = {
     "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
     "import_csv": import_csv, "import_memotrace": import_memotrace, "card_import": card_import, "migrate_convert": migrate_convert,
     "ledger_journal": ledger_journal, "memory_log": memory_log, "jaccard_top": jaccard_top, "chunk_messages_hot": chunk_messages_hot, "chunk_novel_lines": chunk_novel_lines,
+    "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue_values import EXTENSIONS, HALFWAY, HOT_GAP, LAYER_OF, NOW
+from .catalogue_values import EXTENSIONS, HALFWAY, HOT_GAP, LAYER_OF, NOW, WORD_BREAKS
 
 WS = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -106,6 +106,33 @@ def squeezed(x: str) -> str:
     return f"regexp_replace({x}, '{WS}+', '', 'g')"
 
 
+def chance(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5({' || QQ:QQ || '.join(parts)}), 1, 8) AS BIGINT)".replace("QQ", "'")
+
+
+WI = f"""w AS (
+  SELECT item_id AS i, text, list_filter(string_split_regex(lower(text), '{WORD_BREAKS}'), lambda x: length(x) BETWEEN 4 AND 6) AS w FROM benchmark
+), book AS (
+  SELECT i AS entry_id, w[1:2] AS keys, CASE WHEN i % 3 = 0 THEN w[3:4] ELSE [] END AS second, ['and_any', 'and_all', 'not_any', 'not_all'][i // 3 % 4 + 1] AS logic, lower(text) AS content, i % 11 = 0 AS constant, i % 7 AS priority,
+    i % 3 AS sticky, i % 4 AS cooldown, i % 3 AS delay, CASE WHEN i % 2 = 0 THEN 70 ELSE 100 END AS probability, i % 9 = 0 AS exempt, length(text) AS cost, CASE WHEN i % 2 = 0 THEN i % 6 END AS pool, CAST(1 + i % 4 * 5 AS INTEGER) AS weight FROM w
+), m AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS size, lower(text) AS t FROM conversations
+), lately AS (
+  SELECT a.conv, a.place, string_agg(b.t, chr(0)) AS t FROM m a JOIN m b ON a.conv = b.conv AND b.place BETWEEN a.place - 2 AND a.place GROUP BY a.conv, a.place
+), called AS (
+  SELECT conv, place, entry_id FROM (
+    SELECT *, len(list_filter(keys, lambda k: contains(t, k))) > 0 AS hit, len(list_distinct(second)) AS o, len(list_filter(list_distinct(second), lambda k: contains(t, k))) AS n FROM lately CROSS JOIN book
+  ) WHERE constant OR (hit AND (o = 0 OR CASE logic WHEN 'and_any' THEN n > 0 WHEN 'and_all' THEN n = o WHEN 'not_any' THEN n = 0 ELSE n < o END))
+)"""
+WI_DEEP = """edge AS (
+  SELECT DISTINCT a.entry_id, b.entry_id AS other FROM book a JOIN book b ON a.entry_id <> b.entry_id AND NOT b.exempt AND len(b.second) = 0 AND len(list_filter(b.keys, lambda k: contains(a.content, k))) > 0
+), walk(entry_id, other, level) AS (
+  SELECT entry_id, other, 1 FROM edge UNION SELECT w.entry_id, e.other, w.level + 1 FROM walk w JOIN edge e ON w.other = e.entry_id WHERE w.level < 3
+), deep AS (
+  SELECT conv, place, entry_id, min(level) AS level FROM (
+    SELECT conv, place, entry_id, 0 AS level FROM called UNION ALL SELECT conv, place, w.other, w.level FROM called JOIN walk w USING (entry_id)
+  ) GROUP BY conv, place, entry_id
+)"""
 PROFILES = f"""{NAMES}, profiles AS (SELECT source AS name, array_agg(name ORDER BY rank) AS t FROM ranked GROUP BY source)"""
 EXT = ", ".join(f"'{x}'" for x in EXTENSIONS)
 
@@ -275,4 +302,34 @@ b AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id
 c AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) - 1 AS n FROM b)
 SELECT event_id, CAST(dense_rank() OVER (ORDER BY run, n // 5) - 1 AS INTEGER) AS block_id, CAST(n % 5 AS INTEGER) AS idx FROM c""",
     "chunk_novel_lines": f"WITH RECURSIVE {packed(MARKED, 1000)} SELECT * FROM out",
+    "wi_scan": f"WITH {WI} SELECT conv, place, entry_id FROM called",
+    "wi_timed": f"""
+WITH RECURSIVE {WI}, t AS (
+  SELECT conv, place, entry_id, sticky, cooldown FROM called JOIN book USING (entry_id) WHERE place + 1 >= delay AND {chance("conv", "entry_id", "place")} < probability * 4294967296 / 100
+), b AS (
+  SELECT conv, entry_id, min(place) AS place, any_value(sticky) AS sticky, any_value(cooldown) AS cooldown FROM t GROUP BY conv, entry_id
+  UNION ALL
+  SELECT b.conv, b.entry_id, min(t.place), any_value(b.sticky), any_value(b.cooldown) FROM b JOIN t ON t.conv = b.conv AND t.entry_id = b.entry_id AND t.place > b.place + b.sticky + b.cooldown GROUP BY b.conv, b.entry_id
+)
+SELECT b.conv, unnest(range(b.place, least(b.place + sticky, size - 1) + 1)) AS place, entry_id, b.place AS begun FROM b JOIN (SELECT conv, any_value(size) AS size FROM m GROUP BY conv) s ON s.conv = b.conv""",
+    "wi_recursion": f"WITH RECURSIVE {WI}, {WI_DEEP} SELECT conv, place, entry_id, CAST(level AS INTEGER) AS level FROM deep",
+    "wi_pools": f"""
+WITH {WI}, d AS (SELECT conv, place, entry_id, pool, -ln(({chance("conv", "place", "entry_id")} + 1) / 4294967297.0::DOUBLE) / weight AS x FROM called JOIN book USING (entry_id))
+SELECT conv, place, entry_id FROM d QUALIFY pool IS NULL OR row_number() OVER (PARTITION BY conv, place, pool ORDER BY x, entry_id) = 1""",
+    "wi_budget": f"""
+WITH RECURSIVE {WI}, {WI_DEEP}, o AS (
+  SELECT conv, place, entry_id, CAST(row_number() OVER p AS INTEGER) AS rank, CAST(sum(cost) OVER (p ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM deep JOIN book USING (entry_id) WINDOW p AS (PARTITION BY conv, place ORDER BY constant DESC, priority DESC, level > 0, entry_id)
+)
+SELECT * FROM o WHERE spent <= 1500""",
+    "guards": f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us, CAST(ts AS DATE) AS day, hour(ts) >= 8 AND hour(ts) < 22 AND {chance("user_id", "event_id")} < 80 * 4294967296 / 100 AS open, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), g AS (
+  SELECT user_id, event_id, n, day, CASE WHEN open THEN 1 ELSE 0 END AS today, CASE WHEN open THEN us END AS last, open AS sent FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, day, CASE WHEN ok THEN before + 1 ELSE before END, CASE WHEN ok THEN us ELSE last END, ok FROM (
+    SELECT e.*, g.last, CASE WHEN e.day = g.day THEN g.today ELSE 0 END AS before, e.open AND CASE WHEN e.day = g.day THEN g.today ELSE 0 END < 3 AND (g.last IS NULL OR e.us - g.last >= 5400000000) AS ok FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1
+  )
+)
+SELECT user_id, event_id, sent FROM g""",
 }
