@@ -7,7 +7,8 @@ n - q + 1 - k * q of the item's q-grams, all within 2k + 1 diagonals (position i
 the text minus position in the item). Hits are counted in bands of 3k + 3
 diagonals that overlap by two thirds, so every match lies whole in one; bands
 that meet the bound are verified by banded alignment (edit distance of the whole
-item against any part of the region). Items under ``SMALL`` bytes take shorter
+item against any part of the region, over the diagonals a match in it can lie on; items
+over ``LONG`` bytes with bands as wide as the edits allowed, few at first). Items under ``SMALL`` bytes take shorter
 q-grams, so that the bound never vanishes; items too short for those are found
 where they stand exactly, between spaces.
 
@@ -52,6 +53,7 @@ BLOCK_BYTES = 4 << 20
 MANY = 32  # items that may share a gram before it is counted apart
 PIECE = 4
 CELLS = 1 << 22  # of all alignments that run at once
+LONG = 2_000  # bytes of an item that is aligned by itself, with few edits first
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
@@ -237,41 +239,53 @@ class Index:
             out.append(np.stack([np.full(len(hit), d), hit, np.full(len(hit), lo), np.full(len(hit), hi)], axis=1))
         return np.concatenate(out)
 
-    def within(self, f: np.ndarray, regions: np.ndarray) -> np.ndarray:
-        """Which regions hold their item with no more edits than its budget."""
-        out = np.zeros(len(regions), dtype=bool)
-        size = regions[:, 3] - regions[:, 2]
-        order = np.lexsort((self.lengths[regions[:, 1]], size))
+    def within(self, f: np.ndarray, regions: np.ndarray) -> list[tuple[int, int, int] | None]:
+        """For each region its item's best (start, end, edits) in it, if within the budget."""
+        hits: list = [None] * len(regions)
+        size, long = regions[:, 3] - regions[:, 2], self.lengths[regions[:, 1]] > LONG
+        maybe = np.flatnonzero(long)
+        order = np.flatnonzero(~long)
+        order = order[np.lexsort((self.lengths[regions[order, 1]], size[order]))]
         at = 0
         while at < len(order):
             n = max(1, CELLS // max(1, int(size[order[at]])))
             part = order[at : at + n]
             while len(part) > 1 and len(part) * int(size[part[-1]]) > 2 * CELLS:
                 part = part[: len(part) // 2]
-            out[part] = self._aligned(f, regions[part])
+            maybe = np.append(maybe, part[self._aligned(f, regions[part])])
             at += len(part)
-        return out
+        for r in maybe.tolist():
+            _, i, lo, hi = regions[r].tolist()
+            hits[r] = align(self.text[i], f[lo:hi].tobytes(), int(self.budgets[i]))
+        return hits
 
     def _aligned(self, f: np.ndarray, regions: np.ndarray) -> np.ndarray:
+        """Which regions hold their item with no more edits than its budget.
+
+        A row of the alignments holds, for each letter of the items, the diagonals on which a match of the budget can
+        lie: those of a start anywhere in the region, and as many to both sides as there may be edits.
+        """
         items, lo, hi = regions[:, 1], regions[:, 2], regions[:, 3]
-        wide, long = int((hi - lo).max()), int(self.lengths[items].max())
+        n, k = self.lengths[items], self.budgets[items]
+        wide, long, side = int((hi - lo).max()), int(n.max()), int(k.max())
+        band = int(np.maximum(hi - lo - n, 0).max()) + 2 * side + 1
         back = self.backward[items][:, None]
         step = np.arange(wide)
         at = np.where(back, hi[:, None] - 1 - step, lo[:, None] + step)
         there = step[None, :] < (hi - lo)[:, None]
-        region = np.where(there, f[np.where(there, at, 0)], 255).astype(np.uint8)  # 255 is no byte of a text
+        region = np.full((len(regions), max(side + wide, long + band)), 255, dtype=np.uint8)  # 255 is no byte of a text
+        region[:, side : side + wide] = np.where(there, f[np.where(there, at, 0)], 255)
         kinds, which = np.unique(items, return_inverse=True)
         letters = np.zeros((len(kinds), long), dtype=np.uint8)
         for row, i in zip(letters, kinds.tolist(), strict=True):
             t = np.frombuffer(self.text[i], dtype=np.uint8)
             row[: len(t)] = t[::-1] if self.backward[i] else t
-        n, k = self.lengths[items], self.budgets[items]
         out, live = np.zeros(len(regions), dtype=bool), np.arange(len(regions))
-        cost = np.zeros((len(regions), wide + 1), dtype=np.int32)
-        steps = np.arange(wide + 1, dtype=np.int32)
+        cost = np.zeros((len(regions), band), dtype=np.int32)
+        steps = np.arange(band, dtype=np.int32)
         for i in range(long):
-            best = cost + 1
-            np.minimum(best[:, 1:], cost[:, :-1] + (region[live] != letters[which[live], i][:, None]), out=best[:, 1:])
+            best = cost + (region[live, i : i + band] != letters[which[live], i][:, None])
+            np.minimum(best[:, :-1], cost[:, 1:] + 1, out=best[:, :-1])
             cost = np.minimum.accumulate(best - steps, axis=1) + steps
             least = cost.min(axis=1)
             good = least <= k[live]
@@ -310,8 +324,9 @@ class Items:
         for names, index in self.parts:
             regions = index.candidates(f, bounds)
             best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-            for d, i, lo, hi in regions[index.within(f, regions)].tolist() if len(regions) else ():
-                hit = align(index.text[i], f[lo:hi].tobytes(), int(index.budgets[i]))
+            for (d, i, lo, _), hit in zip(regions.tolist(), index.within(f, regions) if len(regions) else (), strict=True):
+                if hit is None:
+                    continue
                 a, z, e = lo + hit[0], lo + hit[1], hit[2]
                 have = best.setdefault((d, i), [])
                 clash = [x for x in have if a < x[1] and x[0] < z]
@@ -336,33 +351,48 @@ class Items:
 def align(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
     """Best (start, end, edits) of the whole item in a part of the region with at most k edits, else None.
 
-    Row i of the alignment holds the costs of the item's first i bytes ending at
-    each place of the region; the region is as wide as the band.
+    Tried with few edits first and then four times as many, up to k: a band of the alignment is as wide
+    as the edits it allows, so the work grows with the item and the edits that there are.
     """
     exact = region.find(item)
     if exact >= 0:
         return exact, exact + len(item), 0
-    r = np.frombuffer(region, dtype=np.uint8)
-    m = len(r)
-    steps = np.arange(m + 1)
-    cost, start = np.zeros(m + 1, dtype=np.int64), steps.copy()
-    big = m + 1
-    for i, c in enumerate(item):
-        change = cost[:-1] + (r != c)
-        drop = cost + 1
-        best = drop.copy()
-        best[1:] = np.minimum(change, drop[1:])
-        origin = start.copy()
-        origin[1:] = np.where(change <= drop[1:], start[:-1], start[1:])
+    letters, r = np.frombuffer(item, dtype=np.uint8), np.frombuffer(region, dtype=np.uint8)
+    allowed = 16
+    while allowed < k:
+        if hit := _in_band(letters, r, allowed):
+            return hit
+        allowed *= 4
+    return _in_band(letters, r, k)
+
+
+def _in_band(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
+    """The best alignment with at most k edits: row i has the costs of the item's first i bytes ending at each place, those over k left out at both ends."""
+    m = len(region)
+    before = np.concatenate([[255], region]).astype(np.uint8)  # the byte before each place
+    low, cost, start = 0, np.zeros(m + 1, dtype=np.int64), np.arange(m + 1)
+    big, none = m + 1, 1 << 30
+    for c in item.tolist():
+        high = min(m + 1, low + len(cost) + 1 + k - int(cost[-1]))  # inserted bytes may lead on from the last place
+        old = np.full(high - low + 1, none, dtype=np.int64)
+        old[1 : 1 + len(cost)] = cost
+        of = np.zeros(high - low + 1, dtype=np.int64)
+        of[1 : 1 + len(cost)] = start
+        change, drop = old[:-1] + (before[low:high] != c), old[1:] + 1
+        best, origin = np.minimum(change, drop), np.where(change <= drop, of[:-1], of[1:])
         # runs of inserted region bytes: the best of what stands to the left plus the distance
+        steps = np.arange(high - low)
         both = np.minimum.accumulate((best - steps) * big + (m - origin))
         new = both // big + steps
         origin = np.where(new < best, m - both % big, origin)
-        cost, start = np.minimum(new, best), origin
-        if cost.min() > k:
+        cost = np.minimum(new, best)
+        live = np.flatnonzero(cost <= k)
+        if not len(live):
             return None
+        a, z = int(live[0]), int(live[-1]) + 1
+        low, cost, start = low + a, cost[a:z], origin[a:z]
     end = int(cost.argmin())
-    return (int(start[end]), end, int(cost[end])) if cost[end] <= k else None
+    return int(start[end]), low + end, int(cost[end])
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):

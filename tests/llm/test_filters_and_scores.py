@@ -354,6 +354,54 @@ def test_many_items_with_one_prefix_take_seconds():
     assert got == {7, 1234} and time.perf_counter() - start < 20
 
 
+def edit_match(item, region):
+    """(edits, end) of the best match of the whole item in any part of the region, the earliest end."""
+    row = [0] * (len(region) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(region):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min((c, j) for j, c in enumerate(row))
+
+
+def test_banded_alignment_is_exact():
+    rng = random.Random(8)
+    for n, edits in ((40, 0), (60, 3), (120, 9), (300, 20), (300, 70)):
+        item = bytes(rng.choice(b"abcd") for _ in range(n))
+        spots = set(rng.sample(range(n), edits))
+        changed = b"".join((b"" if rng.random() < 0.3 else bytes([rng.choice(b"xyz")]) * rng.choice([1, 1, 2])) if i in spots else item[i : i + 1] for i in range(n))
+        region = b"cbad" * rng.randrange(9) + changed + b"dcab" * rng.randrange(9)
+        want, end = edit_match(item, region)
+        for k in (0, 1, 5, max(0, want - 1), want, want + 1, 2 * want + 3):
+            got = decontam.align(item, region, k)
+            assert (got is None) if want > k else (got[2] == want and (want == 0 or got[1] == end) and edit_match(item, region[got[0] : got[1]])[0] == want), (n, edits, k)
+
+
+def test_long_items_in_linear_time(monkeypatch):
+    rng, took = random.Random(2), []
+    for n in (10_000, 40_000):
+        item = "".join(rng.choice("abcdefghij klmno") for _ in range(n))
+        text = "hello there " * 50 + "".join(rng.choice("xyz") if rng.random() < 0.003 else c for c in item) + " and the end" * 50
+        buf = np.frombuffer(text.encode(), dtype=np.uint8)
+        start = time.perf_counter()
+        ((_, key, a, z, e),) = decontam.Items([(7, item)]).search(buf, np.array([0, len(buf)]))
+        took.append(time.perf_counter() - start)
+        assert key == 7 and a == 600 and abs(z - 600 - n) <= 2 and 0 < e < 0.004 * n
+    assert took[1] < 12 * took[0] + 1  # four times the bytes, four times the edits; the plain table would take 16 times
+
+
+def test_short_and_long_items_agree(spark, monkeypatch):
+    """What is aligned in batches is found when aligned one by one, too."""
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(50)) for _ in range(rng.randrange(6, 60)))) for i in range(30)]
+    text = " and ".join("".join(c if rng.random() > 0.04 else "q" for c in t) for _, t in items).encode()
+    search = lambda: decontam.Items(items).search(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    some = search()
+    monkeypatch.setattr(decontam, "LONG", 0)
+    assert search() == some and len(some) > 15
+
+
 def test_decontamination_folds_beyond_ascii(spark):
     item = "Où l'été s'achève — près de la forêt dévastée où les élèves « fêtés » étaient déjà âgés, à côté d'une île ; Straße Ἀθῆναι Москва"
     shouted = item.upper().replace("—", "…").replace(" ;", "\u00a0\u3000;").replace("«", "“").replace("»", "”")
