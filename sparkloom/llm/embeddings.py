@@ -8,8 +8,8 @@ looked for within buckets of further random projections: ``tables`` tables of
 ``bits`` bits, chosen so that a pair at the threshold shares a bucket with
 probability ``recall``. A bucket of over ``BLOCK`` vectors is dealt out as pairs
 of blocks, so no task holds more than two blocks, and nothing is capped. With a
-``recall`` of 1 there is one bucket a label, so every pair of blocks is compared and
-the bounds alone decide: the exact way, whose work grows with the square of a label.
+``recall`` of 1 there is one bucket a label, every pair of blocks is compared, and no
+bound leaves a pair out: the exact way, whose work grows with the square of a label.
 
 Vectors keep their type; each is scaled by its largest component before its length
 is taken, so very small and very large doubles neither vanish nor overflow. Vectors
@@ -21,7 +21,8 @@ and those with a null label, link with nothing; only equal labels and equal
 lengths are compared; equal vectors are one class and link with each other;
 repeated rows count as copies; an empty table gives no rows; columns other than the
 three are not read, whatever their names; a row with a null id can link (it has no class
-id of its own, so a class of nulls alone has a null id and is kept).
+id of its own, so a component of nulls alone has a null id and its rows are kept); different
+vectors under one id are vectors of their own, which the id does not link.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import REACH_SQL, components
+from .graph import components
 from .work import Workspace
 
 BLOCK = 768
@@ -84,17 +85,21 @@ def _encode(bits: int, tables: int, seed: int, kind: str):
     return encode
 
 
-def pair_links(vectors: np.ndarray, codes: np.ndarray, factors: np.ndarray, rotated: np.ndarray, left: slice, right: slice, threshold: float) -> np.ndarray:
+def pair_links(vectors: np.ndarray, codes: np.ndarray, factors: np.ndarray, rotated: np.ndarray, left: slice, right: slice, threshold: float, exact: bool = False) -> np.ndarray:
     """Which pairs left x right have a cosine of at least ``threshold``.
 
     The estimate of <o, q> from o's code is <code(o), q> / <code(o), o>; its
     standard error is sqrt((1 - f^2) / f^2 / (dim - 1)) for f = <code(o), o>.
+    ``exact`` computes all pairs instead (a product of matrices differs from the
+    sums that decide in the last digits only).
     """
     dim = vectors.shape[1]
-    signs = codes[left] / math.sqrt(dim)
-    f = factors[left][:, None]
-    guess = (signs @ rotated[right].T) / f
-    error = EPSILON * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dim - 1))
+    if exact:
+        guess, error = vectors[left] @ vectors[right].T, 1e-9
+    else:
+        f = factors[left][:, None]
+        guess = (codes[left] / math.sqrt(dim) @ rotated[right].T) / f
+        error = EPSILON * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dim - 1))
     i, j = np.nonzero(guess + error >= threshold)
     out = np.zeros(guess.shape, dtype=bool)
     a, b = vectors[left], vectors[right]
@@ -104,7 +109,7 @@ def pair_links(vectors: np.ndarray, codes: np.ndarray, factors: np.ndarray, rota
     return out
 
 
-def _compare(threshold: float, seed: int, kind: str):
+def _compare(threshold: float, seed: int, kind: str, exact: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -117,7 +122,7 @@ def _compare(threshold: float, seed: int, kind: str):
         keys = np.array(table.column("keys").to_pylist(), dtype=np.int64)
         cut = int(np.searchsorted(np.asarray(table.column("block")), lo, side="right"))
         left, right = (slice(0, cut), slice(cut, len(x))) if lo != hi else (slice(0, len(x)), slice(0, len(x)))
-        hit = pair_links(x, signs, np.asarray(table.column("factor")), rotated, left, right, threshold)
+        hit = pair_links(x, signs, np.asarray(table.column("factor")), rotated, left, right, threshold, exact)
         for u in range(t):  # a pair counts in the first table that has it in one bucket
             hit &= keys[left, u][:, None] != keys[right, u][None, :]
         if lo == hi:  # the two estimates of a pair differ: take either
@@ -157,8 +162,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     usable = F.col("label").isNotNull() & F.coalesce(F.size(e) > 0, F.lit(False)) & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", "label", F.when(usable, numbers).alias("embedding"))
     classes = rows.filter("embedding IS NOT NULL").groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
-    # the class's node: its smallest id, so that the smallest id of a component is the smallest node
-    classes = ws.write(classes.withColumn("node", F.coalesce("first_id", F.lit(2**63 - 1))).withColumn("dim", F.size("embedding")), "classes")
+    # a number of its own for each class, since ids may be null or repeated
+    classes = ws.write(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")), "classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan(largest, threshold, recall)
     kind = vectors.schema["label"].dataType.simpleString()
@@ -169,12 +174,14 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     placed = placed.join(count, ["label", "dim", "t", "key"]).withColumn("blocks", blocks).drop("count").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    found = dealt.groupBy("label", "dim", "t", "key", "lo", "hi").applyInArrow(_compare(threshold, seed, part_kind), "a long, b long, n long")
+    found = dealt.groupBy("label", "dim", "t", "key", "lo", "hi").applyInArrow(_compare(threshold, seed, part_kind, recall >= 1), "a long, b long, n long")
     found = ws.write(found, "found")
     degree = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     comp = components(ws, found.filter("b IS NOT NULL").select("a", "b"))
-    of = classes.join(degree.withColumnRenamed("a", "node"), "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left")
-    of = of.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.nullif(F.coalesce("component", "node"), F.lit(2**63 - 1)).alias("c"))
+    comp = comp.withColumnRenamed("id", "node").join(classes.select("node", "first_id"), "node")
+    comp = comp.join(comp.groupBy("component").agg(F.min("first_id").alias("smallest")), "component").select("node", "smallest")
+    of = classes.join(degree.withColumnRenamed("a", "node"), "node", "left").join(comp, "node", "left")
+    of = of.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "first_id").alias("c"))
     out = rows.join(of, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     cid = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.col("vec_id").eqNullSafe(cid).alias("kept"))
@@ -185,12 +192,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
 
 
-OP10_SQL = f"""
+OP10_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS r FROM embeddings
+), good AS (
+  SELECT r, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
-  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.93
-), {REACH_SQL}, n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM embeddings LEFT JOIN comp ON id = vec_id LEFT JOIN n ON a = vec_id
+  SELECT p.r AS a, q.r AS b FROM good p JOIN good q ON p.label = q.label AND p.r <> q.r AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.93
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT x.a, l.b FROM reach x JOIN links l ON x.b = l.a
+), comp AS (SELECT a, min(vec_id) AS c FROM reach JOIN v ON b = r GROUP BY a
+), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(c, vec_id), c, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(least(c, vec_id), c, vec_id) AS kept FROM v LEFT JOIN comp ON comp.a = r LEFT JOIN n ON n.a = r
 """

@@ -32,8 +32,3 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFra
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
-
-#: Components of links (a, b), both ways, in SQL: (id, component) of every linked node.
-REACH_SQL = """reach(a, b) AS (
-  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
-), comp AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a)"""

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import REACH_SQL, components
+from .graph import components
 from .text import Texts, U, Words, lists, mix, pieces, rolling, sequence_hash
 from .work import Workspace, about
 
@@ -223,7 +223,16 @@ class NearDuplicates:
         self.classes = ws.write(self.classes, "classes")
         self.reps = self.classes.filter("node IS NOT NULL").select("node", "n", "sketch")
         self.links = self._links()
-        self.components = ws.write(components(ws, self.links), "components")
+        self.components = ws.write(components(ws, self.links.unionByName(self._of_one_id())), "components")
+
+    def _of_one_id(self) -> DataFrame:
+        """Pairs (a, b) of classes that have rows of one doc_id: what links with either is linked."""
+        own = self.prints.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.struct("n", "sig", "sig2").alias("k"))
+        twice = own.groupBy("doc_id").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low <> high").select("doc_id")
+        twice = self.ws.write(twice, "twice")
+        node = self.classes.select(F.struct("n", "sig", "sig2").alias("k"), "node")
+        of = own.join(twice, "doc_id", "leftsemi").join(node, "k").select("doc_id", "node").distinct()
+        return of.join(of.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     def _near(self):
         """Whether the sizes ``n`` and ``nb`` allow a link."""
@@ -346,21 +355,25 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).documents()
 
 
-#: All pairs that share a shingle, for tables of a size that allows them. Texts of equal sets are linked through the first.
-OP7_SQL = rf"""
+#: All pairs that share a shingle, for tables of a size that allows them. Texts of equal sets are one class, and classes of one doc_id are linked.
+OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END)) AS s FROM w
 ), sized AS (
-  SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY md5(array_to_string(s, chr(10)))) ELSE doc_id END AS rep FROM s
+  SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS k FROM s
+), class AS (
+  SELECT k, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS rep FROM sized WHERE n > 0 GROUP BY k HAVING min(doc_id) IS NOT NULL
 ), each AS (
-  SELECT doc_id, n, unnest(s) AS x FROM sized WHERE doc_id = rep
+  SELECT k, n, unnest(s) AS x FROM class
 ), pairs AS (
-  SELECT p.doc_id AS a, q.doc_id AS b, p.n + q.n - count(*) AS total, count(*) AS shared FROM each p JOIN each q ON p.x = q.x AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY p.doc_id, q.doc_id, p.n, q.n
+  SELECT p.k AS a, q.k AS b, p.n + q.n - count(*) AS total, count(*) AS shared FROM each p JOIN each q ON p.x = q.x AND p.k < q.k AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY p.k, q.k, p.n, q.n
 ), one AS (
-  SELECT a, b FROM pairs WHERE 100 * shared >= 80 * total
+  SELECT a, b FROM pairs WHERE 100 * shared >= 80 * total UNION SELECT p.k, q.k FROM sized p JOIN sized q ON p.doc_id = q.doc_id AND p.k < q.k
 ), links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one
-), {REACH_SQL}
-SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, rep) AS component_id, doc_id = coalesce(component, rep) AS kept FROM sized LEFT JOIN comp ON id = rep
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), comp AS (SELECT a, min(rep) AS c FROM reach JOIN class ON b = k GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(c, rep, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(c, rep, doc_id) AS kept FROM sized LEFT JOIN comp ON a = sized.k LEFT JOIN (SELECT k, rep FROM class) r ON r.k = sized.k
 """

@@ -285,3 +285,67 @@ def test_estimates_are_unbiased_and_bounded():
     hit = pair_links(x, signs, f, turned, slice(0, 300), slice(0, 300), 0.3)
     exact = x @ x.T >= 0.3
     assert not (hit & ~exact).any() and (hit & exact).sum() >= 0.99 * exact.sum()
+
+
+def reachable(links, keys):
+    """The component of each key, as a set."""
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    out = {}
+    for k in keys:
+        out.setdefault(find(k), set()).add(k)
+    return {k: out[find(k)] for k in keys}
+
+
+def test_repeated_doc_ids_carry_links_on(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t.replace("30", "thirty")
+    rows = [(3, a), (5, a), (5, b), (8, b), (9, near(b)), (11, c), (12, c), (12, ""), (13, None), (None, a), (None, c), (20, "x y"), (20, "z w"), (21, "z w")]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in NearDuplicates(spark, spark.createDataFrame(rows, DOCS)).documents().collect()), key=repr)
+    want = [(3, 3, True), (5, 3, False), (5, 3, False), (8, 3, False), (9, 3, False), (11, 11, True), (12, 11, False), (12, 12, True), (13, 13, True), (None, 3, False), (None, 11, False), (20, 20, True), (20, 20, True), (21, 20, False)]
+    assert got == sorted(want, key=repr)
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((6, 24))
+    rows, ids = [], [9, None, 10, None, None, 7, 7, 3, 7, 2, 15, None]
+    for i, vec_id in enumerate(ids):
+        rows.append((vec_id, [float(x) for x in base[i // 2] + 0.02 * rng.standard_normal(24)], "l"))
+    rows += [(None, rows[0][1], "l"), (4, rows[0][1], "l"), (None, None, "l"), (1, [0.0] * 24, "l"), (None, rows[2][1], None)]
+    x = [np.array(v) if v and any(v) and label else None for _, v, label in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if x[i] is not None and x[j] is not None and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= 0.93]
+    of = reachable(links, range(len(rows)))
+    want = []
+    for i, (vec_id, *_) in enumerate(rows):
+        known = [rows[j][0] for j in of[i] if rows[j][0] is not None]
+        first = min(known) if known else None
+        want.append((vec_id, sum(i in p for p in links), first, vec_id == first))
+    for recall in (0.999, 1.0):
+        got = near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), recall=recall)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_recall_of_the_buckets(spark, dim):
+    """Links at the threshold among more vectors than one block holds, by the buckets of the plan and by the exact way."""
+    rng = np.random.default_rng(dim)
+    n, pairs = 2600, 500
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, dim))
+    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[pairs : 2 * pairs] = 0.931 * x[:pairs] + np.sqrt(1 - 0.931**2) * side
+    assert plan(n, 0.93, 0.999)[0] > 0
+    vectors = spark.createDataFrame([(i, [float(c) for c in v], "one") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = sum(r.n_links for r in near_duplicates(spark, vectors).collect()) / 2
+    assert 0.99 * pairs <= got <= pairs
+    assert sum(r.n_links for r in near_duplicates(spark, vectors, recall=1.0).collect()) == 2 * pairs
