@@ -9,7 +9,7 @@ from .minhash import OP7_SQL, op7_minhash_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .ordered import op11_order_minhash
 from .pii import op9_pii_pseudonyms
-from .runs import op13_periodic_runs
+from .runs import OP13_SQL, op13_periodic_runs
 from .search import OP12_SQL, op12_lexical_search
 from .substrings import OP1_SQL, op1_substring_dedup
 from .toxicity import op5_toxicity
@@ -36,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_reputation": OP8_SQL, "op10_embedding_near_dedup": OP10_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_mixing": OP4_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_url_reputation": OP8_SQL, "op10_embedding_near_dedup": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_periodic_runs": OP13_SQL}

@@ -240,3 +240,46 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
     out = periodic_runs(docs).select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.when(F.size("runs") > 0, best).alias("b"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
     return out.select("doc_id", "n_runs", F.col("b.s").alias("start"), (-F.col("b.l")).alias("length"), F.col("b.q").alias("period"), F.expr("(-1000 * b.l) div b.q").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def _named(levels: int) -> str:
+    """CTEs that name every stretch of 1, 2, 3, 4, 6, 8, 12, ... words by where its like first stands in the text.
+
+    A run of smallest period q has a stretch of 2q to 3q words, one of these lengths, that next occurs
+    exactly q words on (an earlier one would give the run a smaller period).
+    """
+    out, join = [], "SELECT a.r, a.i, min(a.i) OVER (PARTITION BY a.r, a.k, b.k) AS k FROM n{} a JOIN n{} b ON a.r = b.r AND b.i = a.i + {}"
+    for t in range(levels):
+        out.append(f"n{2 << t} AS MATERIALIZED ({join.format(1 << t, 1 << t, 1 << t)})")
+        out.append(f"n{3 << t} AS MATERIALIZED ({join.format(2 << t, 1 << t, 2 << t)})")
+    return ", ".join(out)
+
+
+_LEVELS = 21  # stretches of up to 3 * 2**20 words, for runs of over a million
+_SQUARES = " UNION ".join(f"SELECT r, q FROM (SELECT r, lead(i) OVER (PARTITION BY r, k ORDER BY i) - i AS q FROM n{n << t}) WHERE 2 * q <= {n << t} AND {n << t} <= 3 * q" for t in range(_LEVELS) for n in (2, 3))
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda x, y: list_reduce(range(8), lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), xor(x, y)), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM documents
+), g AS (
+  SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS loops, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a FROM d
+), l AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM g
+), own AS MATERIALIZED (SELECT r, unnest(range(n)) AS i, unnest(w) AS x FROM l
+), word AS MATERIALIZED (
+  SELECT o.r, o.i, f.x FROM (SELECT own.r, own.i, CASE WHEN loops AND own.i >= a THEN a + (own.i - a) % p ELSE own.i END AS j FROM own JOIN l USING (r)) o JOIN own f ON f.r = o.r AND f.i = o.j
+), n1 AS MATERIALIZED (SELECT r, i, min(i) OVER (PARTITION BY r, x) AS k FROM word
+), {_named(_LEVELS)}, period AS MATERIALIZED ({_SQUARES}
+), same AS (
+  SELECT a.r, q, a.i, a.i - row_number() OVER (PARTITION BY a.r, q ORDER BY a.i) AS s FROM period JOIN n1 a ON a.r = period.r JOIN n1 b ON b.r = a.r AND b.i = a.i + q WHERE a.k = b.k
+), run AS MATERIALIZED (
+  SELECT r, s, e - s AS size, min(q) AS q FROM (SELECT r, q, min(i) AS s, max(i) + 1 + q AS e FROM same GROUP BY r, q, s HAVING count(*) + q >= greatest(6, 4 * q)) GROUP BY r, s, e
+), told AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS t, arg_min(struct_pack(s := s, size := size, q := q), struct_pack(a := -size, b := s, c := q)) AS best FROM run GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s + q, s + size)) AS i FROM run
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.size AS length, best.q AS period, 1000 * best.size // best.q AS exponent_milli, sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM l LEFT JOIN told ON told.r = l.r LEFT JOIN kept ON kept.r = l.r
+"""
