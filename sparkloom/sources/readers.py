@@ -1,7 +1,8 @@
 """Files to messages: Telegram JSON, generic JSONL and CSV, MemoTrace JSON; TXT and EPUB novels.
 
 All readers go through Spark's own file sources, so any file system Spark reads
-will do. A JSON export is one document and is read whole by one task per file.
+will do. A JSON export is one document and is read whole by one task per file; lines of
+JSONL are read block by block, whatever a file's size, and numbered all the same.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ import posixpath
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import LINE_END, clean_text, col, entity_text, first_truthy, is_blank, strip_u
+from ..functions.text import clean_text, col, entity_text, first_truthy, is_blank, strip_u
 
 CHAT_EXTENSIONS = (".csv", ".json", ".jsonl")
 NOVEL_EXTENSIONS = (".epub", ".txt")
@@ -57,6 +61,47 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def _counted(df: DataFrame, group: list[str], weight: str | None = None) -> DataFrame:
+    """``df`` with ``__before``, the number of rows (or the sum of ``weight``) before each one of those of equal ``group`` that the scan reads in a row."""
+    out = T.StructType([*df.schema.fields, T.StructField("__before", T.LongType())])
+
+    def run(batches):
+        at, count = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = np.asarray(b.column(weight), dtype=np.int64) if weight else np.ones(b.num_rows, dtype=np.int64)
+            keys = list(zip(*(b.column(c).to_pylist() for c in group), strict=True))
+            new = np.array([i == 0 or keys[i] != keys[i - 1] for i in range(b.num_rows)])
+            new[0] = keys[0] != at
+            before = np.cumsum(size) - size + count
+            start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), -1))
+            before = np.where(start >= 0, before - before[start.clip(min=0)], before)
+            at, count = keys[-1], int(before[-1] + size[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before)], names=[*b.schema.names, "__before"])
+
+    return df.mapInArrow(run, out)
+
+
+#: Ends of lines as Python's str.splitlines sees them, but for those at which Spark ends lines itself.
+MORE_ENDS = r"[\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n, line) of every line, numbered from 1 in its file; one more, blank, where a file ends in one of ``MORE_ENDS``.
+
+    Files are read in blocks by as many tasks: lines are counted within their block as they are read, and
+    blocks begin where the lines of those before them end, by a prefix sum of one row a block.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.split("value", MORE_ENDS, -1).alias("parts")).withColumn("size", F.size("parts"))
+    each = _counted(raw, ["path", "at"], "size")
+    block = _counted(raw.select("path", "at", "size"), ["path", "at"], "size").groupBy("path", "at").agg(F.max(F.col("__before") + F.col("size")).alias("lines"))
+    earlier = W.partitionBy("path").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    block = block.select("path", "at", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("start"))
+    rows = each.join(block, ["path", "at"]).select("path", (F.col("start") + F.col("__before")).alias("start"), F.posexplode("parts").alias("i", "line"))
+    return rows.select("path", (F.col("start") + F.col("i") + 1).alias("n"), "line")
+
+
 def _messages(rows: DataFrame, **cols) -> DataFrame:
     out = rows.select(*(cols[c].alias(c) for c in ("ord", "ts", "sender_id", "sender_name", "direction", "content", "type", "source")))
     return out.filter(~is_blank("content"))
@@ -83,8 +128,7 @@ def read_telegram(spark: SparkSession, path: str, self_names=()) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, self_names=()) -> DataFrame:
     """Bad lines and lines that are no object are skipped; the physical line number stands in for ts."""
-    lines = _whole(spark, path).select(F.posexplode(F.split("value", LINE_END, -1)).alias("i", "line"))
-    rows = lines.select((F.col("i") + 1).cast("bigint").alias("n"), F.try_parse_json(strip_u("line")).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    rows = numbered_lines(spark, path).select("n", F.try_parse_json(strip_u("line")).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
     sender = F.coalesce(_text("v", "sender_name"), _text("v", "sender"), F.lit("unknown"))
     rows = rows.select("n", "v", sender.alias("sender"))
     told = F.try_variant_get("v", "$.direction", "string")
@@ -95,12 +139,13 @@ def read_jsonl(spark: SparkSession, path: str, self_names=()) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, self_names=()) -> DataFrame:
-    """Needs the columns sender and content; the record number stands in for ts."""
+    """Needs the columns sender and content; the number of the record in its file stands in for ts."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     if not {"sender", "content"} <= set(raw.columns):
         raise ImportFailed(f"{path}: sender and content are needed, the columns are {sorted(raw.columns)}")
-    # one file is one partition of a multi-line read, so this numbers its records in order
-    rows = raw.withColumn("n", (F.monotonically_increasing_id() % F.lit(1 << 33)) + 1)
+    wanted = [c for c in ("sender", "content", "ts", "type") if c in raw.columns]
+    # records that are quoted over lines cannot be found from within a file, so one task reads a file in order, and may read several
+    rows = _counted(raw.select(*wanted, F.col("_metadata.file_path").alias("__path")), ["__path"]).withColumn("n", F.col("__before") + 1)
     other = lambda c, d: first_truthy(F.col(c), d) if c in raw.columns else d
     sender = other("sender", F.lit("unknown"))
     return _messages(
@@ -178,8 +223,6 @@ def sender_stats(messages: DataFrame, sender="sender_name", content="content", o
 
     Row numbers up to three are cut off before the shuffle, so a frequent sender is no heavy group.
     """
-    from pyspark.sql import Window as W
-
     place = F.struct(*order)
     rows = messages.select(col(sender).alias("name"), strip_u(content).alias("s"), place.alias("at"))
     counts = rows.groupBy("name").agg(F.count("*").alias("count"), F.min("at").alias("first"))

@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -41,6 +42,37 @@ def test_csv(spark, tmp_path):
         r.import_file(spark, put(tmp_path, "bad.csv", "who,content\na,b\n"))
 
 
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    """Files cut into blocks of some bytes, small ones read together, and every end of line."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["a", "é" * 9, "word " * 7, "\n", "\r\n", "\r", "\x0b", "\u2028", "\x85"]) for _ in range(n)) for n in (400, 3, 0, 900)]
+    d = tmp_path / "lines"
+    d.mkdir()
+    for i, t in enumerate(texts):
+        (d / f"{i}.jsonl").write_bytes(t.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("200b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {}
+            for x in r.numbered_lines(spark, str(d)).collect():
+                got.setdefault(x.path.rsplit("/", 1)[1], []).append((x.n, x.line))
+            for i, t in enumerate(texts):
+                want, have = list(enumerate(t.splitlines(), 1)), sorted(got.get(f"{i}.jsonl", []))
+                assert have == want + [(len(want) + 1, "")] * (t.endswith(("\x0b", "\u2028", "\x85")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_records_are_numbered_in_each_file(spark, tmp_path):
+    d = tmp_path / "records"
+    d.mkdir()
+    for i in range(4):
+        (d / f"{i}.csv").write_text('sender,content\nAda,"two\nlines"\nBo,\nBo,x\n')
+    got = r.read_csv(spark, str(d)).collect()
+    assert sorted((m.ord, m.ts, m.content) for m in got) == sorted([(1, "1", "two\nlines"), (3, "3", "x")] * 4)
+
+
 def test_memotrace(spark, tmp_path):
     items = [{"type": "1", "content": "a", "talker": "Ada", "StrTime": "t", "is_sender": 0}, {"type": 3, "msg": "pic", "sender": "Bo", "is_sender": 1}, {"message": "c", "sender_name": "Ada", "ts": 12}, {"content": ""}, 5]
     want = [("t", "Ada", "other", "a", "text"), ("1", "Bo", "self", "pic", "media"), ("12", "Ada", "self", "c", "text")]
