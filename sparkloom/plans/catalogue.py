@@ -282,7 +282,7 @@ def recall_embedding(spark, sf):
     e = table(spark, sf, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = e.join(F.broadcast(first) if first.count() <= 10_000 else first, "label").withColumn("relevance", dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q")))
+    v = e.join(first, "label").withColumn("relevance", dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q")))
     return v.filter("relevance > 0").select("vec_id", "label", F.round("relevance", 6).alias("relevance"))
 
 
@@ -485,6 +485,14 @@ def parse_ts_forms(spark, sf):
     return e.select("event_id", F.unix_micros(parse_ts(F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int")))).alias("micros"))
 
 
+def parse_ts_weeks(spark, sf):
+    """Dates by ISO week, some of weeks that the year does not have."""
+    e = table(spark, sf, "events").withColumn("y", (F.lit(1990) + F.col("event_id") % 60).cast("string"))
+    week, day, time = F.lpad((F.col("event_id") % 55).cast("string"), 2, "0"), (F.col("event_id") % 9).cast("string"), F.date_format("ts", "HH:mm:ss")
+    forms = [F.concat("y", F.lit("-W"), week, F.lit("-"), day, F.lit("T"), time, F.lit("Z")), F.concat("y", F.lit("W"), week, day), F.concat("y", F.lit("-W"), week), F.concat("y", F.lit("-W"), week, day)]
+    return e.select("event_id", F.unix_micros(parse_ts(F.element_at(F.array(*forms), (F.col("event_id") % 4 + 1).cast("int")))).alias("micros"))
+
+
 def splitlines(spark, sf):
     """Every end of line that there is."""
     c = table(spark, sf, "conversations").withColumn("text", clean_text("text"))
@@ -609,7 +617,7 @@ QUERIES = {
     "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
     "import_csv": import_csv, "import_memotrace": import_memotrace, "card_import": card_import, "migrate_convert": migrate_convert,
     "ledger_journal": ledger_journal, "memory_log": memory_log, "jaccard_top": jaccard_top, "chunk_messages_hot": chunk_messages_hot, "chunk_novel_lines": chunk_novel_lines,
-    "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
+    "parse_ts_weeks": parse_ts_weeks, "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
 }
 
 

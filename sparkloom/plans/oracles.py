@@ -332,4 +332,9 @@ WITH RECURSIVE e AS (
   )
 )
 SELECT user_id, event_id, sent FROM g""",
+    "parse_ts_weeks": """
+WITH e AS (SELECT event_id, ts, CAST(1990 + event_id % 60 AS INTEGER) AS y, CAST(event_id % 55 AS INTEGER) AS w, CASE WHEN event_id % 4 = 2 THEN 1 ELSE CAST(event_id % 9 AS INTEGER) END AS d FROM events),
+m AS (SELECT *, CAST(date_trunc('week', make_date(y, 1, 4)) AS DATE) + (w - 1) * 7 AS monday FROM e)
+SELECT event_id, CASE WHEN event_id % 4 < 3 AND w BETWEEN 1 AND 53 AND d BETWEEN 1 AND 7 AND monday < date_trunc('week', make_date(y + 1, 1, 4))
+  THEN epoch_us(CAST(monday + (d - 1) AS TIMESTAMP)) + CASE WHEN event_id % 4 = 0 THEN epoch_us(date_trunc('second', ts)) - epoch_us(date_trunc('day', ts)) ELSE 0 END END AS micros FROM m""",
 }
