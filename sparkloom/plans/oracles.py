@@ -337,4 +337,29 @@ WITH e AS (SELECT event_id, ts, CAST(1990 + event_id % 60 AS INTEGER) AS y, CAST
 m AS (SELECT *, CAST(date_trunc('week', make_date(y, 1, 4)) AS DATE) + (w - 1) * 7 AS monday FROM e)
 SELECT event_id, CASE WHEN event_id % 4 < 3 AND w BETWEEN 1 AND 53 AND d BETWEEN 1 AND 7 AND monday < date_trunc('week', make_date(y + 1, 1, 4))
   THEN epoch_us(CAST(monday + (d - 1) AS TIMESTAMP)) + CASE WHEN event_id % 4 = 0 THEN epoch_us(date_trunc('second', ts)) - epoch_us(date_trunc('day', ts)) ELSE 0 END END AS micros FROM m""",
+    "distill_resume": f"""
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations),
+b AS (SELECT conv_id * 16777216 + n // 50 AS block, split_part(arg_min(text, n), chr(10), 1) AS f, contains(string_agg({norm("text")}, '' ORDER BY n), 'neversaidatall') AS odd FROM m GROUP BY conv_id, n // 50),
+q AS (SELECT block, odd, {strip("left(f, 25)")} AS quote FROM b), v AS (SELECT *, length(quote) >= 2 AND {norm("quote")} <> '' AS good FROM q),
+l AS (SELECT block, {strip("left(f, 6)")} AS t, {strip("left(f, 30)")} AS c FROM b),
+lore AS (SELECT block, CASE WHEN t <> '' THEN t ELSE left(c, 20) END AS title, {norm("c")} AS c FROM l WHERE c <> ''),
+keyed AS (SELECT *, CASE WHEN {norm("title")} <> '' THEN {norm("title")} ELSE left(c, 40) END AS k FROM lore),
+firsts AS (SELECT k, arg_min(c, block) AS c FROM keyed GROUP BY k),
+notes AS (SELECT 'lore「' || title || '」内容冲突，已保留首见' AS note FROM keyed JOIN firsts USING (k) WHERE keyed.c <> firsts.c),
+n AS (SELECT (SELECT count(*) FROM v WHERE good) + (SELECT count(*) FROM v WHERE odd) AS kept, (SELECT count(*) FROM v) AS blocks)
+SELECT 'assistant' AS name, CAST((SELECT count(DISTINCT {norm("left(f, 12)")}) FROM b WHERE {norm("left(f, 12)")} <> '') AS INTEGER) AS traits, CAST((SELECT count(DISTINCT {norm("left(f, 40)")}) FROM b WHERE {norm("left(f, 40)")} <> '') AS INTEGER) AS memories,
+  CAST((SELECT count(DISTINCT {norm("note")}) FROM notes) AS INTEGER) AS uncertainties, CAST((SELECT count(DISTINCT quote) FROM v WHERE good) + (SELECT CASE WHEN bool_or(odd) THEN 1 ELSE 0 END FROM v) AS INTEGER) AS style_examples, CAST((SELECT count(*) FROM firsts) AS INTEGER) AS lore,
+  '{{"verified":' || kept || ',"dropped_total":' || (2 * blocks - kept) || ',"blocks_done":' || blocks || ',"blocks_failed":0}}' AS evidence_stats, CAST((SELECT sum(CASE WHEN block % 7 = 3 THEN 3 ELSE 1 END) FROM b) AS BIGINT) AS calls FROM n""",
+    "novel_distill": f"""
+WITH RECURSIVE {packed("SELECT doc_id, text FROM documents", 3000)},
+l AS (SELECT doc_id * 16777216 + block_id AS block, idx, content FROM pack JOIN flat USING (doc_id, n)),
+b AS (
+  SELECT block, block % 7 = 3 AS bad, sum(length('[' || idx || '] ' || content)) + count(*) - 1 AS size, arg_min(content, idx) AS c, contains(string_agg({norm("content")}, '' ORDER BY idx), 'neversaidatall') AS odd,
+    regexp_extract(string_agg(content, ' ' ORDER BY idx), '(?:^|{WS})(\\p{{Lu}}[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\pZ]*)', 1) AS w FROM l GROUP BY block
+),
+g AS (SELECT *, CASE WHEN contains(c, ': ') THEN substr(c, strpos(c, ': ') + 2) ELSE c END AS f, CASE WHEN w = '' THEN 'Nobody' ELSE trim(w, '.,!') END AS name FROM b WHERE NOT bad),
+lore AS (SELECT CASE WHEN {strip("left(f, 6)")} <> '' THEN {strip("left(f, 6)")} ELSE left({strip("left(f, 30)")}, 20) END AS t FROM g WHERE {strip("left(f, 30)")} <> '')
+SELECT 'all' AS book, (SELECT count(*) FROM g) AS blocks_done, (SELECT count(*) FROM b WHERE bad) AS blocks_failed, (SELECT count(*) FROM b) AS calls, CAST((SELECT sum(CASE WHEN bad THEN 1 ELSE size END) FROM b) AS BIGINT) AS prompt_tokens,
+  CAST((SELECT sum(CASE WHEN bad THEN 1 ELSE 7 END) FROM b) AS BIGINT) AS completion_tokens, (SELECT count(DISTINCT name) FROM g) AS characters_found, (SELECT count(DISTINCT {norm("left(f, 40)")}) FROM g WHERE {norm("left(f, 40)")} <> '') AS memories,
+  (SELECT count(DISTINCT {norm("t")}) FROM lore WHERE {norm("t")} <> '') AS lore_entries, (SELECT count(*) FROM g WHERE odd) AS pending_quotes""",
 }
