@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.needles import Needles
 from ..functions.text import col, normalize, strip_u
 
 #: Quotes are looked up in sets of at most this many characters a pass.
@@ -36,8 +37,8 @@ def verify_evidence(evidence: DataFrame, messages: DataFrame, keys: list[str], c
 def find_quotes(texts: DataFrame, quotes: DataFrame, text_key: str, quote_key: str, compose: bool = True, limit: int = QUOTE_CHARS) -> DataFrame:
     """(text_key, quote_key) of each normalised quote contained in each normalised text.
 
-    Each text is read once a set of quotes by an Aho-Corasick automaton. Sets are
-    bounded by ``limit``; more quotes make further passes, not larger broadcasts.
+    Each text is read once a set of quotes (``Needles``). Sets are bounded by ``limit``;
+    more quotes make further passes, not larger broadcasts.
     """
     texts = texts.select(col(text_key).alias("at"), normalize("text", compose).alias("t"))
     quotes = quotes.select(col(quote_key).alias("b"), normalize("text", compose).alias("q")).filter("q <> ''")
@@ -53,9 +54,9 @@ def contained(texts: DataFrame, quotes: DataFrame, limit: int = QUOTE_CHARS) ->
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches):
-            find = _finder(sent.value)
+            needles = Needles(sent.value)
             for b in batches:
-                hits = [(i, k) for i, t in enumerate(b.column("t").to_pylist()) for k in sorted(find(t or ""))]
+                hits = needles.find(b.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("at").take(pa.array([i for i, _ in hits], pa.int64())), pa.array([k for _, k in hits], kinds.field("b").type)], names=["a", "b"])
 
         return texts.mapInArrow(run, texts.select(F.col("at").alias("a")).schema.add(quotes.schema["b"]))
@@ -69,21 +70,3 @@ def contained(texts: DataFrame, quotes: DataFrame, limit: int = QUOTE_CHARS) ->
     if rows or out is None:
         out = one(rows) if out is None else out.unionByName(one(rows))
     return out
-
-
-def _finder(rows):
-    """A function from a text to the keys of the quotes it contains."""
-    by: dict[str, list] = {}
-    for key, quote in rows:
-        by.setdefault(quote, []).append(key)
-    try:
-        import ahocorasick
-    except ImportError:  # slower, same result
-        return lambda text: {k for q, keys in by.items() if q in text for k in keys}
-    if not by:
-        return lambda text: set()
-    automaton = ahocorasick.Automaton()
-    for quote, keys in by.items():
-        automaton.add_word(quote, keys)
-    automaton.make_automaton()
-    return lambda text: {k for _, keys in automaton.iter(text) for k in keys}

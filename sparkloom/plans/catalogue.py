@@ -9,7 +9,11 @@ and for list items (line = item, source = profile or book, doc_id = block),
 from __future__ import annotations
 
 import functools
+import html
+import io
 import json
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigram_jaccard, clean_text, entity_text, extract_json, flatten_items, normalize, split_keys, split_words
 from ..functions.timestamps import parse_ts
-from ..operators import cards, chunking, evidence, extract, memory, merge, migrate, similarity, worldbook, worldinfo
+from ..operators import cards, chunking, evidence, extract, journal, memory, merge, migrate, similarity, worldbook, worldinfo
 from ..sources import readers
 from . import chat, novel, oracles
 from .catalogue_values import EXTENSIONS, HALFWAY, HOT_GAP, LAYER_OF, NOW, WORD_BREAKS
@@ -578,6 +582,51 @@ def import_csv(spark, sf):
     return readers.read_csv(spark, path, {"assistant"}).select(*MESSAGE)
 
 
+def import_dispatch(spark, sf):
+    """Exports of all conversations in four formats, each found out by its name and head."""
+    base, c = folder(spark, "mixed"), table(spark, sf, "conversations")
+    name, told = F.col("role"), _tag(F.col("conv_id"), F.col("turn"))
+    c.select(F.to_json(F.struct(told.alias("ts"), name.alias("sender"), F.col("text").alias("content"))).alias("value")).write.text(f"{base}/a.jsonl")
+    c.filter("text IS NOT NULL").select(told.alias("ts"), name.alias("sender"), F.col("text").alias("content")).write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{base}/b.CSV")
+    each = c.groupBy(F.floor(F.col("conv_id") / 50).alias("file"))
+    rows = lambda one: each.agg(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role", "text"))), one).alias("messages")).select(F.to_json(F.struct("messages")).alias("value")).write.option("maxRecordsPerFile", 1)
+    at = lambda x: _tag(x["conv_id"], x["turn"])
+    rows(lambda x: F.struct(F.lit("message").alias("type"), x["role"].alias("from"), at(x).alias("date"), x["text"].alias("text"))).text(f"{base}/c.json")
+    rows(lambda x: F.struct(at(x).alias("StrTime"), x["role"].alias("talker"), x["text"].alias("msg"))).text(f"{base}/d.json")
+    out = [readers.import_file(spark, f"{base}/{f}", "auto", {"assistant"}).select(F.lit(f).alias("file"), "source", "ts", "sender_name", "direction", "content") for f in ("a.jsonl", "b.CSV", "c.json", "d.json")]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def read_novels(spark, sf):
+    """Books of 50 conversations, written as EPUB (a page a message) and TXT by turns, and read back."""
+    base = folder(spark, "books")
+    book = F.floor(F.col("conv_id") / 50)
+    books = table(spark, sf, "conversations").groupBy(book.alias("book")).agg(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))).alias("pages"))
+    books.mapInArrow(functools.partial(write_books, base), "book long").collect()  # numbers, one a file
+    name = F.regexp_extract("path", r"book-(\d+)\.(?:epub|txt)$", 1)
+    return readers.read_novels(spark, base).select(name.cast("bigint").alias("book"), F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+def write_books(base, batches):
+    """A file for each row (book, pages): EPUB for even numbers, TXT for odd ones."""
+    where, path = journal.place(base)
+    where.create_dir(path, recursive=True)
+    for b in batches:
+        for book, pages in zip(b.column("book").to_pylist(), b.column("pages").to_pylist(), strict=True):
+            data, kind = "\n\n".join(pages).encode(), "txt"
+            if book % 2 == 0:
+                packed, kind = io.BytesIO(), "epub"
+                with zipfile.ZipFile(packed, "w") as z:
+                    for i, page in enumerate(pages):
+                        z.writestr(f"page{i:06}.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml"><body><div><p>{html.escape(page)}</p></div></body></html>')
+                data = packed.getvalue()
+            aside = f"{path}/_{uuid.uuid4().hex}"
+            with where.open_output_stream(aside) as out:
+                out.write(data)
+            where.move(aside, f"{path}/book-{book}.{kind}")
+        yield b.select(["book"])
+
+
 def card_import(spark, sf):
     """Cards of the flat and of the nested form without an extension of ours: lists and examples come from their plain texts."""
     c = table(spark, sf, "conversations")
@@ -617,7 +666,7 @@ QUERIES = {
     "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
     "import_csv": import_csv, "import_memotrace": import_memotrace, "card_import": card_import, "migrate_convert": migrate_convert,
     "ledger_journal": ledger_journal, "memory_log": memory_log, "jaccard_top": jaccard_top, "chunk_messages_hot": chunk_messages_hot, "chunk_novel_lines": chunk_novel_lines,
-    "parse_ts_weeks": parse_ts_weeks, "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
+    "parse_ts_weeks": parse_ts_weeks, "import_dispatch": import_dispatch, "read_novels": read_novels, "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
 }
 
 

@@ -362,4 +362,10 @@ lore AS (SELECT CASE WHEN {strip("left(f, 6)")} <> '' THEN {strip("left(f, 6)")}
 SELECT 'all' AS book, (SELECT count(*) FROM g) AS blocks_done, (SELECT count(*) FROM b WHERE bad) AS blocks_failed, (SELECT count(*) FROM b) AS calls, CAST((SELECT sum(CASE WHEN bad THEN 1 ELSE size END) FROM b) AS BIGINT) AS prompt_tokens,
   CAST((SELECT sum(CASE WHEN bad THEN 1 ELSE 7 END) FROM b) AS BIGINT) AS completion_tokens, (SELECT count(DISTINCT name) FROM g) AS characters_found, (SELECT count(DISTINCT {norm("left(f, 40)")}) FROM g WHERE {norm("left(f, 40)")} <> '') AS memories,
   (SELECT count(DISTINCT {norm("t")}) FROM lore WHERE {norm("t")} <> '') AS lore_entries, (SELECT count(*) FROM g WHERE odd) AS pending_quotes""",
+    "import_dispatch": f"""
+WITH c AS (SELECT conv_id || ':' || turn AS ts, role AS sender_name, CASE WHEN role = 'assistant' THEN 'self' ELSE 'other' END AS direction, text AS content FROM conversations WHERE {strip("text")} <> '')
+SELECT f AS file, s AS source, c.* FROM c, (VALUES ('a.jsonl', 'generic'), ('b.CSV', 'generic'), ('c.json', 'telegram'), ('d.json', 'memotrace')) v(f, s)""",
+    "read_novels": f"""
+WITH b AS (SELECT conv_id // 50 AS book, {clean("string_agg(coalesce(text, ''), chr(10) ORDER BY conv_id, turn)")} AS t FROM conversations GROUP BY conv_id // 50)
+SELECT book, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n_chars FROM b""",
 }
