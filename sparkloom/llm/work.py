@@ -103,12 +103,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Workspace:
-    """A folder of intermediate tables; removed when the interpreter ends."""
+    """A folder of intermediate tables; removed when the interpreter ends, unless it is one to ``keep``."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, keep: str | None = None):
+        self.spark, self.keep = spark, keep is not None
         small_batches(spark)
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = keep.rstrip("/") if self.keep else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._tables: list[str] = []
         self.places: dict[str, str] = {}
         self._n = 0
@@ -128,7 +128,7 @@ class Workspace:
         """
         self._n += 1
         table = f"sl_{uuid.uuid4().hex[:10]}_{name}"
-        self.places[name] = f"{self.path}/{self._n:02d}-{name}"
+        self.places[name] = f"{self.path}/{name}-{uuid.uuid4().hex[:10]}" if self.keep else f"{self.path}/{self._n:02d}-{name}"
         (
             (df if dealt else df.repartition(buckets, key))
             .write.option("compression", "zstd")
@@ -141,6 +141,18 @@ class Workspace:
         self._tables.append(table)
         return self.spark.table(table)
 
+    def reopened(self, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+        """A table that ``bucketed`` wrote at ``path``, perhaps in another session."""
+        table = f"sl_{uuid.uuid4().hex[:10]}"
+        self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self._tables.append(table)
+        return self.spark.table(table)
+
+    def fs(self, path: str):
+        """Hadoop's file system of ``path``, and the path as it takes it."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
     def drop(self, df_path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         _delete(jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), df_path)
@@ -149,6 +161,7 @@ class Workspace:
         try:
             for t in self._tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-            self.drop(self.path)
+            if not self.keep:
+                self.drop(self.path)
         except Exception:
             pass

@@ -101,6 +101,46 @@ def test_earlier_batches_come_first_whatever_their_ids(spark):
     assert got == [{100: 0}, {50: 200, 60: 70, 100: 0}, {10: 90, 70: 0}, {1: 70, 2: 200}]
 
 
+def test_an_index_is_reopened_by_another_session(spark, tmp_path):
+    """Each batch by an index opened anew, in a session of its own; the result is that of one index."""
+    rows = [r for r in corpus(4) if r[0] is not None]
+    ids, out, path = sorted({r[0] for r in rows}), [], str(tmp_path / "index")
+    for lo in range(0, len(ids), 20):
+        part = {*ids[lo : lo + 20]}
+        own = spark.newSession()
+        index = SubstringIndex(own, fanout=2, buckets=3, path=path)
+        assert index.batches == lo // 20
+        out += results(index.add(own.createDataFrame([r for r in rows if r[0] in part], DOCS)))
+        index.home.close()
+        index.ws.close()
+    assert sorted(out, key=repr) == brute_substrings(rows, 50)
+    again = SubstringIndex(spark, fanout=2, buckets=3, path=path)
+    level = {k for k, _ in again.runs}
+    plan_ = again.runs[0][1]["anchors"].groupBy("h").count()._jdf.queryExecution().executedPlan().toString()
+    assert max(level) >= 1 and "Bucketed: true" in plan_ and "Exchange" not in plan_
+    with pytest.raises(ValueError):
+        SubstringIndex(spark, width=40, path=path)
+    (tmp_path / "index/manifest/_half").write_text("{")  # a manifest that was never renamed
+    assert SubstringIndex(spark, path=path).batches == again.batches
+
+
+def test_only_files_of_woken_documents_are_read(spark, tmp_path, monkeypatch):
+    rng, read = random.Random(6), []
+    index, texts = SubstringIndex(spark, fanout=2, buckets=2, path=str(tmp_path / "i")), SubstringIndex._texts
+    monkeypatch.setattr(SubstringIndex, "_texts", lambda self, at: read.append(at) or texts(self, at))
+    docs = {i: " ".join(words(rng, 90, 10**6)) for i in range(60)}
+    for batch in range(5):
+        rows = [(i, docs[i]) for i in range(batch * 10, batch * 10 + 10)]
+        index.add(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert read == [[]] * 4
+    got = index.add(spark.createDataFrame([(50, docs[50] + " " + docs[12]), (51, docs[51])], DOCS)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {50: 90, 51: 0}
+    assert len(read[-1]) == 1 and read[-1][0] >> 32 == 1  # one file of the second batch
+    # now known from two documents: nothing is read any more
+    got = index.add(spark.createDataFrame([(60, docs[12])], DOCS)).collect()
+    assert [r.n_removed for r in got] == [90] and read[-1] == []
+
+
 def test_substrings_of_nothing(spark):
     assert dedup(spark, spark.createDataFrame([], DOCS)).count() == 0
 
