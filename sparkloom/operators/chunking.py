@@ -84,6 +84,21 @@ def chunk_hot_messages(messages: DataFrame, keys: list[str], block_size: int = 1
     return df.select(*messages.columns, "block_id", "idx")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, name: str = "i", ranges: int | None = None, cut=None) -> DataFrame:
+    """``df`` with ``name``, each row's place from 0 among those of equal ``keys`` in ``order`` (columns, ascending).
+
+    Rows are dealt by ranges and counted within them, and one row a range carries the counts on, so the rows of one key
+    are many tasks' work. ``ranges`` and ``cut`` as in ``chunk_hot_messages``.
+    """
+    cut = cut or written
+    rows = df.withColumn("__k", F.struct(*keys) if keys else F.lit(0)).withColumn("__o", F.struct(*(col(c).alias(f"o{i}") for i, c in enumerate(order))))
+    rows = cut(rows.repartitionByRange(*([ranges] if ranges else []), "__k", "__o").withColumn("__range", F.spark_partition_id()), "ranges")
+    per = rows.groupBy("__k", "__range").agg(F.count("*").alias("n"))
+    per = per.select("__k", "__range", F.coalesce(F.sum("n").over(W.partitionBy("__k").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.row_number().over(W.partitionBy("__k", "__range").orderBy("__o")) - 1
+    return rows.join(per, ["__k", "__range"]).withColumn(name, place).select(*df.columns, name)
+
+
 def block_bounds(chunked: DataFrame, keys: list[str], ts="ts", ord="ord") -> DataFrame:
     """One row a block: its number of messages, first and last timestamp."""
     first = F.struct(col(ts), col(ord))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import first_truthy, flatten_items, is_blank, split_keys
 from .cards import COMMA, NAMESPACE, SEMICOLON, SPEC, SPEC_VERSION, STOP
+from .chunking import numbered
 
 #: The mark of a boundary among the rules, labels of the text, and how many of each part.
 BOUNDARY, BOUNDARY_MARK = "尊重她的边界", "尊重她的边界："
@@ -44,7 +44,7 @@ def lore_entries(lore: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     p = F.try_parse_json(F.coalesce("payload", F.lit("{}")))
     evidence = F.coalesce(F.try_variant_get(p, "$.evidence", "string"), F.lit(""))
     weight = F.coalesce(F.try_variant_get(p, "$.importance", "double"), F.lit(0.5))
-    rows = lore.filter(F.col("enabled") == 1).withColumn("i", F.row_number().over((W.partitionBy(*by) if by else W).orderBy("updated_at", "title")) - 1)
+    rows = numbered(lore.filter(F.col("enabled") == 1), list(by), ["updated_at", "title"])
     text = F.concat(F.lit("["), "category", F.lit("] "), "title", F.lit("："), "content", F.when(evidence != "", F.concat(F.lit(ORIGINAL[0]), evidence, F.lit(ORIGINAL[1]))).otherwise(""))
     return rows.select(*by, F.lit(0).alias("part"), F.col("i").cast("int").alias("i"), split_keys("title", evidence).alias("keys"), text.alias("content"), F.col("title").alias("comment"), (100 + F.floor(weight * 50)).cast("int").alias("insertion_order"), "category")
 
@@ -81,19 +81,32 @@ def entries(profiles: DataFrame, lore: DataFrame) -> DataFrame:
     """All book entries of a profile, lore first and then up to 40 dislikes, with dense ids."""
     listed = profile_lists(profiles).select("name", F.posexplode(F.slice("dislikes", 1, CAPS["taboo_entries"])).alias("i", "d"))
     taboo = listed.select(F.lit(1).alias("part"), "i", split_keys("d", F.lit("")).alias("keys"), F.concat(F.lit(TABOO[0]), "name", F.lit(TABOO[1]), "d").alias("content"), F.concat(F.lit(TABOO[2]), F.substring("d", 1, 12)).alias("comment"), F.lit(150).alias("insertion_order"), F.lit("TABOO").alias("category"))
-    both = lore_entries(lore).unionByName(taboo)
-    # one person's book: a window over it is small
-    return both.withColumn("id", (F.row_number().over(W.orderBy("part", "i")) - 1).cast("int")).drop("part", "i")
+    told = lore_entries(lore)
+    size = told.agg(F.count("*").alias("size"))  # one row
+    taboo = taboo.join(F.broadcast(size), F.lit(True)).withColumn("i", (F.col("i") + F.col("size")).cast("int")).drop("size")
+    return told.unionByName(taboo).withColumnRenamed("i", "id").drop("part")
+
+
+def memory_rows(profiles: DataFrame, memories: DataFrame) -> DataFrame:
+    """(i, content) of all memories of a profile: the table's by falling importance, then those that it shares."""
+    live = live_memories(memories).select("importance", "content")
+    told = numbered(live, [], [F.col("importance").isNull(), -F.col("importance"), "content"]).select("i", "content")
+    size = told.agg(F.count("*").alias("size"))  # one row
+    shared = profile_lists(profiles).select(F.posexplode("shared").alias("i", "content")).join(F.broadcast(size), F.lit(True))
+    return told.unionByName(shared.select((F.col("i") + F.col("size")).alias("i"), "content"))
 
 
 def convert(profiles: DataFrame, lore: DataFrame, memories: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
-    """name and card (V3 JSON text) of one profile with its lore and memories."""
+    """name and card (V3 JSON text) of one profile with its lore and memories.
+
+    A card is one document of one person, with all its entries in it; ``entries`` and ``memory_rows`` are the
+    same as tables, of any size.
+    """
     p = profile_lists(profiles)
     book = entries(profiles, lore).agg(F.array_sort(F.collect_list(F.struct("id", "keys", "content", "comment", F.lit(True).alias("enabled"), "insertion_order", F.lit(False).alias("constant"), F.lit("before_char").alias("position"), F.struct("category").alias("extensions")))).alias("entries"))
-    told = live_memories(memories).withColumn("i", F.row_number().over(W.orderBy(F.desc("importance"), "content")))
-    told = told.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "content"))), lambda x: x["content"]).alias("told"))
+    told = memory_rows(profiles, memories).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "content"))), lambda x: x["content"]).alias("memories"))
     # single rows each
-    rows = p.join(F.broadcast(book), F.lit(True)).join(F.broadcast(told), F.lit(True)).withColumn("memories", F.concat("told", "shared"))
+    rows = p.join(book, F.lit(True)).join(told, F.lit(True))
     none = F.array().cast("array<string>")
     own = F.struct(
         F.lit(1).alias("version"), "persona_summary", "traits", "behavior_rules", "taboos", none.alias("humor"), "memories", "uncertainties", F.slice("common_phrases", 1, CAPS["style_examples"]).alias("style_examples"),

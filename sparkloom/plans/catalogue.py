@@ -204,7 +204,9 @@ def quote_attribution(spark, sf):
     head = merge.first_by(names(spark, sf).select("source", "block_id", "pos", "name"), ["source", "block_id"], ["pos"])
     ll = lines(spark, sf)
     told = ll.select("source", "block_id").distinct().join(head.select("source", "block_id", "name"), ["source", "block_id"], "left")
-    told = told.select("source", "block_id", F.coalesce(F.lead("name").over(W.partitionBy("source").orderBy("block_id")), F.lit("")).alias("speaker"))
+    told = chunking.numbered(told, ["source"], ["block_id"])
+    after = told.select("source", (F.col("i") - 1).alias("i"), F.col("name").alias("speaker"))
+    told = told.join(after, ["source", "i"], "left").select("source", "block_id", F.coalesce("speaker", F.lit("")).alias("speaker"))
     said = ll.withColumnRenamed("item", "quote").join(told, ["source", "block_id"])
     mine, pending = merge.attribute_quotes(said.select("source", "block_id", "pos", "quote", "speaker"), people, ["source"])
     cols = ["source", "block_id", "pos", "quote", "speaker"]
@@ -536,8 +538,8 @@ MESSAGE = ("ts", "sender_id", "sender_name", "direction", "content", "type", "so
 
 
 def _exports(spark, sf, name, one):
-    """An export file for each conversation, a JSON array of what ``one`` makes of its rows; the folder."""
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: one(F.col("conv_id"), x)).alias("messages"))
+    """Export files of 50 conversations each, a JSON array of what ``one`` makes of their rows; the folder."""
+    c = table(spark, sf, "conversations").groupBy(F.floor(F.col("conv_id") / 50).alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role", "text"))), lambda x: one(x["conv_id"], x)).alias("messages"))
     path = folder(spark, name)
     c.select(F.to_json(F.struct("messages")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
@@ -644,16 +646,32 @@ PROFILE = {
 }
 
 
-def migrate_convert(spark, sf):
-    """One profile with all documents as its lore and all events as its memories."""
+def _migration(spark, sf):
+    """One profile, with all documents as its lore and all events as its memories."""
     profile = spark.createDataFrame([("Nora", json.dumps(PROFILE), 2), ("Other", "{}", 1)], "name string, profile_json string, updated_at long")
     lore = table(spark, sf, "documents").select(F.col("lang").alias("category"), F.substring_index("text", " ", 2).alias("title"), F.col("text").alias("content"), F.lit("{}").alias("payload"), (F.col("doc_id") % 2).alias("enabled"), F.col("doc_id").alias("updated_at"))
     told = table(spark, sf, "events").select(F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.col("props")).alias("content"), F.col("value").alias("importance"), F.when(F.col("event_id") % 5 == 0, "gone").alias("deleted_at"))
-    card = migrate.convert(migrate.load_profile(profile), lore.filter("content IS NOT NULL"), told)
-    back = cards.from_card(card)
+    return migrate.load_profile(profile), lore.filter("content IS NOT NULL"), told
+
+
+def migrate_convert(spark, sf):
+    """The card of the profile, all in one."""
+    back = cards.from_card(migrate.convert(*_migration(spark, sf)))
     return back.select("name", F.array_join("traits", "|").alias("traits"), F.array_join("behavior_rules", "|").alias("behavior_rules"), F.array_join("taboos", "|").alias("taboos"), F.array_join("style_examples", "|").alias("style_examples"), F.size("lore").alias("n_lore"), F.size("memories").alias("n_memories"), F.element_at("memories", -1).alias("last_memory"))
 
 
+def migrate_entries(spark, sf):
+    """The profile's book, a row an entry."""
+    profile, lore, _ = _migration(spark, sf)
+    return migrate.entries(profile, lore).select("id", F.array_join("keys", "|").alias("keys"), F.md5("content").alias("digest"), "comment", "insertion_order", "category")
+
+
+def migrate_memories(spark, sf):
+    """The profile's memories, a row each."""
+    profile, _, told = _migration(spark, sf)
+    return migrate.memory_rows(profile, told)
+
+
 QUERIES = {
     "msg_direction": msg_direction, "sender_stats": sender_stats, "sniff_format": sniff_format, "parse_ts": parse_ts_query, "chunk_messages_size": chunk_messages_size, "chunk_messages_gap": chunk_messages_gap,
     "chunk_messages_nullts": chunk_messages_nullts, "block_bounds": block_bounds, "block_render": block_render, "normalize_text": normalize_text, "extract_json": extract_json_query, "evidence_verify": evidence_verify,
@@ -666,7 +684,7 @@ QUERIES = {
     "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
     "import_csv": import_csv, "import_memotrace": import_memotrace, "card_import": card_import, "migrate_convert": migrate_convert,
     "ledger_journal": ledger_journal, "memory_log": memory_log, "jaccard_top": jaccard_top, "chunk_messages_hot": chunk_messages_hot, "chunk_novel_lines": chunk_novel_lines,
-    "parse_ts_weeks": parse_ts_weeks, "import_dispatch": import_dispatch, "read_novels": read_novels, "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
+    "parse_ts_weeks": parse_ts_weeks, "import_dispatch": import_dispatch, "read_novels": read_novels, "migrate_entries": migrate_entries, "migrate_memories": migrate_memories, "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
 }
 
 

@@ -368,4 +368,12 @@ SELECT f AS file, s AS source, c.* FROM c, (VALUES ('a.jsonl', 'generic'), ('b.C
     "read_novels": f"""
 WITH b AS (SELECT conv_id // 50 AS book, {clean("string_agg(coalesce(text, ''), chr(10) ORDER BY conv_id, turn)")} AS t FROM conversations GROUP BY conv_id // 50)
 SELECT book, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n_chars FROM b""",
+    "migrate_entries": rf"""
+WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, array_to_string(string_split(text, ' ')[1:2], ' ') AS title, text, lang FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL),
+k AS (SELECT *, list_filter(string_split_regex({strip("title")}, '[\s，。！？、/·（）()]+'), lambda k: length(k) BETWEEN 1 AND 12) AS w FROM l)
+SELECT CAST(id AS INTEGER) AS id, CASE WHEN len(w) > 0 THEN array_to_string(w[1:4], '|') ELSE left({strip("title")}, 12) END AS keys, md5('[' || lang || '] ' || title || '：' || text) AS digest, title AS comment, 125 AS insertion_order, lang AS category FROM k
+UNION ALL SELECT CAST((SELECT count(*) FROM l) + i AS INTEGER), k, md5('[TABOO] Nora讨厌/忌讳：' || d), '忌讳-' || d, 150, 'TABOO' FROM (VALUES (0, 'noise', 'noise'), (1, 'cold rain', 'cold|rain')) v(i, d, k)""",
+    "migrate_memories": """
+WITH m AS (SELECT row_number() OVER (ORDER BY value DESC, props) - 1 AS i, props AS content FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND trim(props) <> '')
+SELECT i, content FROM m UNION ALL SELECT (SELECT count(*) FROM m), 'the lake'""",
 }

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators.chunking import chunk_hot_messages, chunk_messages, chunk_novel_lines, chunk_novels
+from sparkloom.operators.chunking import chunk_hot_messages, chunk_messages, chunk_novel_lines, chunk_novels, numbered
 from sparkloom.operators.similarity import Best, jaccard_pairs, jaccard_top
 
 MESSAGES = "c string, ts string, ord long, content string"
@@ -78,6 +78,17 @@ def test_long_books(spark, rows, ranges):
         chunk_novel_lines(lines, "k", chunk_chars=100)
 
 
+@pytest.mark.parametrize("ranges", [1, 11])
+def test_numbers_across_ranges(spark, ranges):
+    rng = random.Random(ranges)
+    told = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i) for i in range(300)]
+    df = spark.createDataFrame(told, "k string, t int, i long")
+    got = sorted(map(tuple, numbered(df, ["k"], ["t", "i"], "place", ranges=ranges).collect()), key=repr)
+    want = [(*r, n) for k in ("a", "b", None) for n, r in enumerate(sorted((r for r in told if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2])))]
+    assert got == sorted(want, key=repr)
+    assert sorted(r.n for r in numbered(df.drop("k"), [], [-F.col("i")], "n", ranges=ranges).collect()) == list(range(300))
+
+
 def texts(rng, n, letters="abcdefgh"):
     return ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 20, 60]))) for _ in range(n)]
 
