@@ -34,6 +34,19 @@ def verify_evidence(evidence: DataFrame, messages: DataFrame, keys: list[str], c
     return out.withColumn("status", F.when(F.col("kept_index").isNotNull(), "kept").otherwise("dropped")).withColumn("quote", F.col("__quote")).drop("__quote", "__norm", "__texts")
 
 
+def verify_in_blocks(evidence: DataFrame, pieces: DataFrame, keys: list[str], compose: bool = True, min_chars: int = 4) -> DataFrame:
+    """``evidence`` (keys, quote) with ``kept``: whether a quote of at least ``min_chars`` is in its block.
+
+    A novel's quotes name no place, so all that counts is the block as a whole: its ``pieces`` (keys, idx, content)
+    one after the other without separator.
+    """
+    at = F.struct(F.col("idx").cast("int").alias("idx"), normalize("content", compose).alias("t"))
+    blocks = pieces.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(at)), lambda m: m["t"]), "").alias("__text"))  # a block's size bounds it
+    quotes = evidence.withColumn("quote", strip_u("quote")).withColumn("__norm", normalize("quote", compose))
+    hit = (F.length("quote") >= min_chars) & (F.col("__norm") != "") & F.contains("__text", F.col("__norm"))
+    return quotes.join(blocks, keys, "left").withColumn("kept", F.coalesce(hit, F.lit(False))).drop("__norm", "__text")
+
+
 def find_quotes(texts: DataFrame, quotes: DataFrame, text_key: str, quote_key: str, compose: bool = True, limit: int = QUOTE_CHARS) -> DataFrame:
     """(text_key, quote_key) of each normalised quote contained in each normalised text.
 

@@ -372,13 +372,18 @@ def distill_resume(spark, sf):
     return p.select("name", *(size(c).alias(c) for c in ("traits", "memories", "uncertainties", "style_examples", "lore")), F.to_json("evidence_stats").alias("evidence_stats"), "calls")
 
 
-def novel_distill(spark, sf):
-    """All documents as the blocks of one book."""
+def _all_as_one_book(spark, sf):
+    """All documents as the blocks of one book, each asked for once."""
     pieces = chunking.chunk_novels(table(spark, sf, "documents"), "doc_id")
     pieces = pieces.withColumn("block_id", F.col("doc_id") * (1 << 24) + F.col("block_id")).withColumn("book", F.lit("all"))
     ledger = extract.Ledger(spark, folder(spark, "novel"))
     ledger.run(chunking.render_blocks(pieces, ["book"]).select("block_id", "rendered"), flaky_client, novel.SYSTEM, "first", 1)
-    return novel.merge(ledger, pieces, "all").report.drop("failed_blocks")
+    return novel.merge(ledger, pieces, "all")
+
+
+def novel_distill(spark, sf):
+    """The report of the run over all documents."""
+    return _all_as_one_book(spark, sf).report.drop("failed_blocks")
 
 
 class Told:
@@ -475,6 +480,39 @@ def guards(spark, sf):
     return out.select("user_id", "event_id", "sent")
 
 
+def memory_meta(spark, sf):
+    """Memories as records: what else an add said is that of the first one."""
+    a = _adds(spark, sf).withColumn("meta", F.when(F.col("seq") % 4 > 0, F.to_json(F.struct(F.col("seq").alias("from"), F.array("layer").alias("tags")))))
+    s = memory.fold_adds(a)
+    return s.select("id", "archived", F.try_variant_get(F.try_parse_json("meta"), "$.from", "bigint").alias("source"), F.try_variant_get(F.try_parse_json("meta"), "$.tags[0]", "string").alias("tag"))
+
+
+def relabel(spark, sf):
+    """The other side is to be described after all."""
+    return readers.relabel(messages(spark, sf), "user").select("conv_id", "turn", "direction")
+
+
+def novel_evidence(spark, sf):
+    """Each piece's own first words, its last ones run on into the next piece, and another book's, as quotes from its block."""
+    pieces = chunking.chunk_novels(table(spark, sf, "documents"), "doc_id")
+    order = W.partitionBy("doc_id").orderBy("block_id", "idx")
+    after = F.coalesce(F.lead("content").over(order), F.lit(""))
+    kind = (F.col("doc_id") + F.col("block_id") + F.col("idx")) % 4
+    told = pieces.withColumn("quote", F.when(kind == 0, F.substring("content", 1, 40)).when(kind == 1, F.concat(F.substring("content", -12, 12), F.lit(" "), F.substring(after, 1, 12))).when(kind == 2, F.substring("content", 1, 3)).otherwise(F.concat(F.substring("content", 2, 30), F.lit(" of another book"))))
+    return evidence.verify_in_blocks(told.select("doc_id", "block_id", "idx", "quote"), pieces, ["doc_id", "block_id"]).select("doc_id", "block_id", "idx", "kept")
+
+
+def novel_files(spark, sf):
+    """The run of ``novel_distill`` written as files and read back: a row a card, with the size of the book."""
+    path, done = folder(spark, "files"), _all_as_one_book(spark, sf)
+    novel.write(done, path, "all")
+    cards_ = spark.read.option("basePath", f"{path}/all/cards").text(f"{path}/all/cards")
+    entries = spark.read.json(f"{path}/all/worldbook").agg(F.count("*").alias("entries"), F.max("id").cast("int").alias("last_id"))  # one row
+    v = F.parse_json("value")
+    mentions = F.try_variant_get(v, f"$.data.extensions.{worldbook.NAMESPACE}.evidence_stats.mention_count", "int")
+    return cards_.select(F.col("name").cast("string").alias("name"), F.try_variant_get(v, "$.data.name", "string").alias("card_name"), mentions.alias("mentions")).join(F.broadcast(entries), F.lit(True))
+
+
 def lore_words(spark, sf):
     """Trigger words of lore keys: words between white space."""
     return _lore(spark, sf).select("source", "block_id", "pos", F.size(split_words("keys")).alias("n_keys"))
@@ -684,7 +722,7 @@ QUERIES = {
     "parse_ts_forms": parse_ts_forms, "splitlines": splitlines, "character_profile_text": profile_text, "novel_cards": novel_cards, "memory_touch": memory_touch, "import_telegram": import_telegram, "import_jsonl": import_jsonl,
     "import_csv": import_csv, "import_memotrace": import_memotrace, "card_import": card_import, "migrate_convert": migrate_convert,
     "ledger_journal": ledger_journal, "memory_log": memory_log, "jaccard_top": jaccard_top, "chunk_messages_hot": chunk_messages_hot, "chunk_novel_lines": chunk_novel_lines,
-    "parse_ts_weeks": parse_ts_weeks, "import_dispatch": import_dispatch, "read_novels": read_novels, "migrate_entries": migrate_entries, "migrate_memories": migrate_memories, "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
+    "parse_ts_weeks": parse_ts_weeks, "import_dispatch": import_dispatch, "read_novels": read_novels, "memory_meta": memory_meta, "relabel": relabel, "novel_evidence": novel_evidence, "novel_files": novel_files, "migrate_entries": migrate_entries, "migrate_memories": migrate_memories, "wi_scan": wi_scan, "wi_timed": wi_timed, "wi_recursion": wi_recursion, "wi_pools": wi_pools, "wi_budget": wi_budget, "guards": guards,
 }
 
 

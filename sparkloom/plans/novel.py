@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators.chunking import chunk_novels, render_blocks
-from ..operators.evidence import verify_evidence
+from ..operators.evidence import verify_in_blocks
 from ..operators.extract import Ledger, characters, fragments, run_stats
 from ..operators.merge import attribute_quotes, exact_union, first_by, gathered, merge_characters, ordered_union, top_characters
 from ..operators.worldbook import novel_cards, worldbook
@@ -59,7 +59,7 @@ def merge(ledger: Ledger, pieces: DataFrame, book: str, max_characters: int = 5)
     tops = top_characters(people, scope, max_characters)
     frags = fragments(state).select(F.lit(book).alias("book"), "*")
     told = frags.select("book", "block_id", F.posexplode("evidence").alias("pos", "e")).select("book", "block_id", "pos", "e.*")
-    kept = verify_evidence(told, pieces.select("block_id", "idx", "content"), ["block_id"], min_chars=MIN_QUOTE).filter("status = 'kept'")
+    kept = verify_in_blocks(told, pieces.select("block_id", "idx", "content"), ["block_id"], min_chars=MIN_QUOTE).filter("kept")
     mine, pending = attribute_quotes(kept, people, scope)
     lore = frags.select("book", "block_id", F.posexplode("lore_candidates").alias("pos", "l")).select("book", "block_id", "pos", "l.*").withColumn("__key", normalize("title")).filter("__key <> ''")
     lore = first_by(lore, ["book", "__key"], ["block_id", "pos"]).drop("__key")

@@ -136,6 +136,17 @@ WI_DEEP = """edge AS (
 PROFILES = f"""{NAMES}, profiles AS (SELECT source AS name, array_agg(name ORDER BY rank) AS t FROM ranked GROUP BY source)"""
 EXT = ", ".join(f"'{x}'" for x in EXTENSIONS)
 
+#: The run over all documents as one book: blocks (b) and what the echo says of those that are done (g, lore).
+BOOK = f"""
+WITH RECURSIVE {packed("SELECT doc_id, text FROM documents", 3000)},
+l AS (SELECT doc_id * 16777216 + block_id AS block, idx, content FROM pack JOIN flat USING (doc_id, n)),
+b AS (
+  SELECT block, block % 7 = 3 AS bad, sum(length('[' || idx || '] ' || content)) + count(*) - 1 AS size, arg_min(content, idx) AS c, contains(string_agg({norm("content")}, '' ORDER BY idx), 'neversaidatall') AS odd,
+    regexp_extract(string_agg(content, ' ' ORDER BY idx), '(?:^|{WS})(\\p{{Lu}}[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\pZ]*)', 1) AS w FROM l GROUP BY block
+),
+g AS (SELECT *, CASE WHEN contains(c, ': ') THEN substr(c, strpos(c, ': ') + 2) ELSE c END AS f, CASE WHEN w = '' THEN 'Nobody' ELSE trim(w, '.,!') END AS name FROM b WHERE NOT bad),
+lore AS (SELECT CASE WHEN {strip("left(f, 6)")} <> '' THEN {strip("left(f, 6)")} ELSE left({strip("left(f, 30)")}, 20) END AS t FROM g WHERE {strip("left(f, 30)")} <> '')"""
+
 SQL = {
     "msg_direction": "SELECT conv_id, turn, role AS sender, CASE WHEN role = 'assistant' THEN 'self' ELSE 'other' END AS direction, CAST(length(text) AS BIGINT) AS n_chars FROM conversations WHERE trim(text) <> ''",
     "sender_stats": f"""
@@ -350,15 +361,7 @@ n AS (SELECT (SELECT count(*) FROM v WHERE good) + (SELECT count(*) FROM v WHERE
 SELECT 'assistant' AS name, CAST((SELECT count(DISTINCT {norm("left(f, 12)")}) FROM b WHERE {norm("left(f, 12)")} <> '') AS INTEGER) AS traits, CAST((SELECT count(DISTINCT {norm("left(f, 40)")}) FROM b WHERE {norm("left(f, 40)")} <> '') AS INTEGER) AS memories,
   CAST((SELECT count(DISTINCT {norm("note")}) FROM notes) AS INTEGER) AS uncertainties, CAST((SELECT count(DISTINCT quote) FROM v WHERE good) + (SELECT CASE WHEN bool_or(odd) THEN 1 ELSE 0 END FROM v) AS INTEGER) AS style_examples, CAST((SELECT count(*) FROM firsts) AS INTEGER) AS lore,
   '{{"verified":' || kept || ',"dropped_total":' || (2 * blocks - kept) || ',"blocks_done":' || blocks || ',"blocks_failed":0}}' AS evidence_stats, CAST((SELECT sum(CASE WHEN block % 7 = 3 THEN 3 ELSE 1 END) FROM b) AS BIGINT) AS calls FROM n""",
-    "novel_distill": f"""
-WITH RECURSIVE {packed("SELECT doc_id, text FROM documents", 3000)},
-l AS (SELECT doc_id * 16777216 + block_id AS block, idx, content FROM pack JOIN flat USING (doc_id, n)),
-b AS (
-  SELECT block, block % 7 = 3 AS bad, sum(length('[' || idx || '] ' || content)) + count(*) - 1 AS size, arg_min(content, idx) AS c, contains(string_agg({norm("content")}, '' ORDER BY idx), 'neversaidatall') AS odd,
-    regexp_extract(string_agg(content, ' ' ORDER BY idx), '(?:^|{WS})(\\p{{Lu}}[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\pZ]*)', 1) AS w FROM l GROUP BY block
-),
-g AS (SELECT *, CASE WHEN contains(c, ': ') THEN substr(c, strpos(c, ': ') + 2) ELSE c END AS f, CASE WHEN w = '' THEN 'Nobody' ELSE trim(w, '.,!') END AS name FROM b WHERE NOT bad),
-lore AS (SELECT CASE WHEN {strip("left(f, 6)")} <> '' THEN {strip("left(f, 6)")} ELSE left({strip("left(f, 30)")}, 20) END AS t FROM g WHERE {strip("left(f, 30)")} <> '')
+    "novel_distill": f"""{BOOK}
 SELECT 'all' AS book, (SELECT count(*) FROM g) AS blocks_done, (SELECT count(*) FROM b WHERE bad) AS blocks_failed, (SELECT count(*) FROM b) AS calls, CAST((SELECT sum(CASE WHEN bad THEN 1 ELSE size END) FROM b) AS BIGINT) AS prompt_tokens,
   CAST((SELECT sum(CASE WHEN bad THEN 1 ELSE 7 END) FROM b) AS BIGINT) AS completion_tokens, (SELECT count(DISTINCT name) FROM g) AS characters_found, (SELECT count(DISTINCT {norm("left(f, 40)")}) FROM g WHERE {norm("left(f, 40)")} <> '') AS memories,
   (SELECT count(DISTINCT {norm("t")}) FROM lore WHERE {norm("t")} <> '') AS lore_entries, (SELECT count(*) FROM g WHERE odd) AS pending_quotes""",
@@ -376,4 +379,18 @@ UNION ALL SELECT CAST((SELECT count(*) FROM l) + i AS INTEGER), k, md5('[TABOO]
     "migrate_memories": """
 WITH m AS (SELECT row_number() OVER (ORDER BY value DESC, props) - 1 AS i, props AS content FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND trim(props) <> '')
 SELECT i, content FROM m UNION ALL SELECT (SELECT count(*) FROM m), 'the lake'""",
+    "memory_meta": f"""
+WITH a AS (SELECT event_id AS seq, user_id, CASE event_type {_LAYER} END AS layer, props FROM events)
+SELECT min(seq) AS id, false AS archived, CASE WHEN min(seq) % 4 > 0 THEN min(seq) END AS source, CASE WHEN min(seq) % 4 > 0 THEN layer END AS tag FROM a GROUP BY user_id, layer, props""",
+    "relabel": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'self' ELSE 'other' END AS direction FROM conversations",
+    "novel_evidence": rf"""
+WITH RECURSIVE {packed("SELECT doc_id, text FROM documents", 3000)},
+l AS (SELECT doc_id, CAST(block_id AS INTEGER) AS block_id, CAST(idx AS INTEGER) AS idx, content, coalesce(lead(content) OVER (PARTITION BY doc_id ORDER BY n), '') AS after, (doc_id + block_id + idx) % 4 AS kind FROM pack JOIN flat USING (doc_id, n)),
+b AS (SELECT doc_id, block_id, string_agg({norm("content")}, '' ORDER BY idx) AS t FROM l GROUP BY doc_id, block_id),
+q AS (SELECT doc_id, block_id, idx, {strip("CASE kind WHEN 0 THEN left(content, 40) WHEN 1 THEN right(content, 12) || ' ' || left(after, 12) WHEN 2 THEN left(content, 3) ELSE substr(content, 2, 30) || ' of another book' END")} AS quote FROM l)
+SELECT doc_id, block_id, idx, length(quote) >= 4 AND {norm("quote")} <> '' AND contains(t, {norm("quote")}) AS kept FROM q JOIN b USING (doc_id, block_id)""",
+    "novel_files": f"""{BOOK},
+people AS (SELECT name, count(*) AS mentions, min(block) AS first FROM g GROUP BY name ORDER BY mentions DESC, first LIMIT 5),
+n AS (SELECT (SELECT count(DISTINCT {norm("t")}) FROM lore WHERE {norm("t")} <> '') + least(60, (SELECT count(DISTINCT {norm("left(f, 40)")}) FROM g WHERE {norm("left(f, 40)")} <> '')) AS entries)
+SELECT name, name AS card_name, CAST(mentions AS INTEGER) AS mentions, entries, CAST(entries - 1 AS INTEGER) AS last_id FROM people, n""",
 }
