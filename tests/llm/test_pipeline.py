@@ -97,7 +97,7 @@ def test_empty(spark, corpus, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    for name in ("op1_substring_dedup", "op2_katz", "op4_mixing", "op5_toxicity", "op6_decontamination", "op7_minhash_near_dedup", "op9_pii_pseudonyms"):
+    for name in ("op1_substring_dedup", "op2_katz", "op4_mixing", "op5_toxicity", "op6_decontamination", "op7_minhash_near_dedup", "op9_pii_pseudonyms", "op11_order_minhash", "op12_lexical_search", "op13_periodic_runs"):
         assert llm.queries()[name](spark, str(tmp_path)).count() == 0
 
 
@@ -106,10 +106,10 @@ def test_registered_queries(spark):
         pytest.skip("no tables")
     con = duckdb.connect()
     n = {}
-    for t in ("documents", "pages", "labels", "embeddings"):
+    for t in ("documents", "pages", "labels", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
         n[t] = con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] if hasattr(con, "fetchone") else con.execute(f"SELECT count(*) FROM {t}").fetchall()[0][0]
-    whole = {"op1_substring_dedup": "documents", "op2_katz": "documents", "op3_warc": "pages", "op4_mixing": "documents", "op5_toxicity": "documents", "op7_minhash_near_dedup": "documents", "op8_url_reputation": "pages", "op9_pii_pseudonyms": "documents", "op10_embedding_near_dedup": "embeddings"}
+    whole = {"op1_substring_dedup": "documents", "op2_katz": "documents", "op3_warc": "pages", "op4_mixing": "documents", "op5_toxicity": "documents", "op7_minhash_near_dedup": "documents", "op8_url_reputation": "pages", "op9_pii_pseudonyms": "documents", "op10_embedding_near_dedup": "embeddings", "op11_order_minhash": "documents", "op13_periodic_runs": "documents"}
     for name, table in whole.items():
         assert llm.queries()[name](spark, SF).count() == n[table], name
     plain = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
