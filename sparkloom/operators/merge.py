@@ -17,8 +17,11 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def ordered_union(items: DataFrame, scope: list[str], item="item", order=("block_id", "pos"), compose: bool = True) -> DataFrame:
-    """Items once each, compared normalised, in their first spelling; blank ones dropped."""
-    keyed = items.withColumn("__key", normalize(item, compose)).filter("__key <> ''")
+    """Items once each, compared normalised, in their first spelling; blank ones dropped.
+
+    The shuffle carries 128 bits of a normalised item instead of the item a second time.
+    """
+    keyed = items.withColumn("__key", normalize(item, compose)).filter("__key <> ''").withColumn("__key", F.unhex(F.md5("__key")))
     return first_by(keyed, [*scope, "__key"], list(order)).drop("__key")
 
 
