@@ -364,16 +364,17 @@ WITH RECURSIVE w AS (
 ), sized AS (
   SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS k FROM s
 ), class AS (
-  SELECT k, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS rep FROM sized WHERE n > 0 GROUP BY k HAVING min(doc_id) IS NOT NULL
+  SELECT row_number() OVER (ORDER BY k) AS i, * FROM (SELECT k, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS rep FROM sized WHERE n > 0 GROUP BY k HAVING min(doc_id) IS NOT NULL)
 ), each AS (
-  SELECT k, n, unnest(s) AS x FROM class
+  SELECT i, n, unnest(s) AS x FROM class
 ), pairs AS (
-  SELECT p.k AS a, q.k AS b, p.n + q.n - count(*) AS total, count(*) AS shared FROM each p JOIN each q ON p.x = q.x AND p.k < q.k AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY p.k, q.k, p.n, q.n
+  SELECT p.i AS a, q.i AS b, p.n + q.n - count(*) AS total, count(*) AS shared FROM each p JOIN each q ON p.x = q.x AND p.i < q.i AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n) GROUP BY p.i, q.i, p.n, q.n
+), row_of AS (SELECT DISTINCT doc_id, i FROM sized JOIN class USING (k)
 ), one AS (
-  SELECT a, b FROM pairs WHERE 100 * shared >= 80 * total UNION SELECT p.k, q.k FROM sized p JOIN sized q ON p.doc_id = q.doc_id AND p.k < q.k
+  SELECT a, b FROM pairs WHERE 100 * shared >= 80 * total UNION SELECT p.i, q.i FROM row_of p JOIN row_of q ON p.doc_id = q.doc_id AND p.i < q.i
 ), links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one
 ), reach(a, b) AS (
   SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
-), comp AS (SELECT a, min(rep) AS c FROM reach JOIN class ON b = k GROUP BY a)
-SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(c, rep, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(c, rep, doc_id) AS kept FROM sized LEFT JOIN comp ON a = sized.k LEFT JOIN (SELECT k, rep FROM class) r ON r.k = sized.k
+), comp AS (SELECT a, min(rep) AS c FROM reach JOIN class ON b = i GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(c, rep, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(c, rep, doc_id) AS kept FROM sized LEFT JOIN (SELECT k, rep, i FROM class) r ON r.k = sized.k LEFT JOIN comp ON a = r.i
 """

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -351,6 +352,10 @@ def test_repeated_doc_ids_carry_links_on(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in NearDuplicates(spark, spark.createDataFrame(rows, DOCS)).documents().collect()), key=repr)
     want = [(3, 3, True), (5, 3, False), (5, 3, False), (8, 3, False), (9, 3, False), (11, 11, True), (12, 11, False), (12, 12, True), (13, 13, True), (None, 3, False), (None, 11, False), (20, 20, True), (20, 20, True), (21, 20, False)]
     assert got == sorted(want, key=repr)
+    con = duckdb.connect()  # the query's SQL says the same of such rows
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(f"SELECT doc_id, component_id, kept FROM ({minhash.OP7_SQL})").fetchall(), key=repr) == got
 
 
 def test_vectors_with_null_and_repeated_ids(spark):
