@@ -80,6 +80,15 @@ def split_examples(c) -> Column:
     return drop_blank(F.transform(F.split(F.coalesce(col(c), F.lit("")), LINE_END), strip_u))
 
 
+def lore_of(e: Column) -> Column:
+    """The lore (title, content, keys) of a book entry, a VARIANT."""
+    content = strip_u(F.coalesce(F.try_variant_get(e, "$.content", "string"), F.lit("")))
+    comment = F.coalesce(F.try_variant_get(e, "$.comment", "string"), F.lit(""))
+    keys = F.try_variant_get(e, "$.keys", "array<string>")
+    joined = F.when(F.schema_of_variant(F.try_variant_get(e, "$.keys", "variant")) == "STRING", F.array_join(split_words(F.try_variant_get(e, "$.keys", "string")), " ")).otherwise(F.coalesce(F.array_join(keys, " "), F.lit("")))
+    return F.struct(F.when(comment != "", comment).otherwise(F.substring(content, 1, 20)).alias("title"), content.alias("content"), joined.alias("keys"))
+
+
 def from_card(cards: DataFrame, card="card", namespace: str = NAMESPACE) -> DataFrame:
     """``cards`` with the profile's columns. Any V2, V3 or flat card; a null name marks one that cannot be imported."""
     v = F.try_parse_json(col(card))
@@ -91,13 +100,6 @@ def from_card(cards: DataFrame, card="card", namespace: str = NAMESPACE) -> Data
     summary = text(own + "persona_summary")
     entries = F.coalesce(F.try_variant_get("__d", "$.character_book.entries", "array<variant>"), F.array().cast("array<variant>"))
 
-    def lore(e: Column) -> Column:
-        content = strip_u(F.coalesce(F.try_variant_get(e, "$.content", "string"), F.lit("")))
-        comment = F.coalesce(F.try_variant_get(e, "$.comment", "string"), F.lit(""))
-        keys = F.try_variant_get(e, "$.keys", "array<string>")
-        joined = F.when(F.schema_of_variant(F.try_variant_get(e, "$.keys", "variant")) == "STRING", F.array_join(split_words(F.try_variant_get(e, "$.keys", "string")), " ")).otherwise(F.coalesce(F.array_join(keys, " "), F.lit("")))
-        return F.struct(F.when(comment != "", comment).otherwise(F.substring(content, 1, 20)).alias("title"), content.alias("content"), joined.alias("keys"))
-
     out = df.withColumn("name", F.nullif(strip_u(text("$.name")), F.lit("")))
     out = out.withColumn("persona_summary", F.when(summary != "", summary).otherwise(text("$.description")))
     out = out.withColumn("traits", either(strings(own + "traits"), split_listed(text("$.personality"))))
@@ -106,10 +108,23 @@ def from_card(cards: DataFrame, card="card", namespace: str = NAMESPACE) -> Data
     out = out.withColumn("style_examples", either(strings(own + "style_examples"), split_examples(text("$.mes_example"))))
     out = out.withColumn("scene_tone", F.coalesce(F.map_entries(F.try_variant_get("__d", own + "scene_tone", "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>")).cast("array<struct<k:string,v:string>>"))
     out = out.withColumn("evidence_stats", F.coalesce(F.try_variant_get("__d", own + "evidence_stats", "map<string,int>"), F.create_map().cast("map<string,int>")))
-    out = out.withColumn("lore", F.filter(F.transform(entries, lore), lambda x: x["content"] != ""))
+    out = out.withColumn("lore", F.filter(F.transform(entries, lore_of), lambda x: x["content"] != ""))
     return out.drop("__v", "__d")
 
 
+def from_lines(lines: DataFrame, namespace: str = NAMESPACE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile, lore, memories) of a card that comes as lines (``migrate.convert_lines``), of any size.
+
+    The profile is as in ``from_card`` but for its lore and memories, which are rows: (i, title, content, keys)
+    and (i, memory). Only the lines around them are put together.
+    """
+    around = lines.filter("part IN (0, 2, 4)").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "").alias("card"))  # three rows
+    one = F.try_parse_json(F.ltrim("line", F.lit(",")))
+    lore = lines.filter("part = 1").select("i", one.alias("v")).select("i", lore_of(F.col("v")).alias("e")).select("i", "e.*").filter("content <> ''")
+    memories = lines.filter("part = 3").select("i", F.try_variant_get(one, "$", "string").alias("memory"))
+    return from_card(around, namespace=namespace).drop("lore", "memories"), lore, memories
+
+
 def import_cards(cards: DataFrame, card="card", namespace: str = NAMESPACE) -> DataFrame:
     """As ``from_card``; raises ValueError if a card has no name."""
     out = from_card(cards, card, namespace)

@@ -96,24 +96,53 @@ def memory_rows(profiles: DataFrame, memories: DataFrame) -> DataFrame:
     return told.unionByName(shared.select((F.col("i") + F.col("size")).alias("i"), "content"))
 
 
-def convert(profiles: DataFrame, lore: DataFrame, memories: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
-    """name and card (V3 JSON text) of one profile with its lore and memories.
-
-    A card is one document of one person, with all its entries in it; ``entries`` and ``memory_rows`` are the
-    same as tables, of any size.
-    """
-    p = profile_lists(profiles)
-    book = entries(profiles, lore).agg(F.array_sort(F.collect_list(F.struct("id", "keys", "content", "comment", F.lit(True).alias("enabled"), "insertion_order", F.lit(False).alias("constant"), F.lit("before_char").alias("position"), F.struct("category").alias("extensions")))).alias("entries"))
-    told = memory_rows(profiles, memories).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "content"))), lambda x: x["content"]).alias("memories"))
-    # single rows each
-    rows = p.join(book, F.lit(True)).join(told, F.lit(True))
+def _card(rows: DataFrame, namespace: str, n_entries: Column, n_memories: Column) -> DataFrame:
+    """name and card (V3 JSON text) of rows with the profile's lists, entries and memories."""
     none = F.array().cast("array<string>")
     own = F.struct(
         F.lit(1).alias("version"), "persona_summary", "traits", "behavior_rules", "taboos", none.alias("humor"), "memories", "uncertainties", F.slice("common_phrases", 1, CAPS["style_examples"]).alias("style_examples"),
-        F.create_map(F.lit("lore_entries"), F.size("entries"), F.lit("memories"), F.size("memories")).alias("evidence_stats"),
+        F.create_map(F.lit("lore_entries"), n_entries, F.lit("memories"), n_memories).alias("evidence_stats"),
     )
     data = F.struct(
         "name", "description", F.array_join(F.slice("traits", 1, CAPS["traits"]), COMMA).alias("personality"), F.lit("").alias("scenario"), F.concat(F.lit(GREETING[0]), "name", F.lit(GREETING[1])).alias("first_mes"), F.lit("").alias("mes_example"),
         F.lit("").alias("creator_notes"), F.lit("").alias("system_prompt"), F.lit("").alias("post_history_instructions"), none.alias("alternate_greetings"), F.struct("entries").alias("character_book"), F.array(F.lit(namespace), F.lit("migration")).alias("tags"), F.struct(own.alias(namespace)).alias("extensions"),
     )
     return rows.select("name", F.to_json(F.struct(F.lit(SPEC).alias("spec"), F.lit(SPEC_VERSION).alias("spec_version"), data.alias("data"))).alias("card"))
+
+
+def _entry() -> Column:
+    """An entry as the card has it."""
+    return F.struct("id", "keys", "content", "comment", F.lit(True).alias("enabled"), "insertion_order", F.lit(False).alias("constant"), F.lit("before_char").alias("position"), F.struct("category").alias("extensions"))
+
+
+def convert(profiles: DataFrame, lore: DataFrame, memories: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
+    """name and card (V3 JSON text) of one profile with its lore and memories.
+
+    A card is one document of one person, with all its entries in it, and so one row, which must fit into memory;
+    ``convert_lines`` gives the same text as lines, of any size.
+    """
+    book = entries(profiles, lore).agg(F.array_sort(F.collect_list(_entry())).alias("entries"))
+    told = memory_rows(profiles, memories).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "content"))), lambda x: x["content"]).alias("memories"))
+    # single rows each
+    return _card(profile_lists(profiles).join(book, F.lit(True)).join(told, F.lit(True)), namespace, F.size("entries"), F.size("memories"))
+
+
+def convert_lines(profiles: DataFrame, lore: DataFrame, memories: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
+    """(part, i, line): the card of ``convert`` as lines, which in order of part and i, one after the other, are its text.
+
+    Each entry (part 1) and each memory (part 3) is a line; the parts around them are one line each. ``cards.from_lines`` reads them.
+    """
+    book, told = entries(profiles, lore), memory_rows(profiles, memories)
+    sizes = [df.agg(F.count("*").cast("int").alias(c)) for df, c in ((book, "n_entries"), (told, "n_memories"))]  # one row each
+    head = profile_lists(profiles)
+    for n in sizes:
+        head = head.join(F.broadcast(n), F.lit(True))
+    none = F.array().cast("array<string>")
+    card = _card(head.withColumn("entries", none).withColumn("memories", none), namespace, F.col("n_entries"), F.col("n_memories"))
+    # within a JSON string quotes are escaped, so these are the two lists themselves
+    texts = card.select(F.posexplode(F.split("card", r'(?<="entries":\[|"memories":\[)(?=\])')).alias("at", "line")).select((F.col("at") * 2).alias("part"), F.lit(0).cast("long").alias("i"), "line")
+    comma = F.when(F.col("i") > 0, ",").otherwise("")
+    listed = book.select(F.lit(1).alias("part"), F.col("id").cast("long").alias("i"), F.to_json(_entry()).alias("line"))
+    one = F.to_json(F.array("content"))  # in brackets
+    listed = listed.unionByName(told.select(F.lit(3).alias("part"), F.col("i").cast("long").alias("i"), one.substr(F.lit(2), F.length(one) - 2).alias("line")))
+    return texts.unionByName(listed.withColumn("line", F.concat(comma, "line")))

@@ -163,3 +163,27 @@ def test_command_line(spark, tmp_path, capsys):
     main(["--input", str(tmp_path / "b.txt"), "--name", "Gate", "--base-url", "http://none", "--api-key", "k", "--model", "m", "--out", str(tmp_path / "out")], steady_client)
     assert "card " in capsys.readouterr().out
     assert list((tmp_path / "out/Gate/cards").glob("name=*")) and list((tmp_path / "out/Gate/report").glob("*.json"))
+
+
+def test_cards_by_lines(spark, tmp_path):
+    profile = spark.createDataFrame([("Nora", json.dumps({"preferences": {"dislikes": ["x"]}, "shared_memories": [{"content": 'a "lake"'}], "uncertainties": ['"entries":[] "memories":[]']}), 1)], "name string, profile_json string, updated_at long")
+    lore = spark.createDataFrame([(c, f"t {i}", text, "{}", 1, i) for i, (c, text) in enumerate([("a", 'say "no",\n'), ("a", " "), (None, "lost"), ("b", ",é")])], "category string, title string, content string, payload string, enabled long, updated_at long")
+    told = spark.createDataFrame([("one, two", 0.5, None), (",", 0.9, None)], "content string, importance double, deleted_at string")
+    p = migrate.load_profile(profile)
+    lines = spark.createDataFrame(migrate.convert_lines(p, lore, told).collect(), "part int, i long, line string")
+    card = spark.createDataFrame([tuple(migrate.convert(p, lore, told).first())], "name string, card string")
+    assert "".join(r.line for r in lines.orderBy("part", "i").collect()) == card.first().card
+    want = cards.from_card(card).first()
+    back, found, memories = cards.from_lines(lines)
+    assert back.drop("card").first() == cards.from_card(card).select(*back.drop("card").columns).first()
+    assert [tuple(r) for r in found.orderBy("i").drop("i").collect()] == [tuple(x) for x in want.lore]
+    assert [r.memory for r in memories.orderBy("i").collect()] == want.memories
+
+
+def test_a_card_over_the_size_of_a_variant(spark, tmp_path):
+    from sparkloom.plans import catalogue
+
+    spark.range(280).selectExpr("id AS doc_id", "repeat('ab ', 340000) AS text", "'en' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.sql("SELECT 1L AS event_id, '{}' AS props, 1.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.migrate_convert(spark, str(tmp_path)).first()
+    assert (got.name, got.n_lore, got.n_memories, got.last_memory) == ("Nora", 142, 2, "the lake")
