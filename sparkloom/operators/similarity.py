@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ from ..functions.text import bigrams
 
 #: Queries go out in sets of at most this many characters a pass, pairs in batches of at most this many.
 QUERY_CHARS, PAIRS = 4 << 20, 1 << 18
+#: So many entries of lists, or pairs of candidates, are in memory at a time.
+ENTRIES = 1 << 20
 
 
 def jaccard_pairs(texts: DataFrame, queries: DataFrame, query_key: str, limit: int = QUERY_CHARS) -> DataFrame:
@@ -129,6 +133,15 @@ def jaccard_top(texts: DataFrame, queries: DataFrame, query_key: str, k: int, li
     return out
 
 
+def runs(sizes: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of ``sizes`` that sum up to ``limit`` (``ENTRIES``) at most, or of one larger size."""
+    ends, start, limit = np.cumsum(sizes), 0, limit or ENTRIES
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
+        yield start, stop
+        start = stop
+
+
 class Best:
     """The ``k`` best texts of each query so far.
 
@@ -182,16 +195,23 @@ class Best:
         least = np.where(fits, need, np.iinfo(np.int64).max).min(axis=1)
         prefix = np.where(fits.any(axis=1), have - least + 1, 0)
         front = np.arange(len(row)) - begin[row] < prefix[row]
-        r, q = self._lists(row[front], gram[front])
-        pair = np.unique(r * self.n + q)
+        row_f, gram_f = row[front], gram[front]
+        listed = np.zeros(len(own) * self.n, dtype=bool)  # at most PAIRS of them, or a text's
+        for a, z in runs(self.first[gram_f + 1] - self.first[gram_f]):
+            r, q = self._lists(row_f[a:z], gram_f[a:z])
+            listed[r * self.n + q] = True
+        pair = np.flatnonzero(listed)
         r, q = pair // self.n, pair % self.n
-        r, q = r[fits[r, q]], q[fits[r, q]]
+        some = fits[r, q]
+        r, q = r[some], q[some]
         # exact counts of the candidates
-        size = have[r]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[r], size)
-        asked = gram[at] * self.n + np.repeat(q, size)
-        found = self.member[np.searchsorted(self.member, asked).clip(max=len(self.member) - 1)] == asked
-        both = np.bincount(np.repeat(np.arange(len(r)), size), weights=found, minlength=len(r))
+        size, both = have[r], np.zeros(len(r))
+        for a, z in runs(size):
+            n = size[a:z]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[r[a:z]], n)
+            asked = gram[at] * self.n + np.repeat(q[a:z], n)
+            found = self.member[np.searchsorted(self.member, asked).clip(max=len(self.member) - 1)] == asked
+            both[a:z] = np.bincount(np.repeat(np.arange(z - a), n), weights=found, minlength=z - a)
         value = both / np.maximum(own[r] + self.sizes[q] - both, 1)
         good = (value > 0) & (value >= self.floor[q])
         order = np.argsort(q[good], kind="stable")

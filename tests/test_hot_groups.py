@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,26 @@ def test_lists_of_common_pairs_are_not_read():
     start = best.read
     best.add(pa.array(near), [(i,) for i in range(50)])
     assert best.read - start < start / 2 and best.kept[3] == [(39 / 41, (3,))]
+
+
+def test_best_texts_count_candidates_in_bounded_runs(monkeypatch):
+    """What is in memory of lists and candidates is bounded, whatever a batch has, and the result is the same."""
+    from sparkloom.operators import similarity
+
+    texts = pa.array([[f"{(i * j) % 23}x" for j in range(1, 15)] for i in range(200)], pa.list_(pa.string()))
+    texts = pa.array([sorted(set(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+    queries, keys = [sorted({f"{(7 * i + j) % 23}x" for j in range(9)}) for i in range(12)], [(i,) for i in range(200)]
+
+    def best(limit):
+        monkeypatch.setattr(similarity, "ENTRIES", limit)
+        made, repeat = [], np.repeat
+        monkeypatch.setattr(similarity.np, "repeat", lambda *a, **k: made.append(repeat(*a, **k)) or made[-1])
+        b = similarity.Best(queries, 3)
+        b.add(texts, keys)
+        monkeypatch.setattr(similarity.np, "repeat", repeat)
+        return b.kept, max(len(x) for x in made)
+
+    want = [sorted(((len(set(t) & set(q)) / len(set(t) | set(q)), (i,)) for i, t in enumerate(texts.to_pylist())), key=lambda x: (-x[0], x[1]))[:3] for q in queries]
+    (small, most), (large, _) = best(50), best(1 << 20)
+    assert small == large == want
+    assert most <= max(50, sum(len(t) for t in texts.to_pylist()))
