@@ -137,11 +137,22 @@ def reach(entries: DataFrame, steps: int, cut: Callable[[DataFrame, str], DataFr
 def recursed(active: DataFrame, entries: DataFrame, steps: int, cut: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """(conv, place, entry_id, level): ``active`` at level 0, and what they call up at the least number of steps.
 
-    Which entries call up which does not depend on the conversation, so it is followed once (``reach``), and
-    a turn takes one join.
+    Which entries call up which does not depend on the conversation, so it is followed once (``reach``). An entry brings
+    its lists of others, one a level, to the turn, and a turn puts its lists together: its rows are as many as its
+    entries, not as the ways by which they are reached, and they are dealt by turns, so that a constant
+    entry, which is in all of them, is no task's load.
     """
-    via = active.select("conv", "place", "entry_id").join(reach(entries, steps, cut), "entry_id").select("conv", "place", F.col("other").alias("entry_id"), "level")
-    return active.select("conv", "place", "entry_id", F.lit(0).alias("level")).unionByName(via).groupBy("conv", "place", "entry_id").agg(F.min("level").alias("level"))
+    of = [f"__{level}" for level in range(1, steps + 1)]
+    lists = [F.collect_list(F.when(F.col("level") == i + 1, F.col("other"))).alias(c) for i, c in enumerate(of)]
+    turns = active.select("conv", "place", "entry_id").repartition("conv", "place")
+    if lists:
+        turns = turns.join(reach(entries, steps, cut).groupBy("entry_id").agg(*lists), "entry_id", "left")
+    turns = turns.groupBy("conv", "place").agg(F.collect_set("entry_id").alias("__0"), *(F.flatten(F.collect_list(c)).alias(c) for c in of))
+    for i, c in enumerate(of):
+        turns = turns.withColumn(c, F.array_except(c, F.concat("__0", *of[:i])))  # each once
+    at = lambda level: lambda x: F.struct(x.alias("entry_id"), F.lit(level).alias("level"))
+    found = F.concat(*(F.transform(c, at(level)) for level, c in enumerate(["__0", *of])))
+    return turns.select("conv", "place", F.explode(found).alias("e")).select("conv", "place", "e.*")
 
 
 def one_of_each_pool(active: DataFrame, entries: DataFrame) -> DataFrame:

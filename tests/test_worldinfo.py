@@ -162,3 +162,13 @@ def test_guards(spark, hours):
     got = wi.guarded(df, ["who"], "t", "n", 2, 60, hours, 70)
     assert {r.n: r.sent for r in got.collect()} == want and got.columns == ["who", "n", "t", "sent"] and any(want.values())
     assert wi.guarded(df.limit(0), ["who"], "t", "n", 2, 60, hours).collect() == []
+
+
+def test_recursion_makes_no_row_for_each_way(spark, rows):
+    """A turn whose 40 entries all call up the same 40 is 40 rows, not 1,600, on its way to the answer."""
+    entries = spark.createDataFrame([(i, ["heart"] if i >= 40 else [f"no{i}"], [], "and_any", "my heart" if i < 40 else "x", False) for i in range(80)], "entry_id long, keys array<string>, second array<string>, logic string, content string, exempt boolean")
+    active = spark.createDataFrame([(1, p, i) for p in range(3) for i in range(40)], "conv int, place long, entry_id long")
+    got = wi.recursed(active, entries, 2)
+    assert rows(got) == sorted([(1, p, i, int(i >= 40)) for p in range(3) for i in range(80)], key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1  # an entry with its lists, one row
+    assert rows(wi.recursed(active, entries, 0)) == rows(active.selectExpr("*", "0 AS level"))
