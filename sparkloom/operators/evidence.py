@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.batches import parts
 from ..functions.needles import Needles
 from ..functions.text import col, normalize, strip_u
 
@@ -68,7 +69,7 @@ def contained(texts: DataFrame, quotes: DataFrame, limit: int = QUOTE_CHARS) ->
 
         def run(batches):
             needles = Needles(sent.value)
-            for b in batches:
+            for b in (part for whole in batches for part in parts(whole, "t")):
                 hits = needles.find(b.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("at").take(pa.array([i for i, _ in hits], pa.int64())), pa.array([k for _, k in hits], kinds.field("b").type)], names=["a", "b"])
 
