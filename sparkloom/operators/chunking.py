@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.batches import parts
 from ..functions.text import clean_text, col
 from ..functions.timestamps import parse_ts
 from ..plans.scratch import written
@@ -165,13 +166,13 @@ def chunk_novels(books: DataFrame, key: str, text="text", chunk_chars: int = BLO
     kind = books.schema["key"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
-            for i, t in enumerate(b.column("text").to_pylist()):
-                for block, index, piece in pack(t or "", chunk_chars, piece_chars):
-                    for c, x in zip(cols, (i, block, index, piece), strict=True):
-                        c.append(x)
-            at, block, index, piece = cols
+        for b in (part for whole in batches for part in parts(whole, "text")):
+            at, block, index, piece = [], [], [], []
+            for i in range(b.num_rows):
+                for x in pack(b.column("text")[i].as_py() or "", chunk_chars, piece_chars):
+                    at.append(i)
+                    for c, v in zip((block, index, piece), x, strict=True):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(block, pa.int32()), pa.array(index, pa.int32()), pa.array(piece, pa.string())], names=["key", "block_id", "idx", "content"])
 
     out = books.mapInArrow(run, f"key {kind}, block_id int, idx int, content string")

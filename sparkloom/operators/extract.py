@@ -16,10 +16,11 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import parts
 from ..functions.text import drop_blank, extract_json, strip_u
 from ..types import LEDGER, LIST_FIELDS
 from . import journal
@@ -142,12 +143,12 @@ def call_blocks(blocks: DataFrame, factory: Callable[[], object], system: str, r
                 error = str(e)[:ERROR_CHARS]
         return dict(zip(LEDGER_COLUMNS, (run_id, seq, block_id, status, before + (status == "failed"), error, calls, asked, told, reply), strict=True))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client, at, kept, log = None, None, set(), None
         called = had = 0
         try:
-            for part in parts:
-                for bucket, block_id, user, before in part[["bucket", "block_id", "rendered", "before"]].itertuples(index=False):
+            for part in (part for whole in batches for part in parts(whole, "rendered")):
+                for bucket, block_id, user, before in zip(*(part.column(c).to_pylist() for c in ("bucket", "block_id", "rendered", "before")), strict=True):
                     if bucket != at:
                         if log is not None:
                             log.flush()
@@ -163,10 +164,10 @@ def call_blocks(blocks: DataFrame, factory: Callable[[], object], system: str, r
         finally:
             if log is not None:
                 log.flush()
-        yield pd.DataFrame({"called": [called], "kept": [had]})
+        yield pa.RecordBatch.from_pydict({"called": [called], "kept": [had]})
 
     todo = blocks.select(bucket_of().alias("bucket"), "block_id", "rendered", "before")
-    return todo.repartition("bucket").sortWithinPartitions("bucket", "block_id").mapInPandas(run, "called long, kept long")
+    return todo.repartition("bucket").sortWithinPartitions("bucket", "block_id").mapInArrow(run, "called long, kept long")
 
 
 class Ledger:
