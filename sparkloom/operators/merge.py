@@ -50,11 +50,14 @@ def merge_lore(lore: DataFrame, scope: list[str], compose: bool = True) -> tuple
     ``lore`` has (scope, block_id, pos, title, content, keys). Notes come in the
     order of the contradicting entries.
     """
-    keyed = lore.withColumn("__key", lore_key("title", "content", compose)).withColumn("__text", normalize("content", compose))
+    text = normalize("content", compose)
+    keyed = lore.withColumn("__key", F.unhex(F.md5(lore_key("title", "content", compose)))).withColumn("__text", F.unhex(F.md5(text)))
     first = first_by(keyed, [*scope, "__key"], ["block_id", "pos"])
-    won = first.select(*scope, "__key", F.col("__text").alias("__first"))
+    # texts are compared by 128 bits, and notes need no more of a row than its title
+    small = keyed.select(*scope, "block_id", "pos", "title", "__key", "__text")
+    won = first_by(small, [*scope, "__key"], ["block_id", "pos"]).select(*scope, "__key", F.col("__text").alias("__first"))
     note = F.concat(F.lit(CONFLICT[0]), F.col("title"), F.lit(CONFLICT[1]))
-    notes = keyed.join(won, [*scope, "__key"]).filter("__text <> __first").select(*scope, "block_id", "pos", note.alias("item"))
+    notes = small.join(won, [*scope, "__key"]).filter("__text <> __first").select(*scope, "block_id", "pos", note.alias("item"))
     return first.drop("__key", "__text"), notes
 
 
