@@ -24,7 +24,7 @@ from ..functions.batches import parts
 from ..functions.text import drop_blank, extract_json, strip_u
 from ..types import LEDGER, LIST_FIELDS
 from . import journal
-from .journal import EVERY, SECONDS, Appender
+from .journal import SECONDS, Appender
 
 ERROR_CHARS = 200
 LEDGER_COLUMNS = [c.split()[0] for c in LEDGER.split(", ")]
@@ -122,7 +122,7 @@ def bucket_of(block_id="block_id") -> Column:
     return F.pmod(F.xxhash64(F.col(block_id).cast("long")), F.lit(BUCKETS)).cast("int")
 
 
-def call_blocks(blocks: DataFrame, factory: Callable[[], object], system: str, run_id: str, seq: int, path: str, max_attempts: int = 2, every: int = EVERY, seconds: float = SECONDS) -> DataFrame:
+def call_blocks(blocks: DataFrame, factory: Callable[[], object], system: str, run_id: str, seq: int, path: str, max_attempts: int = 2, every: int | None = None, seconds: float = SECONDS) -> DataFrame:
     """(called, kept): calls for ``blocks`` (block_id, rendered, before), each until a reply holds an object, at most ``max_attempts`` times.
 
     The ledger rows go to the journal at ``path``, a folder for each bucket of blocks; ``called`` counts the
@@ -214,14 +214,15 @@ class Ledger:
         """One row per block: that of its last run."""
         return latest(self.rows())
 
-    def run(self, blocks: DataFrame, factory, system: str, run_id: str, max_attempts: int = 2, only: DataFrame | None = None, every: int = EVERY, seconds: float = SECONDS) -> None:
+    def run(self, blocks: DataFrame, factory, system: str, run_id: str, max_attempts: int = 2, only: DataFrame | None = None, every: int | None = None, seconds: float = SECONDS) -> None:
         """Calls for all ``blocks`` (block_id, rendered) that are not done, or those of them in ``only``."""
         seq = max(self._runs("journal") | self._runs("runs"), default=-1) + 1
-        state = latest(self.rows())
-        todo = blocks.select("block_id", "rendered").join(state.filter("status = 'done'").select("block_id"), "block_id", "left_anti")
+        # of earlier runs two numbers a block, without the replies
+        state = self.rows().groupBy("block_id").agg(F.max_by(F.col("status") == "done", "seq").alias("done"), F.max_by("attempts", "seq").alias("before"))
+        todo = blocks.select("block_id", "rendered").join(state, "block_id", "left").filter("done IS NOT TRUE")
         if only is not None:
             todo = todo.join(only.select("block_id").distinct(), "block_id", "left_semi")
-        todo = todo.join(state.select("block_id", F.col("attempts").alias("before")), "block_id", "left").withColumn("before", F.coalesce("before", F.lit(0)))
+        todo = todo.select("block_id", "rendered", F.coalesce("before", F.lit(0)).alias("before"))
         call_blocks(todo, factory, system, run_id, seq, f"{self.path}/journal/seq={seq}", max_attempts, every, seconds).agg(F.sum("called")).collect()
         self.fold_run(seq)
 

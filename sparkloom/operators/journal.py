@@ -16,8 +16,8 @@ from pathlib import Path
 
 from pyarrow import fs
 
-#: Rows wait until there are so many, or the oldest has waited so many seconds. Calls that take longer are kept one by one.
-EVERY, SECONDS = 100, 1.0
+#: Rows wait until they are so many bytes, or the oldest has waited so many seconds. Calls that take longer are kept one by one.
+BYTES, SECONDS = 4 << 20, 1.0
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -30,34 +30,40 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Appender:
-    """Appends dictionaries to a folder; ``close`` (or leaving the ``with`` block, in whatever way) keeps the rest."""
+    """Appends dictionaries to a folder; ``close`` (or leaving the ``with`` block, in whatever way) keeps the rest.
 
-    def __init__(self, path: str, every: int = EVERY, seconds: float = SECONDS, clock=time.monotonic):
+    Quick calls make files of some MB, not one for every few rows: files are listed, opened and
+    deleted one by one. ``every`` bounds the rows that wait as well.
+    """
+
+    def __init__(self, path: str, every: int | None = None, seconds: float = SECONDS, clock=time.monotonic):
         self.fs, self.path = place(path)
         self.every, self.seconds, self.clock = every, seconds, clock
-        self.rows: list[dict] = []
-        self.since = 0.0
+        self.lines: list[str] = []
+        self.size, self.since = 0, 0.0
 
     def append(self, row: dict) -> None:
-        if not self.rows:
+        if not self.lines:
             self.since = self.clock()
-        self.rows.append(row)
+        self.lines.append(json.dumps(row) + "\n")
+        self.size += len(self.lines[-1])  # JSON is escaped to ASCII
 
     def settle(self) -> None:
         """Keeps what waits if it is much or has waited long; called after every result."""
-        if self.rows and (len(self.rows) >= self.every or self.clock() - self.since >= self.seconds):
+        much = self.size >= BYTES or (self.every is not None and len(self.lines) >= self.every)
+        if self.lines and (much or self.clock() - self.since >= self.seconds):
             self.flush()
 
     def flush(self) -> None:
-        if not self.rows:
+        if not self.lines:
             return
         self.fs.create_dir(self.path, recursive=True)
         name = f"{uuid.uuid4().hex}.json"
         aside = f"{self.path}/_{name}"
         with self.fs.open_output_stream(aside) as out:
-            out.write("".join(json.dumps(r) + "\n" for r in self.rows).encode())
+            out.write("".join(self.lines).encode())
         self.fs.move(aside, f"{self.path}/{name}")
-        self.rows = []
+        self.lines, self.size = [], 0
 
     def __enter__(self) -> Appender:
         return self

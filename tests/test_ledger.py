@@ -121,3 +121,22 @@ def test_no_blocks(spark, tmp_path):
     ledger.run(spark.createDataFrame([], BLOCKS), partial(extract.KeyedFake, {}), "s", "r")
     assert ledger.rows().count() == 0 and ledger.stats().first().blocks_done == 0
     assert isinstance(ledger.latest().toPandas(), pd.DataFrame)
+
+
+def test_quick_calls_make_few_files(tmp_path):
+    now = [0.0]
+    log = journal.Appender(str(tmp_path / "j"), clock=lambda: now[0])
+    files = lambda: len(list((tmp_path / "j").glob("*.json"))) if (tmp_path / "j").exists() else 0
+    for n in range(5_000):
+        log.append({"n": n})
+        log.settle()
+    assert files() == 0  # nothing has waited a second
+    now[0] = 1.0
+    log.append({"n": 5_000})
+    log.settle()
+    assert files() == 1
+    for n in range(5):  # large rows do not wait
+        log.append({"n": "x" * journal.BYTES})
+        log.settle()
+    assert files() == 6
+    assert sum(1 for _ in journal.read(str(tmp_path / "j"))) == 5_006
