@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,7 +150,7 @@ EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 STATE_COLUMNS = [c.split()[0] for c in MEMORY_STATE.split(", ")]
 
 
-def _events(df: DataFrame, kind: str, **values) -> DataFrame:
+def _events(df: DataFrame, kind: str | Column, **values) -> DataFrame:
     """Rows of the log from rows that have the scope and id; what is not given is null."""
     types = dict(c.split() for c in EVENT.split(", "))
     given = {"kind": F.lit(kind), **{c: F.col(c) for c in (*SCOPE, "id")}, **values}
@@ -379,34 +380,51 @@ class MemoryStore:
             m = self._manifest()
             both = new.join(self._read(m, parts).select(*KEY, F.col("id").alias("__id")), list(KEY), "left")
             both = both.withColumn("id", F.coalesce("__id", F.col("id") + m["last_id"]))  # ids follow the last one used, in order of seq
-            first = _events(both.filter("__id IS NULL"), "new", layer=F.col("layer"), content=F.col("content"), importance=F.col("importance"), at=F.col("created_at"), meta=F.col("meta"), score=F.lit(1.0), archived=F.lit(False))
-            self._append(first.unionByName(_events(both, "seen", at=F.col("last_accessed"))), m, [*parts, "ids"], ids)  # also made anew if other adds took the ids
+            # one or two rows a memory out of one join
+            both = both.withColumn("kind", F.explode(F.when(F.col("__id").isNull(), F.array(F.lit("new"), F.lit("seen"))).otherwise(F.array(F.lit("seen")))))
+            new_only = {"layer": F.col("layer"), "content": F.col("content"), "importance": F.col("importance"), "meta": F.col("meta"), "score": F.lit(1.0), "archived": F.lit(False)}
+            is_new = F.col("kind") == "new"
+            rows = _events(both, F.col("kind"), at=F.when(is_new, F.col("created_at")).otherwise(F.col("last_accessed")), **{c: F.when(is_new, v) for c, v in new_only.items()})
+            self._append(rows, m, [*parts, "ids"], ids)  # also made anew if other adds took the ids
 
         self._again(attempt)
 
+    @contextmanager
+    def _fixed(self, df: DataFrame) -> Iterator[DataFrame]:
+        """``df`` written once, since it is used several times and may be the outcome of a fold of the whole store."""
+        path = f"{self.path}/work/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
     def edit(self, edits: DataFrame) -> None:
-        parts = self._parts_of(edits)
+        with self._fixed(edits.select("seq", *SCOPE, "id", F.col("content").cast("string"))) as edits:
+            parts = self._parts_of(edits)
 
-        def attempt() -> None:
-            m = self._manifest()
-            state = self._read(m, parts).select(*STATE_COLUMNS)
-            self._in_scope(state, edits)
-            if not edit(state, edits).groupBy(*KEY).count().filter("count > 1").isEmpty():
-                raise ValueError("an edit would repeat a memory of its scope and layer")
-            last = edits.groupBy(*SCOPE, "id").agg(strip_u(F.max(F.struct("seq", "content"))["content"]).alias("content"))
-            self._append(_events(last.filter("content IS NOT NULL"), "text", content=F.col("content")), m, parts)
+            def attempt() -> None:
+                m = self._manifest()
+                with self._fixed(self._read(m, parts).select("id", *KEY)) as state:
+                    self._in_scope(state, edits)
+                    if not edit(state, edits).groupBy(*KEY).count().filter("count > 1").isEmpty():
+                        raise ValueError("an edit would repeat a memory of its scope and layer")
+                last = edits.groupBy(*SCOPE, "id").agg(strip_u(F.max(F.struct("seq", "content"))["content"]).alias("content"))
+                self._append(_events(last.filter("content IS NOT NULL"), "text", content=F.col("content")), m, parts)
 
-        self._again(attempt)
+            self._again(attempt)
 
     def delete(self, deletes: DataFrame) -> None:
-        parts = self._parts_of(deletes)
+        with self._fixed(deletes.select(*SCOPE, "id").distinct()) as deletes:
+            parts = self._parts_of(deletes)
 
-        def attempt() -> None:
-            m = self._manifest()
-            self._in_scope(self._read(m, parts), deletes)
-            self._append(_events(deletes.select(*SCOPE, "id").distinct(), "gone"), m, parts)
+            def attempt() -> None:
+                m = self._manifest()
+                self._in_scope(self._read(m, parts), deletes)
+                self._append(_events(deletes, "gone"), m, parts)
 
-        self._again(attempt)
+            self._again(attempt)
 
     @staticmethod
     def _in_scope(state: DataFrame, changes: DataFrame) -> None:

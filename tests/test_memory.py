@@ -275,3 +275,22 @@ def test_against_a_model(spark, tmp_path, monkeypatch, fan, many):
     got = {r.id: (r.profile_id, r.layer, r.content, r.last_accessed, round(r.decay_score, 9), r.archived) for r in store.state().collect()}
     assert got == {i: (r["p"], r["layer"], r["content"], r["at"], round(r["d"], 9), r["a"]) for i, r in model.rows.items()}
     assert len(store._manifest()["epochs"]) <= many
+
+
+def test_changes_are_worked_out_once(spark, tmp_path):
+    """Edits and deletions may be the outcome of a fold of the whole store, so a change reads them once."""
+    store = m.MemoryStore(spark, str(tmp_path / "once"))
+    store.add(adds(spark, [("p", "o", "raw", f"text {i}", 3.0, "2026-01-01") for i in range(6)]))
+    for act, n in ((store.edit, 4), (store.delete, 2)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        change = spark.createDataFrame([(i, "p", "o", i, f"new {i}") for i in range(1, n + 1)], "seq long, profile_id string, owner string, id long, content string")
+        act(change.mapInArrow(counted, change.schema))
+        assert seen.value == n
+    assert sorted(r.content for r in store.state().collect()) == ["new 3", "new 4", "text 4", "text 5"]
+    assert not list((tmp_path / "once" / "work").iterdir())
