@@ -259,7 +259,7 @@ def latest(rows: DataFrame) -> DataFrame:
 def run_stats(rows: DataFrame) -> DataFrame:
     """One row: blocks_done, blocks_failed, failed_blocks in order, calls and tokens of all runs."""
     used = rows.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"))
-    ended = latest(rows).agg(F.count_if(F.col("status") == "done").alias("blocks_done"), F.count_if(F.col("status") == "failed").alias("blocks_failed"), F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("block_id")))).alias("failed_blocks"))
+    ended = latest(rows.select("block_id", "seq", "status")).agg(F.count_if(F.col("status") == "done").alias("blocks_done"), F.count_if(F.col("status") == "failed").alias("blocks_failed"), F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("block_id")))).alias("failed_blocks"))
     return ended.join(F.broadcast(used), F.lit(True))  # one row each
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize
 from ..operators.chunking import chunk_novels, render_blocks
 from ..operators.evidence import verify_in_blocks
-from ..operators.extract import Ledger, characters, fragments, run_stats
+from ..operators.extract import Ledger, characters, fragments, latest, run_stats
 from ..operators.merge import attribute_quotes, exact_union, first_by, gathered, merge_characters, ordered_union, top_characters
 from ..operators.worldbook import novel_cards, worldbook
+from .scratch import written
 
 SYSTEM = (
     "From this part of a novel give one JSON object: characters as an array of {name, identity, traits, speaking_style, relationships}, "
@@ -39,6 +40,7 @@ def distill(spark: SparkSession, text: str, book: str, factory: Callable, path:
     pieces = chunk_novels(books, "book", chunk_chars=chunk_chars)
     if max_blocks > 0:
         pieces = pieces.filter(F.col("block_id") < max_blocks)
+    pieces = written(pieces, "pieces")
     if pieces.isEmpty():
         raise ValueError(f"{book}: there is no text to work on")
     rendered = render_blocks(pieces, ["book"]).select("block_id", "rendered")
@@ -53,11 +55,12 @@ def distill(spark: SparkSession, text: str, book: str, factory: Callable, path:
 
 def merge(ledger: Ledger, pieces: DataFrame, book: str, max_characters: int = 5) -> Novel:
     scope = ["book"]
-    state = ledger.latest()
-    said = characters(state).select(F.lit(book).alias("book"), "*")
+    # replies are gathered once and parsed once, whatever is made of them
+    state = written(latest(ledger.rows().select("block_id", "seq", "status", "reply")), "latest")
+    said = written(characters(state).select(F.lit(book).alias("book"), "*"), "characters")
     people = merge_characters(said, scope)
     tops = top_characters(people, scope, max_characters)
-    frags = fragments(state).select(F.lit(book).alias("book"), "*")
+    frags = written(fragments(state).select(F.lit(book).alias("book"), "*"), "fragments")
     told = frags.select("book", "block_id", F.posexplode("evidence").alias("pos", "e")).select("book", "block_id", "pos", "e.*")
     kept = verify_in_blocks(told, pieces.select("block_id", "idx", "content"), ["block_id"], min_chars=MIN_QUOTE).filter("kept")
     mine, pending = attribute_quotes(kept, people, scope)

@@ -115,3 +115,32 @@ def test_worldbook_numbers_by_block(spark):
         assert sorted(got[book]) == want
     empty = worldbook(lore.limit(0), events.limit(0), tops)
     assert empty.count() == 0
+
+
+def test_a_novel_reads_its_replies_once(spark):
+    """Whatever parts the report has: once for them all, and once or twice for its numbers."""
+    import json
+
+    from sparkloom.operators import extract
+    from sparkloom.plans import novel
+
+    seen, n = spark.sparkContext.accumulator(0), 10
+    reply = json.dumps({"characters": [{"name": "Ada", "traits": ["calm"], "identity": ""}], "memories": ["a day"], "lore_candidates": [{"title": "Inn", "content": "An inn", "keys": "inn"}], "evidence": [{"quote": "a long day", "message_index": 0, "speaker": "Ada"}]})
+    told = spark.createDataFrame([("r", 0, i, "done", 0, "", 1, 10, 5, reply) for i in range(n)], extract.LEDGER)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    class Once:
+        def rows(self):
+            return told.mapInArrow(counted, told.schema)
+
+        def latest(self):
+            return extract.latest(self.rows())
+
+    pieces = spark.createDataFrame([("b", i, 0, "it was a long day") for i in range(n)], "book string, block_id long, idx int, content string")
+    report = novel.merge(Once(), pieces, "b").report.first()
+    assert (report.characters_found, report.memories, report.lore_entries, report.blocks_done) == (1, 1, 1, n)
+    assert seen.value <= 3 * n
